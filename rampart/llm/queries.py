@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe_automaton import op8_bpe
 from .mixing import ORACLE_OP1, op1_mixing
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op7_quality_rules
+from .simhash import op10_simhash_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe": op8_bpe,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLES = {"op1_mixing": ORACLE_OP1}

@@ -6,13 +6,17 @@ from .bpe_automaton import op8_bpe
 from .mixing import ORACLE_OP1, op1_mixing
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op7_quality_rules
+from .sharding import op2_sharding
 from .simhash import op10_simhash_dedup
+from .token_files import op9_token_files
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_sharding": op2_sharding,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_token_files": op9_token_files,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 

@@ -1,0 +1,77 @@
+"""Rule packs: YAML files of a folder, and a compact pack of our own wording."""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+SCHEMA = "rule_id string, pattern_idx int, pattern string, severity string, category string, confidence string, risk_score int, action string, languages array<string>, message string"
+
+#: Prompt rules: id, category, severity, confidence, risk, action, patterns. Patterns keep to what Java and RE2 share.
+PROMPT_RULES = (
+    ("exfil.send-external", "exfiltration", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(send|post|upload)\s+.*(code|secrets?|keys?|tokens?|environment variables|passwords?)\s+.*to\s+", r"(?i)send it to (https?://|\w+\.(com|net|io))")),
+    ("exfil.sensitive-file", "exfiltration", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)(read|cat|print|show)\s+.*(/etc/passwd|/etc/shadow|\.env\b|id_rsa|\.aws/credentials)",)),
+    ("inject.reverse-shell", "malicious-injection", "ERROR", "HIGH", 100, "BLOCK", (r"(?i)reverse\s+shell", r"(?i)backdoor")),
+    ("system.destroy", "system-manipulation", "ERROR", "HIGH", 100, "BLOCK", (r"(?i)rm\s+-rf\s+/", r"(?i)(delete|wipe|erase)\s+(all|every)\s+(files?|data)")),
+    ("social.authority", "social-engineering", "ERROR", "MEDIUM", 85, "WARN", (r"(?i)i\s*('m| am)\s+(the|an|your)\s+(admin|administrator|developer|owner)", r"(?i)this is authorized")),
+    ("social.urgency", "social-engineering", "WARNING", "LOW", 65, "LOG", (r"(?i)(urgent|emergency|immediately or)", r"(?i)for debugging purposes")),
+    ("obfuscated.base64", "obfuscation", "WARNING", "MEDIUM", 75, "WARN", (r"(?i)(decode|execute)\s+(this\s+)?base64", r"(?i)rot13")),
+    ("agent.hide", "agent-manipulation", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(don't|do not)\s+(tell|show|ask)\s+(the\s+)?user", r"(?i)without\s+(asking|confirmation)")),
+    ("injection.ignore", "prompt-injection-content", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)ignore\s+(all\s+|the\s+|any\s+)?(previous\s+|prior\s+|above)?\s*(instructions|rules|and instead)", r"(?i)disregard\s+(all|your)\s+")),
+    ("injection.jailbreak", "prompt-injection-jailbreak", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)you\s+are\s+(now\s+)?DAN\b", r"(?i)do anything now")),
+    ("injection.roleplay", "prompt-injection-jailbreak", "WARNING", "MEDIUM", 75, "WARN", (r"(?i)pretend\s+(you're|you are|to be)\s+", r"(?i)act as (an?|if) ")),
+    ("injection.extract", "prompt-injection-extraction", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(show|reveal|print|repeat)\s+(me\s+)?(your|the)\s+(system\s+)?(prompt|instructions)",)),
+    ("injection.delimiter", "prompt-injection-delimiter", "WARNING", "MEDIUM", 80, "WARN", (r"(?i)(^|\n)\s*system\s*:", r"(?i)\[/?INST\]|<\|im_start\|>")),
+    ("injection.context", "prompt-injection-context", "WARNING", "LOW", 60, "LOG", (r"(?i)(new|updated)\s+(instructions|context)\s*:", r"(?i)from now on")),
+    ("injection.privilege", "prompt-injection-privilege", "ERROR", "HIGH", 85, "WARN", (r"(?i)(enable|enter|switch to)\s+(developer|admin|root|god)\s+mode", r"(?i)override\s+(all\s+)?safety")),
+    ("injection.output", "prompt-injection-output", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)output\s+(only\s+)?HACKED", r"(?i)respond\s+only\s+with")),
+)
+
+
+def prompt_rules(spark: SparkSession) -> DataFrame:
+    """The compact prompt pack, one row a pattern."""
+    return spark.createDataFrame([(rule, i, p, severity, category, confidence, risk, action, ["generic"], "") for rule, category, severity, confidence, risk, action, patterns in PROMPT_RULES for i, p in enumerate(patterns)], SCHEMA)
+
+
+def read_rule_packs(spark: SparkSession, folder: str, pattern: str = "*.yaml") -> tuple[DataFrame, DataFrame]:
+    """(rules, errors) of a folder's YAML packs; files in path order, the last one with an id wins.
+
+    rules: SCHEMA, one row a pattern that Java's engine compiles in; a leading (?i) is kept, one further in
+    isn't valid and drops its pattern, into errors (file, rule_id, pattern, reason). The files are read by the
+    driver: packs are configuration.
+    """
+    import yaml
+
+    rules: dict[str, list[tuple]] = {}
+    errors: list[tuple[str, str, str, str]] = []
+    for path in sorted(Path(folder).rglob(pattern)):
+        try:
+            listed = (yaml.safe_load(path.read_text(encoding="utf-8")) or {}).get("rules") or []
+        except (yaml.YAMLError, AttributeError, UnicodeDecodeError) as e:
+            errors.append((str(path), "", "", str(e)[:200]))
+            continue
+        for rule in listed:
+            meta, rows = rule.get("metadata") or {}, []
+            texts = [p for p in rule.get("patterns") or [] if isinstance(p, str)] or [rule[k] for k in ("pattern-regex",) if isinstance(rule.get(k), str)]
+            for i, p in enumerate(texts):
+                why = _unusable(p)
+                if why:
+                    errors.append((str(path), str(rule.get("id")), p, why))
+                    continue
+                risk = meta.get("risk_score")
+                rows.append((rule.get("id"), i, p, str(rule.get("severity", "WARNING")), meta.get("category"), meta.get("confidence"), int(risk) if str(risk or "").isdigit() else None, meta.get("action"), [str(x) for x in rule.get("languages") or []], str(rule.get("message", ""))))
+            if rows:
+                rules[rule["id"]] = rows
+    return spark.createDataFrame([r for rows in rules.values() for r in rows], SCHEMA), spark.createDataFrame(errors, "file string, rule_id string, pattern string, reason string")
+
+
+def _unusable(pattern: str) -> str:
+    if re.search(r".\(\?[a-z]+\)", pattern):
+        return "flags inside the pattern"
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        return str(e)
+    return "named group" if "(?P<" in pattern else ""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored, stored_path  # noqa: F401 - used by the operators
+
 #: White space of the contracts: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,39 +29,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where unset, a temporary one, in local mode only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="rampart-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/rampart-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the JVM may have gone before
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage, survives lost executors, runs once."""
-    path = stored_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: A cut works on keys of LEVELS digits of DIGIT bits.
 DIGIT, LEVELS = 12, 4
 KEY_BITS = DIGIT * LEVELS

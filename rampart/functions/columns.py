@@ -129,9 +129,13 @@ def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 def balanced(line: Column) -> Column:
     """Whether quotes pair up and brackets nest without going below zero, in one line."""
     even = [(F.length(line) - F.length(F.replace(line, F.lit(q), F.lit("")))) % 2 == 0 for q in ("'", '"', "`")]
-    ok = []
-    for opens, closes in ("()", "[]", "{}"):
-        steps = F.split(F.regexp_replace(line, "[^" + re.escape(opens + closes) + "]", ""), "")
-        walk = F.aggregate(steps, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, c, o=opens, e=closes: F.struct((a["d"] + F.when(c == o, 1).when(c == e, -1).otherwise(0)).alias("d"), F.least(a["m"], a["d"] + F.when(c == o, 1).when(c == e, -1).otherwise(0)).alias("m")), lambda a: (a["d"] == 0) & (a["m"] == 0))
-        ok.append(walk)
-    return reduce(lambda a, b: a & b, even + ok)
+    return reduce(lambda a, b: a & b, even + [_nests(line, *pair) for pair in ("()", "[]", "{}")])
+
+
+def _nests(line: Column, opens: str, closes: str) -> Column:
+    """Whether the brackets of one kind never close before they open, and all close."""
+    steps = F.split(F.regexp_replace(line, "[^" + re.escape(opens + closes) + "]", ""), "")
+    step = lambda c: F.when(c == opens, 1).when(c == closes, -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    walk = lambda a, c: F.struct((a["depth"] + step(c)).alias("depth"), F.least(a["least"], a["depth"] + step(c)).alias("least"))
+    return F.aggregate(steps, start, walk, lambda a: (a["depth"] == 0) & (a["least"] == 0))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import balanced, cases, first_replaced
@@ -52,23 +51,28 @@ def fixed_line(rule_id: Column, language: Column, line: Column) -> Column:
     return cases(rows, F.lit(None).cast("string"))
 
 
+def _acceptable(new: Column, line: Column) -> Column:
+    """A changed line whose quotes and brackets pair up, without unsafe calls."""
+    return F.coalesce((new != line) & balanced(F.regexp_replace(new, r"""\\["'`]""", "")) & ~new.rlike(UNSAFE), F.lit(False))
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
 def suggest(findings: DataFrame) -> DataFrame:
     """findings (rule_id, language, text) with fixed and fixable: a changed, balanced line without unsafe calls."""
-    told = findings.withColumn("fixed", fixed_line(F.col("rule_id"), F.col("language"), F.col("text")))
-    good = (F.col("fixed") != F.col("text")) & balanced(F.regexp_replace("fixed", r"""\\["'`]""", "")) & ~F.col("fixed").rlike(UNSAFE)
-    return told.withColumn("fixable", F.coalesce(good, F.lit(False)))
+    made = _let(fixed_line(F.col("rule_id"), F.col("language"), F.col("text")), lambda x: F.struct(x.alias("fixed"), _acceptable(x, F.col("text")).alias("fixable")))
+    return findings.withColumn("_fix", made).select("*", "_fix.fixed", "_fix.fixable").drop("_fix")
 
 
-def apply_fixes(lines: DataFrame, findings: DataFrame, rounds: int = 3) -> DataFrame:
+def apply_fixes(lines: DataFrame, findings: DataFrame) -> DataFrame:
     """lines (path, language, line, text) with ``fixed``: a line's findings applied one after the other, by seq.
 
-    Up to ``rounds`` findings a line are applied; each sees what the one before left, if that was good.
+    Each finding sees what the one before left, if that was good. The findings of a line, at most one a
+    detector, are gathered and folded over its text.
     """
-    nth = findings.select("path", "line", "rule_id", F.row_number().over(W.partitionBy("path", "line").orderBy("seq")).alias("_n")).where(F.col("_n") <= rounds)
-    rules = nth.groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("_n", "rule_id")))["rule_id"].alias("_rules"))
-    out = lines.join(rules, ["path", "line"], "left").withColumn("fixed", F.col("text"))
-    for k in range(rounds):
-        new = fixed_line(F.get("_rules", F.lit(k)), F.col("language"), F.col("fixed"))
-        good = (new != F.col("fixed")) & balanced(F.regexp_replace(new, r"""\\["'`]""", "")) & ~new.rlike(UNSAFE)
-        out = out.withColumn("fixed", F.when(F.coalesce(good, F.lit(False)), new).otherwise(F.col("fixed")))
-    return out.drop("_rules")
+    rules = findings.groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("seq", "rule_id")))["rule_id"].alias("_rules"))
+    step = lambda acc, rule: _let(fixed_line(rule, F.col("language"), acc), lambda x: F.when(_acceptable(x, acc), x).otherwise(acc))
+    told = lines.join(rules, ["path", "line"], "left")
+    return told.withColumn("fixed", F.when(F.col("_rules").isNull(), F.col("text")).otherwise(F.aggregate("_rules", F.col("text"), step))).drop("_rules")

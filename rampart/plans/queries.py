@@ -1,0 +1,714 @@
+"""The security operators as queries over the test tables, each with DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tables as T
+from ..functions.columns import language, rule_category, token_estimate
+from ..operators import actions as act
+from ..operators import fixes, graph, history, match, packages, report, syntax, triage
+from ..operators import prompts as pr
+from ..sources import files
+from ..sources.detectors import LOOK_AHEADS, detectors
+from ..sources.rule_packs import PROMPT_RULES, prompt_rules
+from . import seeds
+from .seeds import ACTIONS_SQL, FINDINGS_SQL, LINES_SQL, PROMPTS_SQL, values
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL for the shared steps.
+DETECTORS_SQL = f"detectors AS (SELECT * FROM {values([tuple(d) for d in detectors()])} AS d(seq, language, rule_id, pattern, also, unless, severity, confidence))"
+DETECTED_SQL = f"""{LINES_SQL}, {DETECTORS_SQL}, detected AS (
+  SELECT l.path, l.language, l.line, l.text, d.seq, d.rule_id, d.severity, d.confidence
+  FROM lines l JOIN detectors d ON d.language = CASE l.language WHEN 'cpp' THEN 'c' WHEN 'typescript' THEN 'javascript' ELSE l.language END
+  WHERE regexp_matches(l.text, d.pattern) AND (d.also = '' OR contains(l.text, d.also)) AND (d.unless = '' OR NOT regexp_matches(l.text, d.unless))
+)"""
+
+
+def _class_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({column}), '{part}') THEN '{name}'" for part, name in T.CLASSES) + f" ELSE lower({column}) END"
+
+
+def _rank_sql(column: str, table: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 0 END"
+
+
+SEVERITY_SQL = _rank_sql("severity", T.SEVERITY_RANK)
+GRADE_SQL = """CASE WHEN files = 0 THEN 'A' WHEN issues = 0 AND errors = 0 THEN 'A' WHEN errors = 0 AND issues::DOUBLE / files < 0.5 THEN 'B'
+  WHEN errors <= 2 AND issues::DOUBLE / files < 1.5 THEN 'C' WHEN errors <= 5 AND issues::DOUBLE / files < 3 THEN 'D' ELSE 'F' END"""
+
+# Detection ---------------------------------------------------------------------------------------
+
+
+@query("""
+WITH d AS (SELECT source, doc_id, regexp_split_to_array(coalesce(text, ''), '\n') AS t FROM documents),
+l AS (SELECT source, doc_id, generate_subscripts(t, 1) - 1 AS line, unnest(t) AS text FROM d)
+SELECT source, doc_id, line::INTEGER AS line, 'generic-api-key' AS rule_id FROM l WHERE regexp_matches(text, '(?i)\\b(token|secret|api_key)\\b\\s*=\\s*"[0-9a-f]{40}"')
+""")
+def secret_scan_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets assigned in documents, by line."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    return docs.where(F.col("text").rlike(r'(?i)\b(token|secret|api_key)\b\s*=\s*"[0-9a-f]{40}"')).select("source", "doc_id", "line", F.lit("generic-api-key").alias("rule_id"))
+
+
+@query(f"WITH {DETECTED_SQL} SELECT path, line, seq::INTEGER AS seq, rule_id, severity, confidence FROM detected")
+def line_detectors(spark, d):
+    return match.detect(seeds.lines(spark, d)).select("path", "line", "seq", "rule_id", "severity", "confidence")
+
+
+def _by_language(name: str) -> None:
+    def run(spark, d):
+        return match.detect(seeds.lines(spark, d), languages=[name]).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"), F.count_distinct("path").alias("files"))
+
+    run.__name__ = f"line_detectors_{name}"
+    query(f"WITH {DETECTED_SQL} SELECT rule_id, severity, count(*) AS findings, count(DISTINCT path) AS files FROM detected WHERE language = '{name}' GROUP BY ALL")(run)
+
+
+for _name in ("c", "php", "ruby", "javascript", "python", "kubernetes", "terraform", "rust", "csharp", "generic"):
+    _by_language(_name)
+
+_looks = " UNION ALL ".join(f"""SELECT path, line, '{rule}' AS rule_id FROM (SELECT *, max(regexp_matches(text, '{marker.replace("'", "''")}')::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS m FROM k) WHERE regexp_matches(text, '{header}') AND m = 1""" for header, marker, n, rule in LOOK_AHEADS)
+
+
+_MANIFEST = ("kind: Pod", "  capabilities:", "    drop: [ALL]", "    add: [NET_ADMIN]", "  env:", "    - name: DB_PASSWORD", '      value: "x"', "  - name: data", "    hostPath:", "  roleRef:", "    name: cluster-admin", "    name: viewer", "    x: 1")
+
+
+def _manifests(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("line"))
+    picked = docs.withColumn("i", ((F.col("doc_id") + F.col("line") * (F.col("doc_id") % 3 + 1)) % len(_MANIFEST)).cast("int")).join(seeds.table(spark, _MANIFEST, "text string"), "i")
+    return picked.select(F.col("doc_id").cast("string").alias("path"), F.lit("kubernetes").alias("language"), "line", "text")
+
+
+@query(f"WITH k AS (SELECT doc_id::VARCHAR AS path, l.line::INTEGER AS line, m.text FROM documents, generate_series(0, 15) AS l(line), {values(_MANIFEST)} AS m(i, text) WHERE m.i = (doc_id + l.line * (doc_id % 3 + 1)) % {len(_MANIFEST)}) {_looks}")
+def manifest_look_ahead(spark, d):
+    return match.detect_look_ahead(_manifests(spark, d)).select("path", "line", "rule_id")
+
+
+_RULES = (("r.eval", 0, r"\beval\s*\(", ["python", "javascript"], "error"), ("r.hash", 0, r"md5", ["generic"], "info"), ("r.hash", 1, r"sha1", ["generic"], "info"), ("r.word", 0, r"[a-z]+\.", ["c", "ruby"], "warning"))
+_RULES_SQL = values([(a, b, c, "," + ",".join(x) + ",", s) for a, b, c, x, s in _RULES])
+
+
+@query(f"""
+WITH {LINES_SQL}, rules AS (SELECT * FROM {_RULES_SQL} AS r(i, rule_id, pattern_idx, pattern, languages, severity)),
+code AS (SELECT * FROM lines WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#') AND NOT starts_with(trim(text), '//') AND NOT starts_with(trim(text), '*')),
+hits AS (SELECT c.*, rule_id, pattern_idx, severity, regexp_extract_all(c.text, '(?i)' || pattern) AS m FROM code c JOIN rules r ON contains(languages, ',' || language || ',') OR contains(languages, ',generic,'))
+SELECT path, line, rule_id, pattern_idx::INTEGER AS pattern_idx, severity, (generate_subscripts(m, 1) - 1)::INTEGER AS match_no, unnest(m) AS matched FROM hits WHERE len(m) > 0
+""")
+def regex_rule_scan(spark, d):
+    rules = spark.createDataFrame(list(_RULES), "rule_id string, pattern_idx int, pattern string, languages array<string>, severity string")
+    return match.regex_scan(seeds.lines(spark, d), rules).select("path", "line", "rule_id", "pattern_idx", "severity", "match_no", "matched")
+
+
+@query(f"WITH {FINDINGS_SQL}, r AS (SELECT DISTINCT rule_id, split_part(rule_id, '-', 1) AS category FROM findings) SELECT rule_id, category FROM r WHERE category IN ('sql', 'eval', 'hardcoded', 'weak') AND rule_id NOT IN ('eval-usage')")
+def rule_applicability(spark, d):
+    rules = seeds.findings(spark, d).select("rule_id").distinct().withColumn("category", F.split_part("rule_id", F.lit("-"), F.lit(1))).withColumn("languages", F.array(F.lit("generic")))
+    return match.applicable(rules, "python", ["sql", "eval", "hardcoded", "weak"], ["eval-usage"]).select("rule_id", "category")
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT path, rule_id, line, "column", seq FROM (SELECT *, row_number() OVER (PARTITION BY path, rule_id, line, "column" ORDER BY seq) AS n FROM findings) WHERE n = 1""")
+def exact_dedup(spark, d):
+    return match.exact_dedup(seeds.findings(spark, d)).select("path", "rule_id", "line", "column", "seq")
+
+
+_EXT_SQL = "CASE " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in T.FILE_LANGUAGES.items()) + " ELSE 'generic' END"
+
+
+@query(f"""
+WITH p AS (SELECT 'dir/F' || part.p_partkey || e.x AS path, lower(regexp_extract('F' || part.p_partkey || e.x, '\\.([^.]*)$', 1)) AS ext, e.i FROM part, {values([".py", ".JS", ".tsx", ".yaml", ".d.ts", "", ".rs"])} AS e(i, x) WHERE e.i = p_partkey % 7)
+SELECT {_EXT_SQL} AS language, count(*) AS files FROM p GROUP BY 1
+""")
+def language_counts(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("i", (F.col("p_partkey") % 7).cast("int")).join(seeds.table(spark, [".py", ".JS", ".tsx", ".yaml", ".d.ts", "", ".rs"], "x string"), "i")
+    return part.withColumn("path", F.concat(F.lit("dir/F"), F.col("p_partkey").cast("string"), "x")).groupBy(language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+
+
+_WALK = ("src/a{k}.py", "node_modules/x/{k}.js", ".git/c{k}.py", "src/Dockerfile", "build/out{k}.js", "docs/r{k}.png", "lib/m{k}.min.js", "lib/deep/t{k}.ts")
+
+
+@query(f"""
+WITH p AS (SELECT replace(w.x, '{{k}}', p_partkey::VARCHAR) AS relative FROM part, {values(_WALK)} AS w(i, x) WHERE w.i = p_partkey % {len(_WALK)})
+SELECT relative, count(*) AS n FROM p WHERE (regexp_matches(relative, '(?i)\\.(py|js|ts)$') OR regexp_matches(relative, '(?i)(^|/)dockerfile(\\.[^/]*)?$'))
+  AND NOT regexp_matches(relative, '(^|/)\\.[^/]') AND NOT regexp_matches(relative, '(^|/)(node_modules|build)/') AND NOT regexp_matches(relative, '\\.min\\.js$') GROUP BY 1
+""")
+def directory_walk(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("i", (F.col("p_partkey") % len(_WALK)).cast("int")).join(seeds.table(spark, _WALK, "x string"), "i")
+    paths = part.select(F.replace("x", F.lit("{k}"), F.col("p_partkey").cast("string")).alias("relative")).withColumn("path", F.concat(F.lit("/r/"), "relative"))
+    return files.walk(paths, exclude=["**/*.min.js"]).groupBy("relative").agg(F.count("*").alias("n"))
+
+
+# Triage ------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {FINDINGS_SQL}, r AS (SELECT *, {_class_sql("rule_id")} AS vuln_class, {_rank_sql("engine", T.ENGINE_RANK)} AS e FROM findings)
+SELECT path, line, vuln_class, first(rule_id ORDER BY e DESC, seq) AS rule_id, first(engine ORDER BY e DESC, seq) AS engine,
+  first(severity ORDER BY {SEVERITY_SQL} DESC, severity DESC) AS severity, count(*) AS n,
+  CASE WHEN count(*) > 1 THEN array_to_string(list_transform(list_reverse_sort(list(DISTINCT [e::VARCHAR, engine])), lambda x: x[2]), ',') END AS engines_matched
+FROM r GROUP BY path, line, vuln_class
+""")
+def cross_engine_dedup(spark, d):
+    return triage.cross_engine_dedup(seeds.findings(spark, d))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT {_class_sql('rule_id')} AS vuln_class, count(*) AS findings FROM findings GROUP BY 1")
+def class_counts(spark, d):
+    return seeds.findings(spark, d).groupBy(triage.vulnerability_class(F.col("rule_id")).alias("vuln_class")).agg(F.count("*").alias("findings"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT path, count(*) AS issues, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM findings GROUP BY path")
+def severity_by_file(spark, d):
+    return triage.severity_counts(seeds.findings(spark, d), "path")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT coalesce(nullif(split_part(rule_id, '.', 1), ''), 'other') AS category, count(*) AS findings FROM findings GROUP BY 1")
+def category_counts(spark, d):
+    return seeds.findings(spark, d).groupBy(rule_category(F.col("rule_id")).alias("category")).agg(F.count("*").alias("findings"))
+
+
+_PROJECTS_SQL = f"{FINDINGS_SQL}, c AS (SELECT path AS project, count(*) % 11 AS issues, count(*) FILTER (severity = 'error') % 8 AS errors, count(*) FILTER (severity = 'warning') % 5 AS warnings, count(*) % 3 AS infos, count(DISTINCT line) % 9 AS files FROM findings GROUP BY path)"
+
+
+def _projects(spark, d):
+    n = triage.severity_counts(seeds.findings(spark, d), "path").join(seeds.findings(spark, d).groupBy("path").agg(F.count_distinct("line").alias("l")), "path")
+    return n.select(F.col("path").alias("project"), (F.col("issues") % 11).alias("issues"), (F.col("errors") % 8).alias("errors"), (F.col("warnings") % 5).alias("warnings"), (F.col("issues") % 3).alias("infos"), (F.col("l") % 9).alias("files"))
+
+
+@query(f"WITH {_PROJECTS_SQL} SELECT project, files, issues, errors, {GRADE_SQL} AS grade FROM c")
+def project_grade(spark, d):
+    return triage.project_grades(_projects(spark, d)).select("project", "files", "issues", "errors", "grade")
+
+
+@query(f"WITH {_PROJECTS_SQL} SELECT project, CASE WHEN files = 0 OR (errors = 0 AND warnings = 0) THEN 'A' ELSE {GRADE_SQL} END AS grade FROM c")
+def server_grade(spark, d):
+    return triage.server_grades(_projects(spark, d)).select("project", "grade")
+
+
+@query(f"""
+WITH {_PROJECTS_SQL}, g AS (SELECT *, {GRADE_SQL} AS grade FROM c), v AS (SELECT project, list_filter([
+  CASE WHEN warnings > 0 THEN 'Policy violation: found ' || warnings || ' warning issue(s) (block_on: warning)' WHEN errors > 0 THEN 'Policy violation: found ' || errors || ' error issue(s) (block_on: warning)' END,
+  CASE WHEN errors > 3 THEN 'Policy violation: ' || errors || ' critical issue(s) exceeds max_critical (3)' END,
+  CASE WHEN warnings > 2 THEN 'Policy violation: ' || warnings || ' warning(s) exceeds max_warning (2)' END,
+  CASE WHEN grade > 'C' THEN 'Policy violation: grade ' || grade || ' does not meet required_grade (C)' END], lambda x: x IS NOT NULL) AS vs FROM g)
+SELECT project, array_to_string(vs, '; ') AS violations, len(vs) = 0 AS passed FROM v
+""")
+def policy(spark, d):
+    found = triage.policy(triage.project_grades(_projects(spark, d)), "warning", 3, 2, "C")
+    return found.select("project", F.array_join("violations", "; ").alias("violations"), "passed")
+
+
+_ANY = lambda column, parts: "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")"
+_IMPORT_ONLY = " OR ".join("regexp_matches(bare, '" + p.replace("'", "''") + "')" for p in T.IMPORT_LINES)
+
+
+@query(f"""
+WITH {DETECTED_SQL}, k AS (SELECT *, lower(rule_id) AS low FROM detected WHERE NOT regexp_matches(text, '{T.NOSEC}')),
+s AS (SELECT *, CASE WHEN {_ANY("low", ("md5", "sha1"))} AND {_ANY("lower(text)", T.HASH_USES)} THEN 'info' ELSE severity END AS s1,
+  regexp_matches(path, '{T.TEST_PATHS}') AND {_ANY("low", T.SECRET_IDS)} AS tested FROM k)
+SELECT path, line, rule_id, CASE WHEN tested AND s1 = 'error' THEN 'warning' ELSE s1 END AS severity FROM s
+""")
+def context_filter(spark, d):
+    return triage.context_filter(match.detect(seeds.lines(spark, d))).select("path", "line", "rule_id", "severity")
+
+
+@query(f"""
+WITH {LINES_SQL}, t AS (SELECT *, trim(regexp_replace(trim(text), '\\s*//.*$', '')) AS bare FROM lines),
+i AS (SELECT *, coalesce(nullif(regexp_extract(text, 'require\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1), ''), nullif(regexp_extract(text, '^\\s*import\\s+([a-zA-Z_][\\w]*)', 1), ''), nullif(regexp_extract(text, '^\\s*from\\s+([a-zA-Z_][\\w]*)', 1), '')) AS name FROM t WHERE {_IMPORT_ONLY})
+SELECT language, count(*) AS lines, count(*) FILTER (name IN ('os', 'express')) AS known FROM i GROUP BY language
+""")
+def import_only_lines(spark, d):
+    found = seeds.lines(spark, d).where(triage.is_import_only(F.col("text"))).withColumn("name", triage.imported_module(F.col("text")))
+    return found.groupBy("language").agg(F.count("*").alias("lines"), F.count_if(F.col("name").isin("os", "express")).alias("known"))
+
+
+_KNOWN = (("python", "os"), ("javascript", "express"), ("javascript", "helmet"))
+
+
+@query(f"""
+WITH {LINES_SQL}, f AS (SELECT path, language, line, text FROM lines WHERE language IN ('python', 'javascript'))
+SELECT language, count(*) AS kept FROM f WHERE NOT (text = 'import os' OR text IN ('const express = require(''express'');', 'const helmet = require(''helmet'');')) AND NOT regexp_matches(text, '{T.NOSEC}') GROUP BY language
+""")
+def known_import_filter(spark, d):
+    rows = seeds.lines(spark, d).where("language in ('python', 'javascript')").withColumn("rule_id", F.lit("any")).withColumn("severity", F.lit("warning"))
+    known = spark.createDataFrame(list(_KNOWN), "language string, module string")
+    return triage.context_filter(rows, known).groupBy("language").agg(F.count("*").alias("kept"))
+
+
+_FW_SQL = ", ".join("CASE WHEN language IN (" + ", ".join(f"'{x}'" for x in langs) + ") AND regexp_matches(text, '" + p.replace("'", "''") + f"') THEN '{n}' END" for n, p, langs, *_ in T.FRAMEWORKS)
+_FW_FILES = f"{LINES_SQL}, f AS (SELECT path, 'javascript' AS language, string_agg(text, chr(10) ORDER BY line) AS text FROM lines WHERE language = 'javascript' GROUP BY path), w AS (SELECT path, list_filter([{_FW_SQL}], lambda x: x IS NOT NULL) AS frameworks FROM f)"
+
+
+def _framework_files(spark, d):
+    js = seeds.lines(spark, d).where("language = 'javascript'")
+    whole = js.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line", "text")))["text"], "\n").alias("text")).withColumn("language", F.lit("javascript"))
+    return triage.detect_frameworks(whole)
+
+
+@query(f"WITH {_FW_FILES} SELECT array_to_string(frameworks, ',') AS frameworks, count(*) AS files FROM w GROUP BY 1")
+def framework_detection(spark, d):
+    return _framework_files(spark, d).groupBy(F.array_join("frameworks", ",").alias("frameworks")).agg(F.count("*").alias("files"))
+
+
+_REWRITE = " ".join(f"WHEN list_contains(frameworks, '{n}') AND {_ANY('lower(rule_id)', parts)} THEN '{{0}}{n}:{to}'" for n, _, _, parts, to in T.FRAMEWORKS).replace("{0}", "")
+
+
+@query(f"""
+WITH {_FW_FILES}, {DETECTORS_SQL}, x AS (SELECT l.path, l.line, d.rule_id, d.severity, frameworks FROM lines l JOIN w USING (path) JOIN detectors d ON d.language = l.language
+  WHERE l.language = 'javascript' AND regexp_matches(l.text, d.pattern)), y AS (SELECT *, CASE {_REWRITE} END AS m FROM x)
+SELECT path, line, rule_id, CASE WHEN m IS NULL THEN severity ELSE split_part(m, ':', 2) END AS severity, split_part(m, ':', 1) AS framework_mitigated FROM y
+""")
+def framework_rewrite(spark, d):
+    found = match.detect(seeds.lines(spark, d), languages=["javascript"]).where("language = 'javascript'").join(_framework_files(spark, d).select("path", "frameworks"), "path")
+    return triage.framework_rewrite(found).select("path", "line", "rule_id", "severity", "framework_mitigated")
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT path, line, rule_id, seq FROM findings WHERE NOT (regexp_matches(path, '^src/m1/.*$') OR (regexp_matches(rule_id, '^weak-hash-[^/]*$')) OR (rule_id = 'eval-usage' AND regexp_matches(path, '^src/m2/[^/]*$')))""")
+def glob_suppress(spark, d):
+    rules = ["weak-hash-*", {"rule": "eval-usage", "paths": ["src/m2/*"]}]
+    return triage.suppress(seeds.findings(spark, d), rules, ["src/m1/**"]).select("path", "line", "rule_id", "seq")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT path, line, rule_id, seq, severity, confidence FROM findings WHERE severity IN ('warning', 'error') AND confidence IN ('MEDIUM', 'HIGH')")
+def threshold_filter(spark, d):
+    return triage.thresholds(seeds.findings(spark, d), "warning", "MEDIUM").select("path", "line", "rule_id", "seq", "severity", "confidence")
+
+
+# Prompts -----------------------------------------------------------------------------------------
+
+_PRULES_SQL = values([(rule, i, p, c, s, cf, risk, a) for rule, c, s, cf, risk, a, ps in PROMPT_RULES for i, p in enumerate(ps)])
+_HITS_SQL = f"""{PROMPTS_SQL}, rules AS (SELECT * FROM {_PRULES_SQL} AS r(i, rule_id, pattern_idx, pattern, category, severity, confidence, risk_score, action)),
+hits AS (SELECT prompt_id, conv_id, turn, rule_id, category, severity, confidence, risk_score, action FROM (
+  SELECT p.prompt_id, p.conv_id, p.turn, r.*, row_number() OVER (PARTITION BY prompt_id, rule_id ORDER BY pattern_idx) AS n FROM prompts p JOIN rules r ON regexp_matches(p.text, r.pattern)) WHERE n = 1),
+prior AS (SELECT p.prompt_id, coalesce(sum((h.prompt_id IS NOT NULL)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+  FROM prompts p LEFT JOIN (SELECT DISTINCT prompt_id FROM hits) h USING (prompt_id)),
+escalated AS (SELECT prompt_id, 'multi-turn.escalation' AS rule_id, 'prompt-injection-multi-turn' AS category, CASE WHEN prior >= 2 THEN 'ERROR' ELSE 'WARNING' END AS severity, CASE WHEN prior >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+  least(90, 50 + 15 * prior)::INTEGER AS risk_score, CASE WHEN prior >= 2 THEN 'BLOCK' ELSE 'WARN' END AS action FROM prior WHERE prior > 0 AND prompt_id IN (SELECT prompt_id FROM hits)),
+before_composites AS (SELECT prompt_id, rule_id, category, severity, confidence, risk_score::INTEGER AS risk_score, action FROM hits UNION ALL SELECT * FROM escalated),
+kinds AS (SELECT prompt_id, count(*) AS n, count(DISTINCT category) AS c,
+  bool_or(category IN ('prompt-injection-jailbreak', 'prompt-injection-context'))::INT + bool_or(category IN ('prompt-injection-encoded', 'obfuscation'))::INT + bool_or(category = 'social-engineering')::INT
+  + bool_or(category IN ('prompt-injection-output', 'exfiltration'))::INT + bool_or(category = 'prompt-injection-privilege')::INT AS k FROM before_composites GROUP BY prompt_id),
+all_findings AS (SELECT * FROM before_composites UNION ALL SELECT prompt_id, CASE WHEN k >= 3 THEN 'composite.multi-vector-attack' ELSE 'composite.cross-category-escalation' END, 'prompt-injection-content', CASE WHEN k >= 3 THEN 'ERROR' ELSE 'WARNING' END,
+  CASE WHEN k >= 3 THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN k >= 3 THEN 95 ELSE 75 END::INTEGER, CASE WHEN k >= 3 THEN 'BLOCK' ELSE 'WARN' END FROM kinds WHERE n >= 2 AND (k >= 3 OR (k >= 2 AND c >= 3)))"""
+_W_SQL = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in T.CATEGORY_WEIGHTS.items()) + " ELSE 0.5::DOUBLE END"
+_C_SQL = "CASE confidence WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'LOW' THEN 0.4::DOUBLE ELSE 0.7::DOUBLE END"
+
+
+def _findings(spark, d):
+    """Findings without decoded content, as SQL has them."""
+    told, rules = seeds.prompts(spark, d), prompt_rules(spark)
+    found = pr.pattern_hits(told, rules)
+    found = found.unionByName(pr.escalation(found, pr.prior_hits(told, found)))
+    return told, found.unionByName(pr.composites(found))
+
+
+@query(f"WITH {_HITS_SQL} SELECT prompt_id, rule_id, category, severity, confidence, risk_score::INTEGER AS risk_score, action FROM hits")
+def prompt_findings(spark, d):
+    return pr.pattern_hits(seeds.prompts(spark, d), prompt_rules(spark)).drop("matched_text")
+
+
+@query(f"WITH {_HITS_SQL} SELECT prompt_id, rule_id, severity, confidence, risk_score, action FROM escalated")
+def multi_turn_escalation(spark, d):
+    told = seeds.prompts(spark, d)
+    found = pr.pattern_hits(told, prompt_rules(spark))
+    return pr.escalation(found, pr.prior_hits(told, found)).select("prompt_id", "rule_id", "severity", "confidence", "risk_score", "action")
+
+
+@query(f"WITH {_HITS_SQL} SELECT prompt_id, rule_id, severity, confidence, risk_score, action FROM all_findings WHERE starts_with(rule_id, 'composite')")
+def composite_attacks(spark, d):
+    return _findings(spark, d)[1].where("rule_id like 'composite%'").select("prompt_id", "rule_id", "severity", "confidence", "risk_score", "action")
+
+
+def _verdict(sensitivity: str) -> None:
+    block, warn, log = T.THRESHOLDS[sensitivity]
+    tuned = {"high": "least(100.0::DOUBLE, {s} * 1.5::DOUBLE)", "low": "{s} * 0.5::DOUBLE", "medium": "{s}"}[sensitivity].format(s="least(100.0::DOUBLE, s2 * (1 + (n - 1) * 0.05::DOUBLE))")
+    sql = f"""WITH {_HITS_SQL}, v AS (SELECT prompt_id, count(*) AS n, list_reduce(list_sort(list((risk_score::DOUBLE / 100) * ({_W_SQL}) * ({_C_SQL}) * 100)), lambda a, x: a + x, 0.0::DOUBLE) AS total, count(DISTINCT category) AS c,
+      bool_or(severity = 'ERROR') AS e, bool_or(severity = 'WARNING') AS w, bool_or(action = 'BLOCK') AS ab, bool_or(action = 'WARN') AS aw, bool_or(action = 'LOG') AS al FROM all_findings GROUP BY prompt_id),
+    s AS (SELECT *, (total / n) * (CASE WHEN n > 1 AND c > 1 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN n > 1 AND e AND w THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END) AS s2 FROM v),
+    r AS (SELECT p.prompt_id, coalesce(n, 0) AS findings, coalesce(c, 0) AS categories, CASE WHEN n IS NULL THEN 0 ELSE floor({tuned} + 0.5)::INTEGER END AS risk_score, ab, aw, al FROM prompts p LEFT JOIN s USING (prompt_id))
+    SELECT prompt_id, findings, categories, risk_score::INTEGER AS risk_score, CASE WHEN risk_score >= 85 THEN 'CRITICAL' WHEN risk_score >= 65 THEN 'HIGH' WHEN risk_score >= 40 THEN 'MEDIUM' WHEN risk_score >= 20 THEN 'LOW' ELSE 'NONE' END AS risk_level,
+      CASE WHEN ab OR risk_score >= {min(block, 85)} THEN 'BLOCK' WHEN aw OR risk_score >= {warn} THEN 'WARN' WHEN al OR risk_score >= {log} THEN 'LOG' ELSE 'ALLOW' END AS action FROM r"""
+
+    def run(spark, d):
+        told, found = _findings(spark, d)
+        return pr.verdicts(told, found, sensitivity)
+
+    run.__name__ = f"prompt_verdict_{sensitivity}"
+    query(sql)(run)
+
+
+for _s in T.THRESHOLDS:
+    _verdict(_s)
+
+
+@query()
+def decoded_prompt_findings(spark, d):
+    """Findings in decoded content, and their prompts' verdicts; base64 of any alignment is beyond the SQL."""
+    return pr.decoded_hits(seeds.prompts(spark, d), prompt_rules(spark)).select("prompt_id", "rule_id", "matched_text")
+
+
+_REC_SQL = "list_concat(" * (len(T.RECOMMENDATIONS)) + "[]::VARCHAR[]" + "".join(f", CASE WHEN list_contains(c, '{k}') THEN ['" + "', '".join(x.replace("'", "''") for x in v) + "'] ELSE [] END)" for k, v in T.RECOMMENDATIONS.items())
+
+
+@query(f"""WITH {_HITS_SQL}, g AS (SELECT prompt_id, list(DISTINCT category) AS c FROM all_findings GROUP BY prompt_id)
+SELECT prompt_id, array_to_string(list_concat({_REC_SQL}, CASE WHEN len(list_filter(c, lambda x: x NOT IN ({", ".join(f"'{k}'" for k in T.RECOMMENDATIONS)}))) > 0 THEN ['{T.REVIEW}'] ELSE [] END), ' | ') AS recommendations FROM g""")
+def prompt_recommendations(spark, d):
+    return pr.recommendations(_findings(spark, d)[1]).select("prompt_id", F.array_join("recommendations", " | ").alias("recommendations"))
+
+
+@query(f"WITH {PROMPTS_SQL} SELECT prompt_id, left(sha256(text), 16) AS prompt_hash, length(text)::INTEGER AS prompt_length, ceil(length(text) / 4)::BIGINT AS tokens FROM prompts")
+def prompt_audit(spark, d):
+    told = seeds.prompts(spark, d)
+    return told.select("prompt_id", pr.audit(F.col("text")).alias("a"), token_estimate(F.col("text")).alias("tokens")).select("prompt_id", "a.*", "tokens")
+
+
+# Actions and servers -----------------------------------------------------------------------------
+
+_ARULES_SQL = values([(t, r, s, a, p, int(low)) for t, r, s, a, p, low in act.action_rules()])
+_AHITS_SQL = f"{ACTIONS_SQL}, rules AS (SELECT * FROM {_ARULES_SQL} AS r(seq, kind, rule, severity, action, pattern, low)), f AS (SELECT a.action_id, a.action_type, r.* FROM actions a JOIN rules r ON a.action_type = r.kind AND (regexp_matches(action_value, pattern) OR (low = 1 AND regexp_matches(lower(action_value), pattern))))"
+
+
+def _actions_of(kind: str, name: str) -> None:
+    def run(spark, d):
+        return act.action_findings(seeds.actions(spark, d).where(F.col("action_type") == kind)).select("action_id", "seq", "rule", "severity", "action")
+
+    run.__name__ = name
+    query(f"WITH {_AHITS_SQL} SELECT action_id, seq::INTEGER AS seq, rule, severity, action FROM f WHERE action_type = '{kind}'")(run)
+
+
+for _k in ("bash", "file_write", "file_read", "file_delete", "http_request"):
+    _actions_of(_k, f"action_{_k}")
+
+
+@query(f"""WITH {_AHITS_SQL}, v AS (SELECT action_id, count(*) AS n, bool_or(action = 'BLOCK') AS b, bool_or(action = 'WARN') AS w, bool_or(severity = 'CRITICAL') AS c, bool_or(severity = 'HIGH') AS h, bool_or(severity = 'MEDIUM') AS m FROM f GROUP BY action_id)
+SELECT a.action_id, a.action_type, coalesce(n, 0)::INTEGER AS findings, CASE WHEN b THEN 'BLOCK' WHEN w THEN 'WARN' ELSE 'ALLOW' END AS verdict,
+  CASE WHEN n IS NULL THEN 'NONE' WHEN b OR c THEN 'CRITICAL' WHEN h THEN 'HIGH' WHEN m THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM actions a LEFT JOIN v USING (action_id)""")
+def action_verdicts(spark, d):
+    return act.action_verdicts(seeds.actions(spark, d))
+
+
+_SERVER_SQL = " UNION ".join(
+    f"""SELECT path, line + 1 AS line, '{r}' AS rule, '{s}' AS severity, '{c}' AS category FROM (SELECT *, {("max(regexp_matches(text, '" + u.replace("'", "''") + f"')::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN {-f[0]} PRECEDING AND {f[1]} FOLLOWING)") if f else 0} AS m FROM lines) WHERE language IN ({", ".join(f"'{x}'" for x in ls)}) AND regexp_matches(text, '{p.replace("'", "''")}') AND m = 0"""
+    for r, s, c, ls, p, f, u in act.SERVER_RULES
+)
+
+
+@query(f"WITH {LINES_SQL}, x AS ({_SERVER_SQL}) SELECT * FROM x")
+def server_rules(spark, d):
+    return act.server_findings(seeds.lines(spark, d))
+
+
+# Packages ----------------------------------------------------------------------------------------
+
+_CODE = (("npm", "const a = require('lodash');\nimport x from '@acme/ui/button';\nimport './local';"), ("pypi", "import requests\nfrom nunpy import x\n  import indented"), ("rubygems", "require 'rails'\ngem 'raek'"), ("crates", "use serde::de;\nextern crate rand;"), ("perl", "use Data::Dumper;"))
+
+
+def _code(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id").withColumn("i", (F.col("doc_id") % len(_CODE)).cast("int"))
+    return docs.join(seeds.table(spark, _CODE, "ecosystem string, text string"), "i").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "ecosystem", "text")
+
+
+_IMP_SQL = " ".join(f"WHEN '{e}' THEN " + ("list_concat(" * (len(ps) - 1)) + ", ".join([f"regexp_extract_all(text, '{ps[0].replace(chr(39), chr(39) * 2)}', 1)"] + [f"regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1))" for p in ps[1:]]) for e, ps in T.IMPORTS.items())
+_PKG_SQL = f"""code AS (SELECT 'f' || doc_id AS path, c.ecosystem, c.text FROM documents, {values(_CODE)} AS c(i, ecosystem, text) WHERE c.i = doc_id % {len(_CODE)}),
+pkg AS (SELECT DISTINCT path, ecosystem, regexp_replace(split_part(m, '/', 1), '^@', '') AS name FROM (SELECT path, ecosystem, unnest(CASE ecosystem {_IMP_SQL} END) AS m FROM code) WHERE m <> '' AND NOT starts_with(m, '.') AND NOT starts_with(m, '/'))"""
+_POPULAR_SQL = f"popular AS (SELECT ecosystem, name FROM {values(seeds.POPULAR)} AS p(i, ecosystem, name))"
+
+
+@query(f"WITH {_PKG_SQL} SELECT path, ecosystem, name FROM pkg")
+def package_imports(spark, d):
+    return packages.extract_packages(_code(spark, d))
+
+
+def _popular(spark):
+    return seeds.table(spark, seeds.POPULAR, "ecosystem string, name string").drop("i")
+
+
+@query(f"""WITH {_PKG_SQL}, {_POPULAR_SQL} SELECT path, p.ecosystem, p.name, CASE WHEN p.ecosystem NOT IN (SELECT ecosystem FROM popular) THEN 'unknown' WHEN r.name IS NOT NULL THEN 'legitimate' ELSE 'hallucinated' END AS status,
+  CASE WHEN p.ecosystem IN ('npm', 'pypi', 'rubygems') THEN 'medium' ELSE 'high' END AS confidence FROM pkg p LEFT JOIN popular r ON r.ecosystem = p.ecosystem AND r.name = p.name""")
+def package_membership(spark, d):
+    return packages.membership(packages.extract_packages(_code(spark, d)), _popular(spark))
+
+
+@query(f"""WITH {_PKG_SQL}, {_POPULAR_SQL}, m AS (SELECT path, CASE WHEN p.ecosystem NOT IN (SELECT ecosystem FROM popular) THEN 'unknown' WHEN r.name IS NOT NULL THEN 'legitimate' ELSE 'hallucinated' END AS status FROM pkg p LEFT JOIN popular r ON r.ecosystem = p.ecosystem AND r.name = p.name)
+SELECT path, count(*) AS packages, count(*) FILTER (status = 'legitimate') AS legitimate, count(*) FILTER (status = 'hallucinated') AS hallucinated, count(*) FILTER (status = 'unknown') AS "unknown",
+  CASE WHEN bool_or(status = 'hallucinated') THEN 'hallucinated' WHEN bool_or(status = 'unknown') THEN 'unknown' ELSE 'ok' END AS recommendation FROM m GROUP BY path""")
+def package_report(spark, d):
+    return packages.package_report(packages.membership(packages.extract_packages(_code(spark, d)), _popular(spark)))
+
+
+def _names(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("i", (F.col("p_partkey") % len(seeds.NAMES)).cast("int"))
+    return part.join(seeds.table(spark, seeds.NAMES, "ecosystem string, name string"), "i").select("p_partkey", "ecosystem", "name")
+
+
+_NAMES_SQL = f"names AS (SELECT p_partkey, n.ecosystem, n.name FROM part, {values(seeds.NAMES)} AS n(i, ecosystem, name) WHERE n.i = p_partkey % {len(seeds.NAMES)})"
+
+
+@query(f"""WITH {_NAMES_SQL}, {_POPULAR_SQL}, u AS (SELECT DISTINCT ecosystem, name FROM names), s AS (SELECT u.ecosystem, u.name, p.name AS similar_to, levenshtein(lower(u.name), lower(p.name))::INTEGER AS distance FROM u JOIN popular p ON u.ecosystem = p.ecosystem AND abs(length(u.name) - length(p.name)) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY distance, similar_to)::INTEGER AS rank FROM s WHERE distance BETWEEN 1 AND 2)
+SELECT ecosystem, name, similar_to, distance, rank FROM r WHERE rank <= 5 AND (ecosystem, name) NOT IN (SELECT (ecosystem, name) FROM popular)""")
+def typosquat_top5(spark, d):
+    return packages.typosquats(_names(spark, d), _popular(spark))
+
+
+_PRE_SQL = " ".join(f"WHEN starts_with(lower(n.name), '{p}') AND length(n.name) > {len(p)} THEN 'prefix:{p}'" for p in T.INTERNAL_PREFIXES)
+
+
+@query(f"""WITH {_NAMES_SQL}, {_POPULAR_SQL}, r AS (SELECT p_partkey, n.name, CASE WHEN regexp_matches(n.name, '^@[a-z0-9-]+/') THEN CASE WHEN regexp_replace(n.name, '^@[a-z0-9-]+/', '') IN (SELECT name FROM popular) THEN 'public-name' ELSE 'scope' END {_PRE_SQL} ELSE 'none' END AS reason FROM names n)
+SELECT p_partkey, name, reason, reason <> 'none' AS confusion_risk FROM r""")
+def dependency_confusion(spark, d):
+    return packages.confusion(_names(spark, d).select("p_partkey", "name"), _popular(spark)).select("p_partkey", "name", "reason", "confusion_risk")
+
+
+@query(f"WITH {_NAMES_SQL} SELECT ecosystem, count(DISTINCT name) AS packages FROM names GROUP BY ecosystem")
+def registry_stats(spark, d):
+    return packages.registry_stats(_names(spark, d))
+
+
+# Graphs ------------------------------------------------------------------------------------------
+
+
+def _import_files(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    picked = docs.withColumn("i", (F.col("doc_id") % len(seeds.IMPORT_FILES)).cast("int")).join(seeds.table(spark, seeds.IMPORT_FILES, "t string"), "i")
+    filled = F.replace(F.replace("t", F.lit("{a}"), (F.col("doc_id") * 17 % 97).cast("string")), F.lit("{b}"), (F.col("doc_id") * 5 % 89).cast("string"))
+    name = F.when(F.col("doc_id") % 2 == 0, "helper").otherwise("util")
+    return picked.select(F.concat(F.lit("pkg/"), name, F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), filled.alias("text"))
+
+
+_EDGES_SQL = f"""f AS (SELECT 'pkg/' || CASE WHEN doc_id % 2 = 0 THEN 'helper' ELSE 'util' END || doc_id || '.py' AS path, replace(replace(t, '{{a}}', (doc_id * 17 % 97)::VARCHAR), '{{b}}', (doc_id * 5 % 89)::VARCHAR) AS text FROM documents, {values(seeds.IMPORT_FILES)} AS s(i, t) WHERE s.i = doc_id % {len(seeds.IMPORT_FILES)}),
+m AS (SELECT DISTINCT path AS src, unnest(list_concat(regexp_extract_all(text, '(?m)^import\\s+(\\w+)', 1), regexp_extract_all(text, '(?m)^from\\s+(\\w+)', 1))) AS module FROM f),
+edges AS (SELECT src, module, 'pkg/' || module || '.py' AS dst FROM m WHERE 'pkg/' || module || '.py' IN (SELECT path FROM f) AND src <> 'pkg/' || module || '.py')"""
+
+
+@query(f"WITH {_EDGES_SQL} SELECT src, module, dst FROM edges")
+def import_graph(spark, d):
+    told = _import_files(spark, d)
+    return graph.resolve(graph.imports(told), told)
+
+
+@query(f"""WITH {_EDGES_SQL}, e AS (SELECT 'pkg/helper' || l_suppkey || '.py' AS path, count(*) AS errors, 'rule-a,rule-b' AS rules FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 2 = 0 GROUP BY 1)
+SELECT src AS path, dst AS imported, errors, rules, 'warning' AS severity FROM (SELECT DISTINCT src, dst FROM edges) JOIN e ON e.path = dst""")
+def cross_file_warnings(spark, d):
+    told = _import_files(spark, d)
+    items = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey % 2 = 0")
+    n = F.row_number().over(match.W.partitionBy("l_suppkey", "l_returnflag").orderBy("l_orderkey", "l_linenumber"))
+    found = items.select(F.concat(F.lit("pkg/helper"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("path"), F.when(F.col("l_returnflag") == "R", "error").otherwise("info").alias("severity"), F.when(n % 2 == 0, "rule-a").otherwise("rule-b").alias("rule_id"))
+    return graph.cross_file_warnings(graph.resolve(graph.imports(told), told), found)
+
+
+_TAINT_SQL = """a AS (SELECT 's' || (s_suppkey % 7) AS path, 'v' || ((s_suppkey * 3 + 1) % 50) AS target, 'v' || (s_suppkey % 50) AS source_var FROM supplier UNION SELECT 's' || (s_suppkey % 7), 'v' || ((s_suppkey * 5 + 2) % 50), 'v' || (s_suppkey % 50) FROM supplier),
+reach AS (WITH RECURSIVE t(path, var, hops) AS (SELECT DISTINCT path, 'v1', 0 FROM a UNION SELECT a.path, a.target, t.hops + 1 FROM t JOIN a ON a.path = t.path AND a.source_var = t.var WHERE t.hops < 55) SELECT path, var, min(hops) AS hops FROM t GROUP BY path, var)"""
+
+
+def _taint(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    name = lambda x: F.concat(F.lit("v"), (x % 50).cast("string"))
+    file = F.concat(F.lit("s"), (F.col("s_suppkey") % 7).cast("string")).alias("path")
+    one = lambda k, c: s.select(file, name(F.col("s_suppkey") * k + c).alias("target"), name(F.col("s_suppkey")).alias("source_var"))
+    assigns = one(3, 1).union(one(5, 2))
+    return graph.tainted(assigns, assigns.select("path", F.lit("v1").alias("var")).distinct())
+
+
+@query(f"WITH {_TAINT_SQL} SELECT path, var, hops::INTEGER AS hops FROM reach")
+def taint_reach(spark, d):
+    return _taint(spark, d)
+
+
+@query(f"WITH {_TAINT_SQL} SELECT 's' || (o_orderkey % 7) AS path, 'v' || (o_custkey % 50) AS var, o_orderkey AS line, hops::INTEGER AS hops FROM orders JOIN reach ON reach.path = 's' || (o_orderkey % 7) AND reach.var = 'v' || (o_custkey % 50)")
+def taint_sinks(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    sinks = o.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 7).cast("string")).alias("path"), F.concat(F.lit("v"), (F.col("o_custkey") % 50).cast("string")).alias("var"), F.col("o_orderkey").alias("line"))
+    return graph.tainted_sinks(sinks, _taint(spark, d)).select("path", "var", "line", "hops")
+
+
+@query()
+def syntax_call_matches(spark, d):
+    """Calls and assignments in syntax trees; SQL has no parser."""
+    told = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.format_string("x = input()\ny = x + 'k%d'\nos.system(y, shell=True)\nsafe(os.system(y))\n", "s_suppkey").alias("text"))
+    nodes = syntax.parse(told)
+    calls = syntax.match_calls(nodes, "os.system", ["$X", "..."])
+    kept = syntax.without(nodes.where("kind = 'call'"), calls.select("path", (F.col("pre")).alias("pre")))
+    return calls.groupBy("path").agg(F.count("*").alias("calls")).join(kept.groupBy("path").agg(F.count("*").alias("others")), "path").join(syntax.assignments(nodes).groupBy("path").agg(F.count("*").alias("flows")), "path")
+
+
+# History, reports, benchmark ---------------------------------------------------------------------
+
+_CUR = f"{FINDINGS_SQL}, cur AS (SELECT rule_id, path, line, seq FROM findings WHERE seq % 3 <> 0), prev AS (SELECT rule_id, path, line, seq FROM findings WHERE seq % 3 <> 1)"
+
+
+def _scans(spark, d):
+    f = seeds.findings(spark, d).select("rule_id", "path", "line", "seq")
+    return f.where("seq % 3 <> 0"), f.where("seq % 3 <> 1")
+
+
+@query(f"WITH {_CUR} SELECT rule_id, path, line, seq FROM cur WHERE (rule_id, path, line) NOT IN (SELECT (rule_id, path, line) FROM prev)")
+def history_new(spark, d):
+    return history.new_issues(*_scans(spark, d))
+
+
+@query(f"WITH {_CUR} SELECT rule_id, path, line, seq FROM prev WHERE (rule_id, path, line) NOT IN (SELECT (rule_id, path, line) FROM cur)")
+def history_fixed(spark, d):
+    return history.fixed_issues(*_scans(spark, d))
+
+
+@query(f"WITH {_CUR} SELECT rule_id, path, line, seq FROM cur WHERE (rule_id, path, line) IN (SELECT (rule_id, path, line) FROM prev)")
+def history_unchanged(spark, d):
+    return history.unchanged_issues(*_scans(spark, d))
+
+
+_SCANS_SQL = "s AS (SELECT date_trunc('month', o_orderdate) AS ts, count(*) AS issues, count(*) FILTER (o_orderstatus = 'F') AS errors FROM orders GROUP BY 1)"
+
+
+def _monthly(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.date_trunc("month", "o_orderdate").alias("ts")).agg(F.count("*").alias("issues"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
+
+
+@query(f"WITH {_SCANS_SQL} SELECT strftime(ts, '%Y-%m') AS month, issues, errors, issues - lag(issues) OVER (ORDER BY ts) AS issues_delta, errors - lag(errors) OVER (ORDER BY ts) AS errors_delta, row_number() OVER (ORDER BY ts)::INTEGER AS scan_no FROM s")
+def trends(spark, d):
+    return history.trends(_monthly(spark, d)).select(F.date_format("ts", "yyyy-MM").alias("month"), "issues", "errors", "issues_delta", "errors_delta", "scan_no")
+
+
+@query(f"WITH {_SCANS_SQL} SELECT strftime(ts, '%Y-%m') AS month, issues FROM s ORDER BY ts DESC LIMIT 1 OFFSET 1")
+def previous_scan(spark, d):
+    return history.previous_scan(_monthly(spark, d)).select(F.date_format("ts", "yyyy-MM").alias("month"), "issues")
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT path, count(*) AS issues FROM findings GROUP BY path ORDER BY issues DESC, path LIMIT 15")
+def top_files(spark, d):
+    return history.top_files(seeds.findings(spark, d))
+
+
+@query(f"WITH {FINDINGS_SQL}, r AS (SELECT path, line, rule_id, severity, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM (SELECT DISTINCT path, line, rule_id, severity FROM findings)) SELECT path, line, rule_id, severity FROM r ORDER BY rank, path, line, rule_id LIMIT 100")
+def worst_100(spark, d):
+    return report.worst(seeds.findings(spark, d).select("path", "line", "rule_id", "severity").distinct(), 100).select("path", "line", "rule_id", "severity")
+
+
+_NOTES = ("x = 1", "# VULN: eval", "# SAFE: md5", "", "# plain", "eval(x)", "# FP-PRONE: rand", "md5(x)")
+
+
+def _annotated(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("line"))
+    return docs.withColumn("i", ((F.col("doc_id") * 3 + F.col("line") * F.col("line")) % len(_NOTES)).cast("int")).join(seeds.table(spark, _NOTES, "text string"), "i").select(F.col("doc_id").cast("string").alias("path"), "line", "text")
+
+
+_NOTES_SQL = f"""n AS (SELECT doc_id::VARCHAR AS path, l.line::INTEGER AS line, t.text, CASE WHEN regexp_matches(t.text, '^# (VULN|SAFE|FP-PRONE):') THEN 'note' WHEN starts_with(t.text, '#') OR t.text = '' THEN 'break' ELSE 'code' END AS k
+  FROM documents, generate_series(0, 19) AS l(line), {values(_NOTES)} AS t(i, text) WHERE t.i = (doc_id * 3 + l.line * l.line) % {len(_NOTES)}),
+nx AS (SELECT *, min(CASE WHEN k <> 'note' THEN line END) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS target FROM n),
+ann AS (SELECT nx.path, nx.target AS line, regexp_extract(nx.text, '^# ([A-Z-]+): (.*)$', 1) AS type, regexp_extract(nx.text, '^# ([A-Z-]+): (.*)$', 2) AS rule_pattern FROM nx JOIN n ON n.path = nx.path AND n.line = nx.target AND n.k = 'code' WHERE nx.k = 'note')"""
+
+
+@query(f"WITH {_NOTES_SQL} SELECT path, line, type, rule_pattern FROM ann")
+def annotation_attach(spark, d):
+    return history.attach_annotations(_annotated(spark, d))
+
+
+_HIT_SQL = f"""{_NOTES_SQL}, fnd AS (SELECT path, line, CASE WHEN contains(text, 'eval(') THEN 'py.eval-detected' ELSE 'py.insecure-md5' END AS rule_id FROM n WHERE k = 'code' AND (contains(text, 'eval(') OR contains(text, 'md5(')) AND line % 3 <> 0),
+met AS (SELECT a.path, a.line, a.type, a.rule_pattern, min(f.rule_id) AS rule_id FROM ann a LEFT JOIN fnd f ON f.path = a.path AND f.line = a.line AND contains(f.rule_id, a.rule_pattern) GROUP BY ALL),
+judged AS (SELECT path, line, rule_pattern, coalesce(rule_id, '') AS rule_id, CASE WHEN type = 'VULN' THEN CASE WHEN rule_id IS NULL THEN 'FN' ELSE 'TP' END WHEN type = 'SAFE' THEN CASE WHEN rule_id IS NULL THEN 'TN' ELSE 'FP' END WHEN rule_id IS NULL THEN 'FP_PRONE_MISS' ELSE 'FP_PRONE_HIT' END AS outcome FROM met
+  UNION ALL SELECT path, line, '', rule_id, 'UNANNOTATED_FINDING' FROM (SELECT DISTINCT path, line, rule_id FROM fnd) f WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.path = f.path AND m.line = f.line AND m.rule_id = f.rule_id))"""
+
+
+def _judged(spark, d):
+    told = _annotated(spark, d)
+    code = told.where("(text like '%eval(%' or text like '%md5(%') and line % 3 <> 0")
+    found = code.select("path", "line", F.when(F.contains("text", F.lit("eval(")), "py.eval-detected").otherwise("py.insecure-md5").alias("rule_id"))
+    return history.outcomes(history.attach_annotations(told), found)
+
+
+@query(f"WITH {_HIT_SQL} SELECT path, line, rule_pattern, rule_id, outcome FROM judged")
+def benchmark_outcomes(spark, d):
+    return _judged(spark, d)
+
+
+@query(f"""WITH {_HIT_SQL}, g AS (SELECT CASE WHEN grouping(rule_id) = 0 THEN 'rule_id' WHEN grouping(path) = 0 THEN 'path' ELSE '' END AS level, rule_id, path, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'TN') AS tn, count(*) FILTER (outcome = 'UNANNOTATED_FINDING') AS unannotated FROM judged GROUP BY GROUPING SETS ((), (rule_id), (path))),
+r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS "precision", CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN fp + tn = 0 THEN 0.0::DOUBLE ELSE fp::DOUBLE / (fp + tn) END AS fpr FROM g)
+SELECT level, rule_id, path, tp, fp, fn, tn, unannotated, round("precision", 4) AS "precision", round(recall, 4) AS recall, round(fpr, 4) AS fpr, round(CASE WHEN "precision" + recall = 0 THEN 0.0::DOUBLE ELSE 2 * "precision" * recall / ("precision" + recall) END, 4) AS f1,
+  round(CASE WHEN tp + fp + unannotated = 0 THEN 1.0::DOUBLE ELSE (tp + fp)::DOUBLE / (tp + fp + unannotated) END, 4) AS coverage FROM r""")
+def metrics_grouping_sets(spark, d):
+    m = history.metrics(_judged(spark, d), "rule_id", "path")
+    return m.select("level", "rule_id", "path", "tp", "fp", "fn", "tn", "unannotated", *(F.round(c, 4).alias(c) for c in ("precision", "recall", "fpr", "f1", "coverage")))
+
+
+_DIFF = ("+++ b/src/a{k}.py", "@@ -1 +10,3 @@", "+x", "@@ -1 +7 @@", "@@ -5,2 +4,0 @@", "+++ b/lib/b{k}.js", "@@ -2,3 +20,4 @@ def f", " y")
+
+
+def _diffs(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("diff_id"))
+    t = seeds.table(spark, _DIFF, "t string")
+    return n.join(t).select("diff_id", F.col("i").alias("lineno"), F.replace("t", F.lit("{k}"), F.col("diff_id").cast("string")).alias("text"))
+
+
+_DIFF_SQL = f"""x AS (SELECT n_nationkey AS diff_id, t.i AS lineno, replace(t.t, '{{k}}', n_nationkey::VARCHAR) AS text FROM nation, {values(_DIFF)} AS t(i, t)),
+y AS (SELECT *, last_value(nullif(regexp_extract(text, '^\\+\\+\\+ b/(.*)$', 1), '') IGNORE NULLS) OVER (PARTITION BY diff_id ORDER BY lineno) AS file FROM x),
+h AS (SELECT diff_id, file, regexp_extract(text, '\\+(\\d+)', 1)::INT AS s, coalesce(nullif(regexp_extract(text, '\\+\\d+,(\\d+)', 1), ''), '1')::INT AS c FROM y WHERE starts_with(text, '@@')),
+changed AS (SELECT DISTINCT diff_id, file, unnest(generate_series(s, s + c - 1))::INTEGER AS line FROM h WHERE c > 0)"""
+
+
+@query(f"WITH {_DIFF_SQL} SELECT diff_id::BIGINT AS diff_id, file, line FROM changed")
+def diff_lines(spark, d):
+    return files.changed_lines(_diffs(spark, d))
+
+
+@query(f"WITH {_DIFF_SQL}, f AS (SELECT 'src/a' || (l_suppkey % 30) || '.py' AS path, (l_partkey % 40)::INTEGER AS line, l_orderkey * 10 + l_linenumber AS seq FROM lineitem) SELECT path, line, seq FROM f WHERE (path, line + 1) IN (SELECT (file, line) FROM changed)")
+def changed_line_issues(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    found = items.select(F.concat(F.lit("src/a"), (F.col("l_suppkey") % 30).cast("string"), F.lit(".py")).alias("path"), (F.col("l_partkey") % 40).cast("int").alias("line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return files.on_changed_lines(found, files.changed_lines(_diffs(spark, d)))
+
+
+# Fixes and reports -------------------------------------------------------------------------------
+
+
+@query()
+def fix_suggestions(spark, d):
+    """Suggested lines and whether they pass the validator; held against unit vectors."""
+    return fixes.suggest(match.detect(seeds.lines(spark, d))).select("path", "line", "rule_id", "text", "fixed", "fixable")
+
+
+@query()
+def fixes_applied(spark, d):
+    """Lines after their fixes, one on top of the other."""
+    told = seeds.lines(spark, d)
+    return fixes.apply_fixes(told, match.detect(told)).where("fixed <> text").select("path", "line", "text", "fixed")
+
+
+@query("""WITH l AS (SELECT o_orderkey, 'a.innerHTML = b; c.innerHTML = d; // ' || o_orderkey AS text FROM orders)
+SELECT o_orderkey, regexp_replace(text, '\\.innerHTML\\s*=', '.textContent =') AS first_fixed, regexp_replace(text, '\\.innerHTML\\s*=', '.textContent =', 'g') AS all_fixed FROM l""")
+def fix_first_match(spark, d):
+    told = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.lit("a.innerHTML = b; c.innerHTML = d; // "), F.col("o_orderkey").cast("string")).alias("text"))
+    return told.select("o_orderkey", fixes.first_replaced(F.col("text"), r"\.innerHTML\s*=", ".textContent =").alias("first_fixed"), F.regexp_replace("text", r"\.innerHTML\s*=", ".textContent =").alias("all_fixed"))
+
+
+@query(f"WITH {DETECTED_SQL} SELECT rule_id, CASE first(severity ORDER BY path, line, severity) WHEN 'error' THEN 'error' WHEN 'info' THEN 'note' ELSE 'warning' END AS level FROM detected GROUP BY rule_id")
+def sarif_rules(spark, d):
+    return report.sarif_rules(match.detect(seeds.lines(spark, d)))
+
+
+@query(f"WITH {DETECTED_SQL} SELECT rule_id, CASE severity WHEN 'error' THEN 'error' WHEN 'info' THEN 'note' ELSE 'warning' END AS level, path AS uri, line + 1 AS start_line, sha256(trim(text)) AS fingerprint FROM detected")
+def sarif_results(spark, d):
+    return report.sarif_results(match.detect(seeds.lines(spark, d)))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT count(*) AS total, count(*) FILTER (severity = 'error') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM findings")
+def verbosity_minimal(spark, d):
+    return report.minimal(seeds.findings(spark, d))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT path, line + 1 AS line, rule_id, severity FROM findings")
+def verbosity_compact(spark, d):
+    return report.compact(seeds.findings(spark, d))

@@ -88,7 +88,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     Only the cuts meet the documents, by source; texts are not shuffled.
     """
     _, per = cuts(docs, weights, share, most)
-    rows = with_copies(docs.select(F.struct(*docs.columns).alias("_doc"), "source", hash_key().alias("key")), per, most)
+    rows = with_copies(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "source", hash_key().alias("key")), per, most)
     return rows.where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_doc.*")
 
 

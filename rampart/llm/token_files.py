@@ -19,7 +19,7 @@ from .common import stored, stored_path
 #: One row a document; ``part`` and ``start_in_part`` place it: the ids of its part's earlier documents.
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 #: Words whose ids a worker keeps; when full, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
 WRITER = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",

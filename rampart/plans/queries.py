@@ -13,6 +13,8 @@ from ..operators import prompts as pr
 from ..sources import files
 from ..sources.detectors import LOOK_AHEADS, detectors
 from ..sources.rule_packs import PROMPT_RULES, prompt_rules
+from ..sources.stored import stored_path
+from ..streaming import monitor
 from . import seeds
 from .seeds import ACTIONS_SQL, FINDINGS_SQL, LINES_SQL, PROMPTS_SQL, values
 
@@ -152,6 +154,16 @@ def directory_walk(spark, d):
     return files.walk(paths, exclude=["**/*.min.js"]).groupBy("relative").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH t AS (SELECT 'f' || (p_partkey % 40) AS path FROM part WHERE p_size > 30), u AS (SELECT 'f' || (s_suppkey % 60) AS path FROM supplier), e AS (SELECT 'f' || n_nationkey AS path FROM nation)
+SELECT DISTINCT path FROM (SELECT path FROM t UNION SELECT path FROM u) WHERE path IN (SELECT path FROM e)
+""")
+def changed_files(spark, d):
+    named = lambda t, c: spark.read.parquet(f"{d}/{t}.parquet").select(F.concat(F.lit("f"), c.cast("string")).alias("path"))
+    tracked = spark.read.parquet(f"{d}/part.parquet").where("p_size > 30").select(F.concat(F.lit("f"), (F.col("p_partkey") % 40).cast("string")).alias("path"))
+    return files.changed_files(tracked, named("supplier", F.col("s_suppkey") % 60), named("nation", F.col("n_nationkey")))
+
+
 # Triage ------------------------------------------------------------------------------------------
 
 
@@ -401,6 +413,18 @@ def action_verdicts(spark, d):
     return act.action_verdicts(seeds.actions(spark, d))
 
 
+@query(ORACLES["action_verdicts"])
+def stream_action_verdicts(spark, d):
+    """The same verdicts by a stream over the events, read to its end."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")
+    told = arriving.withColumn("i", (F.col("event_id") % len(seeds.ACTIONS)).cast("int")).join(seeds.table(spark, seeds.ACTIONS, "action_type string, action_value string"), "i")
+    out = stored_path(spark, "verdicts")
+    stream = monitor.verdict_stream(told.select(F.col("event_id").alias("action_id"), "action_type", "action_value"))
+    stream.writeStream.format("parquet").option("checkpointLocation", stored_path(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 _SERVER_SQL = " UNION ".join(
     f"""SELECT path, line + 1 AS line, '{r}' AS rule, '{s}' AS severity, '{c}' AS category FROM (SELECT *, {("max(regexp_matches(text, '" + u.replace("'", "''") + f"')::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN {-f[0]} PRECEDING AND {f[1]} FOLLOWING)") if f else 0} AS m FROM lines) WHERE language IN ({", ".join(f"'{x}'" for x in ls)}) AND regexp_matches(text, '{p.replace("'", "''")}') AND m = 0"""
     for r, s, c, ls, p, f, u in act.SERVER_RULES

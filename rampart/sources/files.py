@@ -33,6 +33,16 @@ def _literal(x: str) -> str:
     return x.replace(".", r"\.")
 
 
+def changed_files(tracked: DataFrame, untracked: DataFrame, existing: DataFrame) -> DataFrame:
+    """Distinct paths of changed tracked and of untracked files that still exist (each has a column path)."""
+    return tracked.select("path").union(untracked.select("path")).distinct().join(existing.select("path").distinct(), "path", "left_semi")
+
+
+def server_sources(paths: DataFrame) -> DataFrame:
+    """paths (path, relative) of a server's sources: JavaScript, TypeScript and Python outside the skipped folders."""
+    return walk(paths).where(F.col("relative").rlike(r"\.(js|ts|py)$"))
+
+
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path, relative, language, text of every file under ``root``; a file is a row, so split very large ones before."""
     files = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
@@ -101,4 +111,4 @@ def load_config(start: str, most: int = 50) -> dict:
     return config
 
 
-__all__ = ["changed_lines", "glob_regex", "ignore_globs", "lines_of", "load_config", "on_changed_lines", "read_files", "read_history", "read_registry", "walk"]
+__all__ = ["changed_files", "changed_lines", "glob_regex", "ignore_globs", "lines_of", "load_config", "on_changed_lines", "read_files", "read_history", "read_registry", "server_sources", "walk"]

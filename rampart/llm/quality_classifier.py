@@ -10,7 +10,7 @@ from .ngram_lm import NgramRatio, fit
 
 #: Sampling keys are counted in 2**-SCALE and clipped to 2**-(SCALE - KEY_BITS + 1).
 SCALE = 24
-MODEL = {"orders": (1, 2), "buckets": 2**16, "shrink": 32}
+MODEL = {"orders": (1, 2), "buckets": 2**15, "shrink": 32}
 
 
 def gumbel(seed: int) -> Column:
@@ -41,15 +41,14 @@ def with_keys(docs: DataFrame, model: NgramRatio, deviations: float, seed: int)
 def resample_cut(docs: DataFrame, labels: DataFrame, *, deviations: float = 6.0, seed: int = 17, **how) -> tuple[NgramRatio, DataFrame, int, int]:
     """The model, the scored documents (doc_id, log_ratio, log_weight, key), k, and the cut of the k smallest keys.
 
-    k is the number of documents that the target model explains: the sum over all documents of the logistic
-    of (log_ratio - floor) / temperature, where the floor lies ``deviations`` below the mean of held-out
-    trusted documents. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut are
+    k is the number of documents that the target model explains: those with a log_ratio at or above the
+    floor, ``deviations`` below the mean of held-out trusted documents. Which k they are is sampled. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut are
     taken together.
     """
     model = fit(docs, labels, **(MODEL | how))
-    least, width = floor_and_width(model, deviations)
+    least, _ = floor_and_width(model, deviations)
     scored = stored(with_keys(docs.select("doc_id", "text"), model, deviations, seed).select("doc_id", "log_ratio", "log_weight", "key", F.lit(1).alias("all")), "scored")
-    k = scored.agg(F.round(F.sum(1 / (1 + F.exp((least - F.col("log_ratio")) / width)))).cast("long").alias("k")).first()["k"] or 0
+    k = scored.where(F.col("log_ratio") >= least).count()
     need = docs.sparkSession.range(1).select(F.lit(1).alias("all"), F.lit(float(k)).alias("need"))
     cut = histogram_cut(scored.withColumn("one", F.lit(1)), "all", "key", "one", need).first()["cut"]
     return model, scored, k, cut
@@ -75,5 +74,5 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
 def keep_by_classifier(docs: DataFrame, labels: DataFrame, *, deviations: float = 6.0, seed: int = 17, **how) -> DataFrame:
     """The rows of ``docs`` that are sampled, with its columns; scores are computed again rather than joined."""
     model, _, _, cut = resample_cut(docs, labels, deviations=deviations, seed=seed, **how)
-    told = with_keys(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"), model, deviations, seed)
+    told = with_keys(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text"), model, deviations, seed)
     return told.where((F.col("key") < cut) & F.col("log_ratio").isNotNull()).select("_doc.*")

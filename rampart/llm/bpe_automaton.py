@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 #: White space of the byte-level pre-splitter: Unicode's White_Space property.
 SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{SPACE}]", c))
 #: The published pre-splitting pattern of byte-level BPE (fixed value), with \s spelled out.
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words whose encoding a worker keeps; when full, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
+#: Transitions that a worker keeps.
+KEPT_ARCS = 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -37,8 +40,8 @@ class Automaton:
     origin p, the arc it lacks, the merge that made it), and its arc for a token made later exists just if
     its arc for that token's left part does. ``step`` reads a transition off these tables and keeps it.
 
-    As a text has exactly one accepted tokenization, and so has each of its prefixes, encoding follows the
-    arcs from every reached position of the word; decoding emits the labels of the arcs.
+    As a text has exactly one accepted tokenization, encoding looks for a path of arcs whose labels make up
+    the word; decoding emits the labels of the arcs.
     """
 
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
@@ -63,14 +66,18 @@ class Automaton:
         self._ready()
 
     def _ready(self) -> None:
-        self.ids = {x: t for t, x in enumerate(self.labels) if self.leads[t] >= 0}
-        self.prefixes = {x[:i] for x in self.ids for i in range(1, len(x) + 1)}
-        self.arcs: dict[tuple[int, int], int] = {}
+        self.sizes = [len(x) for x in self.labels]
+        ids = {x: t for t, x in enumerate(self.labels) if self.leads[t] >= 0}
+        #: Every prefix of a label: its token, or -1.
+        self.table = dict.fromkeys((x[:i] for x in ids for i in range(1, len(x))), -1) | ids
+        #: Transitions seen so far, by state.
+        self.rows: list[dict[int, int] | None] = [None] * len(self.origin)
+        self.kept = 0
         self.stop = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.piece = regex.compile(PIECE)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "prefixes", "arcs", "stop", "piece")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("sizes", "table", "rows", "kept", "stop", "piece")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -103,33 +110,53 @@ class Automaton:
 
     def step(self, state: int, token: int) -> int:
         """The state after the arc ``token``, or -1 if there is none."""
-        at = self.arcs.get((state, token))
+        row = self.rows[state]
+        if row is None:
+            row = self.rows[state] = {}
+        at = row.get(token)
         if at is None:
-            at = self.arcs[state, token] = self.leads[token] if self._has(state, token) else -1
+            at = row[token] = self.leads[token] if self._has(state, token) else -1
+            self.kept += 1
+            if self.kept > KEPT_ARCS:
+                self.rows, self.kept = [None] * len(self.origin), 0
         return at
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Token ids of one pre-split word; time grows with its length times the longest token's."""
-        if word in self.ids:
-            return [self.ids[word]]
-        n = len(word)
-        state, last = [-1] * (n + 1), [-1] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            if state[i] < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                label = word[i:j]
-                token = self.ids.get(label)
-                if token is not None and state[j] < 0 and (to := self.step(state[i], token)) >= 0:
-                    state[j], last[j] = to, token
-                if label not in self.prefixes:
+        """Token ids of one pre-split word: the arcs of its only accepted path, longest first.
+
+        A position that a state can't go on from is remembered, so the time grows with the word's length.
+        """
+        table, sizes = self.table, self.sizes
+        found = table.get(word, -1)
+        if found >= 0:
+            return [found]
+        n, at, state = len(word), 0, 0
+        path: list[int] = []
+        states: list[int] = []
+        dead: set[tuple[int, int]] = set()
+        while at < n:
+            fits = []
+            for end in range(at + 1, n + 1):
+                token = table.get(word[at:end])
+                if token is None:
                     break
-        out, j = [], n
-        while j:
-            out.append(last[j])
-            j -= len(self.labels[last[j]])
-        return out[::-1]
+                if token >= 0:
+                    fits.append(token)
+            row = self.rows[state] or {}
+            while fits:
+                token = fits.pop()
+                to = row.get(token)
+                if to is None:
+                    to = self.step(state, token)
+                if to >= 0 and (not dead or (at + sizes[token], to) not in dead):
+                    path.append(token)
+                    states.append(state)
+                    at, state = at + sizes[token], to
+                    break
+            else:  # go back and take a shorter arc
+                dead.add((at, state))
+                at, state = at - sizes[path.pop()], states.pop()
+        return path
 
     def encode_text(self, text: str) -> list[int]:
         """Token ids of a text without special tokens, pre-split as a whole."""
@@ -141,17 +168,24 @@ class Automaton:
 
 
 class _Words(dict):
-    """Words as they stand in a text (after a space, or not) with their token ids."""
+    """Words as they stand in a text, after a space or not (``lead``), with their token ids."""
 
-    def __init__(self, automaton: Automaton, lead: str):
+    def __init__(self, automaton: Automaton, lead: str, bare: _Words | None = None):
         super().__init__()
-        self.automaton, self.lead = automaton, lead
+        self.automaton, self.lead, self.bare = automaton, lead, self if bare is None else bare
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if not word or word[0] in SPACES or word[-1] in SPACES:
+            raise LookupError("white space next to white space")
+        pieces = self.automaton.piece.findall(self.lead + word)
+        if len(pieces) == 1:
+            ids = tuple(self.automaton.encode_word(pieces[0].encode()))
+        else:  # its first piece is a word of this kind, the rest stand after no space
+            ids = self[pieces[0][len(self.lead) :]] + tuple(chain.from_iterable(map(self.bare.__getitem__, pieces[1:])))
         if len(self) >= KEPT_WORDS:
             self.clear()
-        found = self[word] = tuple(self.automaton.encode_text(self.lead + word))
-        return found
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -159,37 +193,44 @@ class Encoder:
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.first, self.later = _Words(automaton, ""), _Words(automaton, " ")
+        self.bare = _Words(automaton, "")
+        self.later = _Words(automaton, " ", self.bare)
         self.line = tuple(automaton.encode_text("\n"))
-        self.double = regex.compile(rf"[{SPACE}]{{2}}|^[{SPACE}]|[{SPACE}]\Z")
 
     def encode(self, text: str) -> list[int]:
-        stop = self.automaton.stop
-        if not stop or not stop.search(text):
+        special = self.automaton.special
+        if not any(x in text for x in special):
             return self._plain(text)
         out, at = [], 0
-        for m in stop.finditer(text):
+        for m in self.automaton.stop.finditer(text):
             out += self._plain(text[at : m.start()])
-            out.append(self.automaton.special[m[0]])
+            out.append(special[m[0]])
             at = m.end()
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
         # Where every white-space character stands alone between others, pieces end at each of them: a space
-        # begins the next piece, a line feed is a piece. Then words can be looked up one by one.
+        # begins the next piece, a line feed is a piece. Then words can be looked up one by one. A word that
+        # shows otherwise, empty or with white space at an end, is never kept and sends the text to the splitter.
         if not text:
             return []
-        if self.double.search(text):
-            return self.automaton.encode_text(text)
-        parts = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                parts.append(self.line)
-            head, *rest = line.split(" ")
-            parts.append(self.first[head])
-            parts += map(self.later.__getitem__, rest)
+        try:
+            parts = []
+            for k, line in enumerate(text.split("\n")):
+                if k:
+                    parts.append(self.line)
+                head, *rest = line.split(" ")
+                parts.append(self.bare[head])
+                parts += map(self.later.__getitem__, rest)
+        except LookupError:
+            parts = map(self._piece, self.automaton.piece.findall(text))
         return list(chain.from_iterable(parts))
 
+    def _piece(self, piece: str):
+        if piece[-1] in SPACES:
+            return self.automaton.encode_word(piece.encode())
+        return self.later[piece[1:]] if piece[0] == " " else self.bare[piece]
+
 
 def _round_trip(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

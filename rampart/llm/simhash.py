@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, D
     of = different.join(linked.withColumnRenamed("node", "fp"), "fp")
     keepers = of.groupBy("root").agg(F.min("keeper").alias("least"))
     moved = linked.join(keepers, "root").select(F.col("node").alias("fp"), "least")
-    return told, different.join(moved, "fp", "left").select("fp", F.coalesce("least", "keeper").alias("keeper"))
+    # Stored, so that a join with it reads two plain shuffles, of which a hot fingerprint's can be split.
+    return told, stored(different.join(moved, "fp", "left").select("fp", F.coalesce("least", "keeper").alias("keeper")), "classes")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:
@@ -275,6 +276,6 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each near-duplicate class, with its columns; rows equal in id and text are one."""
     _, classes = near_duplicates(docs, radius)
     stay = classes.select("keeper").distinct().select(F.col("keeper.doc_id").alias("_id"), F.col("keeper.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    kept = rows.join(stay, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_doc_id", "_text_hash"]).select("_doc.*")

@@ -9,7 +9,7 @@ from rampart.llm.common import stored_path
 from rampart.llm.mixing import mixed_documents
 from rampart.llm.quality_classifier import keep_by_classifier
 from rampart.llm.quality_rules import keep_by_rules
-from rampart.llm.simhash import one_of_each
+from rampart.llm.similar import one_of_similar
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest doc_id."""
-    return one_of_each(docs)
+    return one_of_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,13 @@ def gumbel(seed: int) -> Column:
 
 
 def floor_and_width(model: NgramRatio, deviations: float) -> tuple[float, float]:
-    """The log-ratio that trusted documents stay above, and the temperature of the sampling weights."""
+    """The log-ratio that trusted documents stay above, and the temperature of the sampling weights.
+
+    The floor is the cut between labels; without bad ones so many deviations below the middle of held-out
+    trusted documents.
+    """
     sd = max(model.sd or 0.0, 0.01)
-    return (model.mean or 0.0) - deviations * sd, sd / 3
+    return (model.mean or 0.0) - deviations * sd if model.cut is None else model.cut, sd / 3
 
 
 def with_keys(docs: DataFrame, model: NgramRatio, deviations: float, seed: int) -> DataFrame:
@@ -42,8 +46,9 @@ def resample_cut(docs: DataFrame, labels: DataFrame, *, deviations: float = 6.0,
     """The model, the scored documents (doc_id, log_ratio, log_weight, key), k, and the cut of the k smallest keys.
 
     k is the number of documents that the target model explains: those with a log_ratio at or above the
-    floor, ``deviations`` below the mean of held-out trusted documents. Which k they are is sampled. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut are
-    taken together.
+    floor, which is calibrated on held-out trusted against low-quality labels (``floor_and_width``). Which k
+    they are is sampled. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut
+    are taken together.
     """
     model = fit(docs, labels, **(MODEL | how))
     least, _ = floor_and_width(model, deviations)

@@ -39,3 +39,20 @@ def test_rules_reject_labelled_junk(tables):
     judged = quality_rules.quality_rules(docs, labels).select("doc.doc_id", "quality.*").where("not base_failed")
     got = shares(judged, kinds)
     assert got["bad"] <= 0.02 and got["good"] >= 0.98
+
+
+def test_classifier_rejects_labelled_junk(tables):
+    docs, labels, kinds = tables
+    got = shares(quality_classifier.quality_classifier(docs, labels), kinds)
+    assert got["bad"] <= (0.06 if docs.count() > 200 else 0.4) and got["good"] >= 0.98
+
+
+def test_stages_reject_labelled_junk(tables):
+    """Stage 2 alone, on documents that the base rules pass, and after stage 1."""
+    docs, labels, kinds = tables
+    at = quality_rules.quality_rules(docs, labels)
+    passed = at.where("not quality.base_failed").select("doc.*").cache()
+    for before in (passed, at.where("quality.kept").select("doc.*").cache()):
+        kept = quality_classifier.keep_by_classifier(before, labels).select("doc_id").distinct().withColumn("kept", F.lit(True))
+        got = shares(before.select("doc_id").join(kept, "doc_id", "left").fillna(False, ["kept"]), kinds)
+        assert got.get("bad", 0) <= (0.06 if docs.count() > 200 else 0.2) and got["good"] >= 0.97

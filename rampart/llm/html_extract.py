@@ -40,6 +40,9 @@ HIDES = set(
     "recommendations trending widget widgets footer foot masthead topbar toolbar comment comments commentlist reply replies disqus discussion respond login signin search searchbox "
     "copyright legal disclaimer skip hidden complementary contentinfo paywall".split()
 )
+#: Elements that these words don't hide, and words in a name that tell of other parts of the page (has-sidebar, comments-open).
+HOLDS = {"html", "body", "main", "article"}
+ABOUT, STATES = {"has", "no", "with", "without", "not", "layout"}, {"open", "closed", "enabled", "disabled", "layout"}
 SHOWS = {"article", "content", "main", "post", "entry", "story"}
 HIDDEN, SHOWN = -6.5, 1.5
 #: What a block's own text says: per unit of link density, per 100 letters up to LONG, and a sentence's end.
@@ -61,13 +64,28 @@ class Block:
 
 
 @lru_cache(4096)
-def _said(attributes: str) -> float:
-    """What class, id and role say about an element, and whether it's hidden."""
+def _said(attributes: str) -> tuple[float, bool]:
+    """What class, id and role say about an element, or that it's hidden; whether words say so."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    words = {w.lower() for key in ("class", "id", "role", "aria-label") for w in WORD.findall(found.get(key, ""))}
+    names = [[w.lower() for w in WORD.findall(n)] for key in ("class", "id", "role", "aria-label") for n in found.get(key, "").split()]
+    words = {w for n in names if n and not ABOUT & set(n[:-1]) and n[-1] not in STATES for w in n}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return HIDDEN
-    return HIDDEN if words & HIDES else SHOWN if words & SHOWS else 0.0
+        return HIDDEN, False
+    return (HIDDEN, True) if words & HIDES else (SHOWN, True) if words & SHOWS else (0.0, False)
+
+
+def _of_all(found: list[Block], hidden: set[int], holders: list[tuple[int, ...]]) -> None:
+    """Takes HIDDEN back from elements that hide by their names what is the page itself.
+
+    Those are elements around every article and main with over half of the letters, or with over nine tenths in a page without any.
+    """
+    total = sum(b.letters for b in found)
+    for number in hidden:
+        inside = [b for b in found if number in b.path]
+        share = sum(b.letters for b in inside)
+        if all(number in p for p in holders) and share * 10 > total * (5 if holders else 9):
+            for b in inside:
+                b.around -= HIDDEN
 
 
 def blocks(html: str) -> list[Block]:
@@ -79,6 +97,8 @@ def blocks(html: str) -> list[Block]:
     linked = links = 0
     count = 0
     at = 0
+    hidden: set[int] = set()
+    holders: list[tuple[int, ...]] = []
 
     def flush() -> None:
         nonlocal linked
@@ -150,7 +170,7 @@ def blocks(html: str) -> list[Block]:
                 links += 1
                 count += 1
                 stack.append(("a", stack[-1][1], stack[-1][2]))
-            elif m[3] and (said := _said(m[3])) < 0:  # an inline advert or the like is a block of its own
+            elif m[3] and (said := _said(m[3])[0]) < 0:  # an inline advert or the like is a block of its own
                 flush()
                 count += 1
                 stack.append((name, stack[-1][1] + said, count))
@@ -170,11 +190,20 @@ def blocks(html: str) -> list[Block]:
             odds = ARTICLE_HEADER if any(x[0] in ("article", "main") for x in stack) else HEADER
         else:
             odds = INSIDE.get(name, 0.0)
-        said = _said(m[3]) if m[3] else 0.0
+        said, by_words = _said(m[3]) if m[3] else (0.0, False)
+        if said < 0 and by_words:
+            if name in HOLDS:
+                said = 0.0
+            elif odds >= 0:
+                hidden.add(count)
         if odds < 0 and said < 0:
             odds, said = min(odds, said), 0.0
         stack.append((name, stack[-1][1] + odds + said, count))
+        if name in ("article", "main"):
+            holders.append(tuple(x[2] for x in stack))
     flush()
+    if hidden:
+        _of_all(found, hidden, holders)
     return found
 
 

@@ -17,11 +17,14 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements without text of their own for a reader; what they hold is left out.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "math", "xmp", "noframes", "noembed"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "noframes", "noembed"}
+#: Those that run to the page's end without an end tag; of the others only the tag is skipped then.
+UNENDING = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "mi", "mo", "mn", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mover", "munder", "munderover", "mspace", "mstyle", "mpadded", "semantics", "annotation",
 }
 #: Elements that a start tag of the same kind ends.
 ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -149,13 +152,24 @@ def blocks(html: str) -> list[Block]:
                     pop_to(k)
                     break
             continue
+        if name == "svg" and m[3].endswith("/"):
+            continue
+        if name == "xmp":  # its text is no markup
+            flush()
+            close = re.compile(r"</xmp\b[^>]*>?", re.I).search(html, at)
+            add(html[at : close.start() if close else end].replace("&", "&amp;"))
+            flush()
+            at = close.end() if close else end
+            continue
         if name in RAW:
             close = re.compile(rf"</{name}\b", re.I).search(html, at)
-            if not close:  # to the page's end
+            if not close:
+                if name not in UNENDING:
+                    continue
                 flush()
                 break
             at = html.find(">", close.end()) + 1 or end
-            if name not in ("svg", "math"):
+            if name != "svg":
                 parts.append(" ")
             continue
         if name == "br":

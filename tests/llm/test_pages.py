@@ -16,3 +16,13 @@ def test_names_of_other_parts_hide_nothing(at):
 def test_comments_stay_hidden():
     comments = "".join(f"<article><p>{LONG} {i}</p></article>" for i in range(9))
     assert main_text(f"<body>{PAGE}<div id=comments>{comments}</div></body>") == f"Head\n{LONG}"
+
+
+@pytest.mark.parametrize("odd", ["<svg viewBox='0 0 1 1'/>", "<svg/>", "<math/>", "<noscript>", "<template>", "<object data=x>", "<svg>"])
+def test_the_rest_is_not_dropped(odd):
+    assert main_text(f"<article><p>{LONG}</p>{odd}<p>{LONG} Twice.</p></article>") == f"{LONG}\n{LONG} Twice."
+
+
+def test_formulas_and_plain_text_stay():
+    assert main_text(f"<article><p>{LONG} So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == f"{LONG} So x=1 holds."
+    assert "a <b> &amp; c" in main_text(f"<article><p>{LONG}</p><xmp>a <b> &amp; c is kept as it stands in the page.</xmp></article>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,10 +72,34 @@ SERVER_RULES = (
     ("mcp.cors-wildcard", "WARNING", "insecure-patterns", ("javascript", "typescript"), r"origin\s*:\s*['\"]\*['\"]|Access-Control-Allow-Origin.*\*", None, None),
     ("mcp.pickle-load", "ERROR", "insecure-patterns", ("python",), r"\bpickle\.loads?\s*\(", None, None),
     ("mcp.yaml-unsafe-load", "ERROR", "insecure-patterns", ("python",), r"\byaml\.load\s*\(", None, None),
+    ("mcp.shell-exec-no-validation", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"\bexec(Sync)?\s*\(\s*(`[^`]*\$\{|['\"][^'\"]*['\"]\s*\+|[a-zA-Z_$][\w$]*(\s*\+|\s*,\s*\{[^}]*shell\s*:\s*true))", None, None),
+    ("mcp.fs-write-no-path-validation", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"\b(writeFile(Sync)?|createWriteStream|appendFile(Sync)?)\s*\(\s*[a-zA-Z_$]", None, None),
+    ("mcp.http-request-user-url", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"\b(fetch|axios\.(get|post|put|delete|request)|https?\.request|got|request)\s*\(\s*[a-zA-Z_$]", None, None),
+    ("mcp.exfiltration-network-socket", "WARNING", "data-exfiltration", ("javascript", "typescript"), r"\bnet\.(createConnection|connect|Socket)\s*\(|new\s+WebSocket\s*\(", None, None),
+    ("mcp.exec-string-concat", "ERROR", "insecure-patterns", ("javascript", "typescript"), r"\bexec\s*\(\s*['\"`][^'\"`]*['\"`]\s*\+", None, None),
+    ("mcp.cors-permissive", "INFO", "insecure-patterns", ("javascript", "typescript"), r"\bcors\s*\(\s*\)", None, None),
+)
+
+#: Rules whose pattern RE2 has not (look-ahead), in the same form.
+AHEAD_RULES = (
+    ("mcp.exfiltration-external-request", "ERROR", "data-exfiltration", ("javascript", "typescript"), r"\b(fetch|axios\.(post|put|patch)|https?\.request)\s*\(\s*['\"`]https?://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|::1)[^'\"` ]+['\"`]", None, None),
 )
+#: Rules for a line of a file of which no line holds the last pattern.
+FILE_RULES = (
+    ("mcp.no-auth-check", "INFO", "insecure-patterns", ("javascript", "typescript"), r"\b(createServer|listen)\s*\(", r"(?i)\b(auth|authenticate|authorize|jwt|bearer|token|apiKey|api_key|session|passport)\b"),
+)
+
+
+def _file_findings(lines: DataFrame, rules) -> list[DataFrame]:
+    found = []
+    for rule, severity, category, languages, pattern, unless in rules:
+        held = lines.where(F.col("text").rlike(unless)).select("path").distinct()
+        hit = lines.where(F.col("language").isin(*languages) & F.col("text").rlike(pattern)).join(held, "path", "left_anti")
+        found.append(hit.select("path", (F.col("line") + 1).alias("line"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category")))
+    return found
 
 
-def server_findings(lines: DataFrame, rules=SERVER_RULES) -> DataFrame:
+def server_findings(lines: DataFrame, rules=SERVER_RULES + AHEAD_RULES, file_rules=FILE_RULES) -> DataFrame:
     """lines (path, language, line 0-based, text) to (path, line 1-based, rule, severity, category), distinct.
 
     A rule with a frame looks at the lines around, by a window of bounded size over each file.
@@ -86,4 +112,5 @@ def server_findings(lines: DataFrame, rules=SERVER_RULES) -> DataFrame:
             hit &= F.max(F.col("text").rlike(unless).cast("int")).over(order.rowsBetween(*frame)) == 0
         tests.append(F.when(hit, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"))))
     found = lines.select("path", (F.col("line") + 1).alias("line"), F.array(*tests).alias("f"))
-    return found.select("path", "line", F.explode(F.array_compact("f")).alias("f")).select("path", "line", "f.*").distinct()
+    told = found.select("path", "line", F.explode(F.array_compact("f")).alias("f")).select("path", "line", "f.*")
+    return reduce(DataFrame.unionByName, _file_findings(lines, file_rules), told).distinct()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,11 +16,10 @@ from pyspark.sql import functions as F
 
 from .bpe_automaton import vocabulary
 from .common import stored, stored_path
+from .pieces import PieceIds, slices, word_pieces
 
 #: One row a document; ``part`` and ``start_in_part`` place it: the ids of its part's earlier documents.
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
-#: Words whose ids a worker keeps; when full, it starts anew.
-KEPT_WORDS = 700_000
 WRITER = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -31,51 +31,79 @@ WRITER = {
 }
 
 
+#: Pieces that one call of the library gets.
+CALL = 1000
+#: What pieces cut by their bytes consist of (``pieces.word_pieces``); odd words hold something else.
+PLAIN = regex.compile(r"[\x00-\x7f\xa1-\xff\u2010-\u2027]*")
+#: The kind of tokenizer that this encoder cuts texts for (fixed values of its file).
+PATTERN, NORMALIZERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", ["NFC", "Replace", "Lowercase"]
+
+
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each different word once.
+    """Ids by the tokenizers library, each different piece once.
 
-    The tokenizer's pre-splitter drops white space and splits at it, its normalizer works on characters,
-    and its special tokens hold no white space, so a text's ids are those of its words in order.
+    The tokenizer drops white space and splits at it, its normalizer works on characters, and its special
+    tokens hold no white space, so a text's ids are those of its words in order. Words are cut into the
+    pieces that its pre-splitter would make, in lower case; those not seen before go to the library's model
+    in calls of CALL. A word with a character beyond the tables, or maybe a special token, goes through the
+    whole tokenizer as it is.
     """
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        told = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(told)) - self.known.keys()
-        if len(new) + len(self.known) > KEPT_WORDS:
-            self.known.clear()
-            new = set(chain.from_iterable(told))
-        new = list(new)
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = tuple(found.ids)
-        return [list(chain.from_iterable(map(self.known.__getitem__, w))) for w in told]
-
-
-def _encoder(shared, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        told = json.loads(spec)
+        if told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN or [x["type"] for x in told["normalizer"]["normalizers"]] != NORMALIZERS:
+            raise ValueError("not a tokenizer of the kind with word ends")
+        self.tokenizer, self.model = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
+        for t in (self.tokenizer, self.model):
+            t.no_truncation()
+            t.no_padding()
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [x["content"] for x in told["added_tokens"]]
+        self.pieces = PieceIds(word_pieces, self._encode, self.special)
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if "<|" not in p and (p.isascii() or PLAIN.fullmatch(p))]
+        calls = [plain[k : k + CALL] for k in range(0, len(plain), CALL)]
+        for call, found in zip(calls, self.model.encode_batch([" ".join([pieces[k] for k in c]) for c in calls], add_special_tokens=False), strict=True):
+            ids, of = np.array(found.ids, np.int32), np.array(found.word_ids)
+            ends = np.searchsorted(of, np.arange(len(call)), "right").tolist()
+            for k, a, b in zip(call, [0, *ends], ends, strict=False):
+                out[k] = ids[a:b].tobytes()
+        odd = [k for k, ids in enumerate(out) if ids is None]
+        for k, found in zip(odd, self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, np.int32).tobytes()
+        return out
+
+
+#: The encoder of this worker process, which tasks use one after the other, by its tokenizer.
+_KEPT: dict[int, WordEncoder] = {}
+
+
+def _encoder(shared, key: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are shared out by tasks
-        encoder, part, start = WordEncoder(shared.value), TaskContext.get().partitionId(), 0
+        part, start = TaskContext.get().partitionId(), 0
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = WordEncoder(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                ids = [np.array([*x, end_id], np.int32) for x in encoder.encode(piece.column("text").to_pylist())]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                ends = start + np.cumsum(sizes)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            for piece in slices(batch):
+                ids, ends = _KEPT[key].pieces.texts(piece.column("text"))
+                n = piece.num_rows
+                ids = np.insert(ids, ends, end_id).astype(np.int32)
+                ends = ends + np.arange(1, n + 1)
+                starts = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - sizes), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
+                    [piece.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(start + starts), pa.array((ends - starts).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))],
                     ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
-                start = int(ends[-1])
+                start += int(ends[-1])
 
     return run
 
@@ -89,11 +117,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
     before they are encoded, so the sampling of ranges doesn't encode.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        spec = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
     key = ["doc_id", "_text", "_row"]
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
     ranged = told.repartitionByRange(*key).sortWithinPartitions(*key).select("doc_id", "text")
-    ranged.mapInArrow(_encoder(shared, end_id), SCHEMA).write.options(**WRITER).orc(path)
+    ranged.mapInArrow(_encoder(shared, zlib.crc32(spec.encode()), end_id), SCHEMA).write.options(**WRITER).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

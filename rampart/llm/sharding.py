@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: A group with over 1/LARGE of all bytes is an item of its own (so there are under LARGE of them); the
-#: rest go into BUNDLES items by their text's hash.
+#: rest go into BUNDLES items by their text's hash, whole groups too.
 LARGE, BUNDLES = 6144, 4096
-#: Pieces per fair share into which a group above a fair share is cut, and rows numbered by one task.
-PIECES, NUMBERED = 4, 20_000
+#: Rows of a shard that one task numbers.
+NUMBERED = 20_000
 
 
 def differencing(sizes: Sequence[int], ways: int) -> list[int]:
@@ -50,15 +51,17 @@ def differencing(sizes: Sequence[int], ways: int) -> list[int]:
 
 
 def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every document; the shards' bytes are nearly equal.
+    """doc_id, size, text_crc32, shard, slot of every document; the shards' bytes are as equal as whole groups allow.
 
-    docs: doc_id, text. Size: UTF-8 bytes + 8. Rows with equal texts (null equals null) form a group and
-    stay in one shard, unless the group alone exceeds a fair share of all bytes: then it is cut, by row,
-    into pieces of about a quarter of a share. Large groups and pieces are items of their own, all others
-    share BUNDLES hash bundles, and differencing deals these items; the driver sees at most LARGE +
-    BUNDLES + PIECES * shards + LARGE sums, whatever the input's size. Slots number a shard's rows from 0
-    without gaps, in a fixed but arbitrary order: rows are numbered within parts of a shard, then the parts
-    are put end to end. Repeated rows each get a slot; an empty table gives an empty result.
+    docs: doc_id, text and any other columns, which are ignored. Size: UTF-8 bytes + 8. Rows with equal
+    texts (null equals null) form a group, told apart by 128 bits of hash, and stay in one shard whatever
+    their number. A group above a fair share fills a shard of its own and the others share the rest
+    evenly. Large groups are items of their own; all others, whole, share BUNDLES hash bundles, whose sums
+    are exact; differencing deals these items. The driver sees at most LARGE + BUNDLES sums, whatever the
+    input's size. Slots number a shard's rows from 0 without gaps, in a fixed but arbitrary order: rows are
+    numbered within parts of a shard, then the parts are put end to end, so a shard with most of the rows
+    has more parts, not a larger task. Null ids and very long texts are rows like any other; repeated rows
+    each get a slot; an empty table gives an empty result.
     """
     full = F.coalesce("text", F.lit(""))
     rows = stored(
@@ -67,29 +70,26 @@ def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
             (F.octet_length(full) + 8).cast("long").alias("size"),
             F.crc32(full.cast("binary")).alias("text_crc32"),
             F.xxhash64("text").alias("hash"),
+            F.xxhash64(F.lit(1), "text").alias("more"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "sized",
     )
-    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    fair = max(1, (total.bytes or 0) / shards)
-    groups = rows.groupBy("hash", "size").agg(F.sum("size").alias("bytes"))
-    large = groups.where(F.col("bytes") > (total.bytes or 0) / LARGE).orderBy("hash", "size").collect()
-    listed, at = [], BUNDLES
-    for g in large:
-        pieces = -(-int(PIECES * g.bytes) // int(fair)) if g.bytes > fair else 1
-        listed.append((g["hash"], g["size"], at, pieces))
-        at += pieces
+    total = rows.agg(F.sum("size").alias("bytes")).first()
+    groups = rows.groupBy("hash", "more").agg(F.sum("size").alias("bytes"))
+    large = groups.where(F.col("bytes") > (total.bytes or 0) / LARGE).orderBy("hash", "more").collect()
+    listed = [(g["hash"], g["more"], BUNDLES + k) for k, g in enumerate(large)]
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(listed, "hash long, size long, first int, pieces int"))
-    piece = F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces")).cast("int")
-    items = rows.join(known, ["hash", "size"], "left").select("doc_id", "size", "text_crc32", "row", F.coalesce(F.col("first") + piece, F.pmod("hash", F.lit(BUNDLES)).cast("int")).alias("item"))
-    sums = {r["item"]: r["bytes"] for r in items.groupBy("item").agg(F.sum("size").alias("bytes")).collect()}
+    known = F.broadcast(spark.createDataFrame(listed, "hash long, more long, own int"))
+    items = rows.join(known, ["hash", "more"], "left").select("doc_id", "size", "text_crc32", "row", F.coalesce("own", F.pmod("hash", F.lit(BUNDLES)).cast("int")).alias("item"))
+    sums = {r["item"]: (r["bytes"], r["n"]) for r in items.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     order = sorted(sums)
-    ways = differencing([sums[i] for i in order], shards)
-    dealt = F.broadcast(spark.createDataFrame(list(zip(order, ways, strict=True)), "item int, shard int"))
-    parts = max(8, -(-(total.n or 0) // (shards * NUMBERED)))
-    placed = items.join(dealt, "item").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(parts)).cast("int")).drop("item")
+    ways = differencing([sums[i][0] for i in order], shards)
+    held = Counter()
+    for i, way in zip(order, ways, strict=True):
+        held[way] += sums[i][1]
+    dealt = F.broadcast(spark.createDataFrame([(i, way, -(-held[way] // NUMBERED)) for i, way in zip(order, ways, strict=True)], "item int, shard int, parts int"))
+    placed = items.join(dealt, "item").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int")).drop("item", "parts")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     ahead = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = stored(counts.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")), "offsets")

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from html import escape as html_escape
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: A quote that nothing ends, or that ends amid letters, is a character like any other, so that it swallows no text.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|["'])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+XMP = re.compile(r"</xmp\b[^>]*>?", re.I)
 #: Elements without text of their own for a reader; what they hold is left out.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "noframes", "noembed"}
 #: Those that run to the page's end without an end tag; of the others only the tag is skipped then.
@@ -58,12 +61,67 @@ UNIT = 1000
 
 @dataclass
 class Block:
+    #: The text's parts; a block that an inline element inside makes stands among them.
+    parts: list[str | Block]
     text: str
     letters: int
     linked: int
-    #: Log-odds by the elements around it; their numbers, from the root.
-    around: float
-    path: tuple[int, ...]
+    #: The innermost element around it.
+    element: int
+    #: Log-odds by the elements around it.
+    around: float = 0.0
+    #: Whether it is a part of another block.
+    inner: bool = False
+
+
+class Tree:
+    """The elements of a page in page order: parent, depth, and the log-odds that each adds."""
+
+    def __init__(self):
+        self.parent, self.depth, self.adds = [0], [0], [0.0]
+        #: Elements that hide by their names, and the main parts of the page.
+        self.named: set[int] = set()
+        self.main: set[int] = set()
+
+    def add(self, parent: int, odds: float) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.adds.append(odds)
+        return len(self.parent) - 1
+
+    def apart(self, a: int, b: int) -> int:
+        """Steps from a to b. Between blocks next to each other these are the elements that end or begin there."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            steps += 1
+        return steps
+
+    def settle(self, found: list[Block]) -> None:
+        """Gives the blocks what the elements around them add.
+
+        An element that hides by its name what is the page itself doesn't hide: one around every article and
+        main with over half of the letters, or with over nine tenths in a page without any.
+        """
+        n = len(self.parent)
+        letters, mains = [0] * n, [0] * n
+        for b in found:
+            letters[b.element] += b.letters
+        for e in self.main:
+            mains[e] += 1
+        for e in range(n - 1, 0, -1):
+            letters[self.parent[e]] += letters[e]
+            mains[self.parent[e]] += mains[e]
+        for e in self.named:
+            if mains[e] == mains[0] and letters[e] * 10 > letters[0] * (5 if mains[0] else 9):
+                self.adds[e] -= HIDDEN
+        around = [0.0] * n
+        for e in range(1, n):
+            around[e] = around[self.parent[e]] + self.adds[e]
+        for b in found:
+            b.around = around[b.element]
 
 
 @lru_cache(4096)
@@ -77,148 +135,179 @@ def _said(attributes: str) -> tuple[float, bool]:
     return (HIDDEN, True) if words & HIDES else (SHOWN, True) if words & SHOWS else (0.0, False)
 
 
-def _of_all(found: list[Block], hidden: set[int], holders: list[tuple[int, ...]]) -> None:
-    """Takes HIDDEN back from elements that hide by their names what is the page itself.
+class _Reader:
+    """Reads a page tag by tag; time grows with the page's length, however deep its elements lie."""
+
+    def __init__(self):
+        self.tree, self.found = Tree(), []
+        # Open elements: name and number. Inline ones stand here only if they link or hide.
+        self.stack: list[tuple[str, int]] = [("", 0)]
+        self.open: Counter[str] = Counter()
+        self.parts: list[str | Block] = []
+        self.linked = 0
+        #: Of inline elements that are blocks inside a block: the outer one's parts and linked letters.
+        self.outer: list[tuple[int, list[str | Block], int]] = []
+
+    def text(self, text: str) -> None:
+        self.parts.append(text)
+        if self.open["a"]:
+            self.linked += len(text)
+
+    def _block(self, element: int) -> Block | None:
+        raw = "".join(x for x in self.parts if isinstance(x, str))
+        text = " ".join(unescape(raw).split())
+        made = None
+        if text:
+            made = Block(self.parts, text, len(text), min(self.linked, len(text)), element)
+            self.found.append(made)
+        else:  # nothing of its own around inner blocks
+            for x in self.parts:
+                if isinstance(x, Block):
+                    x.inner = False
+        self.parts, self.linked = [], 0
+        return made
+
+    def flush(self) -> None:
+        while self.outer:
+            self._end_inner()
+        if self.parts:
+            self._block(self.stack[-1][1])
+
+    def _end_inner(self) -> None:
+        element, parts, linked = self.outer.pop()
+        made = self._block(element)
+        self.parts, self.linked = parts, linked
+        if made:
+            made.inner = True
+            self.parts += [" ", made, " "]
+
+    def push(self, name: str, odds: float) -> int:
+        number = self.tree.add(self.stack[-1][1], odds)
+        self.stack.append((name, number))
+        self.open[name] += 1
+        return number
+
+    def pop_to(self, k: int) -> None:
+        self.flush()
+        for name, _ in self.stack[k:]:
+            self.open[name] -= 1
+        del self.stack[k:]
+
+    def start_inline(self, name: str, attributes: str) -> None:
+        said = _said(attributes)[0] if attributes else 0.0
+        if said < 0:  # an inline advert or the like is a block of its own inside this one
+            self.outer.append((self.push(name, said), self.parts, self.linked))
+            self.parts, self.linked = [], 0
+        elif name == "a":
+            self.push(name, 0.0)
+
+    def end_inline(self, name: str) -> None:
+        if not self.open[name]:
+            return
+        k = len(self.stack) - 1
+        while self.stack[k][0] != name:
+            k -= 1
+        number = self.stack[k][1]
+        if any(x[0] == number for x in self.outer):
+            while self.outer[-1][0] != number:
+                self._end_inner()
+            self._end_inner()
+        for x, _ in self.stack[k + 1 :]:
+            if x not in INLINE:  # blocks that were begun inside stay open
+                break
+        else:
+            for x, _ in self.stack[k + 1 :]:
+                self.open[x] -= 1
+            del self.stack[k + 1 :]
+        self.open[name] -= 1
+        del self.stack[k]
+
+    def end(self, name: str) -> None:
+        self.flush()
+        if self.open[name]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != name:
+                k -= 1
+            self.pop_to(k)
+
+    def start(self, name: str, attributes: str) -> None:
+        self.flush()
+        ends = ALIKE.get(name, set()) | {"p"}
+        scope = SCOPES.get(name, set())
+        for k in range(len(self.stack) - 1, 0, -1):
+            there = self.stack[k][0]
+            if there in ends:
+                self.pop_to(k)
+                if name not in ALIKE or self.stack[-1][0] not in ends:
+                    break
+            elif there in scope or (there not in INLINE and there != "p" and not scope):
+                break
+            elif not any(self.open[x] for x in ends):
+                break
+        if name == "header":
+            odds = ARTICLE_HEADER if self.open["article"] or self.open["main"] else HEADER
+        else:
+            odds = INSIDE.get(name, 0.0)
+        said, by_words = _said(attributes) if attributes else (0.0, False)
+        hides = said < 0 and by_words and name not in HOLDS
+        if said < 0 and by_words and name in HOLDS:
+            said = 0.0
+        named = hides and odds >= 0
+        if odds < 0 and said < 0:
+            odds, said = min(odds, said), 0.0
+        number = self.push(name, odds + said)
+        if named:
+            self.tree.named.add(number)
+        if name in ("article", "main"):
+            self.tree.main.add(number)
 
-    Those are elements around every article and main with over half of the letters, or with over nine tenths in a page without any.
-    """
-    total = sum(b.letters for b in found)
-    for number in hidden:
-        inside = [b for b in found if number in b.path]
-        share = sum(b.letters for b in inside)
-        if all(number in p for p in holders) and share * 10 > total * (5 if holders else 9):
-            for b in inside:
-                b.around -= HIDDEN
-
-
-def blocks(html: str) -> list[Block]:
-    """The page's runs of text between block-level tags, in page order."""
-    found: list[Block] = []
-    # Open elements: name, log-odds so far, number; the number names the element in paths.
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
-    parts: list[str] = []
-    linked = links = 0
-    count = 0
-    at = 0
-    hidden: set[int] = set()
-    holders: list[tuple[int, ...]] = []
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            raw = "".join(parts)
-            text = " ".join((unescape(raw) if "&" in raw else raw).split())
-            if text:
-                found.append(Block(text, len(text), min(linked, len(text)), stack[-1][1], tuple(x[2] for x in stack)))
-            parts.clear()
-        linked = 0
-
-    def pop_to(k: int) -> None:
-        nonlocal links
-        flush()
-        links -= sum(x[0] == "a" for x in stack[k:])
-        del stack[k:]
-
-    def add(text: str) -> None:
-        nonlocal linked
-        parts.append(text)
-        if links:
-            linked += len(text)
-
-    end = len(html)
+
+def blocks(html: str) -> tuple[list[Block], Tree]:
+    """The page's runs of text between block-level tags, in page order, and its elements."""
+    page, at, end = _Reader(), 0, len(html)
     search = TAG.search
     while at < end:
         m = search(html, at)
         if not m:
-            add(html[at:])
+            page.text(html[at:])
             break
         if m.start() > at:
-            add(html[at : m.start()])
+            page.text(html[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         if m[1]:
-            if name in INLINE:
-                if name == "a" and links:
-                    k = max(i for i, x in enumerate(stack) if x[0] == "a")
-                    links -= 1
-                    del stack[k]
-                continue
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
+            page.end_inline(name) if name in INLINE else page.end(name)
+        elif name == "svg" and m[3].endswith("/"):
             continue
-        if name == "svg" and m[3].endswith("/"):
-            continue
-        if name == "xmp":  # its text is no markup
-            flush()
-            close = re.compile(r"</xmp\b[^>]*>?", re.I).search(html, at)
-            add(html[at : close.start() if close else end].replace("&", "&amp;"))
-            flush()
+        elif name == "xmp":  # its text is no markup
+            page.flush()
+            close = XMP.search(html, at)
+            page.text(html[at : close.start() if close else end].replace("&", "&amp;"))
+            page.flush()
             at = close.end() if close else end
-            continue
-        if name in RAW:
+        elif name in RAW:
             close = re.compile(rf"</{name}\b", re.I).search(html, at)
-            if not close:
-                if name not in UNENDING:
-                    continue
-                flush()
+            if close:
+                at = html.find(">", close.end()) + 1 or end
+                if name != "svg":
+                    page.parts.append(" ")
+            elif name in UNENDING:
                 break
-            at = html.find(">", close.end()) + 1 or end
-            if name != "svg":
-                parts.append(" ")
-            continue
-        if name == "br":
-            parts.append(" ")
-            continue
-        if name in VOID:
+        elif name == "br":
+            page.parts.append(" ")
+        elif name in VOID:
             if name == "hr":
-                flush()
-            continue
-        if name in INLINE:
-            if name == "a":
-                links += 1
-                count += 1
-                stack.append(("a", stack[-1][1], stack[-1][2]))
-            elif m[3] and (said := _said(m[3])[0]) < 0:  # an inline advert or the like is a block of its own
-                flush()
-                count += 1
-                stack.append((name, stack[-1][1] + said, count))
-            continue
-        flush()
-        ends = ALIKE.get(name, set()) | {"p"}
-        scope = SCOPES.get(name, set())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
-                pop_to(k)
-                if name not in ALIKE or stack[-1][0] not in ends:
-                    break
-            elif stack[k][0] in scope or (stack[k][0] not in INLINE and stack[k][0] != "p" and not scope):
-                break
-        count += 1
-        if name == "header":
-            odds = ARTICLE_HEADER if any(x[0] in ("article", "main") for x in stack) else HEADER
+                page.flush()
+        elif name in INLINE:
+            page.start_inline(name, m[3])
         else:
-            odds = INSIDE.get(name, 0.0)
-        said, by_words = _said(m[3]) if m[3] else (0.0, False)
-        if said < 0 and by_words:
-            if name in HOLDS:
-                said = 0.0
-            elif odds >= 0:
-                hidden.add(count)
-        if odds < 0 and said < 0:
-            odds, said = min(odds, said), 0.0
-        stack.append((name, stack[-1][1] + odds + said, count))
-        if name in ("article", "main"):
-            holders.append(tuple(x[2] for x in stack))
-    flush()
-    if hidden:
-        _of_all(found, hidden, holders)
-    return found
+            page.start(name, m[3])
+    page.flush()
+    page.tree.settle(page.found)
+    return page.found, page.tree
 
 
 def odds_of_content(block: Block) -> float:
@@ -227,15 +316,6 @@ def odds_of_content(block: Block) -> float:
     return own + (SENTENCE if block.text[-1] in ".!?:;…。\"'”" else 0.0) + block.around
 
 
-def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source's side of a minimum cut, by Dinic's maximum flow.
 
@@ -301,15 +381,15 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 break
 
 
-def content(found: list[Block]) -> list[bool]:
+def content(found: list[Block], tree: Tree) -> list[bool]:
     """Which blocks are content."""
     odds = [odds_of_content(b) for b in found]
     edges = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEAR / max(1, _apart(found[i - 1].path, b.path) - 1)))
-        parent = b.path[:-1]
+            edges.append((i - 1, i, NEAR / max(1, tree.apart(found[i - 1].element, b.element) - 1)))
+        parent = tree.parent[b.element]
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, SIBLINGS))
         last[parent] = i
@@ -320,8 +400,16 @@ def content(found: list[Block]) -> list[bool]:
 
 def main_text(html: str | None) -> str:
     """The page's main text: its content blocks, in page order, joined by line feeds."""
-    found = blocks(html or "")
-    return "\n".join(b.text for b, keep in zip(found, content(found), strict=True) if keep)
+    found, tree = blocks(html or "")
+    kept = {id(b) for b, keep in zip(found, content(found, tree), strict=True) if keep}
+
+    def said(b: Block) -> str:
+        whole = "".join(x if isinstance(x, str) else html_escape(said(x)) if id(x) in kept else "" for x in b.parts)
+        return " ".join(unescape(whole).split())
+
+    # A block inside another one stands in its text, unless only the inner one stays.
+    within = {id(x) for b in found if id(b) in kept for x in b.parts if isinstance(x, Block)}
+    return "\n".join(said(b) for b in found if id(b) in kept and id(b) not in within)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,82 +2,249 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY_BITS, histogram_cut, stored
-from .ngram_lm import NgramRatio, fit
+from .pieces import slices
 
+#: Buckets of the word unigrams, and as many of the bigrams.
+BUCKETS = 1 << 18
+#: Log-ratios are counted in whole parts of a nat, so that sums are exact and reruns agree.
+UNIT = 1024
 #: Sampling keys are counted in 2**-SCALE and clipped to 2**-(SCALE - KEY_BITS + 1).
 SCALE = 24
-MODEL = {"orders": (1, 2), "buckets": 2**15, "shrink": 32}
-
+#: An odd base of the words' polynomial hash, and multipliers that mix (fixed values of this table of weights).
+BASE, MIX, PAIR = 0x100000001B3, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
-def gumbel(seed: int) -> Column:
-    """Standard Gumbel noise from the document's id and text: reruns, and repeated rows, draw the same."""
-    bits = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(2**52 - 1)
-    return -F.log(-F.log((bits.cast("double") + 0.5) / float(2**52)))
 
+def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all texts' word unigrams and bigrams, and the text of each; null texts have none.
 
-def floor_and_width(model: NgramRatio, deviations: float) -> tuple[float, float]:
-    """The log-ratio that trusted documents stay above, and the temperature of the sampling weights.
-
-    The floor is the cut between labels; without bad ones so many deviations below the middle of held-out
-    trusted documents.
+    A word's hash is the sum of byte i times BASE**i, modulo 2**64; a bigram's is first * PAIR + second. The
+    bucket is the upper bits of the hash, times MIX after a fold.
     """
-    sd = max(model.sd or 0.0, 0.01)
-    return (model.mean or 0.0) - deviations * sd if model.cut is None else model.cut, sd / 3
-
-
-def with_keys(docs: DataFrame, model: NgramRatio, deviations: float, seed: int) -> DataFrame:
-    """``docs`` with log_ratio, log_weight (log_ratio over the temperature) and key.
-
-    The key falls as log_weight + Gumbel noise rises, so the k smallest keys are a sample of k documents
-    without replacement, by weight. A text without words has no log_ratio and the last key.
+    texts = texts.fill_null("") if texts.null_count else texts
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
+    lo, hi = int(ends[0]), int(ends[-1])
+    if lo == hi:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[lo:hi]
+    word = (raw != 32) & ((raw < 9) | (raw > 13))
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    at = ends[:-1][ends[:-1] < hi] - lo
+    first[at] = word[at]
+    starts, kept = np.flatnonzero(first), np.flatnonzero(word)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.searchsorted(kept, starts)
+    place = np.arange(len(kept)) - np.repeat(begins, np.diff(np.append(begins, len(kept))))
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(place.max()), BASE, np.uint64)]))
+    words = np.add.reduceat((raw[kept].astype(np.uint64) + np.uint64(1)) * powers[place], begins)
+    of = np.searchsorted(ends - lo, starts, "right") - 1
+    same = of[1:] == of[:-1]
+    pairs = (words[:-1] * np.uint64(PAIR) + words[1:])[same]
+    return np.concatenate([_bucket(words), _bucket(pairs) + BUCKETS]), np.concatenate([of, of[1:][same]])
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(MIX)
+    return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def weights_of(raw: np.ndarray, target: np.ndarray, prior: float, sure: float) -> np.ndarray:
+    """log p_target - log p_raw by bucket in whole UNITs; 0 where the counts could well come from one model.
+
+    The raw counts are half a count a bucket more; the target is smoothed by the raw distribution with
+    ``prior`` times its own mass. A ratio counts if the target's count is over ``sure`` standard deviations
+    from what the raw model expects; the others would only add noise, and more of it the longer a text is.
     """
-    _, width = floor_and_width(model, deviations)
-    half = 2 ** (KEY_BITS - 1)
-    noisy = (F.col("log_weight") + gumbel(seed)) * float(2**SCALE)
-    key = F.coalesce(F.least(F.greatest(half - F.round(noisy).cast("long"), F.lit(0)), F.lit(2 * half - 2)), F.lit(2 * half - 1))
-    return docs.withColumn("log_ratio", model.score(F.col("text"))).withColumn("log_weight", F.col("log_ratio") / width).withColumn("key", key)
-
-
-def resample_cut(docs: DataFrame, labels: DataFrame, *, deviations: float = 6.0, seed: int = 17, **how) -> tuple[NgramRatio, DataFrame, int, int]:
-    """The model, the scored documents (doc_id, log_ratio, log_weight, key), k, and the cut of the k smallest keys.
-
-    k is the number of documents that the target model explains: those with a log_ratio at or above the
-    floor, which is calibrated on held-out trusted against low-quality labels (``floor_and_width``). Which k
-    they are is sampled. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut
+    out = np.zeros(len(raw), np.int32)
+    for lo in range(0, len(raw), BUCKETS):
+        r, t = raw[lo : lo + BUCKETS].astype(float), target[lo : lo + BUCKETS].astype(float)
+        if not t.sum():
+            continue
+        p = (r + 0.5) / (r.sum() + 0.5 * len(r))
+        ratio = np.log((t + prior * p * t.sum()) / ((1 + prior) * t.sum()) / p)
+        expected = r / r.sum() * t.sum()
+        known = np.abs(t - expected) > sure * np.sqrt(expected + 1)
+        out[lo : lo + BUCKETS] = np.where(known, np.round(ratio * UNIT), 0).astype(np.int32)
+    return out
+
+
+def judged_labels(labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, kind of up to ``most`` labelled documents of a kind, by hash order: trusted, held out or bad.
+
+    Trusted documents are only called good and never toxic, a fifth of them is held out; bad ones are only
+    called bad, or toxic at all. The sample fits the target model and the cut alone.
+    """
+    per = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    good = per.where("lo = 1 and t = 0").orderBy(*order).limit(most).select("doc_id", F.when(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0, "held out").otherwise("trusted").alias("kind"))
+    return good.unionAll(per.where("hi = 0 or t = 1").orderBy(*order).limit(most).select("doc_id", F.lit("bad").alias("kind")))
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    for batch in batches:
+        for part in slices(batch):
+            buckets, of = gram_buckets(part.column("text"))
+            raw += np.bincount(buckets, minlength=2 * BUCKETS)
+            mine = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
+            if mine.any():
+                target += np.bincount(buckets[mine[of]], minlength=2 * BUCKETS)
+    some = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
+
+
+@dataclass(frozen=True)
+class Sampler:
+    """The weights by bucket, the cut between held-out trusted and bad documents, and how to sample."""
+
+    weights: np.ndarray
+    cut: float
+    temperature: float = 1.0
+    seed: int = 17
+
+    def log_ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the log-ratios of each text's n-grams in nats, and whether it has words."""
+        buckets, of = gram_buckets(texts)
+        total = np.bincount(of, self.weights[buckets], minlength=len(texts))  # whole numbers, so exact in doubles
+        return total / UNIT, np.bincount(of, minlength=len(texts)) > 0
+
+    def keys(self, log_ratio: np.ndarray, some: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Sampling keys: the higher log_ratio / temperature + Gumbel noise is, the lower; the last one without words.
+
+        The k smallest keys are a sample of k documents without replacement by their importance weights.
+        """
+        noise = -np.log(-np.log(((bits & (2**52 - 1)).astype(float) + 0.5) / 2.0**52))
+        half = 2 ** (KEY_BITS - 1)
+        noisy = np.round(np.clip((log_ratio / self.temperature + noise) * 2.0**SCALE, -half, half)).astype(np.int64)
+        return np.where(some, np.clip(half - noisy, 0, 2 * half - 2), 2 * half - 1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.02, sure: float = 3.0, sample: int = 5120, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
+    """Fits both models, the raw one on every document and the target one on the trusted sample, and the cut.
+
+    A task counts all buckets in memory (2 * BUCKETS numbers) and shuffles those sums. The cut is the
+    log-ratio that parts held-out trusted from bad documents best, losing at most the share ``lost`` of the
+    trusted. The sample is broadcast: it has at most 2 * ``sample`` rows.
+    """
+    chosen = F.broadcast(stored(judged_labels(labels, sample), "judged"))
+    told = docs.select("doc_id", "text").join(chosen, "doc_id", "left")
+    counted = told.select("text", F.coalesce(F.col("kind") == "trusted", F.lit(False)).alias("target")).mapInArrow(_counter, "bucket int, raw long, target long")
+    sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most 2 * BUCKETS rows
+    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    at = sums.column("bucket").to_numpy()
+    raw[at], target[at] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
+    sampler = Sampler(weights_of(raw, target, prior, sure), -np.inf, temperature, seed)
+    judged = docs.select("doc_id", "text").join(chosen.where("kind <> 'trusted'"), "doc_id")
+    scored = with_keys(judged.select("doc_id", "text", F.col("kind").alias("text_kind")), sampler, "text_kind").where("log_ratio is not null")
+    rows = scored.groupBy("doc_id", "text_kind").agg(F.min("log_ratio").alias("s")).collect()  # at most 2 * sample rows
+    good, bad = ([r.s for r in rows if (r.text_kind == "held out") is kind] for kind in (True, False))
+    return Sampler(sampler.weights, best_cut(good, bad, lost), temperature, seed)
+
+
+def best_cut(good: list[float], bad: list[float], lost: float) -> float:
+    """The score that parts good from bad best by the sum of both shares, with at most ``lost`` of the good below; without bad ones that allowance's score."""
+    if not good:
+        return -np.inf
+    good, bad = np.sort(good), np.sort(bad)
+    highest = good[int(lost * len(good))]
+    if not len(bad):
+        return float(highest)
+    cuts = np.unique(np.concatenate([good, bad + 1 / UNIT]))
+    cuts = cuts[cuts <= highest]
+    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(good, cuts) / len(good)
+    return float(cuts[np.flatnonzero(gain == gain.max())[-1]])
+
+
+def _scorer(sampler, more: tuple[str, ...]):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sampler.value
+        for batch in batches:
+            for part in slices(batch):
+                ratio, some = known.log_ratios(part.column("text"))
+                key = known.keys(ratio, some, part.column("bits").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ratio, mask=~some), pa.array(key), *(part.column(c) for c in more)], ["doc_id", "log_ratio", "key", *more])
+
+    return score
+
+
+def _bits(seed: int):
+    """64 bits from the document's id and text: reruns, and repeated rows, draw the same."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text").alias("bits")
+
+
+def with_keys(docs: DataFrame, sampler: Sampler, *more: str) -> DataFrame:
+    """doc_id, log_ratio, key and string columns ``more`` of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(sampler)  # 2 * BUCKETS numbers
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bits(sampler.seed), *more)
+    return told.mapInArrow(_scorer(shared, more), ", ".join(["doc_id long, log_ratio double, key long", *(f"{c} string" for c in more)]))
+
+
+def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, **how) -> tuple[Sampler, DataFrame, int, int]:
+    """The sampler, the scored documents (doc_id, log_ratio, key), k, and the cut of the k smallest keys.
+
+    k is the budget: ``share`` of the documents with words, or, where that is None, as many as have a
+    log_ratio at or above the sampler's cut: the number of documents that the target model explains. Which
+    k they are is sampled. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut
     are taken together.
     """
-    model = fit(docs, labels, **(MODEL | how))
-    least, _ = floor_and_width(model, deviations)
-    scored = stored(with_keys(docs.select("doc_id", "text"), model, deviations, seed).select("doc_id", "log_ratio", "log_weight", "key", F.lit(1).alias("all")), "scored")
-    k = scored.where(F.col("log_ratio") >= least).count()
+    sampler = fit(docs, labels, **how)
+    scored = stored(with_keys(docs, sampler), "scored")
+    within = F.col("log_ratio").isNotNull() if share is not None else F.col("log_ratio") >= sampler.cut
+    k = scored.where(within).count()
+    k = k if share is None else round(share * k)
     need = docs.sparkSession.range(1).select(F.lit(1).alias("all"), F.lit(float(k)).alias("need"))
-    cut = histogram_cut(scored.withColumn("one", F.lit(1)), "all", "key", "one", need).first()["cut"]
-    return model, scored, k, cut
+    cut = histogram_cut(scored.select("key", F.lit(1).alias("all"), F.lit(1).alias("one")), "all", "key", "one", need).first()["cut"]
+    return sampler, scored, k, cut
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, log_ratio, log_weight, key, kept of every document.
-
-    docs: doc_id, text; labels: doc_id, quality, toxic. Null and empty texts are never sampled; repeated
-    rows get the same key and verdict; with no trusted label all weights are equal and the sample is
-    nearly every document with words; an empty table gives an empty result.
+    """doc_id, log_ratio, key, kept of every document.
+
+    docs: doc_id, text and any other columns, which are ignored; labels: doc_id, quality, toxic. A document's
+    importance weight is exp(log_ratio / temperature), log_ratio being the sum over its whole text. Null and
+    empty texts have no log_ratio and are never sampled; very long texts are summed whole, in slices of
+    their own; repeated rows get the same key and verdict; null ids are documents like any other, without
+    labels; with no trusted label all weights are equal and every document with words is taken; an empty
+    table gives an empty result.
     """
-    _, scored, _, cut = resample_cut(docs, labels, **how)
-    return scored.drop("all").withColumn("kept", (F.col("key") < cut) & F.col("log_ratio").isNotNull())
+    _, scored, _, cut = resample(docs, labels, **how)
+    return scored.withColumn("kept", (F.col("key") < cut) & F.col("log_ratio").isNotNull())
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """Every document's log-ratio, sampling weight and verdict."""
+    """Every document's log-ratio, sampling key and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def keep_by_classifier(docs: DataFrame, labels: DataFrame, *, deviations: float = 6.0, seed: int = 17, **how) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with its columns; scores are computed again rather than joined."""
-    model, _, _, cut = resample_cut(docs, labels, deviations=deviations, seed=seed, **how)
-    told = with_keys(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "doc_id", "text"), model, deviations, seed)
-    return told.where((F.col("key") < cut) & F.col("log_ratio").isNotNull()).select("_doc.*")
+def _keeper(sampler, cut: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sampler.value
+        for batch in batches:
+            for part in slices(batch):
+                ratio, some = known.log_ratios(part.column("text"))
+                stay = some & (known.keys(ratio, some, part.column("bits").to_numpy()) < cut)
+                yield part.select(["rest", "text"]).filter(pa.array(stay))
+
+    return keep
+
+
+def keep_by_classifier(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that are sampled, with its columns, whatever their names; scores are computed again rather than joined."""
+    sampler, _, _, cut = resample(docs, labels, **how)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    told = docs.select(others, F.col("text").cast("string").alias("text"), _bits(sampler.seed))
+    shared = docs.sparkSession.sparkContext.broadcast(sampler)
+    kept = told.mapInArrow(_keeper(shared, cut), told.select("rest", "text").schema)
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))

@@ -99,15 +99,14 @@ class Cut:
     def contractions(self) -> None:
         """'s 't 're 've 'm 'll 'd, where a piece begins with the apostrophe, are pieces."""
         raw, n = self.raw, len(self.raw)
-        padded = np.concatenate([raw, np.zeros(3, np.uint8)])
-        fresh = np.concatenate([self.row, np.ones(3, bool)])
-        for i in np.flatnonzero((raw == 39) & self.start & (self.kind == OTHER)).tolist():
-            a, b = int(padded[i + 1]), int(padded[i + 2])
-            if fresh[i + 1] or a not in b"stmdrvl":
+        marks = np.flatnonzero(raw == 39)
+        for i in marks[self.start[marks] & (self.kind[marks] == OTHER)].tolist():
+            tail = raw[i + 1 : i + 3].tobytes()
+            if not tail or self.row[i + 1]:
                 continue
-            if a in b"stmd":
+            if tail[0] in b"stmd":
                 size = 2
-            elif not fresh[i + 2] and (a, b) in ((114, 101), (118, 101), (108, 108)):
+            elif tail in (b"re", b"ve", b"ll") and not self.row[i + 2]:
                 size = 3
             else:
                 continue
@@ -117,7 +116,7 @@ class Cut:
 
 
 def _kinds(raw: np.ndarray) -> np.ndarray:
-    kind = _ASCII[raw]
+    kind = np.take(_ASCII, raw)
     two = np.flatnonzero(raw == 0xC3)
     if len(two):
         second = raw[two + 1]
@@ -134,7 +133,9 @@ def _kinds(raw: np.ndarray) -> np.ndarray:
 
 def lowered(raw: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """The bytes with the letters of classified characters in lower case."""
-    low = np.where(kind == ODD, raw, _LOWER[raw])
+    low = np.take(_LOWER, raw)
+    odd = np.flatnonzero(kind == ODD)
+    low[odd] = raw[odd]
     two = np.flatnonzero(raw == 0xC3)
     if len(two):
         second = raw[two + 1]
@@ -154,14 +155,15 @@ def word_pieces(texts: pa.Array, special: list[bytes]) -> Split:
         return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
     cut.odd_words(cut.at(special))
     cut.changes()
-    cut.start |= (cut.kind == DIGIT) & (cut.raw & 0xC0 != 0x80)
+    digits = np.flatnonzero(cut.kind == DIGIT)
+    cut.start[digits[cut.raw[digits] & 0xC0 != 0x80]] = True
     low = lowered(cut.raw, cut.kind)
     cut.raw = low
     cut.contractions()
     keep = cut.kind != SPACE
     at = np.flatnonzero(cut.start & keep)
-    before = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])
-    offsets = np.append(before[at], before[-1]).astype(np.int32)
+    upto = np.cumsum(keep, dtype=np.int32)
+    offsets = np.append(upto[at] - 1, upto[-1]).astype(np.int32)
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(low[keep])), np.searchsorted(at, cut.ends)
 
 
@@ -215,13 +217,12 @@ class PieceIds:
         """The ids of different pieces."""
         found = list(map(self.young.get, pieces))
         new = []
-        for k, ids in enumerate(found):
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            ids = found[k] = self.old.get(pieces[k])
             if ids is None:
-                ids = found[k] = self.old.get(pieces[k])
-                if ids is None:
-                    new.append(k)
-                else:
-                    self._keep(pieces[k], ids)
+                new.append(k)
+            else:
+                self._keep(pieces[k], ids)
         for k, ids in zip(new, self.encode([pieces[k] for k in new]), strict=True):
             found[k] = ids
             self._keep(pieces[k], ids)

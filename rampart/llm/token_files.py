@@ -69,10 +69,10 @@ class WordEncoder:
         plain = [k for k, p in enumerate(pieces) if "<|" not in p and (p.isascii() or PLAIN.fullmatch(p))]
         calls = [plain[k : k + CALL] for k in range(0, len(plain), CALL)]
         for call, found in zip(calls, self.model.encode_batch([" ".join([pieces[k] for k in c]) for c in calls], add_special_tokens=False), strict=True):
-            ids, of = np.array(found.ids, np.int32), np.array(found.word_ids)
-            ends = np.searchsorted(of, np.arange(len(call)), "right").tolist()
+            ids = np.array(found.ids, np.int32).tobytes()
+            ends = (np.cumsum(np.bincount(found.word_ids, minlength=len(call))) * 4).tolist()
             for k, a, b in zip(call, [0, *ends], ends, strict=False):
-                out[k] = ids[a:b].tobytes()
+                out[k] = ids[a:b]
         odd = [k for k, ids in enumerate(out) if ids is None]
         for k, found in zip(odd, self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False), strict=True):
             out[k] = np.array(found.ids, np.int32).tobytes()

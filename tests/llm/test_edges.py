@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,10 +68,18 @@ def test_sharding(spark, docs, none):
     assert sharding.assign_shards(none).count() == 0
 
 
-def test_a_group_above_a_fair_share_is_cut(spark):
+def test_a_group_above_a_fair_share_stays_whole(spark):
     told = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, "same text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
-    got = sharding.assign_shards(told, 6).groupBy("shard").agg(F.sum("size").alias("b")).collect()
-    assert len(got) == 6 and max(r.b for r in got) < 1.1 * sum(r.b for r in got) / 6
+    got = sharding.assign_shards(told, 6).collect()
+    big = {r.shard for r in got if r.doc_id < 400}
+    assert len(big) == 1
+    bytes_of = Counter()
+    for r in got:
+        bytes_of[r.shard] += r["size"]
+    rest = [b for k, b in bytes_of.items() if k not in big]
+    assert len(rest) == 5 and max(rest) - min(rest) <= 16 and bytes_of[big.pop()] == 400 * 17
+    for k in bytes_of:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
 
 
 def test_differencing():

@@ -53,6 +53,11 @@ def language(path: Column, table: Mapping[str, str] = T.FILE_LANGUAGES, otherwis
     return F.when((base == "dockerfile") | F.startswith(base, F.lit("dockerfile.")), F.lit("dockerfile")).otherwise(found) if dockerfile else found
 
 
+def benchmark_language(path: Column) -> Column:
+    """The benchmark's language of a path: Dockerfile_* is a Dockerfile too, and texts are of no language."""
+    return F.when(F.startswith(file_name(path), F.lit("dockerfile_")), F.lit("dockerfile")).otherwise(language(path, T.BENCHMARK_LANGUAGES))
+
+
 def severity_rank(severity: Column) -> Column:
     return lookup(severity, T.SEVERITY_RANK, 0)
 

@@ -51,6 +51,13 @@ def fixed_line(rule_id: Column, language: Column, line: Column) -> Column:
     return cases(rows, F.lit(None).cast("string"))
 
 
+def shell_form(line: Column) -> Column:
+    """A Dockerfile's RUN in exec form: the command is what the replacement is made of, its quotes escaped."""
+    form = r"(?s)^(.*?)RUN\s+([^\n]+)$"
+    command = F.replace(F.regexp_extract(line, form, 2), F.lit('"'), F.lit('\\"'))
+    return F.when(line.rlike(form), F.concat(F.regexp_extract(line, form, 1), F.lit('RUN ["/bin/sh", "-c", "'), command, F.lit('"]'))).otherwise(line)
+
+
 def _acceptable(new: Column, line: Column) -> Column:
     """A changed line whose quotes and brackets pair up, without unsafe calls."""
     return F.coalesce((new != line) & balanced(F.regexp_replace(new, r"""\\["'`]""", "")) & ~new.rlike(UNSAFE), F.lit(False))

@@ -22,6 +22,14 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("src"), kind.alias("language"), F.explode(F.array_distinct(found)).alias("module"))
 
 
+def exports(files: DataFrame) -> DataFrame:
+    """files (path, language, text) to (path, name): what each file exports, ``default`` for a whole module."""
+    js = F.concat(F.regexp_extract_all("text", F.lit(r"export\s+(?:function|class|const|let|var)\s+(\w+)"), F.lit(1)), F.transform(F.regexp_extract_all("text", F.lit(r"module\.exports\s*="), F.lit(0)), lambda _: F.lit("default")))
+    py = F.regexp_extract_all("text", F.lit(r"(?m)^(?:def|class)\s+(\w+)"), F.lit(1))
+    found = cases([(F.col("language").isin("javascript", "typescript"), js), (F.col("language") == "python", py)], F.array().cast("array<string>"))
+    return files.select("path", F.explode(found).alias("name"))
+
+
 def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(src, module, dst): each import's first existing candidate file, other than the importer itself."""
     folder = F.regexp_replace("src", r"[^/]*$", "")
@@ -44,8 +52,9 @@ def tainted(assigns: DataFrame, sources: DataFrame, sanitized: DataFrame | None
     """(path, var, hops): variables that a source reaches through assignments, with the fewest assignments.
 
     assigns: path, target, source_var; sources: path, var; sanitized: path, target, source_var, assignments to
-    leave out. Rounds of joins, each with only what the last found, until nothing is new. Every round goes to
-    the shared folder, so that plans stay short and lost executors cost nothing.
+    leave out. Rounds of joins, each with only what the last found, until nothing is new; chains of more than
+    ``most_rounds`` assignments raise an error instead of an incomplete result. Every round goes to the
+    shared folder, so that plans stay short and lost executors cost nothing.
     """
     from ..sources.stored import stored
 
@@ -58,9 +67,11 @@ def tainted(assigns: DataFrame, sources: DataFrame, sanitized: DataFrame | None
         step = edge.join(edges, (edge.path == edges.path) & (edge.var == edges.source_var)).select(edges.path, F.col("target").alias("var")).distinct()
         edge = stored(step.join(known, ["path", "var"], "left_anti").withColumn("hops", F.lit(hops)), name)
         if edge.isEmpty():
-            break
+            return known
         known = known.unionByName(edge)
-    return known
+        if hops % 8 == 0:  # so that a round reads few tables, however long the chains
+            known = stored(known, name)
+    raise RuntimeError(f"taint still spreads after {most_rounds} rounds")
 
 
 def tainted_sinks(sinks: DataFrame, reached: DataFrame) -> DataFrame:

@@ -34,6 +34,16 @@ def previous_scan(scans: DataFrame, *series: str) -> DataFrame:
     return scans.withColumn("_n", F.row_number().over(W.partitionBy(*series).orderBy(F.desc("ts")))).where("_n = 2").drop("_n")
 
 
+def snapshot_deltas(snapshots: DataFrame, *series: str) -> DataFrame:
+    """snapshots (ts, precision, recall, f1) with four places, and what each changed since the one before."""
+    order = W.partitionBy(*series).orderBy("ts")
+    for c in ("precision", "recall", "f1"):
+        snapshots = snapshots.withColumn(c, F.round(c, 4))
+    for c in ("precision", "recall", "f1"):
+        snapshots = snapshots.withColumn(f"{c}_delta", F.round(F.col(c) - F.lag(c).over(order), 4))
+    return snapshots
+
+
 def top_files(findings: DataFrame, limit: int = 15) -> DataFrame:
     return findings.groupBy("path").agg(F.count("*").alias("issues")).orderBy(F.desc("issues"), "path").limit(limit)
 

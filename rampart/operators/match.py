@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,17 +50,34 @@ def detect_look_ahead(lines: DataFrame) -> DataFrame:
     return found.select("path", "language", "line", "text", F.explode(F.array_compact("rules")).alias("rule_id"), F.lit("warning").alias("severity"), F.lit("MEDIUM").alias("confidence"), F.lit("regex-fallback").alias("engine"))
 
 
+def rule_rows(rules: DataFrame, most: int = 20_000) -> list[Row]:
+    """The rows of a rule table, which is configuration; more than ``most`` are refused, not cut.
+
+    Patterns that stand in the plan as literals are compiled once a task and need neither a join nor a shuffle.
+    """
+    rows = rules.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a rule table of more than {most} patterns")
+    return sorted(rows, key=lambda r: (r.rule_id, r.pattern_idx))
+
+
 def regex_scan(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Lines against a table of rules (rule_id, pattern_idx, pattern, languages, severity): every match of every pattern.
 
-    Blank and comment lines are skipped first; matching ignores case. A rule pack is a small dimension, which
-    the optimizer broadcasts by its size. Returns one row a match, with its number within the line.
+    Blank and comment lines are skipped first; matching ignores case. The patterns are literals of one
+    projection (``rule_rows``): one pass, no join, no shuffle. Returns one row a match, with its number
+    within the line.
     """
     stripped = F.trim("text")
     code = lines.where((stripped != "") & ~F.startswith(stripped, F.lit("#")) & ~F.startswith(stripped, F.lit("//")) & ~F.startswith(stripped, F.lit("*")))
-    fits = F.array_contains("languages", F.col("language")) | F.array_contains("languages", F.lit("generic"))
-    hits = code.join(rules.withColumn("_p", F.concat(F.lit("(?i)"), "pattern")), fits & F.expr("text rlike _p"))
-    return hits.select("path", "language", "line", "text", "rule_id", "pattern_idx", "severity", F.posexplode(F.expr("regexp_extract_all(text, _p, 0)")).alias("match_no", "matched"))
+    tests = []
+    for r in rule_rows(rules):
+        p, languages = f"(?i){r.pattern}", r.languages or []
+        hit = F.col("text").rlike(p) if "generic" in languages else F.col("language").isin(*languages) & F.col("text").rlike(p)
+        found = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.pattern_idx).alias("pattern_idx"), F.lit(r.severity).cast("string").alias("severity"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("all"))
+        tests.append(F.when(hit, found))
+    hits = code.select("path", "language", "line", "text", F.explode(F.array_compact(F.array(*tests))).alias("f")) if tests else code.select("*", F.lit(None).cast("struct<rule_id:string,pattern_idx:int,severity:string,all:array<string>>").alias("f")).where("false")
+    return hits.select("path", "language", "line", "text", "f.rule_id", "f.pattern_idx", "f.severity", F.posexplode("f.all").alias("match_no", "matched"))
 
 
 def applicable(rules: DataFrame, language: str, categories: Iterable[str], noisy: Iterable[str]) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.columns import cases, js_round, lookup
+from ..sources.stored import stored
+from .match import rule_rows
 
 FIELDS = ("rule_id", "category", "severity", "confidence", "risk_score", "action")
 
@@ -21,13 +25,21 @@ def expand_code_blocks(text: Column) -> Column:
 def pattern_hits(prompts: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """One finding for each prompt and rule, by the rule's first pattern that matches.
 
-    prompts: prompt_id and ``text``; rules: rule_id, pattern_idx, pattern, and the FIELDS. The rule table is a
-    small dimension that the optimizer broadcasts; hits, which are few, are what the window shuffles.
+    prompts: prompt_id and ``text``; rules: rule_id, pattern_idx, pattern, and the FIELDS. The patterns are
+    literals of one projection, a rule's in their order: one pass over the prompts, no join, no shuffle.
     """
-    hits = prompts.select("prompt_id", F.col(text).alias("_t")).join(rules, F.expr("_t rlike pattern"))
-    first = W.partitionBy("prompt_id", "rule_id").orderBy("pattern_idx")
-    found = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return found.select("prompt_id", *FIELDS, F.left(F.expr("regexp_extract(_t, pattern, 0)"), F.lit(100)).alias("matched_text"))
+    tests = []
+    for _, rows in groupby(rule_rows(rules), key=lambda r: r.rule_id):
+        tries = []
+        for r in rows:
+            values = [F.lit(r[c]).cast("int" if c == "risk_score" else "string").alias(c) for c in FIELDS]
+            matched = F.left(F.regexp_extract(F.col("_t"), r.pattern, 0), F.lit(100)).alias("matched_text")
+            tries.append(F.when(F.col("_t").rlike(r.pattern), F.struct(*values, matched)))
+        tests.append(F.coalesce(*tries))
+    told = prompts.select("prompt_id", F.col(text).alias("_t"))
+    if not tests:
+        return told.select("prompt_id", *(F.lit(None).cast("int" if c == "risk_score" else "string").alias(c) for c in (*FIELDS, "matched_text"))).where("false")
+    return told.select("prompt_id", F.explode(F.array_compact(F.array(*tests))).alias("f")).select("prompt_id", "f.*")
 
 
 def decoded_hits(prompts: DataFrame, rules: DataFrame, text: str = "text", least: int = 40) -> DataFrame:
@@ -121,6 +133,29 @@ def verdicts(prompts: DataFrame, findings: DataFrame, sensitivity: str = "medium
     return told.select("prompt_id", "findings", F.coalesce("categories", F.lit(0)).alias("categories"), "risk_score", cases(((s >= at, name) for at, name in T.LEVELS), "NONE").alias("risk_level"), action.alias("action"))
 
 
+#: Fixed values of the editor's profile: weights of categories, levels, and the score from which an action is taken.
+EDITOR_WEIGHTS = {
+    "exfiltration": 1.0, "malicious-injection": 1.0, "system-manipulation": 1.0, "social-engineering": 0.8, "obfuscation": 0.7, "agent-manipulation": 0.9, "prompt-injection": 0.9,
+    "prompt-injection-content": 0.9, "prompt-injection-jailbreak": 0.85, "prompt-injection-extraction": 0.9, "prompt-injection-delimiter": 0.8,
+}
+EDITOR_LEVELS = ((85, "CRITICAL"), (70, "HIGH"), (50, "MEDIUM"), (25, "LOW"))
+
+
+def editor_verdicts(prompts: DataFrame, findings: DataFrame, sensitivity: str = "medium") -> DataFrame:
+    """The editor's score, level and action: a tenth more for each further finding, no bonus for kinds, no composites."""
+    points = F.col("risk_score").cast("double") / 100 * lookup(F.col("category"), EDITOR_WEIGHTS, 0.5) * lookup(F.coalesce("confidence", F.lit("MEDIUM")), T.CONFIDENCE_FACTORS, 0.7) * 100
+    acts = lambda a: F.bool_or(F.col("action") == a)
+    per = findings.groupBy("prompt_id").agg(F.count("*").alias("findings"), F.aggregate(F.array_sort(F.collect_list(points)), F.lit(0.0), lambda a, x: a + x).alias("_sum"), acts("BLOCK").alias("_block"), acts("WARN").alias("_warn"), acts("LOG").alias("_log"))
+    n = F.col("findings")
+    score = F.col("_sum") / n
+    score = F.when(n > 1, F.least(F.lit(100.0), score * (1 + (n - 1) * 0.1))).otherwise(score)
+    score = {"high": F.least(F.lit(100.0), score * 1.2), "low": score * 0.8}.get(sensitivity, score)
+    told = prompts.select("prompt_id").join(per, "prompt_id", "left").withColumn("risk_score", F.when(F.col("findings").isNull(), F.lit(0)).otherwise(js_round(score)).cast("int"))
+    s, flag = F.col("risk_score"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    action = cases([(flag("_block") | (s >= 70), "BLOCK"), (flag("_warn") | (s >= 50), "WARN"), (flag("_log") | (s >= 25), "LOG")], "ALLOW")
+    return told.select("prompt_id", F.coalesce("findings", F.lit(0)).alias("findings"), "risk_score", cases(((s >= at, name) for at, name in EDITOR_LEVELS), "NONE").alias("risk_level"), action.alias("action"))
+
+
 def recommendations(findings: DataFrame) -> DataFrame:
     """prompt_id, recommendations: those of the findings' categories, in the table's order, without repeats."""
     said = [F.when(F.array_contains("_c", F.lit(c)), F.array(*map(F.lit, texts))) for c, texts in T.RECOMMENDATIONS.items()]
@@ -134,10 +169,14 @@ def audit(text: Column) -> Column:
 
 
 def scan(prompts: DataFrame, rules: DataFrame, decoded_rules: DataFrame | None = None, sensitivity: str = "medium") -> tuple[DataFrame, DataFrame]:
-    """(findings, verdicts) of conversations' turns: prompt_id, conv_id, turn, text."""
+    """(findings, verdicts) of conversations' turns: prompt_id, conv_id, turn, text.
+
+    The prompts are matched once with their code blocks and once as they stand, for the turns before; what
+    is found is stored, and escalation, composites and verdicts work on that.
+    """
     direct = pattern_hits(prompts.withColumn("_full", expand_code_blocks(F.col("text"))), rules, "_full")
-    found = direct.unionByName(decoded_hits(prompts, rules if decoded_rules is None else decoded_rules))
+    found = stored(direct.unionByName(decoded_hits(prompts, rules if decoded_rules is None else decoded_rules)), "hits")
     prior = prior_hits(prompts.select("prompt_id", "conv_id", "turn"), pattern_hits(prompts, rules))
-    found = found.unionByName(escalation(found, prior))
+    found = stored(found.unionByName(escalation(found, prior)), "escalated")
     found = found.unionByName(composites(found))
     return found, verdicts(prompts, found, sensitivity)

@@ -13,7 +13,7 @@ from ..operators import prompts as pr
 from ..sources import files
 from ..sources.detectors import LOOK_AHEADS, detectors
 from ..sources.rule_packs import PROMPT_RULES, prompt_rules
-from ..sources.stored import stored_path
+from ..sources.stored import stored, stored_path
 from ..streaming import monitor
 from . import seeds
 from .seeds import ACTIONS_SQL, FINDINGS_SQL, LINES_SQL, PROMPTS_SQL, values
@@ -323,8 +323,8 @@ _C_SQL = "CASE confidence WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'LOW' THEN 0.4::DOUB
 def _findings(spark, d):
     """Findings without decoded content, as SQL has them."""
     told, rules = seeds.prompts(spark, d), prompt_rules(spark)
-    found = pr.pattern_hits(told, rules)
-    found = found.unionByName(pr.escalation(found, pr.prior_hits(told, found)))
+    found = stored(pr.pattern_hits(told, rules), "hits")
+    found = stored(found.unionByName(pr.escalation(found, pr.prior_hits(told, found))), "escalated")
     return told, found.unionByName(pr.composites(found))
 
 
@@ -336,7 +336,7 @@ def prompt_findings(spark, d):
 @query(f"WITH {_HITS_SQL} SELECT prompt_id, rule_id, severity, confidence, risk_score, action FROM escalated")
 def multi_turn_escalation(spark, d):
     told = seeds.prompts(spark, d)
-    found = pr.pattern_hits(told, prompt_rules(spark))
+    found = stored(pr.pattern_hits(told, prompt_rules(spark)), "hits")
     return pr.escalation(found, pr.prior_hits(told, found)).select("prompt_id", "rule_id", "severity", "confidence", "risk_score", "action")
 
 
@@ -564,7 +564,7 @@ def taint_sinks(spark, d):
 def syntax_call_matches(spark, d):
     """Calls and assignments in syntax trees; SQL has no parser."""
     told = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.format_string("x = input()\ny = x + 'k%d'\nos.system(y, shell=True)\nsafe(os.system(y))\n", "s_suppkey").alias("text"))
-    nodes = syntax.parse(told)
+    nodes = stored(syntax.parse(told), "nodes")
     calls = syntax.match_calls(nodes, "os.system", ["$X", "..."])
     kept = syntax.without(nodes.where("kind = 'call'"), calls.select("path", (F.col("pre")).alias("pre")))
     return calls.groupBy("path").agg(F.count("*").alias("calls")).join(kept.groupBy("path").agg(F.count("*").alias("others")), "path").join(syntax.assignments(nodes).groupBy("path").agg(F.count("*").alias("flows")), "path")
@@ -736,3 +736,5 @@ def verbosity_minimal(spark, d):
 @query(f"WITH {FINDINGS_SQL} SELECT path, line + 1 AS line, rule_id, severity FROM findings")
 def verbosity_compact(spark, d):
     return report.compact(seeds.findings(spark, d))
+
+from . import more  # noqa: E402,F401 - registers its queries

@@ -33,6 +33,17 @@ def _literal(x: str) -> str:
     return x.replace(".", r"\.")
 
 
+#: Extensions of a benchmark's corpus.
+CORPUS = ("py", "js", "ts", "java", "go", "txt", "dockerfile", "c", "rb", "php", "tf", "yaml")
+
+
+def corpus_files(paths: DataFrame) -> DataFrame:
+    """paths (path, relative) of a benchmark's corpus: files of the folder itself, by extension or Dockerfile*, in order."""
+    name = F.col("relative")
+    kept = name.rlike(r"\.(" + "|".join(CORPUS) + ")$") | F.startswith(F.lower(name), F.lit("dockerfile"))
+    return paths.where(kept & ~F.contains(name, F.lit("/"))).orderBy("relative")
+
+
 def changed_files(tracked: DataFrame, untracked: DataFrame, existing: DataFrame) -> DataFrame:
     """Distinct paths of changed tracked and of untracked files that still exist (each has a column path)."""
     return tracked.select("path").union(untracked.select("path")).distinct().join(existing.select("path").distinct(), "path", "left_semi")

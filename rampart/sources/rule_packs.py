@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,38 +36,110 @@ def prompt_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(rule, i, p, severity, category, confidence, risk, action, ["generic"], "") for rule, category, severity, confidence, risk, action, patterns in PROMPT_RULES for i, p in enumerate(patterns)], SCHEMA)
 
 
-def read_rule_packs(spark: SparkSession, folder: str, pattern: str = "*.yaml") -> tuple[DataFrame, DataFrame]:
-    """(rules, errors) of a folder's YAML packs; files in path order, the last one with an id wins.
-
-    rules: SCHEMA, one row a pattern that Java's engine compiles in; a leading (?i) is kept, one further in
-    isn't valid and drops its pattern, into errors (file, rule_id, pattern, reason). The files are read by the
-    driver: packs are configuration.
-    """
+def _rules_of(folder: str, pattern: str, errors: list[tuple[str, str, str, str]]) -> Iterator[tuple[str, dict]]:
+    """(file, rule) of a folder's packs in path order; packs are configuration, so the driver reads them."""
     import yaml
 
-    rules: dict[str, list[tuple]] = {}
-    errors: list[tuple[str, str, str, str]] = []
     for path in sorted(Path(folder).rglob(pattern)):
         try:
             listed = (yaml.safe_load(path.read_text(encoding="utf-8")) or {}).get("rules") or []
         except (yaml.YAMLError, AttributeError, UnicodeDecodeError) as e:
             errors.append((str(path), "", "", str(e)[:200]))
             continue
-        for rule in listed:
-            meta, rows = rule.get("metadata") or {}, []
-            texts = [p for p in rule.get("patterns") or [] if isinstance(p, str)] or [rule[k] for k in ("pattern-regex",) if isinstance(rule.get(k), str)]
-            for i, p in enumerate(texts):
-                why = _unusable(p)
-                if why:
-                    errors.append((str(path), str(rule.get("id")), p, why))
-                    continue
-                risk = meta.get("risk_score")
-                rows.append((rule.get("id"), i, p, str(rule.get("severity", "WARNING")), meta.get("category"), meta.get("confidence"), int(risk) if str(risk or "").isdigit() else None, meta.get("action"), [str(x) for x in rule.get("languages") or []], str(rule.get("message", ""))))
-            if rows:
-                rules[rule["id"]] = rows
+        yield from ((str(path), rule) for rule in listed if isinstance(rule, dict) and rule.get("id"))
+
+
+#: What tells that a string is a pattern over syntax, and that it is meant as a regex.
+SYNTAX = ("...", "$", "pattern-not", "pattern-inside", "metavariable")
+REGEX = re.compile(r"[\\^*+?{}\[\]|()]")
+
+
+def _regexes(rule: dict, prompts: bool) -> Iterator[tuple[str, str]]:
+    """(pattern, why it is none) of a rule's regexes, those in lists and alternatives too; plain text is escaped."""
+
+    def of(node: dict) -> Iterator[tuple[str, str]]:
+        p = node.get("pattern")
+        if isinstance(p, str):
+            yield (p, "pattern over syntax") if any(x in p for x in SYNTAX) else (p if REGEX.search(p) else re.escape(p), "")
+        if isinstance(node.get("pattern-regex"), str):
+            yield node["pattern-regex"], ""
+        for item in node.get("pattern-either") or []:
+            if isinstance(item, dict):
+                yield from of(item)
+
+    for item in rule.get("patterns") or []:
+        if isinstance(item, str):
+            yield (item, "pattern over syntax") if not prompts and any(x in item for x in SYNTAX) else (item, "")
+        elif isinstance(item, dict):
+            yield from of(item)
+    yield from of(rule)
+
+
+def read_rule_packs(spark: SparkSession, folder: str, pattern: str = "*.yaml", *, prompts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rules, errors) of a folder's YAML packs; files in path order, the last one with an id wins.
+
+    rules: SCHEMA, one row a pattern that Java's engine compiles in; a leading (?i) is kept, one further in
+    isn't valid and drops its pattern, into errors (file, rule_id, pattern, reason). Strings in ``patterns``,
+    ``pattern``, ``pattern-regex`` and ``pattern-either`` are read; without ``prompts``, strings that are
+    patterns over syntax go to errors (``read_syntax_rules`` reads them).
+    """
+    rules: dict[str, list[tuple]] = {}
+    errors: list[tuple[str, str, str, str]] = []
+    for path, rule in _rules_of(folder, pattern, errors):
+        meta, rows = rule.get("metadata") or {}, []
+        for i, (p, why) in enumerate(_regexes(rule, prompts)):
+            why = why or _unusable(p)
+            if why:
+                errors.append((path, str(rule["id"]), p, why))
+                continue
+            risk = meta.get("risk_score")
+            rows.append((rule["id"], i, p, str(rule.get("severity", "WARNING")), meta.get("category"), meta.get("confidence"), int(risk) if str(risk or "").isdigit() else None, meta.get("action"), [str(x) for x in rule.get("languages") or []], str(rule.get("message", ""))))
+        if rows:
+            rules[rule["id"]] = rows
     return spark.createDataFrame([r for rows in rules.values() for r in rows], SCHEMA), spark.createDataFrame(errors, "file string, rule_id string, pattern string, reason string")
 
 
+def _syntax_patterns(node, key: str = "") -> Iterator[tuple[bool, str]]:
+    """(excluded, pattern) of a rule's syntax patterns; lists of patterns count as alternatives, what lies around a match is not looked at."""
+    if isinstance(node, str):
+        if "\n" not in node.strip():
+            yield key == "pattern-not", node.strip()
+    elif isinstance(node, list):
+        for item in node:
+            yield from _syntax_patterns(item, key)
+    elif isinstance(node, dict):
+        for k in ("pattern", "patterns", "pattern-either", "pattern-not"):
+            if k in node:
+                yield from _syntax_patterns(node[k], k if k != "pattern" or key != "pattern-not" else key)
+
+
+def read_syntax_rules(folder: str, language: str, pattern: str = "*.yaml") -> tuple[list, list]:
+    """(syntax rules, taint rules) of a folder's packs for a language: ``syntax_rules.SyntaxRule`` and ``TaintRule``.
+
+    Of a rule any pattern may match and no excluded one; patterns of more than one line are left out, as are
+    rules without a pattern. Rules with ``mode: taint`` have sources, sinks and sanitizers.
+    """
+    from ..operators.syntax_rules import SyntaxRule, TaintRule
+
+    syntax: dict[str, SyntaxRule] = {}
+    taint: dict[str, TaintRule] = {}
+    for _, rule in _rules_of(folder, pattern, []):
+        languages = [str(x).lower() for x in rule.get("languages") or ["generic"]]
+        if language not in languages and "generic" not in languages:
+            continue
+        severity, message = {"ERROR": "error", "INFO": "info"}.get(str(rule.get("severity", "")).upper(), "warning"), str(rule.get("message", ""))
+        if rule.get("mode") == "taint":
+            of = lambda k, rule=rule: tuple(p for no, p in _syntax_patterns(rule.get(k) or []) if not no)
+            made = TaintRule(rule["id"], of("pattern-sources"), of("pattern-sinks"), of("pattern-sanitizers"), severity, message, tuple(languages))
+            if made.sources and made.sinks:
+                taint[rule["id"]] = made
+            continue
+        found = list(_syntax_patterns(rule))
+        if any(not no for no, _ in found):
+            syntax[rule["id"]] = SyntaxRule(rule["id"], tuple(p for no, p in found if not no), tuple(p for no, p in found if no), severity, message)
+    return list(syntax.values()), list(taint.values())
+
+
 def _unusable(pattern: str) -> str:
     if re.search(r".\(\?[a-z]+\)", pattern):
         return "flags inside the pattern"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,21 +15,40 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where unset, a temporary folder, in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rampart-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Paths of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is deleted at the end; results that read it must have been written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop(spark, path)
+
+
 def stored_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
+    """A fresh path in the shared folder, deleted at the end of the innermost scope, else when the driver's Python ends."""
     path = f"{shared_folder(spark)}/rampart-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(drop, spark, path)
     return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rampart.llm.bpe_automaton import digests, encode_decode, vocabulary
-from rampart.llm.common import stored_path
+from rampart.llm.common import drop, scope, stored_path
 from rampart.llm.mixing import mixed_documents
 from rampart.llm.quality_classifier import keep_by_classifier
 from rampart.llm.quality_rules import keep_by_rules
@@ -27,7 +27,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the smallest doc_id."""
+    """One document of each near-duplicate class, that with the smallest doc_id.
+
+    A class is joined by SimHash links, as in the operator's query, and by a similarity of 0.8 or more of the
+    sets of five-word shingles, which 4 bits alone would miss.
+    """
     return one_of_similar(docs)
 
 
@@ -54,10 +58,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; each stage's result is written to the shared folder and read again.
+
+    What a stage stores on its way, and its input, are deleted when its result is written. Documents may have
+    null ids, texts and sources, empty and very long texts, repeated rows and any further columns; what
+    becomes of them is each stage's operator's to say: rows without words go with the quality rules, rows
+    equal in id and text are one after the near-dedup, and an empty table gives an empty result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = stored_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

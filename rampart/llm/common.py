@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored, stored_path  # noqa: F401 - used by the operators
+from ..sources.stored import drop, scope, stored, stored_path  # noqa: F401 - used by the operators
 
 #: White space of the contracts: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"

@@ -1,4 +1,4 @@
-"""Near-dedup by similarity: MinHash bands propose pairs, the word shingles of both texts decide, stars instead of all pairs."""
+"""Near-dedup for corpora: SimHash links, and similarity for what lies further apart: MinHash bands propose pairs, the word shingles of both texts decide."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, words
 from .components import components
+from .simhash import RADIUS, fingerprint, links
 
 #: Two texts are near-duplicates if their sets of WORDS-word shingles have at least LEAST / OF in common.
 WORDS, LEAST, OF = 5, 4, 5
@@ -66,8 +67,12 @@ def node(text: Column) -> Column:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [bands(shingles(t or b"")) for t in (x.as_py() for x in batch.column("text").cast(pa.binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "bands"])
+        keys, prints = [], np.zeros(batch.num_rows, np.uint64)
+        for k, x in enumerate(batch.column("text").cast(pa.binary())):
+            text = x.as_py() or b""
+            keys.append(bands(shingles(text)))
+            prints[k] = fingerprint(text)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(prints.view(np.int64))], ["node", "bands", "fp"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,15 +89,16 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return told.select("a", "b", "a_text", "b_text").mapInArrow(_checked, "a long, b long")
 
 
-def similar_nodes(docs: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``docs`` (text) that a chain of similar texts links to another.
+def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of every node of ``docs`` (text) that a chain of links joins to another.
 
-    Every pair that shares a band is decided: first each member of a band's bucket with the bucket's least
+    Two texts are linked if their SimHash fingerprints differ in at most ``radius`` bits (``simhash.links``,
+    tiled exact comparison), or if their shingle sets are similar. For that every pair that shares a band is decided: first each member of a band's bucket with the bucket's least
     one; then, in buckets that still hold more than one component, all pairs of members of different
     components. A group of near copies is joined by the first step, so its pairs are never listed.
     """
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    banded = stored(named.mapInArrow(_banded, "node long, bands array<long>"), "banded")
+    banded = stored(named.mapInArrow(_banded, "node long, bands array<long>, fp long"), "banded")
     exploded = banded.select(F.explode("bands").alias("band"), "node")
     shared = exploded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
     members = stored(exploded.join(shared, "band").select("band", "a", "node").distinct(), "members")
@@ -107,11 +113,17 @@ def similar_nodes(docs: DataFrame) -> DataFrame:
     met = parts.join(parts.withColumnRenamed("part", "other"), "band").where("part < other")
     left = met.join(open_.withColumnRenamed("node", "a"), ["band", "part"])
     pairs = left.join(open_.select("band", F.col("part").alias("other"), F.col("node").alias("b")), ["band", "other"]).select("a", "b").distinct()
-    return stored(components(first.unionAll(_linked(pairs, texts)), "a", "b"), "linked")
+    # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
+    prints = stored(banded.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    alike = banded.select("fp", "node").distinct().join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    close = stored(links(prints, radius), "close")
+    ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    edges = first.unionAll(_linked(pairs, texts)).unionAll(alike).unionAll(ends)
+    return stored(components(edges, "a", "b"), "linked")
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` (doc_id, text, any others) for each class of near-duplicates by similarity, with its columns.
+    """One row of ``docs`` (doc_id, text, any others) for each class of near-duplicates, with its columns whatever their names.
 
     The row that stays is the least by doc_id with null last, then by the text's hash. Texts without words
     are one class; rows equal in id and text are one; an empty table gives an empty result.

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from rampart.llm import bpe_automaton, chat_format, html_extract, simhash
+from rampart.llm.quality_classifier import quality_classifier
 from rampart.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,7 +102,6 @@ def test_llr_separates_junk(spark):
     junk = [" ".join(f"word{(i + k) % 90}***" for k in range(80)) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
-    from rampart.llm.quality_classifier import quality_classifier
     from rampart.llm.quality_rules import quality_rules
 
     verdicts = {r.doc_id: r.kept for r in quality_rules(docs, labels).select("doc.doc_id", "quality.kept").collect()}
@@ -152,22 +152,6 @@ def test_bpe(spark, data, texts):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_bpe_on_odd_texts():
-    import random
-
-    from tokenizers import Tokenizer
-
-    path = bpe_automaton.vocabulary("byte_bpe_50k.json")
-    a, t = bpe_automaton.Automaton.load(path), Tokenizer.from_file(path)
-    e, r = bpe_automaton.Encoder(a), random.Random(1)
-    odd = ["a<|endoftext|>b  c\n\n d", "  lead", "trail  ", "\t\ttabs\t x", " " * 50 + "x", "a" * 3000, "\x1c\x1d x\x85y", "it's we'll 'S", "é" * 999, "<|endoftext|>", "\r\n\r\nabc\r\n", "x　y  z"]
-    odd += [b"".join(r.choices(a.labels, k=r.randint(1, 5))).decode("utf-8", "ignore") for _ in range(3000)]
-    odd += ["".join(map(chr, r.choices([*range(0x3000), *range(0x1F000, 0x1FA00)], k=6))) for _ in range(2000)]
-    for x in odd:
-        ids = t.encode(x, add_special_tokens=False).ids
-        assert e.encode(x) == ids and a.decode(ids).decode("utf-8", "replace") == t.decode(ids, skip_special_tokens=False)
-
-
 def test_tokens(spark, data, texts):
     from tokenizers import Tokenizer
 
@@ -204,7 +188,7 @@ def classes(fps):
 
 def test_simhash(spark, data, texts):
     got = sorted(QUERIES["op10_simhash_dedup"](spark, data).collect(), key=lambda r: r.doc_id)
-    assert all(int(r.fingerprint, 16) == slow_fingerprint(texts[r.doc_id] or "") for r in got[:60])
+    assert all(int(r.fingerprint, 16) == slow_fingerprint(texts[r.doc_id] or "") for r in got)
     fps = np.array([int(r.fingerprint, 16) for r in got], np.uint64)
     assert [r.component_id for r in got] == [got[i].doc_id for i in classes(fps)]
 
@@ -244,15 +228,24 @@ def test_pipeline(spark, data, texts):
     rules, classifier, dedup, mix = ([r.doc_id for r in f.collect()] for f in frames[1:5])
     kept = {r.doc_id for r in QUERIES["op7_quality_rules"](spark, data).collect() if r.kept}
     assert set(rules) == kept and set(classifier) <= kept
+    judged = {r.doc_id for r in quality_classifier(frames[1], spark.read.parquet(f"{data}/labels.parquet")).collect() if r.kept}
+    assert set(classifier) == judged
     order = sorted(classifier)
-    fps = np.array([simhash.fingerprint((texts[i] or "").encode()) for i in order], np.uint64)
-    assert sorted(dedup) == sorted({order[i] for i in classes(fps)})
+    prints = [simhash.fingerprint((texts[i] or "").encode()) for i in order]
+    shingles = [(lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})((texts[i] or "").lower().split()) for i in order]
+    of = list(range(len(order)))
+    for a in range(len(order)):
+        for b in range(a + 1, len(order)):
+            if of[a] != of[b] and ((prints[a] ^ prints[b]).bit_count() <= 4 or len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])):
+                lo, hi = sorted((of[a], of[b]))
+                of = [lo if c == hi else c for c in of]
+    assert sorted(dedup) == sorted({order[i] for i in of})
     words = lambda i: len(WORD.findall(texts[i] or ""))
     assert set(mix) <= set(dedup) and max(Counter(mix).values()) <= 2
     assert abs(sum(map(words, mix)) - 1.5 * sum(map(words, dedup))) < 0.05 * sum(map(words, dedup))
     t = Tokenizer.from_file(bpe_automaton.vocabulary("byte_bpe_50k.json"))
     last = p.run(spark, data).collect()
     assert Counter(r.doc_id for r in last) == Counter(mix)
-    for r in last[:40]:
+    for r in last:
         ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())

@@ -314,7 +314,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     docs: doc_id, text; ``path`` is the tokenizer's JSON file, read by the driver only: the compiled
     automaton (a few MB, fixed by the vocabulary) is broadcast. Null and empty texts have no ids;
-    repeated rows are encoded alike; an empty table gives an empty result. No shuffle.
+    repeated rows are encoded alike; very long texts are encoded whole, in slices of their own; null ids pass
+    through; further columns, whatever their names, are ignored; an empty table gives an empty result. No shuffle.
     """
     automaton = Automaton.load(path)
     key = zlib.crc32(repr((automaton.labels, automaton.made, automaton.special)).encode())

@@ -109,7 +109,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     turns: conv_id, turn, role, text. A conversation's formatted text is its rows' in order of turn, then of
     formatted; the loss mask covers loss_start to loss_end (code points of the part) where not null: the
-    assistant's texts. Null texts and roles are empty; repeated and tied turns all stay; no shuffle.
+    assistant's texts. Null texts and roles are empty; null ids are one conversation; repeated and tied turns
+    all stay; very long texts are escaped whole; further columns, whatever their names, are ignored; an empty
+    table gives an empty result; no shuffle.
     """
     told = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return told.mapInArrow(_format, "conv_id long, turn long, formatted string, loss_start int, loss_end int")

@@ -422,8 +422,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page: the article's text without the page around it.
 
     pages: page_id, url, html. Null, empty and text-free pages give an empty text; broken and cut-off
-    markup is read as far as it goes; repeated rows are read alike; ids and urls may be null. No shuffle;
-    a task holds one page's blocks at a time besides its batch.
+    markup is read as far as it goes; very long pages are read whole, in time linear in their tags; repeated
+    rows are read alike; ids and urls may be null; further columns, whatever their names, are ignored; an
+    empty table gives an empty result. No shuffle; a task holds one page's blocks at a time besides its batch.
     """
     told = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return told.mapInArrow(_extract, "page_id long, url string, text string")

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     source_size, target, whole, cut, copies, taken (size * copies). A source takes every document
     ``whole`` = floor(target / source_size) times and, once more, those whose hash key is below ``cut``,
     which ``histogram_cut`` finds. Null ids, texts (size 0) and sources (one source, last) are allowed;
-    rows equal in id and text are taken alike; a source without words has target 0 and takes nothing; an
+    rows equal in id and text are taken alike; very long texts count whole and weigh in a cut like any others; a source without words has target 0 and takes nothing; an
     empty table gives an empty mix. A source with most of the rows has larger sums, not a larger task.
     """
     sized, per = cuts(docs, weights, share, most)

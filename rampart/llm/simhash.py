@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, D
     a different fingerprint; keeper is the struct (unnamed, doc_id, text_hash) of the row that stands for
     the class, least by doc_id with null last, then by text_hash. Null and empty texts have fingerprint 0
     and link like any other; repeated rows share a class; a null doc_id stands for a class only if all its
-    ids are null; an empty table gives empty results.
+    ids are null; very long texts are hashed whole; further columns, whatever their names, are ignored; an
+    empty table gives empty results.
     """
     told = stored(fingerprints(docs), "fingerprints")
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")

@@ -113,7 +113,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) ->
 
     docs: doc_id, text. ``tokenizer`` is a JSON file of the tokenizers library, read by the driver. Null
     ids come first, null and empty texts have just the end id; rows of one id are ordered by their text's
-    hash, and even one id with most of the rows is ranged over many files. Ranges of documents are shuffled
+    hash, and even one id with most of the rows is ranged over many files. Very long texts are encoded whole,
+    in slices of their own; further columns, whatever their names, are ignored; an empty table gives files
+    without rows. Ranges of documents are shuffled
     before they are encoded, so the sampling of ranges doesn't encode.
     """
     with open(tokenizer, encoding="utf-8") as f:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SCALE, DIMENSIONS = 1024, 16
+SCALE, DIMENSIONS = 1024, 8
 #: Queries and vectors that a task holds at most (but for uneven hashing); vectors at least, if there are as many.
-QUERIES, VECTORS, FEWEST = 2048, 32768, 512
+QUERIES, VECTORS, FEWEST = 8192, 32768, 512
+#: Per result asked for, candidates with the best sums so far whose whole scores set the bound.
+SEEDS = 4
 #: Sums of products below this are exact in doubles; scores are clipped to LONG.
 EXACT, LONG = 2**53, 2**63 - 1
 
@@ -56,13 +58,20 @@ class Block:
             # By Cauchy and Schwarz the dimensions to come add at most this much, either way.
             slack = self.rest[b + 1][alive] * (left[b + 1] * (1 + 1e-9)) + 1e-3 * (b + 1 < len(self.at))
             if len(alive) > k:
-                least = max(least, np.partition(score - slack, len(alive) - k)[len(alive) - k])
+                least = max(least, self._reached(alive, score, q, k) if b + 1 < len(self.at) else np.partition(score, len(alive) - k)[len(alive) - k])
                 stay = score + slack >= least
                 if stay.sum() < 0.8 * len(alive):
                     alive, score, whole = alive[stay], score[stay], False
         best = np.lexsort((alive, -score))[:k]
         return self.ids[alive[best]], score[best].astype(np.int64), self.copies[alive[best]]
 
+    def _reached(self, alive: np.ndarray, score: np.ndarray, q: np.ndarray, k: int) -> float:
+        """A score that k candidates reach: the k-th of the whole scores of those that are best so far."""
+        n = min(len(alive), SEEDS * k)
+        seeds = alive[np.argpartition(score, len(alive) - n)[len(alive) - n :]]
+        whole = q @ self.columns[:, seeds]
+        return np.partition(whole, n - k)[n - k]
+
     def _in_whole_numbers(self, alive: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = [int(x) for x in q]
         scores = [max(-LONG - 1, min(LONG, sum(x * int(y) for x, y in zip(whole, self.columns[:, i], strict=True)))) for i in alive]
@@ -99,7 +108,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     row is a candidate and every query row asks, repeated ones too; all rows with the query's id are its
     own; the rows that ask with one id share one ranking. Scores beyond a long are clipped. Vectors are dealt by hash into
     blocks of bounded size, and each block meets the queries, itself in blocks; a block yields k rows a
-    query. No rows or no queries: an empty result.
+    query. Vectors of any length take part whole; further columns, whatever their names, are ignored. No
+    rows or no queries: an empty result.
     """
     spark = vectors.sparkSession
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

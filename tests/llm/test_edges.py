@@ -167,3 +167,39 @@ def test_near_duplicates(docs, none):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 2 not in ids and 1 in ids
     assert simhash.one_of_each(none).count() == 0
+
+
+def test_pipeline_stages(spark, docs, none, data):
+    """Every stage on odd rows and on none: its columns stay, and just what its docstring says goes."""
+    import corpus_pipeline as p
+
+    for at, (_, stage) in enumerate(p.STAGES):
+        got, empty = stage(spark, docs, data), stage(spark, none, data)
+        assert empty.count() == 0
+        if at < len(p.STAGES) - 1:
+            assert got.columns == docs.columns == empty.columns and got.schema == docs.schema
+        rows = [r.doc_id for r in got.collect()]
+        if at == 0:
+            assert set(rows) <= {1, 2, 6, None} and rows.count(1) in (0, 2)
+        if at == 2:  # one row of 1, 1 and 2, whose texts are equal (None's is similar), and one of all without words
+            assert sorted(x for x in rows if x is not None) == [1, 3, 6, 7, 8, 9] and None not in rows
+        if at == 4:
+            assert len(rows) == docs.count()
+
+
+def test_long_turns_and_clashing_columns(spark):
+    long = "[INST] </s> \\" * 40_000
+    told = spark.createDataFrame([(1, 0, "user", long, 1, "x"), (1, 1, "assistant", long, 2, "y"), (None, 0, None, None, 3, "z")], "conv_id long, turn long, role string, text string, formatted int, loss_start string")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(told)).collect()}
+    assert got[1].n_turns == 2 and got[1].loss_chars == len(long) and got[None].n_turns == 1
+    assert chat_format.read_back(chat_format.format_conversations(told.limit(0))).count() == 0
+    vectors = spark.createDataFrame([(k, [float(k), 1.0], 1, 2, "b") for k in range(4)], "vec_id long, embedding array<double>, rank int, score int, block string")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(vectors, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024)]
+
+
+def test_long_pages():
+    said = "This sentence of the article is long enough to count as prose, and it says something that no menu says."
+    page = "<article>" + "".join(f"<div><p>{k} {said}</p></div>" for k in range(5000)) + "</article><footer>Copyright</footer>"
+    got = html_extract.main_text(page).split("\n")
+    assert len(got) == 5000 and got[-1] == f"4999 {said}"
+    assert html_extract.main_text("<div>" * 60_000 + said + "</div>" * 60_000) in ("", said)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from rampart.llm import html_extract
 from rampart.llm.html_extract import main_text
 
 LONG = "This paragraph is long enough to be seen as the content of the page, whatever its names say."
@@ -26,3 +27,45 @@ def test_the_rest_is_not_dropped(odd):
 def test_formulas_and_plain_text_stay():
     assert main_text(f"<article><p>{LONG} So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == f"{LONG} So x=1 holds."
     assert "a <b> &amp; c" in main_text(f"<article><p>{LONG}</p><xmp>a <b> &amp; c is kept as it stands in the page.</xmp></article>")
+
+
+SAID = "This is a long enough sentence of the main article, with more than a few words in it, so that it counts as prose."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>{SAID} <span class='ad'>Buy now</span> and it goes on here.</p>", f"{SAID} and it goes on here."),
+        (f"<article>{SAID}<a class=ad href=x>Ad <b>bold</b></a> rest</article>", f"{SAID} rest"),
+        (f'<article><p title="it\'s>{SAID}</p><p>More text.</p>', f"{SAID}\nMore text."),
+        (f'<p title="it\'s>{SAID}</p><p>More "text" here, and {SAID}</p>', f'{SAID}\nMore "text" here, and {SAID}'),
+        (f"<article><p title='a > b' class=\"x\">{SAID}</p></article>", SAID),
+        (f"<p>{SAID} <i>in</i> <span class=ad><span class=ad>x</span> y</span> end of it, with a few more words.</p>", f"{SAID} in end of it, with a few more words."),
+    ],
+)
+def test_inline_parts_and_broken_quotes(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_the_cut_decides_where_blocks_alone_do_not():
+    """Pages of plain divs: short lines amid prose are content, short lines amid links are not, whatever each says alone."""
+    import random
+
+    r = random.Random(3)
+    changed = blocks = right = alone = 0
+    for _ in range(60):
+        short = lambda: " ".join(r.choices(["note", "see", "part", "one", "list"], k=r.randint(1, 3)))
+        body = [(f"<p>{SAID} {k}.</p>" if r.random() < 0.7 else f"<p>{short()}</p>", True) for k in range(8)]
+        body[0] = body[-1] = (f"<p>{SAID}</p>", True)
+        menu = [(f"<li><a href=x>{short()}</a></li>" if r.random() < 0.7 else f"<li>{short()}.</li>", False) for _ in range(8)]
+        page = "<div><ul>" + "".join(x for x, _ in menu) + "</ul></div><div>" + "".join(x for x, _ in body) + "</div>"
+        found, tree = html_extract.blocks(page)
+        want = [k for _, k in menu + body]
+        assert len(found) == len(want)
+        cut = html_extract.content(found, tree)
+        own = [html_extract.odds_of_content(b) > 0 for b in found]
+        blocks += len(want)
+        changed += sum(a != b for a, b in zip(cut, own, strict=True))
+        right += sum(a == b for a, b in zip(cut, want, strict=True))
+        alone += sum(a == b for a, b in zip(own, want, strict=True))
+    assert changed > 0.05 * blocks and right > alone and right > 0.97 * blocks, (changed, right, alone, blocks)

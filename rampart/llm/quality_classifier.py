@@ -130,7 +130,7 @@ class Sampler:
         return np.where(some, np.clip(half - noisy, 0, 2 * half - 2), 2 * half - 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.02, sure: float = 3.0, sample: int = 5120, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
+def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.02, sure: float = 3.0, sample: int = 40_960, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
     """Fits both models, the raw one on every document and the target one on the trusted sample, and the cut.
 
     A task counts all buckets in memory (2 * BUCKETS numbers) and shuffles those sums. The cut is the
@@ -147,14 +147,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.02, sure: float
     sampler = Sampler(weights_of(raw, target, prior, sure), -np.inf, temperature, seed)
     judged = docs.select("doc_id", "text").join(chosen.where("kind <> 'trusted'"), "doc_id")
     scored = with_keys(judged.select("doc_id", "text", F.col("kind").alias("text_kind")), sampler, "text_kind").where("log_ratio is not null")
-    rows = scored.groupBy("doc_id", "text_kind").agg(F.min("log_ratio").alias("s")).collect()  # at most 2 * sample rows
-    good, bad = ([r.s for r in rows if (r.text_kind == "held out") is kind] for kind in (True, False))
+    rows = scored.groupBy("doc_id", (F.col("text_kind") == "bad").alias("bad")).agg(F.min("log_ratio").alias("s")).toArrow()  # at most 2 * sample rows
+    is_bad, score = rows.column("bad").to_numpy().astype(bool), rows.column("s").to_numpy()
+    good, bad = score[~is_bad], score[is_bad]
     return Sampler(sampler.weights, best_cut(good, bad, lost), temperature, seed)
 
 
-def best_cut(good: list[float], bad: list[float], lost: float) -> float:
+def best_cut(good, bad, lost: float) -> float:
     """The score that parts good from bad best by the sum of both shares, with at most ``lost`` of the good below; without bad ones that allowance's score."""
-    if not good:
+    if not len(good):
         return -np.inf
     good, bad = np.sort(good), np.sort(bad)
     highest = good[int(lost * len(good))]

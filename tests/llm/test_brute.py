@@ -49,6 +49,8 @@ def test_sharding(spark, data, texts):
         shards[r.shard] += r["size"]
         at.setdefault(texts[r.doc_id], set()).add(r.shard)
     assert all(len(x) == 1 for x in at.values()) and len(shards) == 24
+    for k in shards:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
     assert max(shards.values()) - min(shards.values()) < 0.02 * sum(shards.values()) / 24 or max(shards.values()) <= max(s for s, _ in size.values()) * 1.01
 
 
@@ -97,6 +99,61 @@ def test_rules(spark, data, texts):
         assert not (r.kept and r.base_failed)
 
 
+def test_llr(spark, data, texts):
+    """Counts, weights, ratios, the cut and the verdicts by plain Python."""
+    import math
+
+    from rampart.llm import ngram_lm, quality_rules
+
+    buckets = 2**15
+
+    def grams(text):
+        w = [x.encode() for x in WORD.findall(text or "")]
+        h = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        return [signed(x) % buckets for x in h] + [signed(xxhash.xxh64_intdigest(b, a)) % buckets + buckets for a, b in zip(h, w[1:], strict=False)]
+
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    held = {r.doc_id: r.held_out for r in ngram_lm.trusted_sample(labels, 5120).collect()}
+    bad = {r.doc_id for r in ngram_lm.rejected_sample(labels, 5120).collect()}
+    raw, target, of = Counter(), Counter(), {i: grams(t) for i, t in texts.items()}
+    for i, g in of.items():
+        raw.update(g)
+        if held.get(i) is False:
+            target.update(g)
+    total = lambda c, k: sum(n for b, n in c.items() if b // buckets == k)
+    totals = [(total(raw, k), total(target, k)) for k in (0, 1)]
+
+    def weight(b):
+        r, t = totals[b // buckets]
+        p = (raw[b] + 0.5) / (r + 0.5 * buckets)
+        x = math.log((target[b] + p * 0.25 * t) / (1.25 * t) / p) * ngram_lm.UNIT
+        return math.floor(abs(x) + 0.5) * (1 if x > 0 else -1)
+
+    weights = {b: weight(b) for b in raw}
+    score = {i: sum(weights[b] for b in g) / ngram_lm.UNIT / len(g) if g else None for i, g in of.items()}
+    cut = ngram_lm.best_cut([score[i] for i, out in held.items() if out and score.get(i) is not None], [score[i] for i in bad if score.get(i) is not None])
+    for r in quality_rules.op7_quality_rules(spark, data).collect():
+        assert (r.llr is None) == (score[r.doc_id] is None) and (r.llr is None or abs(r.llr - score[r.doc_id]) < 1e-9)
+        assert r.kept == (not r.base_failed and score[r.doc_id] is not None and score[r.doc_id] >= cut - 1e-9)
+
+
+@pytest.mark.parametrize("repeated", [1, 23, 24, 25, 60])
+def test_covered_words_on_both_sides_of_few(spark, repeated):
+    """Texts with few and with many different repeated windows."""
+    from pyspark.sql import functions as F
+
+    from rampart.llm.quality_rules import FEW, covered_words
+
+    assert FEW == 24
+    w = [f"w{i}" for i in range(repeated + 2)]
+    text = w + [f"x{i}" for i in range(50)] + w + ["y", "y", "y", "y"]
+    grams = list(zip(text, text[1:], text[2:], strict=False))
+    twice = Counter(grams)
+    want = len({k + j for k, g in enumerate(grams) if twice[g] > 1 for j in range(3)})
+    assert spark.createDataFrame([(text,)], "w array<string>").select(covered_words(F.col("w")).alias("n")).first().n == want
+
+
 def test_llr_separates_junk(spark):
     clean = [f"{i} " + " ".join(f"word{(i * 7 + k * k) % 90}" for k in range(80)) for i in range(300)]
     junk = [" ".join(f"word{(i + k) % 90}***" for k in range(80)) for i in range(60)]
@@ -128,6 +185,7 @@ def test_chats(spark, data, sql):
         said = "".join(f"{r}\n{t}\n" for r, t in turns)
         assert (got[i].n_turns, got[i].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (got[i].loss_chars, got[i].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[i].formatted_chars == sum(len(chat_format.format_turn(r, t)[0]) for r, t in turns)
 
 
 def test_hostile_turns_come_back():

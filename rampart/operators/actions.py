@@ -53,36 +53,36 @@ def action_verdicts(actions: DataFrame) -> DataFrame:
     return found.select("action_id", "action_type", n.alias("findings"), verdict.alias("verdict"), level.alias("risk_level"))
 
 
-#: Server-source rules, own wording: id, severity, category, languages, pattern, the frame of lines around it
-#: (from, to; None: only itself) that must not hold the last pattern.
+#: Fixed values, server-source rules: id, severity, category, languages, pattern, the frame of lines around it (from, to;
+#: None: only itself) that must not hold the last pattern.
 SERVER_RULES = (
-    ("mcp.shell-exec-direct", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"\bexec(Sync)?\s*\(", None, None),
-    ("mcp.spawn-shell-true", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"shell\s*:\s*true", None, None),
-    ("mcp.subprocess-shell", "ERROR", "overly-broad-permissions", ("python",), r"subprocess\.\w+\s*\(.*shell\s*=\s*True", None, None),
+    ("mcp.shell-exec-no-validation", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"\b(exec|execSync)\s*\(\s*(`[^`]*\$\{|['\"][^'\"]*['\"]\s*\+|[a-zA-Z_$][\w$]*(\s*\+|\s*,\s*\{[^}]*shell\s*:\s*true))", None, None),
+    ("mcp.shell-exec-direct", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"\bchild_process\b.*\b(exec|execSync)\b|\b(exec|execSync)\s*\(", None, None),
+    ("mcp.spawn-shell-true", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"\b(spawn|spawnSync)\s*\([^)]*\{[^}]*shell\s*:\s*true", None, None),
+    ("mcp.subprocess-shell", "ERROR", "overly-broad-permissions", ("python",), r"subprocess\.(run|call|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True", None, None),
     ("mcp.os-system", "ERROR", "overly-broad-permissions", ("python",), r"\bos\.system\s*\(", None, None),
-    ("mcp.env-var-exposure", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"JSON\.stringify\s*\(\s*process\.env", None, None),
-    ("mcp.env-var-exposure-python", "WARNING", "overly-broad-permissions", ("python",), r"(dict|str|json\.dumps)\s*\(\s*os\.environ", None, None),
-    ("mcp.no-input-validation", "WARNING", "missing-input-validation", ("javascript", "typescript"), r"server\.tool\s*\(", (0, 14), r"z\.(object|string|number|enum|array)|schema|validate"),
-    ("mcp.path-no-normalize", "WARNING", "missing-input-validation", ("javascript", "typescript"), r"(readFile|writeFile)(Sync)?\s*\(\s*\w", (-5, 0), r"path\.(resolve|normalize)|realpath"),
-    ("mcp.url-no-validation", "WARNING", "missing-input-validation", ("javascript", "typescript"), r"\bfetch\s*\(\s*\w", (0, 4), r"new URL|allowlist|whitelist|startsWith"),
-    ("mcp.exfiltration-external-request-python", "ERROR", "data-exfiltration", ("python",), r"requests\.(post|put)\s*\(", None, None),
-    ("mcp.exfiltration-log-secrets", "WARNING", "data-exfiltration", ("javascript", "typescript", "python"), r"(?i)(console\.log|print|logger\.\w+)\s*\(.*(password|secret|token|api_?key)", None, None),
-    ("mcp.eval-usage", "ERROR", "insecure-patterns", ("javascript", "typescript", "python"), r"\beval\s*\(", None, None),
-    ("mcp.function-constructor", "ERROR", "insecure-patterns", ("javascript", "typescript"), r"\bnew\s+Function\s*\(", None, None),
-    ("mcp.cors-wildcard", "WARNING", "insecure-patterns", ("javascript", "typescript"), r"origin\s*:\s*['\"]\*['\"]|Access-Control-Allow-Origin.*\*", None, None),
-    ("mcp.pickle-load", "ERROR", "insecure-patterns", ("python",), r"\bpickle\.loads?\s*\(", None, None),
-    ("mcp.yaml-unsafe-load", "ERROR", "insecure-patterns", ("python",), r"\byaml\.load\s*\(", None, None),
-    ("mcp.shell-exec-no-validation", "ERROR", "overly-broad-permissions", ("javascript", "typescript"), r"\bexec(Sync)?\s*\(\s*(`[^`]*\$\{|['\"][^'\"]*['\"]\s*\+|[a-zA-Z_$][\w$]*(\s*\+|\s*,\s*\{[^}]*shell\s*:\s*true))", None, None),
-    ("mcp.fs-write-no-path-validation", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"\b(writeFile(Sync)?|createWriteStream|appendFile(Sync)?)\s*\(\s*[a-zA-Z_$]", None, None),
-    ("mcp.http-request-user-url", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"\b(fetch|axios\.(get|post|put|delete|request)|https?\.request|got|request)\s*\(\s*[a-zA-Z_$]", None, None),
+    ("mcp.fs-write-no-path-validation", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"\b(writeFileSync|writeFile|createWriteStream|appendFileSync|appendFile)\s*\(\s*[a-zA-Z_$]", None, None),
+    ("mcp.http-request-user-url", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"\b(fetch|axios\.(get|post|put|delete|request)|http\.request|https\.request|got|request)\s*\(\s*[a-zA-Z_$]", None, None),
+    ("mcp.env-var-exposure", "WARNING", "overly-broad-permissions", ("javascript", "typescript"), r"process\.env\b", None, None),
+    ("mcp.env-var-exposure-python", "WARNING", "overly-broad-permissions", ("python",), r"os\.environ\b|os\.getenv\s*\(", None, None),
+    ("mcp.no-input-validation", "WARNING", "missing-input-validation", ("javascript", "typescript"), r"\.tool\s*\(\s*[\"'][^\"']+[\"']\s*,\s*[\"'][^\"']*[\"']\s*,\s*\{[^}]*\}\s*,\s*(async\s+)?\(\s*\{", (0, 14), r"(?i)\b(z\.|zod\.|joi\.|validate|sanitize|schema|\.parse\(|\.safeParse\(|isValid|assert|check)\b"),
+    ("mcp.path-no-normalize", "WARNING", "missing-input-validation", ("javascript", "typescript"), r"\b(readFileSync|readFile|existsSync|statSync|stat|unlink|unlinkSync|rmdir|rmdirSync|mkdir|mkdirSync)\s*\(\s*[a-zA-Z_$]", (-5, 0), r"path\.(resolve|normalize|join)\s*\("),
+    ("mcp.url-no-validation", "WARNING", "missing-input-validation", ("javascript", "typescript"), r"new\s+URL\s*\(\s*[a-zA-Z_$][\w$.]*\s*\)|url\.parse\s*\(\s*[a-zA-Z_$][\w$.]*\s*\)", (0, 4), r"(?i)\.(hostname|host|protocol|origin)\s*(===|!==|==|!=)|allowlist|whitelist|allowed"),
     ("mcp.exfiltration-network-socket", "WARNING", "data-exfiltration", ("javascript", "typescript"), r"\bnet\.(createConnection|connect|Socket)\s*\(|new\s+WebSocket\s*\(", None, None),
+    ("mcp.exfiltration-log-secrets", "WARNING", "data-exfiltration", ("javascript", "typescript", "python"), r"(?i)\b(console\.(log|error|warn|info)|print|logging\.(info|warning|error|debug))\s*\([^)]*\b(key|token|password|secret|credential|api_key|apiKey|auth|bearer)\b", None, None),
+    ("mcp.eval-usage", "ERROR", "insecure-patterns", ("javascript", "typescript", "python"), r"\beval\s*\(", None, None),
+    ("mcp.function-constructor", "ERROR", "insecure-patterns", ("javascript", "typescript"), r"new\s+Function\s*\(", None, None),
     ("mcp.exec-string-concat", "ERROR", "insecure-patterns", ("javascript", "typescript"), r"\bexec\s*\(\s*['\"`][^'\"`]*['\"`]\s*\+", None, None),
+    ("mcp.cors-wildcard", "WARNING", "insecure-patterns", ("javascript", "typescript"), r"cors\s*\(\s*\{[^}]*origin\s*:\s*['\"]\*['\"]", None, None),
     ("mcp.cors-permissive", "INFO", "insecure-patterns", ("javascript", "typescript"), r"\bcors\s*\(\s*\)", None, None),
+    ("mcp.pickle-load", "ERROR", "insecure-patterns", ("python",), r"\bpickle\.(load|loads)\s*\(", None, None),
+    ("mcp.yaml-unsafe-load", "ERROR", "insecure-patterns", ("python",), r"\byaml\.load\s*\(", None, None),
 )
 
 #: Rules whose pattern RE2 has not (look-ahead), in the same form.
 AHEAD_RULES = (
-    ("mcp.exfiltration-external-request", "ERROR", "data-exfiltration", ("javascript", "typescript"), r"\b(fetch|axios\.(post|put|patch)|https?\.request)\s*\(\s*['\"`]https?://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|::1)[^'\"` ]+['\"`]", None, None),
+    ("mcp.exfiltration-external-request", "ERROR", "data-exfiltration", ("javascript", "typescript"), r"\b(fetch|axios\.(post|put|patch)|http\.request|https\.request)\s*\(\s*['\"`](https?://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|::1)[^'\"` ]+)['\"`]", None, None),
+    ("mcp.exfiltration-external-request-python", "ERROR", "data-exfiltration", ("python",), r"\b(requests\.(post|put|patch)|urllib\.request\.urlopen|httpx\.(post|put|patch))\s*\(\s*['\"`](https?://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|::1)[^'\"` ]+)['\"`]", None, None),
 )
 #: Rules for a line of a file of which no line holds the last pattern.
 FILE_RULES = (

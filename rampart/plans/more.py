@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.columns import benchmark_language, language, token_estimate
-from ..operators import actions, fixes, graph, history, match, packages, prompts, rules, syntax, syntax_rules, tools, triage
+from ..operators import fixes, graph, history, match, prompts, report, rules, syntax, syntax_rules, tools
 from ..sources import files
 from ..sources.rule_packs import prompt_rules
-from ..sources.stored import stored
+from ..sources.stored import stored, stored_path
 from . import seeds
 from .queries import _HITS_SQL, FINDINGS_SQL, GRADE_SQL, LINES_SQL, query
 from .seeds import values
@@ -319,3 +319,75 @@ def editor_verdicts_high(spark, d):
     """The editor's profile of score and action, at high sensitivity."""
     told = seeds.prompts(spark, d)
     return prompts.editor_verdicts(told, stored(prompts.pattern_hits(told, prompt_rules(spark)), "hits"), "high")
+
+
+# Files that are written and read back ------------------------------------------------------------
+
+
+@query(f"""WITH n AS (SELECT r.ecosystem, r.name FROM {values(seeds.POPULAR)} AS r(i, ecosystem, name)) SELECT ecosystem, name FROM n""")
+def registry_loaded(spark, d):
+    """Names in files of an ecosystem, a line each, blank lines and spaces beside."""
+    folder = stored_path(spark, "registry")
+    for eco in sorted({e for e, _ in seeds.POPULAR}):
+        names = [f" {n} " for e, n in seeds.POPULAR if e == eco] + ["", "   "]
+        spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{folder}/{eco}.txt")
+    return files.read_registry(spark, folder)
+
+
+@query("""WITH s AS (SELECT o_orderdate AS day, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS errors FROM orders GROUP BY 1), last AS (SELECT max(day) AS now FROM s)
+SELECT strftime(day, '%Y-%m-%dT%H-%M-%S') AS name, n AS issues_count, errors FROM s, last WHERE day >= now - INTERVAL 30 DAY""")
+def history_loaded(spark, d):
+    """Snapshots of the last 30 days, with file-safe times, from JSON files of which one is broken."""
+    folder = stored_path(spark, "snapshots")
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("day", F.col("o_orderdate").cast("timestamp"))
+    per = orders.groupBy("day").agg(F.count("*").alias("issues_count"), F.count_if(F.col("o_orderstatus") == "F").alias("errors"))
+    told = per.select(F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("issues_count").cast("int").alias("issues_count"), F.create_map(F.lit("error"), F.col("errors").cast("int")).alias("by_severity"))
+    told.write.json(folder)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(folder)
+    now = str(orders.agg(F.max("day")).first()[0])
+    found = files.read_history(spark, folder, 30, now, lines=True)
+    return found.select(F.date_format("ts", "yyyy-MM-dd'T'HH-mm-ss").alias("name"), F.col("issues_count").cast("long").alias("issues_count"), F.col("by_severity")["error"].cast("long").alias("errors"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT path, line, rule_id, CASE WHEN seq % 2 = 0 THEN '2024-01-01' ELSE '2024-01-02' END AS day FROM findings WHERE severity = 'error'")
+def history_saved(spark, d):
+    """Two scans appended to a history and read back by date."""
+    folder = stored_path(spark, "history")
+    found = seeds.findings(spark, d).where("severity = 'error'")
+    report.save_snapshot(found.where("seq % 2 = 0"), folder, "2024-01-01")
+    report.save_snapshot(found.where("seq % 2 <> 0"), folder, "2024-01-02")
+    return spark.read.schema("path string, line int, rule_id string, scan_date string").json(folder).select("path", "line", "rule_id", F.col("scan_date").cast("string").alias("day"))
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT '{{"path":"' || path || '","line":' || line || ',"rule_id":"' || rule_id || '"}}' AS finding FROM findings""")
+def verbosity_full(spark, d):
+    return report.full(seeds.findings(spark, d).select("path", "line", "rule_id"))
+
+
+# Lines -------------------------------------------------------------------------------------------
+
+BRACKETS = ("f(x)", "f(x", ")(", "a[{(1)}]", "say 'it", "\"a\" + 'b'", "`x", "}{", "", "((()))[]")
+
+
+@query(f"""WITH t AS (SELECT c_custkey, b.text FROM customer, {values(BRACKETS)} AS b(i, text) WHERE b.i = c_custkey % {len(BRACKETS)})
+SELECT c_custkey, text IN ('f(x)', 'a[{{(1)}}]', '"a" + ''b''', '', '((()))[]') AS ok FROM t""")
+def balanced_lines(spark, d):
+    """Whether quotes pair up and brackets nest."""
+    from ..functions.columns import balanced
+
+    told = spark.read.parquet(f"{d}/customer.parquet").withColumn("i", (F.col("c_custkey") % len(BRACKETS)).cast("int")).join(F.broadcast(seeds.table(spark, BRACKETS, "text string")), "i")
+    return told.select("c_custkey", balanced(F.col("text")).alias("ok"))
+
+
+@query(f"""WITH {LINES_SQL} SELECT DISTINCT language, CASE language WHEN 'python' THEN 'os.environ.get("KEY")' WHEN 'javascript' THEN 'process.env.KEY' WHEN 'ruby' THEN 'ENV[''KEY'']' WHEN 'php' THEN 'getenv(''KEY'')'
+  WHEN 'rust' THEN 'std::env::var("KEY")' WHEN 'csharp' THEN 'Environment.GetEnvironmentVariable("KEY")' ELSE '${{KEY}}' END AS read FROM lines""")
+def environment_reads(spark, d):
+    return seeds.lines(spark, d).select("language", fixes.environment(F.col("language"), "KEY").alias("read")).distinct()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in (
+    "innerhtml", "outerhtml", "document-write", "insertadjacenthtml", "spawn-shell", "dangerous-subprocess", "md5", "sha1", "ecb-mode", "insecure-random", "yaml-load", "pickle", "ssl-verify-disabled", "insecure-skip-verify",
+    "cors-wildcard", "debug", "latest-tag", "chmod", "curl-insecure", "hardcoded", "api-key", "password", "secret-key")) + ") AS t(key)")
+def fix_keys(spark, d):
+    """The keys that have a fix."""
+    return spark.createDataFrame([(t[0],) for t in (*fixes.TEMPLATES, *fixes.SECRETS)], "key string")

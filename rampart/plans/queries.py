@@ -367,9 +367,13 @@ for _s in T.THRESHOLDS:
     _verdict(_s)
 
 
-@query()
+@query(f"""WITH {PROMPTS_SQL}, rules AS (SELECT * FROM {_PRULES_SQL} AS r(i, rule_id, pattern_idx, pattern, category, severity, confidence, risk_score, action)),
+runs AS (SELECT prompt_id, rtrim(unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{{40,}}={{0,2}}')), '=') AS x FROM prompts), cut AS (SELECT prompt_id, row_number() OVER () AS run, CASE WHEN length(x) % 4 = 1 THEN x[:-2] ELSE x END AS x FROM runs),
+told AS (SELECT prompt_id, run, TRY(decode(from_base64(x || repeat('=', ((4 - length(x) % 4) % 4)::BIGINT)))) AS plain FROM cut),
+hits AS (SELECT prompt_id, rule_id, plain, pattern, row_number() OVER (PARTITION BY run, rule_id ORDER BY pattern_idx) AS n FROM told t JOIN rules r ON regexp_matches(t.plain, r.pattern) WHERE length(regexp_replace(plain, '[^ -~\\n\\r\\t]', '', 'g'))::DOUBLE / greatest(length(plain), 1) > 0.7)
+SELECT prompt_id, rule_id || '.base64-decoded' AS rule_id, left(regexp_extract(plain, pattern), 100) AS matched_text FROM hits WHERE n = 1""")
 def decoded_prompt_findings(spark, d):
-    """Findings in decoded content, and their prompts' verdicts; base64 of any alignment is beyond the SQL."""
+    """Findings in decoded content."""
     return pr.decoded_hits(seeds.prompts(spark, d), prompt_rules(spark)).select("prompt_id", "rule_id", "matched_text")
 
 

@@ -96,15 +96,15 @@ def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """ecosystem, name from files <ecosystem>.txt with a name a line."""
-    eco = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
+    """ecosystem, name from files, or folders of parts, <ecosystem>.txt with a name a line."""
+    eco = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.txt(?:/part-[^/]*)?$", 1)
     return spark.read.text(f"{folder}/*.txt").select(eco.alias("ecosystem"), F.trim("value").alias("name")).where("name <> ''")
 
 
-def read_history(spark: SparkSession, folder: str, days: int, now: str) -> DataFrame:
-    """Snapshots of the last ``days`` days before ``now``, oldest first; broken ones are skipped."""
+def read_history(spark: SparkSession, folder: str, days: int, now: str, *, lines: bool = False) -> DataFrame:
+    """Snapshots of the last ``days`` days before ``now``, oldest first; broken ones are skipped. A file holds one, or one a line."""
     kinds = "timestamp string, directory string, grade string, files_scanned int, issues_count int, by_severity map<string,int>, issues array<struct<ruleId:string,file:string,line:int>>"
-    rows = spark.read.schema(kinds).option("mode", "DROPMALFORMED").option("multiLine", "true").json(folder)
+    rows = spark.read.schema(kinds).option("mode", "DROPMALFORMED").option("multiLine", not lines).json(folder)
     rows = rows.withColumn("ts", F.to_timestamp("timestamp"))
     return rows.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))).orderBy("ts")
 

@@ -11,3 +11,19 @@ def test_added_rules(spark):
     added = {r for _, r in want}
     assert {x for x in got if x[2] in added} == {("a.js", *x) for x in want}
     assert len({r[0] for r in SERVER_RULES + AHEAD_RULES + FILE_RULES}) == 24
+
+
+def test_rules_with_frames(spark):
+    """What must not stand in the lines around, near and just beyond the frame."""
+    told = {
+        "a.js": ["new URL(address)", "x", "x", "x", "x", "if (u.hostname === 'a') {}"],
+        "b.js": ["new URL(address)", "x", "if (u.hostname === 'a') {}"],
+        "c.js": ["path.resolve(p)", "x", "x", "x", "x", "readFile(p)"],
+        "d.js": ["path.resolve(p)", "x", "x", "x", "x", "x", "readFile(p)"],
+        "e.js": ["server.tool('a', 'b', {}, async ({ x }) => {", "z.string()"],
+        "f.js": ["server.tool('a', 'b', {}, async ({ x }) => {"],
+        "g.py": ["k = os.getenv('A')", "requests.post('https://a.example/')", "requests.post('http://localhost/')"],
+    }
+    rows = [(p, "python" if p.endswith("py") else "javascript", i, t) for p, lines in told.items() for i, t in enumerate(lines)]
+    got = {(r.path, r.line, r.rule.removeprefix("mcp.")) for r in server_findings(spark.createDataFrame(rows, "path string, language string, line int, text string")).collect()}
+    assert got == {("a.js", 1, "url-no-validation"), ("d.js", 7, "path-no-normalize"), ("f.js", 1, "no-input-validation"), ("g.py", 1, "env-var-exposure-python"), ("g.py", 2, "exfiltration-external-request-python")}

@@ -21,9 +21,11 @@ PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 #: Pieces beyond ASCII that were cut by their bytes (``pieces.byte_level_pieces``); others may hold several.
 PLAIN = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}\x00-\x1f]+)")
 #: Words up to so many bytes are encoded together, at most so many at once; a longer one goes alone.
-SHORT, TOGETHER = 48, 1 << 16
+SHORT, TOGETHER = 48, 1 << 14
 #: Answers of the automaton that a worker keeps (a prime number).
-KEPT_ARCS = 2_000_003
+KEPT_ARCS = 1_000_003
+#: Places of the table of moves, a power of two; at most a quarter of them is taken.
+PLACES = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,12 +73,12 @@ class Automaton:
         ids = {x: t for t, x in enumerate(self.labels) if self.known[t]}
         #: Every prefix of a label: its token, or -1.
         self.table = dict.fromkeys((x[:i] for x in ids for i in range(len(x))), -1) | ids
-        #: The same as a table of moves by byte: from each prefix that goes on (they come first) to the longer one, or -1.
+        #: The same as a table of moves by byte, from each prefix that goes on (they come first) to the longer one, in places by hash.
         goes_on = dict.fromkeys([b"", *(x[:-1] for x in self.table if x)])
+        self.inner = len(goes_on)
         number = {x: k for k, x in enumerate([*goes_on, *(x for x in self.table if x not in goes_on)])}
-        self.moves = np.full((len(goes_on), 256), -1, np.int32)
         of = [x for x in number if x]
-        self.moves[[number[x[:-1]] for x in of], [x[-1] for x in of]] = [number[x] for x in of]
+        self._set_moves(np.array([number[x[:-1]] * 256 + x[-1] for x in of], np.int64), np.array([number[x] for x in of], np.int32))
         self.token = np.array([self.table[x] for x in number], np.int32)
         self.sizes = np.array([len(x) for x in self.labels], np.int32)
         # The gadgets as arrays, the table of lacking arcs sorted by u, v.
@@ -90,6 +92,39 @@ class Automaton:
         self.piece = regex.compile(PIECE)
         self.emit = pa.array(self.labels, pa.binary())
 
+    def _set_moves(self, keys: np.ndarray, to: np.ndarray) -> None:
+        places = PLACES
+        while places < 4 * len(keys):
+            places *= 2
+        self.move_keys, self.move_to = np.full(places, -1, np.int64), np.full(places, -1, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            free = self.move_keys[at] < 0
+            self.move_keys[at[free]] = keys[free]
+            mine = self.move_keys[at] == keys
+            self.move_to[at[mine]] = to[mine]
+            keys, to, at = keys[~mine], to[~mine], (at[~mine] + 1) % places
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * -7046029254386353131 >> 24) % len(self.move_keys)
+
+    def moved(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The prefix that the byte makes of each prefix, or -1."""
+        keys = node.astype(np.int64) * 256 + byte
+        at = self._place(keys)
+        held = self.move_keys[at]
+        found = np.where(held == keys, self.move_to[at], -1)
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[more]
+        while len(more):
+            at = (at + 1) % len(self.move_keys)
+            held = self.move_keys[at]
+            hit = held == keys[more]
+            found[more[hit]] = self.move_to[at[hit]]
+            go = ~hit & (held >= 0)
+            more, at = more[go], at[go]
+        return found
+
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("labels", "special", "left", "right", "made", "lacks", "known")}
 
@@ -213,7 +248,7 @@ class Automaton:
             state = last[place]
             node, far = np.zeros(now, np.int32), 0
             while len(node):
-                node = self.moves[node, raw[begin + far]]
+                node = self.moved(node, raw[begin + far])
                 far += 1
                 alive = np.flatnonzero(node >= 0)
                 node, begin, place, end, state = node[alive], begin[alive], place[alive], end[alive], state[alive]
@@ -221,7 +256,7 @@ class Automaton:
                 asked = np.flatnonzero((token >= 0) & (last[place + far] < 0))
                 asked = asked[self.has_each(state[asked], token[asked])]
                 last[place[asked] + far] = token[asked]
-                more = np.flatnonzero((node < len(self.moves)) & (begin + far < end))
+                more = np.flatnonzero((node < self.inner) & (begin + far < end))
                 node, begin, place, end, state = node[more], begin[more], place[more], end[more], state[more]
         # From the words' ends back: the arcs of the only path.
         at, kept, counts, paths = sizes.copy(), np.arange(len(words)), np.zeros(len(words), np.int64), []

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Longer pieces are not kept; what is kept takes about two times so many bytes.
-LONGEST, KEPT_BYTES, ENTRY = 200, 96 << 20, 190
+LONGEST, KEPT_BYTES, ENTRY = 200, 48 << 20, 190
 
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 _ASCII = np.full(256, ODD, np.uint8)
@@ -199,19 +199,19 @@ class PieceIds:
     bounded by bytes whatever the texts hold, and pieces that come often stay.
     """
 
-    def __init__(self, split: Callable[[pa.Array, list[bytes]], Split], encode: Callable[[list[str]], list[bytes]], special: list[str]):
-        self.split, self.encode = split, encode
+    def __init__(self, split: Callable[[pa.Array, list[bytes]], Split], encode: Callable[[list[str]], list[bytes]], special: list[str], kept: int | None = None):
+        self.split, self.encode, self.most = split, encode, kept or KEPT_BYTES
         self.special = [x.encode() for x in special]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.room = KEPT_BYTES
+        self.room = self.most
 
     def _keep(self, piece: str, ids: bytes) -> None:
         if len(piece) <= LONGEST:
             self.young[piece] = ids
             self.room -= ENTRY + len(piece) + len(ids)
             if self.room < 0:
-                self.young, self.old, self.room = {}, self.young, KEPT_BYTES
+                self.young, self.old, self.room = {}, self.young, self.most
 
     def of(self, pieces: list[str]) -> list[bytes]:
         """The ids of different pieces."""

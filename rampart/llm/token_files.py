@@ -31,8 +31,8 @@ WRITER = {
 }
 
 
-#: Pieces that one call of the library gets.
-CALL = 1000
+#: Pieces that one call of the library gets, and bytes of pieces that a worker keeps (twice).
+CALL, KEPT = 1000, 96 << 20
 #: What pieces cut by their bytes consist of (``pieces.word_pieces``); odd words hold something else.
 PLAIN = regex.compile(r"[\x00-\x7f\xa1-\xff\u2010-\u2027]*")
 #: The kind of tokenizer that this encoder cuts texts for (fixed values of its file).
@@ -62,7 +62,7 @@ class WordEncoder:
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [x["content"] for x in told["added_tokens"]]
-        self.pieces = PieceIds(word_pieces, self._encode, self.special)
+        self.pieces = PieceIds(word_pieces, self._encode, self.special, KEPT)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(pieces)

@@ -17,6 +17,8 @@ from .pieces import slices
 BUCKETS = 1 << 18
 #: Log-ratios are counted in whole parts of a nat, so that sums are exact and reruns agree.
 UNIT = 1024
+#: What the n-grams without a sure ratio weigh in all: their mean times this.
+PASSAGE = 64
 #: Sampling keys are counted in 2**-SCALE and clipped to 2**-(SCALE - KEY_BITS + 1).
 SCALE = 24
 #: An odd base of the words' polynomial hash, and multipliers that mix (fixed values of this table of weights).
@@ -59,14 +61,14 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def weights_of(raw: np.ndarray, target: np.ndarray, prior: float, sure: float) -> np.ndarray:
-    """log p_target - log p_raw by bucket in whole UNITs; 0 where the counts could well come from one model.
+def weights_of(raw: np.ndarray, target: np.ndarray, prior: float, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """log p_target - log p_raw by bucket in whole UNITs, and where it is sure.
 
     The raw counts are half a count a bucket more; the target is smoothed by the raw distribution with
-    ``prior`` times its own mass. A ratio counts if the target's count is over ``sure`` standard deviations
-    from what the raw model expects; the others would only add noise, and more of it the longer a text is.
+    ``prior`` times its own mass. A ratio is sure if the target's count is over ``sure`` standard deviations
+    from what the raw model expects; the errors of the others add up, and more so the longer a text is.
     """
-    out = np.zeros(len(raw), np.int32)
+    out, sure_of = np.zeros(len(raw), np.int32), np.zeros(len(raw), bool)
     for lo in range(0, len(raw), BUCKETS):
         r, t = raw[lo : lo + BUCKETS].astype(float), target[lo : lo + BUCKETS].astype(float)
         if not t.sum():
@@ -74,9 +76,9 @@ def weights_of(raw: np.ndarray, target: np.ndarray, prior: float, sure: float) -
         p = (r + 0.5) / (r.sum() + 0.5 * len(r))
         ratio = np.log((t + prior * p * t.sum()) / ((1 + prior) * t.sum()) / p)
         expected = r / r.sum() * t.sum()
-        known = np.abs(t - expected) > sure * np.sqrt(expected + 1)
-        out[lo : lo + BUCKETS] = np.where(known, np.round(ratio * UNIT), 0).astype(np.int32)
-    return out
+        sure_of[lo : lo + BUCKETS] = np.abs(t - expected) > sure * np.sqrt(expected + 1)
+        out[lo : lo + BUCKETS] = np.round(ratio * UNIT).astype(np.int32)
+    return out, sure_of
 
 
 def judged_labels(labels: DataFrame, most: int) -> DataFrame:
@@ -106,18 +108,26 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Sampler:
-    """The weights by bucket, the cut between held-out trusted and bad documents, and how to sample."""
+    """The weights by bucket, where they are sure, the cut between held-out trusted and bad documents, and how to sample."""
 
     weights: np.ndarray
+    sure: np.ndarray
     cut: float
     temperature: float = 1.0
     seed: int = 17
 
     def log_ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the log-ratios of each text's n-grams in nats, and whether it has words."""
+        """Each text's log-ratio in nats, and whether it has words.
+
+        That is the sum over its n-grams with a sure ratio, plus PASSAGE times the others' mean share: they
+        tell new words from known ones together, but count no more in a long text than in a short one.
+        """
         buckets, of = gram_buckets(texts)
-        total = np.bincount(of, self.weights[buckets], minlength=len(texts))  # whole numbers, so exact in doubles
-        return total / UNIT, np.bincount(of, minlength=len(texts)) > 0
+        n = np.bincount(of, minlength=len(texts))
+        weight, sure = self.weights[buckets], self.sure[buckets]  # whole numbers, so that sums are exact in doubles
+        total = np.bincount(of[sure], weight[sure], minlength=len(texts))
+        rest = np.bincount(of[~sure], weight[~sure], minlength=len(texts))
+        return (total + np.round(PASSAGE * rest / np.maximum(n, 1))) / UNIT, n > 0
 
     def keys(self, log_ratio: np.ndarray, some: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Sampling keys: the higher log_ratio / temperature + Gumbel noise is, the lower; the last one without words.
@@ -130,12 +140,12 @@ class Sampler:
         return np.where(some, np.clip(half - noisy, 0, 2 * half - 2), 2 * half - 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.02, sure: float = 3.0, sample: int = 40_960, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
+def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.1, sure: float = 3.0, sample: int = 40_960, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
     """Fits both models, the raw one on every document and the target one on the trusted sample, and the cut.
 
     A task counts all buckets in memory (2 * BUCKETS numbers) and shuffles those sums. The cut is the
     log-ratio that parts held-out trusted from bad documents best, losing at most the share ``lost`` of the
-    trusted. The sample is broadcast: it has at most 2 * ``sample`` rows.
+    trusted, or one. The sample is broadcast: it has at most 2 * ``sample`` rows.
     """
     chosen = F.broadcast(stored(judged_labels(labels, sample), "judged"))
     told = docs.select("doc_id", "text").join(chosen, "doc_id", "left")
@@ -144,21 +154,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.02, sure: float
     raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
     at = sums.column("bucket").to_numpy()
     raw[at], target[at] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
-    sampler = Sampler(weights_of(raw, target, prior, sure), -np.inf, temperature, seed)
+    sampler = Sampler(*weights_of(raw, target, prior, sure), -np.inf, temperature, seed)
     judged = docs.select("doc_id", "text").join(chosen.where("kind <> 'trusted'"), "doc_id")
     scored = with_keys(judged.select("doc_id", "text", F.col("kind").alias("text_kind")), sampler, "text_kind").where("log_ratio is not null")
     rows = scored.groupBy("doc_id", (F.col("text_kind") == "bad").alias("bad")).agg(F.min("log_ratio").alias("s")).toArrow()  # at most 2 * sample rows
     is_bad, score = rows.column("bad").to_numpy().astype(bool), rows.column("s").to_numpy()
     good, bad = score[~is_bad], score[is_bad]
-    return Sampler(sampler.weights, best_cut(good, bad, lost), temperature, seed)
+    return Sampler(sampler.weights, sampler.sure, best_cut(good, bad, lost), temperature, seed)
 
 
 def best_cut(good, bad, lost: float) -> float:
-    """The score that parts good from bad best by the sum of both shares, with at most ``lost`` of the good below; without bad ones that allowance's score."""
+    """The score that parts good from bad best by the sum of both shares, with at most ``lost`` of the good below, or one; without bad ones that allowance's score."""
     if not len(good):
         return -np.inf
     good, bad = np.sort(good), np.sort(bad)
-    highest = good[int(lost * len(good))]
+    highest = good[min(max(1, int(lost * len(good))), len(good) - 1)]
     if not len(bad):
         return float(highest)
     cuts = np.unique(np.concatenate([good, bad + 1 / UNIT]))

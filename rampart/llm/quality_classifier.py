@@ -17,6 +17,8 @@ from .pieces import slices
 BUCKETS = 1 << 18
 #: Log-ratios are counted in whole parts of a nat, so that sums are exact and reruns agree.
 UNIT = 1024
+#: Parts of the trusted sample: for the cut, documents of one are scored by a target model of the others.
+FOLDS = 5
 #: What the n-grams without a sure ratio weigh in all: their mean times this.
 PASSAGE = 64
 #: Sampling keys are counted in 2**-SCALE and clipped to 2**-(SCALE - KEY_BITS + 1).
@@ -82,28 +84,31 @@ def weights_of(raw: np.ndarray, target: np.ndarray, prior: float, sure: float) -
 
 
 def judged_labels(labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, kind of up to ``most`` labelled documents of a kind, by hash order: trusted, held out or bad.
+    """doc_id, kind of up to ``most`` trusted and as many bad documents, by hash order: a trusted one's fold, or FOLDS for bad.
 
-    Trusted documents are only called good and never toxic, a fifth of them is held out; bad ones are only
-    called bad, or toxic at all. The sample fits the target model and the cut alone.
+    Trusted documents are only called good and never toxic; bad ones are only called bad, or toxic at all.
+    The sample fits the target model and the cut alone.
     """
     per = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    good = per.where("lo = 1 and t = 0").orderBy(*order).limit(most).select("doc_id", F.when(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) == 0, "held out").otherwise("trusted").alias("kind"))
-    return good.unionAll(per.where("hi = 0 or t = 1").orderBy(*order).limit(most).select("doc_id", F.lit("bad").alias("kind")))
+    good = per.where("lo = 1 and t = 0").orderBy(*order).limit(most).select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("kind"))
+    return good.unionAll(per.where("hi = 0 or t = 1").orderBy(*order).limit(most).select("doc_id", F.lit(FOLDS).alias("kind")))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros((FOLDS, 2 * BUCKETS), np.int64)
     for batch in batches:
         for part in slices(batch):
             buckets, of = gram_buckets(part.column("text"))
             raw += np.bincount(buckets, minlength=2 * BUCKETS)
-            mine = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            if mine.any():
-                target += np.bincount(buckets[mine[of]], minlength=2 * BUCKETS)
+            kinds = part.column("kind").to_numpy(zero_copy_only=False)[of]
+            for fold in range(FOLDS) if (kinds < FOLDS).any() else ():
+                target[fold] += np.bincount(buckets[kinds == fold], minlength=2 * BUCKETS)
     some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), *(pa.array(t[some]) for t in target)], ["bucket", "raw", *TARGETS])
+
+
+TARGETS = [f"target{k}" for k in range(FOLDS)]
 
 
 @dataclass(frozen=True)
@@ -143,24 +148,36 @@ class Sampler:
 def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.1, sure: float = 3.0, sample: int = 40_960, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
     """Fits both models, the raw one on every document and the target one on the trusted sample, and the cut.
 
-    A task counts all buckets in memory (2 * BUCKETS numbers) and shuffles those sums. The cut is the
-    log-ratio that parts held-out trusted from bad documents best, losing at most the share ``lost`` of the
+    A task counts all buckets in memory ((1 + FOLDS) * 2 * BUCKETS numbers) and shuffles those sums. The cut
+    is the log-ratio that parts trusted documents, each scored without its own fold, from bad ones best, losing at most the share ``lost`` of the
     trusted, or one. The sample is broadcast: it has at most 2 * ``sample`` rows.
     """
     chosen = F.broadcast(stored(judged_labels(labels, sample), "judged"))
-    told = docs.select("doc_id", "text").join(chosen, "doc_id", "left")
-    counted = told.select("text", F.coalesce(F.col("kind") == "trusted", F.lit(False)).alias("target")).mapInArrow(_counter, "bucket int, raw long, target long")
-    sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most 2 * BUCKETS rows
-    raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
-    at = sums.column("bucket").to_numpy()
-    raw[at], target[at] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
-    sampler = Sampler(*weights_of(raw, target, prior, sure), -np.inf, temperature, seed)
-    judged = docs.select("doc_id", "text").join(chosen.where("kind <> 'trusted'"), "doc_id")
-    scored = with_keys(judged.select("doc_id", "text", F.col("kind").alias("text_kind")), sampler, "text_kind").where("log_ratio is not null")
-    rows = scored.groupBy("doc_id", (F.col("text_kind") == "bad").alias("bad")).agg(F.min("log_ratio").alias("s")).toArrow()  # at most 2 * sample rows
-    is_bad, score = rows.column("bad").to_numpy().astype(bool), rows.column("s").to_numpy()
-    good, bad = score[~is_bad], score[is_bad]
-    return Sampler(sampler.weights, sampler.sure, best_cut(good, bad, lost), temperature, seed)
+    told = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", F.coalesce("kind", F.lit(FOLDS)).alias("kind"))
+    counted = told.mapInArrow(_counter, ", ".join(["bucket int", *(f"{c} long" for c in ("raw", *TARGETS))]))
+    sums = counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", *TARGETS))).toArrow()  # at most 2 * BUCKETS rows
+    counts = np.zeros((1 + FOLDS, 2 * BUCKETS), np.int64)
+    for k, c in enumerate(("raw", *TARGETS)):
+        counts[k, sums.column("bucket").to_numpy()] = sums.column(c).to_numpy()
+    raw, target = counts[0], counts[1:].sum(axis=0)
+    models = [Sampler(*weights_of(raw, target - part, prior, sure), -np.inf) for part in (*counts[1:], np.zeros_like(raw))]
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # FOLDS + 1 times 2 * BUCKETS weights
+    judged = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "kind").mapInArrow(_judge(shared), "doc_id long, kind int, log_ratio double")
+    rows = judged.where("log_ratio is not null").groupBy("doc_id", "kind").agg(F.min("log_ratio").alias("s")).toArrow()  # at most 2 * sample rows
+    is_bad, score = rows.column("kind").to_numpy() == FOLDS, rows.column("s").to_numpy()
+    return Sampler(models[-1].weights, models[-1].sure, best_cut(score[~is_bad], score[is_bad], lost), temperature, seed)
+
+
+def _judge(shared):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            for kind in np.unique(kinds):
+                part = batch.filter(pa.array(kinds == kind))
+                ratio, some = shared.value[kind].log_ratios(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("kind"), pa.array(ratio, mask=~some)], ["doc_id", "kind", "log_ratio"])
+
+    return score
 
 
 def best_cut(good, bad, lost: float) -> float:
@@ -177,14 +194,14 @@ def best_cut(good, bad, lost: float) -> float:
     return float(cuts[np.flatnonzero(gain == gain.max())[-1]])
 
 
-def _scorer(sampler, more: tuple[str, ...]):
+def _scorer(sampler):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sampler.value
         for batch in batches:
             for part in slices(batch):
                 ratio, some = known.log_ratios(part.column("text"))
                 key = known.keys(ratio, some, part.column("bits").to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ratio, mask=~some), pa.array(key), *(part.column(c) for c in more)], ["doc_id", "log_ratio", "key", *more])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ratio, mask=~some), pa.array(key)], ["doc_id", "log_ratio", "key"])
 
     return score
 
@@ -194,11 +211,11 @@ def _bits(seed: int):
     return F.xxhash64(F.lit(seed), "doc_id", "text").alias("bits")
 
 
-def with_keys(docs: DataFrame, sampler: Sampler, *more: str) -> DataFrame:
-    """doc_id, log_ratio, key and string columns ``more`` of every document."""
+def with_keys(docs: DataFrame, sampler: Sampler) -> DataFrame:
+    """doc_id, log_ratio and key of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(sampler)  # 2 * BUCKETS numbers
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bits(sampler.seed), *more)
-    return told.mapInArrow(_scorer(shared, more), ", ".join(["doc_id long, log_ratio double, key long", *(f"{c} string" for c in more)]))
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _bits(sampler.seed))
+    return told.mapInArrow(_scorer(shared), "doc_id long, log_ratio double, key long")
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, **how) -> tuple[Sampler, DataFrame, int, int]:

@@ -43,30 +43,38 @@ def test_against_brute_force(spark, told):
     texts, docs, labels = told
     kinds = {r.doc_id: r.kind for r in qc.judged_labels(labels, 5120).collect()}
     sampler, scored, k, cut = qc.resample(docs, labels)
-    raw, target = Counter(), Counter()
-    for i, t in enumerate(texts):
-        raw.update(slow_buckets(t))
-        if kinds.get(i) == "trusted":
-            target.update(slow_buckets(t))
-    totals = [(sum(n for b, n in c.items() if b < qc.BUCKETS), sum(n for b, n in c.items() if b >= qc.BUCKETS)) for c in (raw, target)]
-
-    def weight(b):
-        r, t, order = raw[b], target[b], int(b >= qc.BUCKETS)
-        p = (r + 0.5) / (totals[0][order] + 0.5 * qc.BUCKETS)
-        expected = r / totals[0][order] * totals[1][order]
-        return round(math.log((t + 0.1 * p * totals[1][order]) / (1.1 * totals[1][order]) / p) * qc.UNIT), abs(t - expected) > 3.0 * math.sqrt(expected + 1)
-
-    assert all((sampler.weights[b], sampler.sure[b]) == weight(b) for b in raw)
-
-    def log_ratio(text):
-        found = [weight(b) for b in slow_buckets(text)]
+    raw, target, of = Counter(), [Counter() for _ in range(qc.FOLDS)], [slow_buckets(t) for t in texts]
+    for i, g in enumerate(of):
+        raw.update(g)
+        if kinds.get(i, qc.FOLDS) < qc.FOLDS:
+            target[kinds[i]].update(g)
+    assert all(target)
+
+    def model(without=None):
+        """log-ratio of buckets by a target without a fold."""
+        told = sum((c for k, c in enumerate(target) if k != without), Counter())
+        totals = [(sum(n for b, n in raw.items() if b // qc.BUCKETS == k), sum(n for b, n in told.items() if b // qc.BUCKETS == k)) for k in (0, 1)]
+
+        def weight(b):
+            r, t = totals[b // qc.BUCKETS]
+            p = (raw[b] + 0.5) / (r + 0.5 * qc.BUCKETS)
+            expected = raw[b] / r * t
+            return round(math.log((told[b] + 0.1 * p * t) / (1.1 * t) / p) * qc.UNIT), abs(told[b] - expected) > 3.0 * math.sqrt(expected + 1)
+
+        return {b: weight(b) for b in raw}
+
+    def log_ratio(i, weights):
+        found = [weights[b] for b in of[i]]
         if found:
             return (sum(w for w, sure in found if sure) + round(qc.PASSAGE * sum(w for w, sure in found if not sure) / len(found))) / qc.UNIT
 
-    ratio = {i: log_ratio(t) for i, t in enumerate(texts)}
+    whole, parts = model(), [model(k) for k in range(qc.FOLDS)]
+    assert all((sampler.weights[b], sampler.sure[b]) == w for b, w in whole.items())
+    ratio = {i: log_ratio(i, whole) for i in range(len(texts))}
     rows = {r.doc_id: r for r in scored.collect()}
     assert {i: r.log_ratio for i, r in rows.items()} == ratio
-    good, bad = ([ratio[i] for i, kind in kinds.items() if kind == x] for x in ("held out", "bad"))
+    good = [log_ratio(i, parts[k]) for i, k in kinds.items() if k < qc.FOLDS]
+    bad = [ratio[i] for i, k in kinds.items() if k == qc.FOLDS]
     allowed = sorted(good)[max(1, int(0.01 * len(good)))]
     gain = lambda c: sum(b < c for b in bad) / len(bad) - sum(g < c for g in good) / len(good)
     assert sampler.cut <= allowed and gain(sampler.cut) == max(gain(c) for c in [*good, *(b + 1 / qc.UNIT for b in bad)] if c <= allowed)

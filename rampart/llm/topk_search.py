@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SCALE, DIMENSIONS = 1024, 8
+SCALE, DIMENSIONS = 1024, 16
 #: Queries and vectors that a task holds at most (but for uneven hashing); vectors at least, if there are as many.
 QUERIES, VECTORS, FEWEST = 8192, 32768, 512
 #: Per result asked for, candidates with the best sums so far whose whole scores set the bound.
@@ -57,7 +57,8 @@ class Block:
             score += q[a : a + DIMENSIONS] @ (columns if whole else columns[:, alive])
             # By Cauchy and Schwarz the dimensions to come add at most this much, either way.
             slack = self.rest[b + 1][alive] * (left[b + 1] * (1 + 1e-9)) + 1e-3 * (b + 1 < len(self.at))
-            if len(alive) > k:
+            # Before three quarters of the query's mass are in, bounds are too wide to be worth their price.
+            if len(alive) > k and left[b + 1] <= 0.5 * left[0]:
                 least = max(least, self._reached(alive, score, q, k) if b + 1 < len(self.at) else np.partition(score, len(alive) - k)[len(alive) - k])
                 stay = score + slack >= least
                 if stay.sum() < 0.8 * len(alive):

@@ -12,6 +12,7 @@ from .sharding import op2_sharding
 from .simhash import op10_simhash_dedup
 from .token_files import op9_token_files
 from .topk_search import ORACLE_OP6, op6_topk_search
+from .turn_repair import ORACLE_OP11, op11_turn_repair
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_files": op9_token_files,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_turn_repair": op11_turn_repair,
 }
 
-ORACLES = {"op1_mixing": ORACLE_OP1, "op6_topk_search": ORACLE_OP6}
+ORACLES = {"op1_mixing": ORACLE_OP1, "op6_topk_search": ORACLE_OP6, "op11_turn_repair": ORACLE_OP11}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .bpe_automaton import op8_bpe
 from .chat_format import op5_chat_format
 from .html_extract import op3_html_extract
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_turn_repair": op11_turn_repair,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES = {"op1_mixing": ORACLE_OP1, "op6_topk_search": ORACLE_OP6, "op11_turn_repair": ORACLE_OP11}

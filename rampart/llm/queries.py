@@ -13,6 +13,7 @@ from .sharding import op2_sharding
 from .simhash import op10_simhash_dedup
 from .token_files import op9_token_files
 from .topk_search import ORACLE_OP6, op6_topk_search
+from .toxicity import op13_toxicity
 from .turn_repair import ORACLE_OP11, op11_turn_repair
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_turn_repair": op11_turn_repair,
     "op12_alignment": op12_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = {"op1_mixing": ORACLE_OP1, "op6_topk_search": ORACLE_OP6, "op11_turn_repair": ORACLE_OP11}

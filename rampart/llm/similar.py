@@ -1,9 +1,8 @@
-"""Near-dedup for corpora: SimHash links, and similarity for what lies further apart: MinHash bands propose pairs, the word shingles of both texts decide."""
+"""Near-dedup for corpora: SimHash links, and set similarity of word shingles by a prefix join on the rarest ones."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +16,12 @@ from .simhash import RADIUS, fingerprint, links
 
 #: Two texts are near-duplicates if their sets of WORDS-word shingles have at least LEAST / OF in common.
 WORDS, LEAST, OF = 5, 4, 5
-#: A pair at the bound shares none of the bands with probability (1 - 0.8**4)**32, which is 5e-8.
-BANDS, ROWS, SEED = 32, 4, 42
+SEED = 42
+#: Shingles are ordered by how many of about SAMPLE texts hold them, MOST of them at most; the order decides what is compared, never what is found.
+SAMPLE, MOST = 1 << 14, 1 << 20
+#: Sets that one task compares with a leader's, about.
+TOGETHER = 4096
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Shingles hashed at once.
-CHUNK = 4096
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -41,23 +41,39 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * OF >= (len(a) + len(b) - both) * LEAST
 
 
-@lru_cache(1)
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.RandomState(SEED)
-    draw = lambda: r.randint(0, 2**63, BANDS * ROWS, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw(), draw()
+class Order:
+    """An order of all shingles: those not known as frequent first, then by the logarithm of their count, then by hash."""
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        by = np.argsort(hashes)
+        self.hashes, self.level = hashes[by], (1 + np.log2(np.maximum(counts[by], 1))).astype(np.int8)
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's MinHash; none for the empty set."""
-    if not len(found):
-        return np.empty(0, np.int64)
-    flip, times = _mixers()
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), CHUNK):
-        least = np.minimum(least, ((found[at : at + CHUNK, None] ^ flip) * times).min(axis=0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+    def prefix(self, found: np.ndarray) -> np.ndarray:
+        """The set's first elements, so many that any set similar to it has one of them among its own first ones."""
+        n = len(found)
+        if not n:
+            return found
+        level = np.zeros(n, np.int8)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            known = self.hashes[at] == found
+            level[known] = self.level[at[known]]
+        return found[np.argsort(level, kind="stable")][: n - -(-n * LEAST // OF) + 1]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column("text").cast(pa.binary()):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py()).view(np.int64))], ["shingle"])
+
+
+def frequent(docs: DataFrame) -> Order:
+    """The order by a sample of the different texts, which the hash of a text takes or leaves; a bounded table comes to the driver."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(step)) == 0).where("text is not null").distinct()
+    counts = some.mapInArrow(_each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    table = counts.orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()
+    return Order(table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy())
 
 
 def node(text: Column) -> Column:
@@ -65,60 +81,100 @@ def node(text: Column) -> Column:
     return F.xxhash64(F.translate(F.concat_ws(" ", words(text)), UPPER, UPPER.lower()))
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            first, sizes, prints = [], np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
+            for k, x in enumerate(batch.column("text").cast(pa.binary())):
+                text = x.as_py() or b""
+                found = shingles(text)
+                first.append(order.prefix(found).view(np.int64))
+                sizes[k], prints[k] = len(found), fingerprint(text)
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), lists, pa.array(prints.view(np.int64))], ["node", "size", "first", "fp"])
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, prints = [], np.zeros(batch.num_rows, np.uint64)
         for k, x in enumerate(batch.column("text").cast(pa.binary())):
-            text = x.as_py() or b""
-            keys.append(bands(shingles(text)))
-            prints[k] = fingerprint(text)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64())), pa.array(prints.view(np.int64))], ["node", "bands", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(k, 1), pa.array([shingles(x.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of = lru_cache(64)(shingles)
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a leader, whose set comes first, and those after it that are similar."""
+    a = own = None
     for batch in batches:
-        a, b = (batch.column(c).cast(pa.binary()) for c in ("a_text", "b_text"))
-        same = pa.array([similar(of(x.as_py()), of(y.as_py())) for x, y in zip(a, b, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(same)
+        found: list[tuple[int, int]] = []
+        lists = batch.column("shingles")
+        for k, (leader, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            told = lists[k].values.to_numpy(zero_copy_only=False)
+            if b is None:
+                a, own = leader, told
+            elif a == leader and similar(own, told):
+                found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar; a leader with many partners is dealt to several tasks."""
+    leaders = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / TOGETHER).alias("salts")), "leaders")
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")
+    others = pairs.join(leaders, "a").select("a", salt, "b").join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles")
+    own = leaders.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+    met = own.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    return met.select("a", "b", "shingles").mapInArrow(_compared, "a long, b long")
+
+
+def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signed, members): node, size, first, fp of every row, and token, node, size of the tokens that different nodes share."""
+    named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
+    signed = stored(named.mapInArrow(_signed(shared), "node long, size int, first array<long>, fp long"), "signed")
+    each = signed.select(F.explode("first").alias("token"), "node", "size")
+    met = each.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token")
+    return signed, stored(each.join(met, "token").distinct(), "members")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts are similar."""
-    told = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    return told.select("a", "b", "a_text", "b_text").mapInArrow(_checked, "a long, b long")
+def _near(a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return F.least(a, b) * OF >= F.greatest(a, b) * LEAST
 
 
 def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) of every node of ``docs`` (text) that a chain of links joins to another.
 
     Two texts are linked if their SimHash fingerprints differ in at most ``radius`` bits (``simhash.links``,
-    tiled exact comparison), or if their shingle sets are similar. For that every pair that shares a band is decided: first each member of a band's bucket with the bucket's least
-    one; then, in buckets that still hold more than one component, all pairs of members of different
-    components. A group of near copies is joined by the first step, so its pairs are never listed.
+    tiled exact comparison), or if their shingle sets are similar. Two similar sets have a shingle in common
+    among the first fifth of each, in any one order of all shingles. With those in many texts last, a passage
+    that makes up less than four fifths of its texts is not among their first shingles, and its texts don't
+    meet. Of the nodes that share a token each is compared with the token's least one; only where a token
+    still holds more than one component, all pairs of its members of different components are compared, if
+    their sizes allow. A group of near copies is joined by the first step, so its pairs are never listed.
     """
+    signed, members = candidates(docs)
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    banded = stored(named.mapInArrow(_banded, "node long, bands array<long>, fp long"), "banded")
-    exploded = banded.select(F.explode("bands").alias("band"), "node")
-    shared = exploded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
-    members = stored(exploded.join(shared, "band").select("band", "a", "node").distinct(), "members")
     asked = members.select("node").distinct()
-    texts = stored(named.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    first = stored(_linked(members.where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts), "first")
+    sets = stored(named.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    leaders = members.groupBy("token").agg(F.min(F.struct("node", "size")).alias("x")).select("token", F.col("x.node").alias("a"), F.col("x.size").alias("a_size"))
+    stars = stored(members.join(leaders, "token").where("a <> node").where(_near("a_size", "size")).select("a", F.col("node").alias("b")).distinct(), "stars")
+    first = stored(_linked(stars, sets), "first")
     roots = stored(components(first, "a", "b"), "roots")
-    placed = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("part"))
-    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band")
-    open_ = stored(placed.join(mixed, "band", "left_semi"), "open")
-    parts = open_.select("band", "part").distinct()
-    met = parts.join(parts.withColumnRenamed("part", "other"), "band").where("part < other")
-    left = met.join(open_.withColumnRenamed("node", "a"), ["band", "part"])
-    pairs = left.join(open_.select("band", F.col("part").alias("other"), F.col("node").alias("b")), ["band", "other"]).select("a", "b").distinct()
+    placed = members.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("part"))
+    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+    open_ = stored(placed.join(mixed, "token", "left_semi"), "open")
+    other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"))
+    met = open_.join(other, "token").where("node < b and part <> b_part").where(_near("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
+    pairs = stored(met.join(stars, ["a", "b"], "left_anti"), "pairs")
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
-    prints = stored(banded.groupBy("fp").agg(F.min("node").alias("least")), "prints")
-    alike = banded.select("fp", "node").distinct().join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    prints = stored(signed.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    alike = signed.select("fp", "node").distinct().join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     close = stored(links(prints, radius), "close")
     ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = first.unionAll(_linked(pairs, texts)).unionAll(alike).unionAll(ends)
+    edges = first.unionAll(_linked(pairs, sets)).unionAll(alike).unionAll(ends)
     return stored(components(edges, "a", "b"), "linked")
 
 
@@ -126,7 +182,8 @@ def one_of_similar(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` (doc_id, text, any others) for each class of near-duplicates, with its columns whatever their names.
 
     The row that stays is the least by doc_id with null last, then by the text's hash. Texts without words
-    are one class; rows equal in id and text are one; an empty table gives an empty result.
+    are one class; rows equal in id and text are one; very long texts are compared whole; an empty table gives
+    an empty result.
     """
     linked = similar_nodes(docs)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), node(F.col("text")).alias("node"))

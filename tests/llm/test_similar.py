@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from rampart.llm import simhash
+import numpy as np
+import pytest
+from rampart.llm import simhash, similar
 
 
 def jaccard(a, b):
@@ -68,3 +70,36 @@ def test_hot_band_and_fingerprint(spark):
     rows += [(500 + i, None if i % 2 else "  ") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {*range(60), 100, 500}
+
+
+@pytest.mark.parametrize("n", [400, 4000])
+def test_a_shared_passage_makes_no_candidates(spark, n):
+    """Texts of which two thirds are one passage meet no more often than their number."""
+    r = random.Random(11)
+    passage = " ".join(f"p{r.randrange(3000)}" for _ in range(120))
+    own = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    docs = spark.createDataFrame([(i, f"{own()} {passage} {own()}") for i in range(n)], "doc_id long, text string")
+    _, members = similar.candidates(docs)
+    assert members.count() < n / 10
+    if n == 400:
+        assert corpus_pipeline.near_dedup(spark, docs, "").count() == n
+
+
+def test_the_order_decides_no_link(spark):
+    """With no shingle known as frequent, or all orders reversed, the same pairs of similar sets share a token."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for at in r.sample(range(60), r.randrange(4)):
+            w[at] = f"x{r.randrange(20)}"
+        texts.append(" ".join(w[r.randrange(6) :]))
+    sets = [similar.shingles(t.encode()) for t in texts]
+    every = np.unique(np.concatenate(sets))
+    orders = [similar.Order(np.zeros(0, np.uint64), np.zeros(0)), similar.Order(every, np.array([sum(x in s for s in sets) for x in every])), similar.Order(every, np.array(r.choices(range(1, 99), k=len(every))))]
+    close = {(a, b) for a in range(120) for b in range(a) if similar.similar(sets[a], sets[b])}
+    assert len(close) > 50
+    for order in orders:
+        first = [set(order.prefix(s).tolist()) for s in sets]
+        assert all(first[a] & first[b] for a, b in close)

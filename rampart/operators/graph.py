@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,30 +49,58 @@ def cross_file_warnings(edges: DataFrame, findings: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(errors.withColumnRenamed("path", "dst"), "dst").select(F.col("src").alias("path"), F.col("dst").alias("imported"), "errors", "rules", F.lit("warning").alias("severity"))
 
 
-def tainted(assigns: DataFrame, sources: DataFrame, sanitized: DataFrame | None = None, most_rounds: int = 100, name: str = "taint") -> DataFrame:
+#: Steps of a way that are told.
+STEPS = 3
+
+
+def _spread(edges: pa.Table, sources: pa.Table) -> pa.Table:
+    """The variables of one file by breadth-first search: each with its fewest steps, the least line of a source so near, and the last steps."""
+    follow: dict[str, list[str]] = {}
+    for target, var in zip(edges.column("target").to_pylist(), edges.column("source_var").to_pylist(), strict=True):
+        follow.setdefault(var, []).append(target)
+    told: dict[str, tuple[int, int | None, list[str]]] = {}
+    for var, line in zip(sources.column("var").to_pylist(), sources.column("line").to_pylist(), strict=True):
+        lines = [x for x in (line, told.get(var, (0, None))[1]) if x is not None]
+        told[var] = 0, min(lines, default=None), [var]
+    new, hops = sorted(told), 0
+    while new:
+        hops, found = hops + 1, {}
+        for var in new:  # in order of name, so that the least one leads to a variable
+            line, trail = told[var][1:]
+            for target in follow.get(var, ()):
+                if target not in told:
+                    near, steps = found.get(target, (line, trail))
+                    found[target] = (line if near is None else near if line is None else min(line, near)), steps
+        told |= {t: (hops, line, [*trail, t][-STEPS:]) for t, (line, trail) in found.items()}
+        new = sorted(found)
+    path = sources.column("path")[0].as_py() if sources.num_rows else None
+    names = list(told)
+    return pa.table(
+        {"path": pa.array([path] * len(names), pa.string()), "var": pa.array(names, pa.string()), "hops": pa.array([told[v][0] for v in names], pa.int32()), "source_line": pa.array([told[v][1] for v in names], pa.int32()), "trail": pa.array([told[v][2] for v in names], pa.list_(pa.string()))}
+    )
+
+
+def spread(assigns: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, var, hops, source_line, trail): variables that a source reaches through assignments, with the fewest assignments.
+
+    assigns: path, target, source_var; sources: path, var, line. Files are independent, so each is searched
+    by one task that holds its different assignments, as its parser held its text: chains may have any
+    length, there are no rounds of jobs, and the plan is one shuffle of both sides. ``source_line`` is the
+    least line of those sources that are so near, ``trail`` the last steps along the way that is least by name.
+    """
+    edges = assigns.select("path", "target", "source_var").distinct().groupBy("path")
+    begun = sources.select(F.col("path").cast("string").alias("path"), F.col("var").cast("string").alias("var"), F.col("line").cast("int").alias("line")).distinct().groupBy("path")
+    return edges.cogroup(begun).applyInArrow(_spread, "path string, var string, hops int, source_line int, trail array<string>")
+
+
+def tainted(assigns: DataFrame, sources: DataFrame, sanitized: DataFrame | None = None) -> DataFrame:
     """(path, var, hops): variables that a source reaches through assignments, with the fewest assignments.
 
     assigns: path, target, source_var; sources: path, var; sanitized: path, target, source_var, assignments to
-    leave out. Rounds of joins, each with only what the last found, until nothing is new; chains of more than
-    ``most_rounds`` assignments raise an error instead of an incomplete result. Every round goes to the
-    shared folder, so that plans stay short and lost executors cost nothing.
+    leave out.
     """
-    from ..sources.stored import stored
-
-    edges = assigns.select("path", "target", "source_var").distinct()
-    if sanitized is not None:
-        edges = edges.join(sanitized, ["path", "target", "source_var"], "left_anti")
-    known = stored(sources.select("path", "var").distinct().withColumn("hops", F.lit(0)), name)
-    edge = known
-    for hops in range(1, most_rounds + 1):
-        step = edge.join(edges, (edge.path == edges.path) & (edge.var == edges.source_var)).select(edges.path, F.col("target").alias("var")).distinct()
-        edge = stored(step.join(known, ["path", "var"], "left_anti").withColumn("hops", F.lit(hops)), name)
-        if edge.isEmpty():
-            return known
-        known = known.unionByName(edge)
-        if hops % 8 == 0:  # so that a round reads few tables, however long the chains
-            known = stored(known, name)
-    raise RuntimeError(f"taint still spreads after {most_rounds} rounds")
+    edges = assigns if sanitized is None else assigns.join(sanitized, ["path", "target", "source_var"], "left_anti")
+    return spread(edges, sources.select("path", "var", F.lit(None).alias("line"))).select("path", "var", "hops")
 
 
 def tainted_sinks(sinks: DataFrame, reached: DataFrame) -> DataFrame:

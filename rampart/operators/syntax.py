@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .containment import containment, holding
+
 NODES = "path string, node_id int, parent_id int, pre int, post int, kind string, name string, args array<string>, text string, line int, col int"
 KINDS = {"Call": "call", "Assign": "assignment", "AnnAssign": "assignment", "AugAssign": "assignment", "FunctionDef": "function_def", "AsyncFunctionDef": "function_def", "ClassDef": "class_def", "Import": "import", "ImportFrom": "import", "Return": "return", "If": "if", "For": "for", "While": "while", "Name": "identifier", "Attribute": "attribute", "Constant": "literal", "BinOp": "binary_op", "JoinedStr": "fstring"}
 
@@ -92,13 +94,12 @@ def match_calls(nodes: DataFrame, callee: str, args: Iterable[str] | None = None
 
 def without(matches: DataFrame, inner: DataFrame) -> DataFrame:
     """Matches with no ``inner`` match in their subtree."""
-    i = inner.select(F.col("path").alias("_p"), F.col("pre").alias("_pre"))
-    return matches.join(i, (F.col("path") == F.col("_p")) & F.col("_pre").between(F.col("pre"), F.col("post")), "left_anti")
+    return holding(matches, inner.select("path", "pre"), how="left_anti")
 
 
 def assignments(nodes: DataFrame) -> DataFrame:
     """(path, target, source_var, line) of each assignment and identifier on its right-hand side."""
-    a = nodes.where("kind = 'assignment' and name is not null").select("path", F.col("name").alias("target"), F.col("pre").alias("_a"), F.col("post").alias("_b"), F.col("line").alias("line"))
-    names = nodes.where("kind = 'identifier'").select(F.col("path").alias("_p"), F.col("name").alias("source_var"), F.col("pre").alias("_pre"))
-    pairs = a.join(names, (F.col("path") == F.col("_p")) & F.col("_pre").between(F.col("_a"), F.col("_b")) & (F.col("source_var") != F.col("target")))
-    return pairs.select("path", "target", "source_var", "line").distinct()
+    made = nodes.where("kind = 'assignment' and name is not null").select("path", "pre", "post", "line", F.col("name").alias("target"))
+    names = nodes.where("kind = 'identifier'").select("path", "pre", F.col("name").alias("source_var"))
+    pairs = containment(made, names).select("path", "o.target", "i.source_var", "o.line")
+    return pairs.where("source_var != target").distinct()

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import tainted
+from .containment import containment, holding
+from .graph import spread
 from .syntax import assignments
 
 METAVARIABLE = re.compile(r"\$[A-Z_][A-Z0-9_]*")
@@ -104,13 +105,6 @@ def any_of(patterns: Iterable[str], regex: bool = False) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(matches(p, regex), F.lit(False)) for p in patterns), F.lit(False))
 
 
-def inside(nodes: DataFrame, keys: list[str], inner: DataFrame, how: str) -> DataFrame:
-    """nodes with (left_semi) or without (left_anti) an ``inner`` (keys, pre) in their subtree."""
-    i = inner.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("pre").alias("_pre"))
-    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in keys))
-    return nodes.join(i, same & F.col("_pre").between(F.col("pre"), F.col("post")), how)
-
-
 def apply_rules(nodes: DataFrame, rules: Iterable[SyntaxRule]) -> DataFrame:
     """(path, rule_id, pattern_idx, severity, line, col, text, pre): nodes that match any pattern of a rule, but not those with an excluded one in their subtree.
 
@@ -127,57 +121,154 @@ def apply_rules(nodes: DataFrame, rules: Iterable[SyntaxRule]) -> DataFrame:
     found = nodes.select("path", "pre", "post", "line", "col", "text", F.explode(F.array_compact(F.array(*tests))).alias("f")).select("path", "pre", "post", "line", "col", "text", "f.*")
     if unless:
         out = nodes.select("path", "pre", F.explode(F.array_compact(F.array(*unless))).alias("rule_id"))
-        found = inside(found, ["path", "rule_id"], out, "left_anti")
+        found = holding(found, out, ["path", "rule_id"], "left_anti")
     return found.select("path", "rule_id", "pattern_idx", "severity", "line", "col", "text", "pre")
 
 
+def _first_fit(segment: list[str], least: Column) -> Column:
+    """The first place from ``least`` on where a call's arguments are those of the segment."""
+    plain = F.transform("args", lambda a: F.trim(F.regexp_replace(a, "^[\"']+|[\"']+$", "")))
+    most = F.size("args") - len(segment)
+
+    def fits(i: Column) -> Column:
+        told = [(F.get(plain, i + n), t.strip("\"'")) for n, t in enumerate(segment) if not METAVARIABLE.fullmatch(t)]
+        return reduce(lambda a, b: a & b, ((x == t) | F.startswith(x, F.lit(t + ".")) for x, t in told), F.lit(True))
+
+    return F.get(F.filter(F.when(most >= least, F.sequence(least, most)), fits), F.lit(0))
+
+
+def captures(pattern: str) -> Column | None:
+    """What a pattern's metavariables stand for in a node that it matches, as (variable, text, part); None if it has none.
+
+    ``part`` is an argument's number, CALLEE, TARGET or VALUE. Arguments before an ellipsis are counted from
+    the front, those after the last from the back, those between are the first that fit. A variable that comes
+    twice stands for what it met last.
+    """
+    found = tokens(pattern)
+    told: dict[str, Column] = {}
+
+    def put(token: str, text: Column, part: Column) -> None:
+        if METAVARIABLE.fullmatch(token):
+            told[token] = F.struct(F.lit(token).alias("variable"), text.alias("text"), part.cast("int").alias("part"))
+
+    if not anchored(found):
+        return None
+    if len(found) >= 3 and "(" in found and ")" in found:
+        if found.index(")") < found.index("("):
+            return None
+        put(found[0], F.col("name"), F.lit(CALLEE))
+        inner = [t for t in found[found.index("(") + 1 : found.index(")")] if t != ","]
+        segments: list[list[str]] = [[]]
+        for t in inner:
+            if t == "...":
+                segments.append([])
+            else:
+                segments[-1].append(t)
+        start = F.lit(0)
+        for k, segment in enumerate(segments):
+            if k and k == len(segments) - 1:
+                start = F.size("args") - len(segment)
+            elif k and segment:
+                start = _first_fit(segment, start)
+            for n, t in enumerate(segment):
+                put(t, F.get("args", start + n), start + n)
+            start = start + len(segment)
+    elif "=" in found[1:]:
+        put(found[0], F.col("name"), F.lit(TARGET))
+        if len(found) > 2:
+            put(found[2], F.lit(None).cast("string"), F.lit(VALUE))
+    return F.array(*told.values()) if told else None
+
+
+#: Parts of a node other than arguments.
+CALLEE, TARGET, VALUE = -1, -2, -3
+
+
+def matched(nodes: DataFrame, patterns: Iterable[str]) -> DataFrame:
+    """(path, pattern_idx, node_id, pre, post, line, captured): the nodes that match each pattern, with what its metavariables stand for."""
+    none = F.array().cast("array<struct<variable:string,text:string,part:int>>")
+    tests = []
+    for k, p in enumerate(patterns):
+        told = captures(p)
+        tests.append(F.when(F.coalesce(matches(p), F.lit(False)), F.struct(F.lit(k).alias("pattern_idx"), (none if told is None else told).alias("captured"))))
+    if not tests:
+        tests = [F.lit(None).cast("struct<pattern_idx:int,captured:array<struct<variable:string,text:string,part:int>>>")]
+    return nodes.select("path", "node_id", "pre", "post", "line", F.explode(F.array_compact(F.array(*tests))).alias("m")).select("path", "m.pattern_idx", "node_id", "pre", "post", "line", "m.captured")
+
+
+def captured(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, pattern_idx, node_id, pre, line, variable, text, at): each metavariable of ``matched`` rows, and where the node begins that it stands for.
+
+    An argument is the call's child of that number after the callee; a target the first child of its
+    assignment, a value the last; a callee stands at the call itself.
+    """
+    each = found.select("path", "pattern_idx", "node_id", "pre", "line", F.explode("captured").alias("c")).select("path", "pattern_idx", "node_id", "pre", "line", "c.*")
+    parents = each.select(F.col("path").alias("_path"), F.col("node_id").alias("_parent")).distinct()
+    kin = nodes.join(parents, [F.col("path") == F.col("_path"), F.col("parent_id") == F.col("_parent")]).where("not (kind = 'keyword' and text like '**%')")
+    order = W.partitionBy("path", "parent_id").orderBy("pre")
+    kin = kin.select(F.col("path").alias("_path"), F.col("parent_id").alias("_parent"), F.col("pre").alias("_at"), F.col("text").alias("_text"), F.row_number().over(order).alias("_no"), F.lead("pre").over(order).isNull().alias("_last"))
+    part = F.col("part")
+    is_it = F.when(part >= 0, F.col("_no") == part + 2).when(part == TARGET, F.col("_no") == 1).when(part == VALUE, F.col("_last")).otherwise(False)
+    told = each.join(kin, [F.col("path") == F.col("_path"), F.col("node_id") == F.col("_parent"), is_it], "left")
+    return told.select("path", "pattern_idx", "node_id", "pre", "line", "variable", F.coalesce("text", "_text").alias("text"), F.coalesce("_at", "pre").alias("at"))
+
+
 def taint_sources(nodes: DataFrame, rule: TaintRule) -> DataFrame:
-    """(path, var, line): the variable of the first assignment on the line of a source match.
+    """(path, var, line): variables that a source match taints: that of the first assignment on its line, and what its metavariables stand for.
 
-    Matches around a sanitizer don't count, nor do assignments around one.
+    Matches and captured nodes that are sanitizers themselves don't count, nor do assignments around one.
     """
     clean = nodes.where(any_of(rule.sanitizers)).select("path", "pre")
-    found = inside(nodes.where(any_of(rule.sources)), ["path"], clean, "left_anti").select("path", "line").distinct()
+    found = matched(nodes, rule.sources).join(clean, ["path", "pre"], "left_anti")
     made = nodes.where("kind = 'assignment' and name is not null")
     first = made.groupBy("path", "line").agg(F.min_by(F.struct(F.col("name").alias("var"), "pre", "post"), "pre").alias("a")).select("path", "line", "a.*")
-    return inside(first.join(found, ["path", "line"], "left_semi"), ["path"], clean, "left_anti").select("path", "var", "line").distinct()
+    received = holding(first.join(found.select("path", "line").distinct(), ["path", "line"], "left_semi"), clean, how="left_anti").select("path", "var", "line")
+    taken = received.limit(0)
+    if any(captures(p) is not None for p in rule.sources):
+        told = captured(nodes, found).where("text <> ''")
+        taken = told.join(clean.withColumnRenamed("pre", "at"), ["path", "at"], "left_anti").select("path", F.col("text").alias("var"), "line")
+    return received.unionAll(taken).distinct()
+
+
+def _sink_uses(nodes: DataFrame, rule: TaintRule, reached: DataFrame) -> DataFrame:
+    """(path, pre, line, var, at): tainted variables of sink matches: those that metavariables stand for, where there are none all that are named within."""
+    found = matched(nodes, rule.sinks)
+    names = nodes.where("kind = 'identifier'").select("path", "pre", F.col("name").alias("var"))
+    rows = found.select("path", "pattern_idx", "pre", "post", "line")
+    within = containment(rows, names).select("path", "o.pattern_idx", "o.pre", "o.line", "i.var", F.col("i.pre").alias("at"))
+    if any(captures(p) is not None for p in rule.sinks):
+        hot = reached.select("path", "var")
+        own = captured(nodes, found).select("path", "pattern_idx", "pre", "line", F.col("text").alias("var"), "at").join(hot, ["path", "var"], "left_semi").select("path", "pattern_idx", "pre", "line", "var", "at")
+        within = within.join(own, ["path", "pattern_idx", "pre"], "left_anti").unionByName(own)
+    return within.select("path", "pre", "line", "var", "at").distinct()
 
 
 def apply_taint_rule(nodes: DataFrame, rule: TaintRule) -> DataFrame:
-    """(path, rule_id, severity, line, var, source_line, hops): tainted variables in a sink match, outside of its sanitizers."""
+    """(path, rule_id, severity, line, var, source_line, hops, trail): tainted variables in a sink match, outside of its sanitizers."""
     clean = nodes.where(any_of(rule.sanitizers)).select("path", "pre", "post")
     flows = assignments(nodes)
     around = nodes.where("kind = 'assignment' and name is not null").select("path", F.col("name").alias("target"), "line", "pre", "post")
-    washed = inside(around, ["path"], clean, "left_semi").select("path", "target", "line")
-    unwashed = flows.join(washed, ["path", "target", "line"], "left_anti")
-    sources = taint_sources(nodes, rule)
-    reached = tainted(unwashed, sources)
-    sinks = nodes.where(any_of(rule.sinks)).select("path", "line", "pre", "post")
-    names = nodes.where("kind = 'identifier'").select(F.col("path").alias("_p"), F.col("name").alias("var"), F.col("pre").alias("at"))
-    used = sinks.join(names, (F.col("path") == F.col("_p")) & F.col("at").between(F.col("pre"), F.col("post"))).drop("_p")
-    hot = used.join(reached, ["path", "var"])
-    c = clean.select(F.col("path").alias("_p"), F.col("pre").alias("_a"), F.col("post").alias("_b"))
-    covered = (F.col("path") == F.col("_p")) & F.col("_a").between(F.col("pre"), F.col("post")) & F.col("at").between(F.col("_a"), F.col("_b"))
-    open_ = hot.join(c, covered, "left_anti")
-    origin = sources.groupBy("path").agg(F.min("line").alias("source_line"))
-    found = open_.join(origin, "path").select("path", F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), "line", "var", "source_line", "hops")
-    return found.distinct()
-
-
-def taint_paths(assigns: DataFrame, sources: DataFrame, most_rounds: int = 100, last: int = 3) -> DataFrame:
+    washed = holding(around, clean).select("path", "target", "line")
+    reached = spread(flows.join(washed, ["path", "target", "line"], "left_anti"), taint_sources(nodes, rule))
+    hot = _sink_uses(nodes, rule, reached).join(reached, ["path", "var"])
+    # The sanitizers around a place nest: if any lies in the sink, the innermost does.
+    points = hot.select("path", F.col("at").alias("pre")).distinct()
+    shields = containment(clean, points).groupBy("path", F.col("i.pre").alias("at")).agg(F.max("o.pre").alias("shield"))
+    open_ = hot.join(shields, ["path", "at"], "left").where("shield is null or shield < pre")
+    return open_.select("path", F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"), "line", "var", "source_line", "hops", F.array_join("trail", " -> ").alias("trail")).distinct()
+
+
+def taint_messages(found: DataFrame, rule: TaintRule) -> DataFrame:
+    """Findings of a taint rule with a message: the rule's, the source's line and the last steps to the variable."""
+    return found.withColumn("message", F.format_string("%s (%s, from line %d: %s)", F.lit(rule.message), "var", "source_line", "trail"))
+
+
+def taint_paths(assigns: DataFrame, sources: DataFrame) -> DataFrame:
     """(path, var, hops, trail): the last steps by which a variable is tainted, along the shortest way, the least by name of those.
 
-    assigns: path, target, source_var; sources: path, var. The way before is read off the variable's best
-    predecessor, which has one hop less, so ``last`` joins tell the trail, however long the chains.
+    assigns: path, target, source_var; sources: path, var.
     """
-    reached = tainted(assigns, sources, most_rounds=most_rounds)
-    before = reached.select("path", F.col("var").alias("source_var"), F.col("hops").alias("_h"))
-    best = assigns.select("path", F.col("target").alias("var"), "source_var").distinct().join(before, ["path", "source_var"]).join(reached, ["path", "var"]).where("_h = hops - 1")
-    best = best.groupBy("path", "var").agg(F.min("source_var").alias("via"))
-    told = reached.withColumn("trail", F.array("var")).withColumn("at", F.col("var"))
-    for _ in range(last - 1):
-        step = best.select("path", F.col("var").alias("at"), "via")
-        told = told.join(step, ["path", "at"], "left").select("path", "var", "hops", F.when(F.col("via").isNull(), F.col("trail")).otherwise(F.concat(F.array("via"), "trail")).alias("trail"), F.col("via").alias("at"))
+    told = spread(assigns, sources.select("path", "var", F.lit(None).alias("line")))
     return told.select("path", "var", "hops", F.array_join("trail", " -> ").alias("trail"))
 
 

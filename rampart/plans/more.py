@@ -122,15 +122,25 @@ PROGRAMS = (
     "def f(a, b):\n    z = input()\n    w = int(z)\n    eval(w)\n    eval(a, z)\n    subprocess.run(a, z, True)\n",
     "total = 1 + 2\nlog.info(total)\ncount = total\ncursor.execute(escape(input()), count)\n",
 )
-_NODE_ROWS = [(k, n[1], n[2], n[3], n[4], n[5], n[6], "|".join(n[7]), n[8], n[9], n[10]) for k, source in enumerate(PROGRAMS) for n in syntax.node_rows("", source)]
-NODES_SQL = f"""nodes AS (SELECT 's' || s_suppkey AS path, n.node_id, n.parent_id, n.pre, n.post, n.kind, n.name, CASE WHEN n.args = '' THEN [] ELSE string_split(n.args, '|') END AS args, n.text, n.line, n.col
-  FROM supplier, {values(_NODE_ROWS)} AS n(i, program, node_id, parent_id, pre, post, kind, name, args, text, line, col) WHERE n.program = s_suppkey % {len(PROGRAMS)})"""
+_NODE_KINDS = "program int, node_id int, parent_id int, pre int, post int, kind string, name string, args string, text string, line int, col int"
 
 
-def _nodes(spark, d) -> DataFrame:
+def _node_rows(programs) -> list[tuple]:
+    return [(k, n[1], n[2], n[3], n[4], n[5], n[6], "|".join(n[7]), n[8], n[9], n[10]) for k, source in enumerate(programs) for n in syntax.node_rows("", source)]
+
+
+def _nodes_sql(programs) -> str:
+    return f"""nodes AS (SELECT 's' || s_suppkey AS path, n.node_id, n.parent_id, n.pre, n.post, n.kind, n.name, CASE WHEN n.args = '' THEN [] ELSE string_split(n.args, '|') END AS args, n.text, n.line, n.col
+  FROM supplier, {values(_node_rows(programs))} AS n(i, program, node_id, parent_id, pre, post, kind, name, args, text, line, col) WHERE n.program = s_suppkey % {len(programs)})"""
+
+
+NODES_SQL = _nodes_sql(PROGRAMS)
+
+
+def _nodes(spark, d, programs=PROGRAMS) -> DataFrame:
     """Trees of a few programs, one for each supplier, as ``syntax.parse`` makes them."""
-    table = seeds.table(spark, _NODE_ROWS, "program int, node_id int, parent_id int, pre int, post int, kind string, name string, args string, text string, line int, col int")
-    told = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), (F.col("s_suppkey") % len(PROGRAMS)).cast("int").alias("program")).join(F.broadcast(table), "program")
+    table = seeds.table(spark, _node_rows(programs), _NODE_KINDS)
+    told = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), (F.col("s_suppkey") % len(programs)).cast("int").alias("program")).join(F.broadcast(table), "program")
     return told.withColumn("args", F.when(F.col("args") == "", F.array().cast("array<string>")).otherwise(F.split("args", r"\|"))).drop("program", "i")
 
 
@@ -159,12 +169,17 @@ def syntax_rule_findings(spark, d):
 
 
 TAINT_RULE = syntax_rules.TaintRule("user-input", ("input(...)", "request.args.get(...)"), ("os.system(...)", "cursor.execute(...)", "eval(...)"), ("escape(...)", "int(...)"))
+#: From src (path, var, line) along flow (path, target, source_var): the fewest steps, the least line of a source so near, the last three steps.
+_REACH_SQL = """reach AS (SELECT path, var, 0 AS hops, line FROM src UNION SELECT f.path, f.target, r.hops + 1, r.line FROM reach r JOIN flow f ON f.path = r.path AND f.source_var = r.var WHERE r.hops < 8),
+best AS (SELECT path, var, hops, min(line) AS source_line FROM (SELECT *, min(hops) OVER (PARTITION BY path, var) AS least FROM reach) WHERE hops = least GROUP BY ALL),
+via AS (SELECT b.path, b.var, min(f.source_var) AS via FROM best b JOIN flow f ON f.path = b.path AND f.target = b.var JOIN best p ON p.path = b.path AND p.var = f.source_var AND p.hops = b.hops - 1 GROUP BY ALL),
+told AS (SELECT b.*, CASE WHEN v2.via IS NOT NULL THEN v2.via || ' -> ' ELSE '' END || CASE WHEN v1.via IS NOT NULL THEN v1.via || ' -> ' ELSE '' END || b.var AS trail
+  FROM best b LEFT JOIN via v1 ON v1.path = b.path AND v1.var = b.var LEFT JOIN via v2 ON v2.path = b.path AND v2.var = v1.via)"""
 _TAINT_SQL = f"""{NODES_SQL}, clean AS (SELECT * FROM nodes WHERE kind = 'call' AND name IN ('escape', 'int')),
 asg AS (SELECT a.path, a.name AS target, a.line, a.pre, a.post, EXISTS (SELECT 1 FROM clean c WHERE c.path = a.path AND c.pre BETWEEN a.pre AND a.post) AS washed FROM nodes a WHERE a.kind = 'assignment' AND a.name IS NOT NULL),
-src AS (SELECT DISTINCT a.path, a.target AS var, a.line FROM asg a JOIN nodes n ON n.path = a.path AND n.line = a.line AND n.kind = 'call' AND n.name IN ('input', 'request.args.get') AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.path = n.path AND c.pre BETWEEN n.pre AND n.post) WHERE NOT a.washed),
+src AS (SELECT DISTINCT a.path, a.target AS var, a.line FROM asg a JOIN nodes n ON n.path = a.path AND n.line = a.line AND n.kind = 'call' AND n.name IN ('input', 'request.args.get') AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.path = n.path AND c.pre = n.pre) WHERE NOT a.washed),
 flow AS (SELECT DISTINCT a.path, a.target, n.name AS source_var FROM asg a JOIN nodes n ON n.path = a.path AND n.pre BETWEEN a.pre AND a.post AND n.kind = 'identifier' AND n.name <> a.target WHERE NOT a.washed),
-reach AS (SELECT path, var, 0 AS hops FROM src UNION SELECT f.path, f.target, r.hops + 1 FROM reach r JOIN flow f ON f.path = r.path AND f.source_var = r.var WHERE r.hops < 8),
-best AS (SELECT path, var, min(hops) AS hops FROM reach GROUP BY ALL)"""
+{_REACH_SQL}"""
 
 
 @query(f"""WITH RECURSIVE {_TAINT_SQL} SELECT path, var, line FROM src""")
@@ -172,15 +187,52 @@ def taint_source_variables(spark, d):
     return syntax_rules.taint_sources(_nodes(spark, d), TAINT_RULE)
 
 
-@query(f"""WITH RECURSIVE {_TAINT_SQL} SELECT DISTINCT s.path, 'user-input' AS rule_id, 'error' AS severity, s.line, b.var, (SELECT min(line) FROM src WHERE src.path = s.path) AS source_line, b.hops FROM nodes s
-JOIN nodes n ON n.path = s.path AND n.pre BETWEEN s.pre AND s.post AND n.kind = 'identifier' JOIN best b ON b.path = s.path AND b.var = n.name
+@query(f"""WITH RECURSIVE {_TAINT_SQL} SELECT DISTINCT s.path, 'user-input' AS rule_id, 'error' AS severity, s.line, b.var, b.source_line, b.hops, b.trail FROM nodes s
+JOIN nodes n ON n.path = s.path AND n.pre BETWEEN s.pre AND s.post AND n.kind = 'identifier' JOIN told b ON b.path = s.path AND b.var = n.name
 WHERE s.kind = 'call' AND s.name IN ('os.system', 'cursor.execute', 'eval') AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.path = s.path AND c.pre BETWEEN s.pre AND s.post AND n.pre BETWEEN c.pre AND c.post)""")
 def taint_rule_findings(spark, d):
     """Sources to sinks of a taint rule, outside of its sanitizers."""
     return syntax_rules.apply_taint_rule(_nodes(spark, d), TAINT_RULE)
 
 
-@query("""WITH RECURSIVE asg AS (SELECT 'f' || (o_orderkey % 50) AS path, 'v' || (o_orderkey % 12 + 1) AS target, 'v' || (o_custkey % 12 + 1) AS source_var FROM orders WHERE o_orderkey % 12 <> o_custkey % 12 AND o_orderkey % 11 = 0),
+CAPTURES = (
+    "read_into(buf)\nlog.info(buf)\ncmd = buf + 'x'\nrun(cmd, safe)\nrun(other, cmd)\nrun(int(buf), z)\nrun(buf, cmd)\n",
+    "fill(a, row, last)\nfill(int(q), 1)\nb = row\nc = b\nrun(c)\nrun(a, last)\nrun(q)\nlast = 2\n",
+    "cfg = env\nrun(env, cfg)\nenv.go(run(cfg + env, 1))\nk = int(cfg)\nrun(k, k)\n",
+    "x = 1\nrun(x)\nlog.info(x)\n",
+)
+CAPTURE_RULE = syntax_rules.TaintRule("captured", ("read_into($BUF)", "fill(..., $ROW, $_)", "cfg = $SRC"), ("run($CMD, ...)",), ("int(...)",), message="reaches a command")
+
+
+@query(f"""WITH RECURSIVE {_nodes_sql(CAPTURES)}, clean AS (SELECT * FROM nodes WHERE kind = 'call' AND name = 'int'),
+asg AS (SELECT a.path, a.name AS target, a.line, a.pre, a.post, EXISTS (SELECT 1 FROM clean c WHERE c.path = a.path AND c.pre BETWEEN a.pre AND a.post) AS washed FROM nodes a WHERE a.kind = 'assignment' AND a.name IS NOT NULL),
+hit AS (SELECT path, line, pre, args[1] AS text FROM nodes WHERE kind = 'call' AND name = 'read_into' AND len(args) = 1
+  UNION ALL SELECT path, line, pre, unnest(args[-2:]) FROM nodes WHERE kind = 'call' AND name = 'fill' AND len(args) >= 2 UNION ALL SELECT path, line, pre, split_part(text, ' = ', 2) FROM nodes WHERE kind = 'assignment' AND name = 'cfg'),
+src AS (SELECT DISTINCT path, text AS var, line FROM hit WHERE NOT starts_with(text, 'int(') UNION SELECT a.path, a.target, a.line FROM asg a JOIN hit h ON h.path = a.path AND h.line = a.line WHERE NOT a.washed),
+flow AS (SELECT DISTINCT a.path, a.target, n.name AS source_var FROM asg a JOIN nodes n ON n.path = a.path AND n.pre BETWEEN a.pre AND a.post AND n.kind = 'identifier' AND n.name <> a.target WHERE NOT a.washed),
+{_REACH_SQL}, sink AS (SELECT * FROM nodes WHERE kind = 'call' AND name = 'run' AND len(args) >= 1),
+own AS (SELECT s.path, s.pre, s.line, b.var FROM sink s JOIN told b ON b.path = s.path AND b.var = s.args[1]),
+used AS (SELECT path, pre, line, var FROM own UNION ALL SELECT s.path, s.pre, s.line, n.name FROM sink s JOIN nodes n ON n.path = s.path AND n.pre BETWEEN s.pre AND s.post AND n.kind = 'identifier'
+  WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.path = s.path AND o.pre = s.pre) AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.path = s.path AND c.pre BETWEEN s.pre AND s.post AND n.pre BETWEEN c.pre AND c.post))
+SELECT DISTINCT u.path, u.line, u.var, b.source_line, b.hops, 'reaches a command (' || u.var || ', from line ' || b.source_line || ': ' || b.trail || ')' AS message FROM used u JOIN told b ON b.path = u.path AND b.var = u.var""")
+def taint_captures(spark, d):
+    """What metavariables of source patterns stand for is tainted, what those of sink patterns stand for is looked at first."""
+    found = syntax_rules.apply_taint_rule(_nodes(spark, d, CAPTURES), CAPTURE_RULE)
+    return syntax_rules.taint_messages(found, CAPTURE_RULE).select("path", "line", "var", "source_line", "hops", "message")
+
+
+@query(f"""WITH {_nodes_sql(CAPTURES)} SELECT path, line, '$CMD' AS variable, args[1] AS text FROM nodes WHERE kind = 'call' AND name = 'run'
+UNION ALL SELECT path, line, unnest(['$ROW', '$_']), unnest(args[-2:]) FROM nodes WHERE kind = 'call' AND name = 'fill' UNION ALL SELECT path, line, '$V', split_part(text, ' = ', 2) FROM nodes WHERE kind = 'assignment' AND name IN ('cfg', 'b')
+UNION ALL SELECT path, line, '$F', name FROM nodes WHERE kind = 'call' AND list_contains(args, 'cmd') UNION ALL SELECT path, line, '$N', args[list_position(args, 'row') + 1] FROM nodes WHERE kind = 'call' AND list_contains(args, 'row')""")
+def captured_metavariables(spark, d):
+    """What a pattern's metavariables stand for: arguments from the front and the back, targets, values, callees."""
+    nodes = _nodes(spark, d, CAPTURES)
+    found = syntax_rules.matched(nodes, ("run($CMD, ...)", "fill(..., $ROW, $_)", "cfg = $V", "b = $V", "$F(..., cmd, ...)", "fill(..., row, $N, ...)"))
+    told = syntax_rules.captured(nodes, found)
+    return told.select("path", "line", "variable", "text")
+
+
+@query("""WITH RECURSIVE asg AS (SELECT DISTINCT 'f' || (o_orderkey % 997) AS path, 'v' || (o_orderkey % 12 + 1) AS target, 'v' || (o_custkey % 12 + 1) AS source_var FROM orders WHERE o_orderkey % 12 <> o_custkey % 12 ),
 src AS (SELECT DISTINCT path, 'v1' AS var FROM asg),
 reach AS (SELECT path, var, 0 AS hops FROM src UNION SELECT a.path, a.target, r.hops + 1 FROM reach r JOIN asg a ON a.path = r.path AND a.source_var = r.var WHERE r.hops < 13),
 best AS (SELECT path, var, min(hops) AS hops FROM reach GROUP BY ALL),
@@ -189,8 +241,8 @@ SELECT b.path, b.var, b.hops, CASE WHEN v2.via IS NOT NULL THEN v2.via || ' -> '
 FROM best b LEFT JOIN via v1 ON v1.path = b.path AND v1.var = b.var LEFT JOIN via v2 ON v2.path = b.path AND v2.var = v1.via""")
 def taint_trails(spark, d):
     """The last three steps by which a variable is tainted."""
-    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 12 <> o_custkey % 12 and o_orderkey % 11 = 0")  # so that files' assignments form short chains
-    assigns = stored(orders.selectExpr("concat('f', o_orderkey % 50) as path", "concat('v', o_orderkey % 12 + 1) as target", "concat('v', o_custkey % 12 + 1) as source_var"), "assigns")
+    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 12 <> o_custkey % 12")
+    assigns = stored(orders.selectExpr("concat('f', o_orderkey % 997) as path", "concat('v', o_orderkey % 12 + 1) as target", "concat('v', o_custkey % 12 + 1) as source_var"), "assigns")
     return syntax_rules.taint_paths(assigns, assigns.select("path", F.lit("v1").alias("var")).distinct())
 
 

@@ -1,8 +1,10 @@
 """Plans without joins of all with all, and results that are whole or an error."""
 
+import random
+
 import pytest
 
-from rampart.operators import graph, match, prompts
+from rampart.operators import containment, graph, match, prompts, syntax
 from rampart.plans.queries import QUERIES
 from rampart.sources.rule_packs import SCHEMA, prompt_rules
 
@@ -36,9 +38,49 @@ def test_too_many_rules_are_refused(spark):
     assert len(match.rule_rows(many, 30)) == 30
 
 
-def test_taint_beyond_its_rounds_is_an_error(spark):
-    chain = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(6)], "path string, target string, source_var string")
-    source = spark.createDataFrame([("f", "v0")], "path string, var string")
-    assert {(r["var"], r.hops) for r in graph.tainted(chain, source).collect()} == {(f"v{i}", i) for i in range(7)}
-    with pytest.raises(RuntimeError):
-        graph.tainted(chain, source, most_rounds=3)
+def test_taint_along_a_long_chain(spark):
+    """A chain of 5,000 assignments is followed to its end, in one plan."""
+    chain = spark.createDataFrame([("f", f"v{i + 1}", f"v{i}") for i in range(5000)] + [("g", "b", "a")], "path string, target string, source_var string")
+    source = spark.createDataFrame([("f", "v0"), ("h", "z")], "path string, var string")
+    found = graph.tainted(chain, source)
+    assert {(r.path, r["var"], r.hops) for r in found.collect()} == {("f", f"v{i}", i) for i in range(5001)} | {("h", "z", 0)}
+
+
+def test_containment_is_a_sweep(spark):
+    """One file of 100,000 nodes: no join pairs its nodes, and pairs are as many as there are to tell."""
+    source = "\n".join(f"x{i} = f(y{i})" for i in range(20_000))
+    nodes = syntax.parse(spark.createDataFrame([("p", source)], "path string, text string")).cache()
+    assert nodes.count() > 100_000
+    flows = syntax.assignments(nodes)
+    assert "Join" not in flows._jdf.queryExecution().executedPlan().toString()
+    assert flows.count() == 40_000
+    calls = nodes.where("kind = 'call'")
+    assert syntax.without(calls, nodes.where("name = 'y7'")).count() == 19_999
+
+
+def test_nested_ranges(spark):
+    """All pairs of ranges and places of random trees by hand, with depth and over several batches."""
+    r = random.Random(6)
+    rows = []
+    for tree in range(12):
+        clock, stack = 0, []
+        for _ in range(200):
+            clock += 1
+            if stack and r.random() < 0.45:
+                rows.append((f"t{tree}", stack.pop(), clock, r.randrange(5)))
+            else:
+                stack.append(clock)
+        while stack:
+            clock += 1
+            rows.append((f"t{tree}", stack.pop(), clock, r.randrange(5)))
+    nodes = spark.createDataFrame([*rows, (None, 1, 2, 3), ("t0", None, None, 4)], "path string, pre int, post int, tag int")
+    outer, inner = nodes.where("tag < 3"), nodes.where("tag > 1")
+    hand = {(o[0], o[1], i[1]) for o in rows for i in rows if o[3] < 3 and i[3] > 1 and o[0] == i[0] and o[1] <= i[1] <= o[2]}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert {(x.path, x.o.pre, x.i.pre) for x in containment.containment(outer, inner).collect()} == hand
+    held = {(p, o) for p, o, _ in hand}
+    assert {(x.path, x.pre) for x in containment.holding(outer, inner).collect()} == held
+    assert {(x.path, x.pre) for x in containment.holding(outer.where("path = 't1'"), inner, how="left_anti").collect()} == {(o[0], o[1]) for o in rows if o[0] == "t1" and o[3] < 3} - held
+    assert containment.containment(outer.limit(0), inner).count() == 0

@@ -18,7 +18,9 @@ from .common import stored
 from .pieces import Cut, PieceIds, Split, byte_level_pieces, slices
 
 #: A block is documents whose links are counted together: about so many bytes of text, at most about so many rows.
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 20_000
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 20_000
+#: Bytes of text that are aligned at once, and bytes of pieces that a tokenizer keeps (twice).
+AT_ONCE, KEPT = 1 << 20, 32 << 20
 #: Stands for a piece whose tokens don't spell it.
 UNSPELT = -1
 #: The sign for a space in B's vocabulary (fixed value).
@@ -59,7 +61,7 @@ class Tokens:
     def __init__(self, split: Callable, encode: Callable[[list[str]], list[list[int]]], spelling: list[bytes]):
         self.encode, self.spelling = encode, spelling
         self.sizes = np.array([*map(len, spelling)], np.int64)
-        self.pieces = PieceIds(split, self._spelt, [])
+        self.pieces = PieceIds(split, self._spelt, [], KEPT)
 
     def _spelt(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -122,28 +124,27 @@ class Aligner:
         spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
         return *self.a.pieces.texts(spaced), *self.b.pieces.texts(spaced)
 
-    def spelt(self, texts: pa.Array) -> np.ndarray:
-        """Which texts have tokens: not null, not empty, and joined the tokens of both spell the text with a space before it."""
-        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
-        a, a_ends, b, b_ends = self.ids(texts.filter(pa.array(some)))
-        for ids, ends in ((a, a_ends), (b, b_ends)):
-            odd = np.searchsorted(ends, np.flatnonzero(ids == UNSPELT), "right")
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Which texts have tokens, and their ids: not null, not empty, and joined the tokens of both spell the text with a space before it."""
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False).copy()
+        while True:
+            told = self.ids(texts.filter(pa.array(some)))
+            odd = np.unique(np.concatenate([np.searchsorted(ends, np.flatnonzero(ids == UNSPELT), "right") for ids, ends in (told[:2], told[2:])]))
+            if not len(odd):
+                return some, told
             some[np.flatnonzero(some)[odd]] = False
-            if len(odd):
-                return some & self.spelt(pc.if_else(pa.array(some), texts, pa.scalar(None, pa.string())))
-        return some
 
-    def align(self, texts: pa.Array) -> dict:
-        """Of each text that ``spelt`` took: n_a, n_b, n_groups, n_links, groups (memoryviews); and its different linked pairs, how often each, and their ends by text.
+    def align(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> dict:
+        """Of each text that ``read`` took: n_a, n_b, n_groups, n_links, groups (memoryviews); and its different linked pairs, how often each, and their ends by text.
 
         A pair is A's id times 2**32 plus B's.
         """
-        a, a_ends, b, b_ends = self.ids(texts)
+        n = len(a_ends)
         index_a, index_b = IntervalIndex(self.a.sizes[a]), IntervalIndex(self.b.sizes[b])
         first, after = index_b.overlaps(index_a.starts, index_a.ends)
         links = after - first
         upto = np.concatenate([[0], np.cumsum(links)])
-        row_a = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], a_ends])))
+        row_a = np.repeat(np.arange(n), np.diff(np.concatenate([[0], a_ends])))
         of = np.repeat(np.arange(len(a)), links)
         met = b[first[of] + np.arange(upto[-1]) - upto[of]]
         pairs, at = np.unique((a[of].astype(np.int64) << 32) | met, return_inverse=True)
@@ -162,7 +163,7 @@ class Aligner:
         groups = [raw[lo : hi - 1] for lo, hi in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
         cuts = np.concatenate([[0], np.cumsum(cut_a)])
         by_row = lambda x: np.diff(np.concatenate([[0], x]))
-        return {"n_a": by_row(a_ends), "n_b": by_row(b_ends), "n_groups": by_row(cuts[a_ends]), "n_links": by_row(upto[a_ends]), "groups": groups, "pairs": pairs[told % max(1, len(pairs))], "times": times, "pair_ends": np.searchsorted(rows, np.arange(len(texts)), "right")}
+        return {"n_a": by_row(a_ends), "n_b": by_row(b_ends), "n_groups": by_row(cuts[a_ends]), "n_links": by_row(upto[a_ends]), "groups": groups, "pairs": pairs[told % max(1, len(pairs))], "times": times, "pair_ends": np.searchsorted(rows, np.arange(n), "right")}
 
 
 def cut_or_last(group: np.ndarray) -> np.ndarray:
@@ -189,8 +190,8 @@ class _Block:
         self.block, self.bytes, self.rows, self.parts = block, 0, 0, []
 
     def add(self, aligner: Aligner, doc_ids: pa.Array, texts: pa.Array) -> None:
-        some = np.flatnonzero(aligner.spelt(texts))
-        found = aligner.align(texts.take(pa.array(some)))
+        some, ids = aligner.read(texts)
+        found, some = aligner.align(*ids), np.flatnonzero(some)
         n = len(texts)
         told = {c: np.zeros(n, np.int64) for c in (*COUNTS, "_held")}
         for c in COUNTS:
@@ -234,7 +235,7 @@ def _align(shared, key: tuple):
             _KEPT[key] = Aligner(byte_tokens(spec), piece_tokens(model))
         block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=AT_ONCE):
                 block.add(_KEPT[key], part.column("doc_id"), part.column("text"))
                 if block.bytes >= BLOCK_BYTES or block.rows >= BLOCK_ROWS:
                     yield block.told()
@@ -247,6 +248,7 @@ def _align(shared, key: tuple):
 
 def _scored(docs: pa.Table, asked: pa.Table) -> pa.Table:
     """The documents of a block with the sums over their links; ``asked`` has each of the block's keys."""
+    _KEPT.clear()  # this worker may have encoded before
     asked = asked.sort_by("key")
     count, best = asked.column("count").to_numpy(), asked.column("best").to_numpy().astype(np.int64)
     docs = docs.combine_chunks()
@@ -267,7 +269,7 @@ def aligned(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     """Rows of documents and of blocks, as ``ALIGNED`` has it.
 
     ``tokenizer`` is a JSON file of the tokenizers library, ``model`` one of sentencepiece, read by the driver
-    and sent to the tasks. A task encodes each different piece of text once a worker, lays the tokens of 4 MB
+    and sent to the tasks. A task encodes each different piece of text once a worker, lays the tokens of 1 MB
     of texts along one line of bytes and aligns them together. No shuffle.
     """
     with open(tokenizer, encoding="utf-8") as f, open(model, "rb") as g:
@@ -288,7 +290,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 def alignment(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document.
 
-    docs: doc_id, text. Pairs are counted by block first (about 16 MB of text), so that a pair in every
+    docs: doc_id, text. Pairs are counted by block first (about 8 MB of text), so that a pair in every
     document comes once a block to the sum, and once a block back to its documents: neither documents nor
     links are joined with the counts. Null and empty texts, and those that their tokens don't spell, have
     zeros and an empty digest; null ids are documents like any other; repeated rows each count as a document;

@@ -34,13 +34,13 @@ _C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
 FAR_SPACES = [c.encode() for c in "\x85\xa0                　"]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about SLICE bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``size`` bytes of text, one row at least."""
     texts = batch.column(column)
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 

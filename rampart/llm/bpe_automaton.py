@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .pieces import PieceIds, byte_level_pieces, slices
 
 #: White space of the byte-level pre-splitter: Unicode's White_Space property.
@@ -24,6 +25,8 @@ PLAIN = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}\x00-\x1f]+)")
 SHORT, TOGETHER = 48, 1 << 14
 #: Answers of the automaton that a worker keeps (a prime number).
 KEPT_ARCS = 1_000_003
+#: Bytes of text that are encoded at once, and bytes of pieces that a worker keeps (twice).
+AT_ONCE, KEPT = 1 << 20, 32 << 20
 #: Places of the table of moves, a power of two; at most a quarter of them is taken.
 PLACES = 1 << 19
 
@@ -310,7 +313,7 @@ class Encoder:
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.pieces = PieceIds(byte_level_pieces, self._encode, list(automaton.special))
+        self.pieces = PieceIds(byte_level_pieces, self._encode, list(automaton.special), KEPT)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         stop = self.automaton.stop
@@ -328,14 +331,21 @@ class Encoder:
 _KEPT: dict[int, Encoder] = {}
 
 
+def forget() -> None:
+    """Drops the encoder that an earlier task has left in this worker."""
+    _KEPT.clear()
+    tidy()
+
+
 def _round_trip(shared, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         if key not in _KEPT:
             _KEPT.clear()
             _KEPT[key] = Encoder(shared.value)
         encoder = _KEPT[key]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=AT_ONCE):
                 ids, ends = encoder.pieces.texts(part.column("text"))
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 decoded = encoder.automaton.decode_all(ids, ends)

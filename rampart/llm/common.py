@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,16 @@ from ..sources.stored import drop, scope, stored, stored_path  # noqa: F401 - us
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def tidy() -> None:
+    """Gives back to the system what earlier tasks of this Python worker have freed: workers live long, and their peaks would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

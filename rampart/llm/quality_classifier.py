@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_automaton import AT_ONCE, forget
 from .common import KEY_BITS, histogram_cut, stored
 from .pieces import slices
 
@@ -96,9 +97,10 @@ def judged_labels(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     raw, target = np.zeros(2 * BUCKETS, np.int64), np.zeros((FOLDS, 2 * BUCKETS), np.int64)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=AT_ONCE):
             buckets, of = gram_buckets(part.column("text"))
             raw += np.bincount(buckets, minlength=2 * BUCKETS)
             kinds = part.column("kind").to_numpy(zero_copy_only=False)[of]
@@ -198,7 +200,7 @@ def _scorer(sampler):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sampler.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=AT_ONCE):
                 ratio, some = known.log_ratios(part.column("text"))
                 key = known.keys(ratio, some, part.column("bits").to_numpy())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ratio, mask=~some), pa.array(key)], ["doc_id", "log_ratio", "key"])
@@ -260,7 +262,7 @@ def _keeper(sampler, cut: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sampler.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=AT_ONCE):
                 ratio, some = known.log_ratios(part.column("text"))
                 stay = some & (known.keys(ratio, some, part.column("bits").to_numpy()) < cut)
                 yield part.select(["rest", "text"]).filter(pa.array(stay))

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_automaton import forget
 from .common import stored, words
 from .components import components
 from .simhash import RADIUS, fingerprint, links
@@ -84,6 +85,7 @@ def node(text: Column) -> Column:
 def _signed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
+        forget()
         for batch in batches:
             first, sizes, prints = [], np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
             for k, x in enumerate(batch.column("text").cast(pa.binary())):

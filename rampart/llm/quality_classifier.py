@@ -20,8 +20,12 @@ BUCKETS = 1 << 18
 UNIT = 1024
 #: Parts of the trusted sample: for the cut, documents of one are scored by a target model of the others.
 FOLDS = 5
-#: What the n-grams without a sure ratio weigh in all: their mean times this.
-PASSAGE = 64
+#: Shares of the raw distribution in the target model, as multiples of its own mass: of unigrams, of bigrams.
+PRIORS = (0.05, 0.3)
+#: The weight at the lower end of the trusted documents is 1; a bad one that is better than MOST_BAD of the bad is drawn with probability RARE.
+RARE, MOST_BAD = 0.002, 0.9
+#: The least temperature, where good and bad documents don't part.
+COLDEST = 1 / 256
 #: Sampling keys are counted in 2**-SCALE and clipped to 2**-(SCALE - KEY_BITS + 1).
 SCALE = 24
 #: An odd base of the words' polynomial hash, and multipliers that mix (fixed values of this table of weights).
@@ -64,36 +68,31 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def weights_of(raw: np.ndarray, target: np.ndarray, prior: float, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """log p_target - log p_raw by bucket in whole UNITs, and where it is sure.
+def weights_of(raw: np.ndarray, target: np.ndarray, priors: tuple[float, float] = PRIORS) -> np.ndarray:
+    """log p_target - log p_raw by bucket in whole UNITs.
 
-    The raw counts are half a count a bucket more; the target is smoothed by the raw distribution with
-    ``prior`` times its own mass. A ratio is sure if the target's count is over ``sure`` standard deviations
-    from what the raw model expects; the errors of the others add up, and more so the longer a text is.
+    The raw counts are half a count a bucket more; the target is smoothed by the raw distribution with its
+    prior times its own mass.
     """
-    out, sure_of = np.zeros(len(raw), np.int32), np.zeros(len(raw), bool)
-    for lo in range(0, len(raw), BUCKETS):
+    out = np.zeros(len(raw), np.int32)
+    for lo, prior in zip(range(0, len(raw), BUCKETS), priors, strict=True):
         r, t = raw[lo : lo + BUCKETS].astype(float), target[lo : lo + BUCKETS].astype(float)
-        if not t.sum():
-            continue
-        p = (r + 0.5) / (r.sum() + 0.5 * len(r))
-        ratio = np.log((t + prior * p * t.sum()) / ((1 + prior) * t.sum()) / p)
-        expected = r / r.sum() * t.sum()
-        sure_of[lo : lo + BUCKETS] = np.abs(t - expected) > sure * np.sqrt(expected + 1)
-        out[lo : lo + BUCKETS] = np.round(ratio * UNIT).astype(np.int32)
-    return out, sure_of
+        if t.sum():
+            p = (r + 0.5) / (r.sum() + 0.5 * len(r))
+            out[lo : lo + BUCKETS] = np.round(np.log((t + prior * p * t.sum()) / ((1 + prior) * t.sum()) / p) * UNIT)
+    return out
 
 
 def judged_labels(labels: DataFrame, most: int) -> DataFrame:
     """doc_id, kind of up to ``most`` trusted and as many bad documents, by hash order: a trusted one's fold, or FOLDS for bad.
 
-    Trusted documents are only called good and never toxic; bad ones are only called bad, or toxic at all.
-    The sample fits the target model and the cut alone.
+    Trusted documents are only called good and never toxic; bad ones are only called bad. The sample fits the
+    target model, the cut and the temperature alone.
     """
     per = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     good = per.where("lo = 1 and t = 0").orderBy(*order).limit(most).select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("kind"))
-    return good.unionAll(per.where("hi = 0 or t = 1").orderBy(*order).limit(most).select("doc_id", F.lit(FOLDS).alias("kind")))
+    return good.unionAll(per.where("hi = 0").orderBy(*order).limit(most).select("doc_id", F.lit(FOLDS).alias("kind")))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,26 +114,24 @@ TARGETS = [f"target{k}" for k in range(FOLDS)]
 
 @dataclass(frozen=True)
 class Sampler:
-    """The weights by bucket, where they are sure, the cut between held-out trusted and bad documents, and how to sample."""
+    """The weights by bucket, the log-ratio and the temperature that say how surely a document is drawn."""
 
     weights: np.ndarray
-    sure: np.ndarray
     cut: float
     temperature: float = 1.0
     seed: int = 17
 
     def log_ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's log-ratio in nats, and whether it has words.
+        """Each text's log-ratio in nats a word, and whether it has words: the mean of its unigrams' plus that of its bigrams'.
 
-        That is the sum over its n-grams with a sure ratio, plus PASSAGE times the others' mean share: they
-        tell new words from known ones together, but count no more in a long text than in a short one.
+        Sums grow with a text's length, so that of two texts of one kind the longer would outweigh any other.
         """
         buckets, of = gram_buckets(texts)
-        n = np.bincount(of, minlength=len(texts))
-        weight, sure = self.weights[buckets], self.sure[buckets]  # whole numbers, so that sums are exact in doubles
-        total = np.bincount(of[sure], weight[sure], minlength=len(texts))
-        rest = np.bincount(of[~sure], weight[~sure], minlength=len(texts))
-        return (total + np.round(PASSAGE * rest / np.maximum(n, 1))) / UNIT, n > 0
+        total = np.zeros(len(texts))
+        for one in (buckets < BUCKETS, buckets >= BUCKETS):
+            n = np.bincount(of[one], minlength=len(texts))  # weights are whole numbers, so that sums are exact in doubles
+            total += np.bincount(of[one], self.weights[buckets[one]], minlength=len(texts)) / np.maximum(n, 1)
+        return total / UNIT, np.bincount(of, minlength=len(texts)) > 0
 
     def keys(self, log_ratio: np.ndarray, some: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Sampling keys: the higher log_ratio / temperature + Gumbel noise is, the lower; the last one without words.
@@ -147,12 +144,11 @@ class Sampler:
         return np.where(some, np.clip(half - noisy, 0, 2 * half - 2), 2 * half - 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.1, sure: float = 3.0, sample: int = 40_960, lost: float = 0.01, temperature: float = 1.0, seed: int = 17) -> Sampler:
-    """Fits both models, the raw one on every document and the target one on the trusted sample, and the cut.
+def fit(docs: DataFrame, labels: DataFrame, *, priors: tuple[float, float] = PRIORS, sample: int = 40_960, lost: float = 0.01, temperature: float | None = None, seed: int = 17) -> Sampler:
+    """Fits both models, the raw one on every document and the target one on the trusted sample, the cut and the temperature.
 
-    A task counts all buckets in memory ((1 + FOLDS) * 2 * BUCKETS numbers) and shuffles those sums. The cut
-    is the log-ratio that parts trusted documents, each scored without its own fold, from bad ones best, losing at most the share ``lost`` of the
-    trusted, or one. The sample is broadcast: it has at most 2 * ``sample`` rows.
+    A task counts all buckets in memory ((1 + FOLDS) * 2 * BUCKETS numbers) and shuffles those sums. Trusted
+    documents are scored without their own fold. The sample is broadcast: it has at most 2 * ``sample`` rows.
     """
     chosen = F.broadcast(stored(judged_labels(labels, sample), "judged"))
     told = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", F.coalesce("kind", F.lit(FOLDS)).alias("kind"))
@@ -162,12 +158,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, prior: float = 0.1, sure: float =
     for k, c in enumerate(("raw", *TARGETS)):
         counts[k, sums.column("bucket").to_numpy()] = sums.column(c).to_numpy()
     raw, target = counts[0], counts[1:].sum(axis=0)
-    models = [Sampler(*weights_of(raw, target - part, prior, sure), -np.inf) for part in (*counts[1:], np.zeros_like(raw))]
+    models = [Sampler(weights_of(raw, target - part, priors), -np.inf) for part in (*counts[1:], np.zeros_like(raw))]
     shared = docs.sparkSession.sparkContext.broadcast(models)  # FOLDS + 1 times 2 * BUCKETS weights
     judged = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "kind").mapInArrow(_judge(shared), "doc_id long, kind int, log_ratio double")
     rows = judged.where("log_ratio is not null").groupBy("doc_id", "kind").agg(F.min("log_ratio").alias("s")).toArrow()  # at most 2 * sample rows
     is_bad, score = rows.column("kind").to_numpy() == FOLDS, rows.column("s").to_numpy()
-    return Sampler(models[-1].weights, models[-1].sure, best_cut(score[~is_bad], score[is_bad], lost), temperature, seed)
+    cut, fitted = calibrated(score[~is_bad], score[is_bad], lost)
+    return Sampler(models[-1].weights, cut, fitted if temperature is None else temperature, seed)
+
+
+def calibrated(good, bad, lost: float) -> tuple[float, float]:
+    """The cut and the temperature: the log-ratio where a document's weight is 1, and how fast weights grow from there.
+
+    A document is drawn with probability 1 - exp(-w), w being its weight, exp((log_ratio - cut) / temperature).
+    The weight is 1 for the trusted document that ``lost`` of the trusted (or one) lie below; the chance is
+    RARE for the bad one that MOST_BAD of the bad lie below. If the latter is not the lesser one, it is nearly
+    a cut.
+    """
+    if not len(good):
+        return -np.inf, 1.0
+    good = np.sort(good)
+    low = float(good[min(max(1, int(lost * len(good))), len(good) - 1)])
+    worse = float(np.quantile(bad, MOST_BAD)) if len(bad) else low - float(np.median(good) - low)
+    return low, max((low - worse) / -float(np.log(-np.log(1 - RARE))), COLDEST)
 
 
 def _judge(shared):
@@ -182,20 +195,6 @@ def _judge(shared):
     return score
 
 
-def best_cut(good, bad, lost: float) -> float:
-    """The score that parts good from bad best by the sum of both shares, with at most ``lost`` of the good below, or one; without bad ones that allowance's score."""
-    if not len(good):
-        return -np.inf
-    good, bad = np.sort(good), np.sort(bad)
-    highest = good[min(max(1, int(lost * len(good))), len(good) - 1)]
-    if not len(bad):
-        return float(highest)
-    cuts = np.unique(np.concatenate([good, bad + 1 / UNIT]))
-    cuts = cuts[cuts <= highest]
-    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(good, cuts) / len(good)
-    return float(cuts[np.flatnonzero(gain == gain.max())[-1]])
-
-
 def _scorer(sampler):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sampler.value
@@ -223,16 +222,22 @@ def with_keys(docs: DataFrame, sampler: Sampler) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, **how) -> tuple[Sampler, DataFrame, int, int]:
     """The sampler, the scored documents (doc_id, log_ratio, key), k, and the cut of the k smallest keys.
 
-    k is the budget: ``share`` of the documents with words, or, where that is None, as many as have a
-    log_ratio at or above the sampler's cut: the number of documents that the target model explains. Which
-    k they are is sampled. The cut comes from bucket counts of the keys; no row is sorted. Ties at the cut
-    are taken together.
+    k is the budget: ``share`` of the documents with words, or, where that is None, as many as the weights
+    call for in all, each document with its probability 1 - exp(-w) (``calibrated``). Which k they are is
+    sampled: the k smallest keys are a sample without replacement by the weights, so documents far above the
+    cut are taken, those far below are not, and those between now and then. The cut of the keys comes from
+    bucket counts; no row is sorted. Ties at the cut are taken together.
     """
     sampler = fit(docs, labels, **how)
     scored = stored(with_keys(docs, sampler), "scored")
-    within = F.col("log_ratio").isNotNull() if share is not None else F.col("log_ratio") >= sampler.cut
-    k = scored.where(within).count()
-    k = k if share is None else round(share * k)
+    some = scored.where("log_ratio is not null")
+    if share is not None:
+        k = round(share * some.count())
+    elif sampler.cut == -np.inf:
+        k = some.count()
+    else:
+        chance = 1 - F.exp(-F.exp((F.col("log_ratio") - F.lit(sampler.cut)) / F.lit(sampler.temperature)))
+        k = round((some.agg(F.sum(F.round(chance * 2**20).cast("long"))).first()[0] or 0) / 2**20)  # whole parts, so that reruns agree
     need = docs.sparkSession.range(1).select(F.lit(1).alias("all"), F.lit(float(k)).alias("need"))
     cut = histogram_cut(scored.select("key", F.lit(1).alias("all"), F.lit(1).alias("one")), "all", "key", "one", need).first()["cut"]
     return sampler, scored, k, cut
@@ -242,7 +247,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, log_ratio, key, kept of every document.
 
     docs: doc_id, text and any other columns, which are ignored; labels: doc_id, quality, toxic. A document's
-    importance weight is exp(log_ratio / temperature), log_ratio being the sum over its whole text. Null and
+    importance weight is exp(log_ratio / temperature), log_ratio being a mean over its whole text. Null and
     empty texts have no log_ratio and are never sampled; very long texts are summed whole, in slices of
     their own; repeated rows get the same key and verdict; null ids are documents like any other, without
     labels; with no trusted label all weights are equal and every document with words is taken; an empty

@@ -20,8 +20,8 @@ WORDS, LEAST, OF = 5, 4, 5
 SEED = 42
 #: Shingles are ordered by how many of about SAMPLE texts hold them, MOST of them at most; the order decides what is compared, never what is found.
 SAMPLE, MOST = 1 << 14, 1 << 20
-#: Sets that one task compares with a leader's, about.
-TOGETHER = 4096
+#: Sets that one task compares with a leader's, about, and texts of one shingle that one task brings together.
+TOGETHER, SPLIT = 4096, 100_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,23 +43,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 class Order:
-    """An order of all shingles: those not known as frequent first, then by the logarithm of their count, then by hash."""
+    """An order of all shingles: those not known as frequent first, then by the logarithm of their count, then by hash.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    ``step`` is how many texts one of the sample stands for.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, step: int = 1):
         by = np.argsort(hashes)
-        self.hashes, self.level = hashes[by], (1 + np.log2(np.maximum(counts[by], 1))).astype(np.int8)
+        self.hashes, counts = hashes[by], np.maximum(counts[by], 1)
+        self.level = (1 + np.log2(counts)).astype(np.int8)
+        self.salts = np.minimum(counts * step // SPLIT + 1, 1 << 20).astype(np.int32)
 
-    def prefix(self, found: np.ndarray) -> np.ndarray:
-        """The set's first elements, so many that any set similar to it has one of them among its own first ones."""
+    def prefix(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The set's first elements, so many that any set similar to it has one of them among its own first ones; and into how many parts the texts of each are dealt."""
         n = len(found)
-        if not n:
-            return found
-        level = np.zeros(n, np.int8)
-        if len(self.hashes):
+        level, salts = np.zeros(n, np.int8), np.ones(n, np.int32)
+        if len(self.hashes) and n:
             at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
             known = self.hashes[at] == found
-            level[known] = self.level[at[known]]
-        return found[np.argsort(level, kind="stable")][: n - -(-n * LEAST // OF) + 1]
+            level[known], salts[known] = self.level[at[known]], self.salts[at[known]]
+        first = np.argsort(level, kind="stable")[: n - -(-n * LEAST // OF) + 1]
+        return found[first], salts[first]
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +78,7 @@ def frequent(docs: DataFrame) -> Order:
     some = docs.select("text").where(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(step)) == 0).where("text is not null").distinct()
     counts = some.mapInArrow(_each, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     table = counts.orderBy(F.desc("n"), "shingle").limit(MOST).toArrow()
-    return Order(table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy())
+    return Order(table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy(), step)
 
 
 def node(text: Column) -> Column:
@@ -87,23 +91,63 @@ def _signed(shared):
         order = shared.value
         forget()
         for batch in batches:
-            first, sizes, prints = [], np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
+            first, salts, sizes, prints = [], [], np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
+            nodes = batch.column("node").to_numpy()
             for k, x in enumerate(batch.column("text").cast(pa.binary())):
                 text = x.as_py() or b""
                 found = shingles(text)
-                first.append(order.prefix(found).view(np.int64))
+                tokens, parts = order.prefix(found)
+                first.append(tokens.view(np.int64))
+                salts.append(np.where(parts > 1, nodes[k] % parts, -1).astype(np.int32))
                 sizes[k], prints[k] = len(found), fingerprint(text)
-            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), lists, pa.array(prints.view(np.int64))], ["node", "size", "first", "fp"])
+            ends = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, kind)]).astype(kind))) for x, kind in ((first, np.int64), (salts, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), *lists, pa.array(prints.view(np.int64))], ["node", "size", "first", "salts", "fp"])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+MEMBER = "token long, node long, size int, a long, a_size int"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token, salt and node: the different nodes of tokens that more than one has, each with the least one; all of salted tokens."""
+    columns = ("token", "salt", "node", "size")
+    held: tuple | None = None  # the last row, its run's first, and whether it is known to be in company
+
+    def told(rows: dict[str, np.ndarray], a: np.ndarray, a_size: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[c][some]) for c in ("token", "node", "size")), pa.array(a[some]), pa.array(a_size[some])], ["token", "node", "size", "a", "a_size"])
+
     for batch in batches:
-        for k, x in enumerate(batch.column("text").cast(pa.binary())):
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(k, 1), pa.array([shingles(x.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+        rows = {c: batch.column(c).to_numpy() for c in columns}
+        if not batch.num_rows:
+            continue
+        lead = None
+        if held:
+            rows = {c: np.concatenate([[held[0][c]], rows[c]]).astype(rows[c].dtype) for c in columns}
+            lead = held[1]
+        token, salt, node = rows["token"], rows["salt"], rows["node"]
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        new = np.append(True, ~same | (node[1:] != node[:-1]))
+        rows = {c: x[new] for c, x in rows.items()}
+        token, salt = rows["token"], rows["salt"]
+        joins = np.append(False, (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]))  # with the row before
+        begins = np.flatnonzero(~joins)
+        run = np.cumsum(~joins) - 1
+        a, a_size = rows["node"][begins][run], rows["size"][begins][run]
+        company = joins | np.append(joins[1:], False) | (salt >= 0)
+        if held:
+            company[0] |= held[2]
+            if lead is not None:
+                a[run == 0], a_size[run == 0] = lead
+        last = len(token) - 1
+        held = {c: rows[c][last] for c in columns}, (a[last], a_size[last]), bool(company[last])
+        some = company.copy()
+        some[last] = False
+        yield told(rows, a, a_size, some)
+    if held and held[2]:
+        rows = {c: np.array([held[0][c]]) for c in columns}
+        yield told(rows, np.array([held[1][0]]), np.array([held[1][1]]), np.array([True]))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,24 +165,34 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar; a leader with many partners is dealt to several tasks."""
+def _salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaders, pairs): a, salts and a, b, salt; a leader with many partners is dealt to several tasks."""
     leaders = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / TOGETHER).alias("salts")), "leaders")
-    salt = F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")
-    others = pairs.join(leaders, "a").select("a", salt, "b").join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles")
-    own = leaders.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
-    met = own.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    return leaders, pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+
+
+def _similar(leaders: DataFrame, others: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs of ``others`` (a, salt, b, shingles) those whose sets are similar."""
+    own = leaders.join(sets.select(F.col("node").alias("a"), "shingles"), "a")
+    own = own.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+    met = own.unionAll(others.select("a", "salt", "b", "shingles")).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
     return met.select("a", "b", "shingles").mapInArrow(_compared, "a long, b long")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar."""
+    leaders, dealt = _salted(pairs)
+    return _similar(leaders, dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b"), sets)
+
+
 def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame, DataFrame]:
-    """(signed, members): node, size, first, fp of every row, and token, node, size of the tokens that different nodes share."""
+    """(signed, members): node, size, fp of every row, and token, node, size of the tokens that different nodes share, with the token's least node a (that of a part, if a token's nodes are dealt into parts)."""
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
-    signed = stored(named.mapInArrow(_signed(shared), "node long, size int, first array<long>, fp long"), "signed")
-    each = signed.select(F.explode("first").alias("token"), "node", "size")
-    met = each.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("token")
-    return signed, stored(each.join(met, "token").distinct(), "members")
+    signed = stored(named.mapInArrow(_signed(shared), "node long, size int, first array<long>, salts array<int>, fp long"), "signed")
+    each = signed.select(F.explode(F.arrays_zip("first", "salts")).alias("x"), "node", "size").select(F.col("x.first").alias("token"), F.col("x.salts").alias("salt"), "node", "size")
+    dealt = each.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    return signed.select("node", "size", "fp"), stored(dealt.mapInArrow(_met, MEMBER), "members")
 
 
 def _near(a: str, b: str) -> Column:
@@ -146,6 +200,14 @@ def _near(a: str, b: str) -> Column:
     return F.least(a, b) * OF >= F.greatest(a, b) * LEAST
 
 
+def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """token, node, size, part of the tokens whose nodes aren't yet all in one component."""
+    roots = stored(components(edges, "a", "b"), "roots")
+    placed = members.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("part"))
+    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+    return stored(placed.join(mixed, "token", "left_semi"), "open")
+
+
 def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) of every node of ``docs`` (text) that a chain of links joins to another.
 
@@ -153,31 +215,40 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     tiled exact comparison), or if their shingle sets are similar. Two similar sets have a shingle in common
     among the first fifth of each, in any one order of all shingles. With those in many texts last, a passage
     that makes up less than four fifths of its texts is not among their first shingles, and its texts don't
-    meet. Of the nodes that share a token each is compared with the token's least one; only where a token
-    still holds more than one component, all pairs of its members of different components are compared, if
-    their sizes allow. A group of near copies is joined by the first step, so its pairs are never listed.
+    meet. Nodes that share a token are compared in three steps: each node with one leader, the least one of
+    its tokens' least nodes; then, where a token still holds more than one component, with that token's least
+    node; and where it still does, all pairs of its nodes of different components, if their sizes allow. A
+    group of near copies is joined by the first steps, so its pairs are never listed.
     """
     signed, members = candidates(docs)
+    leader = members.where("a <> node").where(_near("a_size", "size")).groupBy("node").agg(F.min("a").alias("a"))
+    leaders, dealt = _salted(stored(leader.select("a", F.col("node").alias("b")), "pairs"))
+    asked = members.select("node").distinct().join(dealt.withColumnRenamed("b", "node"), "node", "left")
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    asked = members.select("node").distinct()
-    sets = stored(named.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    leaders = members.groupBy("token").agg(F.min(F.struct("node", "size")).alias("x")).select("token", F.col("x.node").alias("a"), F.col("x.size").alias("a_size"))
-    stars = stored(members.join(leaders, "token").where("a <> node").where(_near("a_size", "size")).select("a", F.col("node").alias("b")).distinct(), "stars")
-    first = stored(_linked(stars, sets), "first")
-    roots = stored(components(first, "a", "b"), "roots")
-    placed = members.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("part"))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    open_ = stored(placed.join(mixed, "token", "left_semi"), "open")
+    texts = named.join(asked, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("a").alias("a"), F.first("salt").alias("salt"))
+    sets = stored(texts.mapInArrow(_sets, "node long, a long, salt long, shingles array<long>"), "sets")
+    first = stored(_similar(leaders, sets.where("a is not null").withColumnRenamed("node", "b"), sets), "first")
+    open_ = _open(members, first)
+    stars = open_.groupBy("token").agg(F.min(F.struct("node", "size", "part")).alias("x")).select("token", "x.*").toDF("token", "a", "a_size", "a_part")
+    tried = open_.join(stars, "token").where("part <> a_part").where(_near("a_size", "size")).select("a", F.col("node").alias("b")).distinct()
+    second = stored(_linked(stored(tried, "pairs"), sets).unionAll(first), "second")
+    open_ = _open(open_.drop("part"), second)
     other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"))
     met = open_.join(other, "token").where("node < b and part <> b_part").where(_near("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
-    pairs = stored(met.join(stars, ["a", "b"], "left_anti"), "pairs")
+    rest = _linked(stored(met, "pairs"), sets)
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
     prints = stored(signed.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     alike = signed.select("fp", "node").distinct().join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     close = stored(links(prints, radius), "close")
     ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    edges = first.unionAll(_linked(pairs, sets)).unionAll(alike).unionAll(ends)
-    return stored(components(edges, "a", "b"), "linked")
+    return stored(components(second.unionAll(rest).unionAll(alike).unionAll(ends), "a", "b"), "linked")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, x in enumerate(batch.column("text").cast(pa.binary())):
+            one = batch.slice(k, 1)
+            yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("node", "a", "salt")), pa.array([shingles(x.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "a", "salt", "shingles"])
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from rampart.llm import simhash, similar
 
@@ -101,5 +102,38 @@ def test_the_order_decides_no_link(spark):
     close = {(a, b) for a in range(120) for b in range(a) if similar.similar(sets[a], sets[b])}
     assert len(close) > 50
     for order in orders:
-        first = [set(order.prefix(s).tolist()) for s in sets]
+        first = [set(order.prefix(s)[0].tolist()) for s in sets]
         assert all(first[a] & first[b] for a, b in close)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_tokens_that_meet(size):
+    """Sorted rows in batches of any size: nodes of tokens that more than one has, with the least; all of salted ones."""
+    r = random.Random(13)
+    rows = sorted({(t := r.randrange(-40, 40), t % 3 if t > 30 else -1, r.randrange(25)) for _ in range(300)} | {(99, -1, 5)})
+    rows = [x for x in rows for _ in range(r.randrange(1, 3))]
+    table = pa.table({"token": pa.array([x[0] for x in rows], pa.int64()), "salt": pa.array([x[1] for x in rows], pa.int32()), "node": pa.array([x[2] for x in rows], pa.int64()), "size": pa.array([x[2] + 7 for x in rows], pa.int32())})
+    got = [tuple(x.values()) for b in similar._met(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+    runs = {}
+    for t, salt, n in rows:
+        runs.setdefault((t, salt), set()).add(n)
+    assert sorted(got) == sorted((t, n, n + 7, min(x), min(x) + 7) for (t, salt), x in runs.items() for n in x if len(x) > 1 or salt >= 0)
+
+
+def test_dealt_tokens(spark, monkeypatch):
+    """Tokens of many texts are dealt into parts; what is linked stays the same."""
+    monkeypatch.setattr(similar, "SPLIT", 5)
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(x if r.random() > 0.01 else f"y{r.randrange(99)}" for x in base)) for i in range(120)]
+    rows += [(200 + i, " ".join(f"z{r.randrange(9999)}" for _ in range(80))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, prints = {i: similar.shingles(t.encode()) for i, t in rows}, {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    of = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and of[a] != of[b] and (similar.similar(sets[a], sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 4):
+                lo, hi = sorted((of[a], of[b]))
+                of = {i: lo if c == hi else c for i, c in of.items()}
+    assert 40 < len(set(of.values())) < 120
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(of.values())

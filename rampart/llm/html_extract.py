@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|["'])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CLASS = re.compile(r"""\bclass\s*=\s*["']?\s*([^\s"'>]+)""", re.I)
 XMP = re.compile(r"</xmp\b[^>]*>?", re.I)
 #: Elements without text of their own for a reader; what they hold is left out.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "noframes", "noembed"}
@@ -35,24 +36,35 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 #: Log-odds of content that being inside such an element adds.
 INSIDE = {
-    "article": 3.0, "main": 2.5, "nav": -7.0, "aside": -6.0, "footer": -7.0, "form": -6.0, "button": -5.0, "select": -6.0, "dialog": -6.0, "menu": -6.0, "fieldset": -5.0, "address": -2.0,
+    "article": 4.0, "main": 2.5, "nav": -7.0, "aside": -6.0, "footer": -7.0, "form": -6.0, "button": -5.0, "select": -6.0, "dialog": -6.0, "menu": -6.0, "fieldset": -5.0, "address": -2.0,
 }
 #: A page's header, and one inside an article, which often holds its title.
 HEADER, ARTICLE_HEADER = -6.0, 0.0
-#: The same by words of class, id and role.
+#: The same by words of class, id and role: adverts, consent, readers' comments and what is not shown,
 HIDES = set(
-    "ad ads adbox advert advertisement advertising adverts banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay "
-    "newsletter subscribe subscription signup sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended "
-    "recommendations trending widget widgets footer foot masthead topbar toolbar comment comments commentlist reply replies disqus discussion respond login signin search searchbox "
-    "copyright legal disclaimer skip hidden complementary contentinfo paywall".split()
+    "ad ads adbox advert advertisement advertising adverts sponsor sponsored promo promoted cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup paywall "
+    "sidebar sidebars aside rail nav navbar navigation breadcrumb breadcrumbs pagination pager widget widgets footer foot masthead topbar toolbar searchbox complementary contentinfo "
+    "comment comments commentlist reply replies disqus respond skip hidden".split()
+)
+#: and names of other parts of the page that a section or a paragraph of an article may have too.
+MAY_HIDE = set(
+    "banner promotion notice alert menu menus share sharing social related recommended recommendations trending discussion login signin search copyright legal disclaimer".split()
 )
 #: Elements that these words don't hide, and words in a name that tell of other parts of the page (has-sidebar, comments-open).
 HOLDS = {"html", "body", "main", "article"}
 ABOUT, STATES = {"has", "no", "with", "without", "not", "layout"}, {"open", "closed", "enabled", "disabled", "layout"}
 SHOWS = {"article", "content", "main", "post", "entry", "story"}
 HIDDEN, SHOWN = -6.5, 1.5
+#: What such a name adds to prose inside an article or main: so much that other signs can outvote it.
+OUTVOTED = -2.5
+#: Prose has at most this share of its letters in links, and at least that share in blocks that end a sentence; so many children of one kind are a list of things.
+LINKS, PROSE, ALL_ALIKE = 0.25, 0.6, 3
+#: Letters of prose that such a part has at least.
+SOME = 60
 #: What a block's own text says: per unit of link density, per 100 letters up to LONG, and a sentence's end.
 START, LINKED, LETTERS, LONG, SENTENCE = -0.3, -3.5, 0.8, 2.0, 0.5
+#: Signs that end a sentence.
+ENDS = ".!?:;…。\"'”"
 #: Smoothness between neighbours in the page, less by their distance in the tree, and between blocks next to each other under one parent.
 NEAR, SIBLINGS = 0.9, 0.5
 #: Capacities are counted in whole thousandths, so that flows are exact.
@@ -82,6 +94,9 @@ class Tree:
         #: Elements that hide by their names, and the main parts of the page.
         self.named: set[int] = set()
         self.main: set[int] = set()
+        #: Of those that hide by their names the ones whose names an article's sections may have, and the kinds (name and class) of elements with a class.
+        self.unsure: set[int] = set()
+        self.kinds: dict[int, str] = {}
 
     def add(self, parent: int, odds: float) -> int:
         self.parent.append(parent)
@@ -103,20 +118,35 @@ class Tree:
         """Gives the blocks what the elements around them add.
 
         An element that hides by its name what is the page itself doesn't hide: one around every article and
-        main with over half of the letters, or with over nine tenths in a page without any.
+        main with over half of the letters, or with over nine tenths in a page without any. One inside an
+        article whose name may be that of a section doesn't hide prose either, unless it holds a list of like
+        things (as comments are); there the name is one sign among others.
         """
         n = len(self.parent)
-        letters, mains = [0] * n, [0] * n
+        letters, mains, linked, prose = [0] * n, [0] * n, [0] * n, [0] * n
         for b in found:
             letters[b.element] += b.letters
+            linked[b.element] += b.linked
+            if b.text[-1] in ENDS and b.linked * 4 <= b.letters:
+                prose[b.element] += b.letters
         for e in self.main:
             mains[e] += 1
+        alike: Counter[tuple[int, str]] = Counter()
+        for e, kind in self.kinds.items():
+            alike[self.parent[e], kind] += 1
+            alike[self.parent[self.parent[e]], kind] += 1
+        lists = {e for (e, _), k in alike.items() if k >= ALL_ALIKE}
+        inside = [False] * n
+        for e in range(1, n):
+            inside[e] = inside[self.parent[e]] or self.parent[e] in self.main
         for e in range(n - 1, 0, -1):
-            letters[self.parent[e]] += letters[e]
-            mains[self.parent[e]] += mains[e]
+            for told in (letters, linked, prose, mains):
+                told[self.parent[e]] += told[e]
         for e in self.named:
             if mains[e] == mains[0] and letters[e] * 10 > letters[0] * (5 if mains[0] else 9):
                 self.adds[e] -= HIDDEN
+            elif e in self.unsure and inside[e] and e not in lists and linked[e] <= LINKS * letters[e] and prose[e] >= max(SOME, PROSE * letters[e]):
+                self.adds[e] += OUTVOTED - HIDDEN
         around = [0.0] * n
         for e in range(1, n):
             around[e] = around[self.parent[e]] + self.adds[e]
@@ -124,15 +154,19 @@ class Tree:
             b.around = around[b.element]
 
 
+#: What words of class, id and role say.
+SURE, UNSURE, NOT_SAID = "sure", "unsure", ""
+
+
 @lru_cache(4096)
-def _said(attributes: str) -> tuple[float, bool]:
-    """What class, id and role say about an element, or that it's hidden; whether words say so."""
+def _said(attributes: str) -> tuple[float, str]:
+    """What class, id and role say about an element, or that it's hidden; how surely words say so."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     names = [[w.lower() for w in WORD.findall(n)] for key in ("class", "id", "role", "aria-label") for n in found.get(key, "").split()]
     words = {w for n in names if n and not ABOUT & set(n[:-1]) and n[-1] not in STATES for w in n}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return HIDDEN, False
-    return (HIDDEN, True) if words & HIDES else (SHOWN, True) if words & SHOWS else (0.0, False)
+        return HIDDEN, NOT_SAID
+    return (HIDDEN, SURE) if words & HIDES else (HIDDEN, UNSURE) if words & MAY_HIDE else (SHOWN, SURE) if words & SHOWS else (0.0, NOT_SAID)
 
 
 class _Reader:
@@ -248,7 +282,7 @@ class _Reader:
             odds = ARTICLE_HEADER if self.open["article"] or self.open["main"] else HEADER
         else:
             odds = INSIDE.get(name, 0.0)
-        said, by_words = _said(attributes) if attributes else (0.0, False)
+        said, by_words = _said(attributes) if attributes else (0.0, NOT_SAID)
         hides = said < 0 and by_words and name not in HOLDS
         if said < 0 and by_words and name in HOLDS:
             said = 0.0
@@ -258,6 +292,10 @@ class _Reader:
         number = self.push(name, odds + said)
         if named:
             self.tree.named.add(number)
+            if by_words == UNSURE:
+                self.tree.unsure.add(number)
+        if attributes and (kind := CLASS.search(attributes)):
+            self.tree.kinds[number] = f"{name} {kind[1]}"
         if name in ("article", "main"):
             self.tree.main.add(number)
 
@@ -266,6 +304,7 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
     """The page's runs of text between block-level tags, in page order, and its elements."""
     page, at, end = _Reader(), 0, len(html)
     search = TAG.search
+    unended: set[str] = set()  # raw elements of which no end tag follows any more
     while at < end:
         m = search(html, at)
         if not m:
@@ -289,7 +328,9 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
             page.flush()
             at = close.end() if close else end
         elif name in RAW:
-            close = re.compile(rf"</{name}\b", re.I).search(html, at)
+            close = None if name in unended else re.compile(rf"</{name}\b", re.I).search(html, at)
+            if not close:
+                unended.add(name)
             if close:
                 at = html.find(">", close.end()) + 1 or end
                 if name != "svg":
@@ -313,7 +354,7 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
 def odds_of_content(block: Block) -> float:
     """The block classifier's log-odds."""
     own = START + LINKED * block.linked / block.letters + LETTERS * min(block.letters / 100, LONG)
-    return own + (SENTENCE if block.text[-1] in ".!?:;…。\"'”" else 0.0) + block.around
+    return own + (SENTENCE if block.text[-1] in ENDS else 0.0) + block.around
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

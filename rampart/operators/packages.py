@@ -36,12 +36,37 @@ def membership(packages: DataFrame, registry: DataFrame, approximate: tuple[str,
     return asked.withColumn("status", status).withColumn("confidence", F.when(F.col("ecosystem").isin(*approximate), "medium").otherwise("high")).drop("_e", "_loaded", "_re", "_rn", "_known")
 
 
+def _deleted(words: Column) -> Column:
+    """Every word of an array without one of its letters, and the words themselves."""
+    without = F.transform(words, lambda w: F.transform(F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+    return F.array_distinct(F.concat(words, F.flatten(without)))
+
+
+def neighbours(name: Column, most: int = 2) -> Column:
+    """Hashes of the name with up to ``most`` letters left out: names within so many edits have one in common."""
+    words = F.array(F.lower(name))
+    for _ in range(most):
+        words = _deleted(words)
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def squat_candidates(packages: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame:
+    """Different (ecosystem, name, similar_to) that share a deletion neighbour: an equi-join, whatever the number of popular names."""
+    asked = packages.select("ecosystem", "name").distinct()
+    near = popular.select(F.col("ecosystem").alias("_e"), F.col("name").alias("similar_to")).distinct()
+    left = asked.select("ecosystem", "name", F.explode(neighbours(F.col("name"), most)).alias("key"))
+    right = near.select("_e", "similar_to", F.explode(neighbours(F.col("similar_to"), most)).alias("_key"))
+    met = left.join(right, (F.col("ecosystem") == F.col("_e")) & (F.col("key") == F.col("_key")))
+    return met.where((F.abs(F.length("name") - F.length("similar_to")) <= most) & (F.lower("name") != F.lower("similar_to"))).select("ecosystem", "name", "similar_to").distinct()
+
+
 def typosquats(packages: DataFrame, popular: DataFrame, most: int = 2, limit: int = 5) -> DataFrame:
-    """Up to ``limit`` popular names (ecosystem, name) within ``most`` edits of each package, nearest first."""
-    names = packages.select("ecosystem", "name").distinct()
-    near = popular.select(F.col("ecosystem").alias("_e"), F.col("name").alias("similar_to"))
-    close = F.abs(F.length("name") - F.length("similar_to")) <= most
-    pairs = names.join(near, (F.col("ecosystem") == F.col("_e")) & close & (F.lower("name") != F.lower("similar_to")))
+    """Up to ``limit`` popular names (ecosystem, name) within ``most`` edits of each package, nearest first.
+
+    Candidates come from an index of deletion neighbours, the exact distance decides. Names are those of a
+    registry: a name of n letters has about n * n / 2 neighbours.
+    """
+    pairs = squat_candidates(packages, popular, most)
     scored = pairs.withColumn("distance", F.levenshtein(F.lower("name"), F.lower("similar_to"), most)).where("distance between 1 and " + str(most))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("ecosystem", "name").orderBy("distance", "similar_to")))
     exact = popular.select(F.col("ecosystem"), F.col("name"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.columns import benchmark_language, language, token_estimate
-from ..operators import fixes, graph, history, match, prompts, report, rules, syntax, syntax_rules, tools
+from ..operators import fixes, graph, history, islands, match, prompts, report, rules, syntax, syntax_rules, tools
 from ..sources import files
 from ..sources.rule_packs import prompt_rules
 from ..sources.stored import stored, stored_path
@@ -232,6 +232,52 @@ def captured_metavariables(spark, d):
     return told.select("path", "line", "variable", "text")
 
 
+#: Sources in which a file's number stands for #; the last is in a language that isn't read.
+SOURCES = (
+    ("javascript", "// eval(x)\nconst q# = req.param('q')\ndb.query('SELECT ' + q#, (err, rows) => {\n  el.innerHTML = rows[0].name;\n})\nif (q# === 1) { eval(q#) } else { safe(eval) }\n"),
+    ("java", "import java.util.*;\npublic class A {\n  void go(Request req) {\n    String q# = req.param(\"q\");\n    String clean = escape(q#);\n    st.query(clean);\n    st.query(\"select \" +\n      q#);\n  }\n}\n"),
+    ("php", "$u# = param('u');\n/* eval($u#); */\neval($u#);\n$out = \"eval($u#)\";\n"),
+    ("go", "func main() {\n\tq# := r.param(\"q\")\n\tfor i := 0; i < 3; i++ {\n\t\tdb.query(q#, i)\n\t}\n\tx := []int{1}\n}\n"),
+    ("cobol", "EVAL(X). MOVE # TO Y."),
+)
+ISLAND_RULES = (
+    syntax_rules.SyntaxRule("eval", ("eval($X)",), (), "error"),
+    syntax_rules.SyntaxRule("query", ("db.query(..., $X)", "st.query(...)"), ("st.query(clean)",)),
+    syntax_rules.SyntaxRule("inner", ("el.innerHTML = $X",), ()),
+)
+ISLAND_TAINT = syntax_rules.TaintRule("param", ("req.param(...)", "r.param(...)", "param(...)"), ("db.query(...)", "st.query(...)", "eval(...)"), ("escape(...)",))
+
+
+def _islands(spark, d) -> DataFrame:
+    table = seeds.table(spark, SOURCES, "language string, source string")
+    told = spark.read.parquet(f"{d}/supplier.parquet").withColumn("i", (F.col("s_suppkey") % len(SOURCES)).cast("int")).join(F.broadcast(table), "i")
+    number = F.col("s_suppkey").cast("string")
+    return stored(islands.parse(told.select(F.concat(F.lit("s"), number).alias("path"), "language", F.replace("source", F.lit("#"), number).alias("text"))), "islands")
+
+
+@query("""SELECT 's' || s_suppkey AS path, rule_id, line, CASE WHEN col < 0 THEN length(s_suppkey::VARCHAR) - col ELSE col END AS col, replace(text, '#', s_suppkey::VARCHAR) AS text FROM supplier, (VALUES
+  (0, 'query', 3, 0, 'db.query(''SELECT '' + q#, (err, rows) => {' || chr(10) || '  el.innerHTML = rows[0].name;' || chr(10) || '})'), (0, 'inner', 4, 2, 'el.innerHTML = rows[0].name'), (0, 'eval', 6, -15, 'eval(q#)'),
+  (1, 'query', 7, 4, 'st.query("select " +' || chr(10) || '      q#)'), (2, 'eval', 3, 0, 'eval($u#)'), (3, 'query', 4, 2, 'db.query(q#, i)')) AS f(i, rule_id, line, col, text) WHERE f.i = s_suppkey % 5""")
+def island_findings(spark, d):
+    """Syntax rules over sources of four languages with braces, which the query parses; comments and strings hold nothing."""
+    return syntax_rules.apply_rules(_islands(spark, d), ISLAND_RULES).select("path", "rule_id", "line", "col", "text").distinct()
+
+
+@query("""SELECT 's' || s_suppkey AS path, f.line, replace(var, '#', s_suppkey::VARCHAR) AS var, source_line, hops FROM supplier, (VALUES (0, 3, 'q#', 2, 0), (0, 6, 'q#', 2, 0), (1, 7, 'q#', 4, 0), (2, 3, '$u#', 1, 0), (3, 4, 'q#', 2, 0)) AS f(i, line, var, source_line, hops) WHERE f.i = s_suppkey % 5""")
+def island_taint(spark, d):
+    """A taint rule over the same sources."""
+    return syntax_rules.apply_taint_rule(_islands(spark, d), ISLAND_TAINT).select("path", "line", "var", "source_line", "hops")
+
+
+@query("""SELECT 's' || s_suppkey AS path, kind, n::BIGINT AS nodes FROM supplier, (VALUES (0, 'call', 4), (0, 'assignment', 2), (0, 'if', 1), (0, 'function_def', 1), (0, 'parameter', 2), (0, 'comparison', 1), (1, 'call', 4), (1, 'assignment', 2), (1, 'class_def', 1), (1, 'function_def', 1),
+  (1, 'import', 1), (1, 'parameter', 1), (2, 'call', 2), (2, 'assignment', 2), (3, 'call', 2), (3, 'assignment', 3), (3, 'for', 1), (3, 'function_def', 1), (3, 'comparison', 1)) AS f(i, kind, n) WHERE f.i = s_suppkey % 5
+UNION ALL SELECT 's' || s_suppkey, 'module', 1 FROM supplier""")
+def island_kinds(spark, d):
+    """Nodes by kind; a language that isn't read is one node."""
+    kinds = ("module", "call", "assignment", "if", "for", "function_def", "class_def", "import", "parameter", "comparison")
+    return _islands(spark, d).where(F.col("kind").isin(*kinds)).groupBy("path", "kind").agg(F.count("*").alias("nodes"))
+
+
 @query("""WITH RECURSIVE asg AS (SELECT DISTINCT 'f' || (o_orderkey % 997) AS path, 'v' || (o_orderkey % 12 + 1) AS target, 'v' || (o_custkey % 12 + 1) AS source_var FROM orders WHERE o_orderkey % 12 <> o_custkey % 12 ),
 src AS (SELECT DISTINCT path, 'v1' AS var FROM asg),
 reach AS (SELECT path, var, 0 AS hops FROM src UNION SELECT a.path, a.target, r.hops + 1 FROM reach r JOIN asg a ON a.path = r.path AND a.source_var = r.var WHERE r.hops < 13),
@@ -246,6 +292,40 @@ def taint_trails(spark, d):
     return syntax_rules.taint_paths(assigns, assigns.select("path", F.lit("v1").alias("var")).distinct())
 
 
+#: Lines behind a supplier's number, and where matches of each pattern begin behind it.
+SPANNED = ("aaaa ab aba", "key=1, key=22", "x--y--", "éa ☃a", "none")
+SPANS = ((r"aa", ((0, 0, 0, "aa"), (0, 1, 2, "aa"))), (r"aba|ab", ((0, 0, 5, "ab"), (0, 1, 8, "aba"))), (r"key=(\d+)", ((1, 0, 0, "key=1"), (1, 1, 7, "key=22"))), (r"-*", ((2, 0, 0, ""), (2, 1, 1, "--"), (2, 2, 3, ""), (2, 3, 4, "--"), (2, 4, 6, ""))), (r"\bA", ((0, 0, 0, "a"), (0, 1, 5, "a"), (0, 2, 8, "a"))), (r"(?<=☃)a", ((3, 0, 4, "a"),)))
+_SPAN_ROWS = [(i, k, n, at, m) for k, (_, told) in enumerate(SPANS) for i, n, at, m in told]
+
+
+@query(f"""SELECT 's' || s_suppkey AS path, 'r' || k AS rule_id, n AS match_no, CASE WHEN k = 3 THEN pos ELSE pos + length(s_suppkey::VARCHAR) + 1 END AS start, m AS matched FROM supplier, {values(_SPAN_ROWS)} AS f(j, i, k, n, pos, m) WHERE f.i = s_suppkey % {len(SPANNED)}""")
+def match_starts(spark, d):
+    """Starts of repeated, overlapping and empty matches, in code points; for the pattern that matches the empty string without the number before."""
+    table = seeds.table(spark, SPANNED, "said string")
+    told = spark.read.parquet(f"{d}/supplier.parquet").withColumn("i", (F.col("s_suppkey") % len(SPANNED)).cast("int")).join(F.broadcast(table), "i")
+    number = F.col("s_suppkey").cast("string")
+    lines = told.select(F.concat(F.lit("s"), number).alias("path"), F.lit("generic").alias("language"), F.lit(1).alias("line"), F.concat(number, F.lit(" "), "said").alias("text"), "said", "i")
+    of = lambda ks: spark.createDataFrame([(f"r{k}", 0, SPANS[k][0], "warning", ["generic"]) for k in ks], "rule_id string, pattern_idx int, pattern string, severity string, languages array<string>")
+    found = match.regex_scan(lines.drop("said"), of([0, 1, 2, 4, 5])).unionByName(match.regex_scan(lines.where("i = 2").withColumn("text", F.col("said")).drop("said"), of([3])))
+    return found.select("path", "rule_id", "match_no", "start", "matched")
+
+
+#: A rule for every word that a table of names can hold, more than one projection takes.
+@query("""WITH w AS (SELECT DISTINCT 'p' || (p_partkey % 700) AS word FROM part), l AS (SELECT 'o' || o_orderkey AS path, 'see p' || (o_custkey % 900) || ' and P' || (o_orderkey % 800) || 'x' AS text FROM orders)
+SELECT path, word AS rule_id, n AS match_no, matched, CASE WHEN n = 0 AND first THEN 4 ELSE strpos(text, ' and P') + 4 END AS start FROM (
+  SELECT l.path, l.text, w.word, row_number() OVER (PARTITION BY path, word ORDER BY ord) - 1 AS n, ord = 0 AS first, m AS matched FROM l JOIN (
+    SELECT path, 0 AS ord, 'p' || (o_custkey % 900) AS word, 'p' || (o_custkey % 900) AS m FROM (SELECT *, 'o' || o_orderkey AS path FROM orders)
+    UNION ALL SELECT path, 1, 'p' || (o_orderkey % 800), 'P' || (o_orderkey % 800) FROM (SELECT *, 'o' || o_orderkey AS path FROM orders)) h USING (path) JOIN w USING (word))""")
+def many_rules_scan(spark, d):
+    """Some hundred rules made of a table, through the automaton of what they require."""
+    words = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), (F.col("p_partkey") % 700).cast("string")).alias("word")).distinct()
+    told = words.select(F.col("word").alias("rule_id"), F.lit(0).alias("pattern_idx"), F.concat(F.lit(r"\b"), "word", F.lit(r"(?=\b|x\b)")).alias("pattern"), F.lit("info").alias("severity"), F.array(F.lit("generic")).alias("languages"))
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    text = F.concat(F.lit("see p"), (F.col("o_custkey") % 900).cast("string"), F.lit(" and P"), (F.col("o_orderkey") % 800).cast("string"), F.lit("x"))
+    lines = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.lit("generic").alias("language"), F.lit(1).alias("line"), text.alias("text"))
+    return match.regex_scan(lines, told, many=0).select("path", "rule_id", "match_no", "matched", "start")
+
+
 EXPORTS = (("javascript", "export function run() {}\nexport const a = 1;\nmodule.exports = a;"), ("python", "def go():\n    def inner(): pass\nclass K:\n    pass"), ("go", "func Main() {}"), ("typescript", "export class T {}"))
 
 

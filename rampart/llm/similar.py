@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_automaton import forget
-from .common import stored, words
+from .common import drop, stored, stored_path, words
 from .components import components
 from .simhash import RADIUS, fingerprint, links
 
@@ -42,6 +42,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * OF >= (len(a) + len(b) - both) * LEAST
 
 
+def outline(found: np.ndarray) -> bytes:
+    """A bitmap of the set: the bits that its hashes name modulo a power of two, at least four a hash."""
+    bits = max(64, 1 << int(4 * len(found) - 1).bit_length()) if len(found) else 64
+    mask = np.zeros(bits, bool)
+    mask[(found & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(mask, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, a_size: int, b: bytes, b_size: int) -> bool:
+    """Whether the outlines allow the sets to reach the bound: a bit that only one has is an element that only it has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # the longer one modulo half as much
+        if len(x) < len(y):
+            x, y, a_size, b_size = y, x, b_size, a_size
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    both = min(a_size - int(np.bitwise_count(x & ~y).sum()), b_size - int(np.bitwise_count(y & ~x).sum()))
+    return both * OF >= (a_size + b_size - both) * LEAST
+
+
 class Order:
     """An order of all shingles: those not known as frequent first, then by the logarithm of their count, then by hash.
 
@@ -91,7 +110,7 @@ def _signed(shared):
         order = shared.value
         forget()
         for batch in batches:
-            first, salts, sizes, prints = [], [], np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
+            first, salts, outlines, sizes, prints = [], [], [], np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.uint64)
             nodes = batch.column("node").to_numpy()
             for k, x in enumerate(batch.column("text").cast(pa.binary())):
                 text = x.as_py() or b""
@@ -99,10 +118,11 @@ def _signed(shared):
                 tokens, parts = order.prefix(found)
                 first.append(tokens.view(np.int64))
                 salts.append(np.where(parts > 1, nodes[k] % parts, -1).astype(np.int32))
+                outlines.append(outline(found))
                 sizes[k], prints[k] = len(found), fingerprint(text)
             ends = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
             lists = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, kind)]).astype(kind))) for x, kind in ((first, np.int64), (salts, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), *lists, pa.array(prints.view(np.int64))], ["node", "size", "first", "salts", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), *lists, pa.array(outlines, pa.binary()), pa.array(prints.view(np.int64))], ["node", "size", "first", "salts", "outline", "fp"])
 
     return run
 
@@ -185,14 +205,35 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _similar(leaders, dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b"), sets)
 
 
+SIGNED = "node long, size int, first array<long>, salts array<int>, outline binary, fp long"
+
+
 def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame, DataFrame]:
-    """(signed, members): node, size, fp of every row, and token, node, size of the tokens that different nodes share, with the token's least node a (that of a part, if a token's nodes are dealt into parts)."""
+    """(known, members): node, size, outline, fp of every different node, and token, node, size of the tokens that different nodes share, with the token's least node a (that of a part, if a token's nodes are dealt into parts)."""
+    spark = docs.sparkSession
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
-    signed = stored(named.mapInArrow(_signed(shared), "node long, size int, first array<long>, salts array<int>, fp long"), "signed")
+    shared = spark.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
+    path = stored_path(spark, "signed")
+    named.mapInArrow(_signed(shared), SIGNED).write.parquet(path)
+    signed = spark.read.schema(SIGNED).parquet(path)
     each = signed.select(F.explode(F.arrays_zip("first", "salts")).alias("x"), "node", "size").select(F.col("x.first").alias("token"), F.col("x.salts").alias("salt"), "node", "size")
     dealt = each.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    return signed.select("node", "size", "fp"), stored(dealt.mapInArrow(_met, MEMBER), "members")
+    members = stored(dealt.mapInArrow(_met, MEMBER), "members")
+    known = stored(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "outline", "fp"))), "known")
+    drop(spark, path)  # the prefixes are the largest part
+    return known, members
+
+
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told = zip(*(batch.column(c).to_pylist() for c in ("a_outline", "a_size", "b_outline", "b_size")), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*x) for x in told], pa.bool_()))
+
+
+def plausible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose outlines allow them to be similar; few others pass, and the sets of the rest never travel."""
+    of = lambda c: known.select(F.col("node").alias(c), F.col("outline").alias(f"{c}_outline"), F.col("size").alias(f"{c}_size"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_outline", "a_size", "b_outline", "b_size").mapInArrow(_outlined, "a long, b long")
 
 
 def _near(a: str, b: str) -> Column:
@@ -215,33 +256,29 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     tiled exact comparison), or if their shingle sets are similar. Two similar sets have a shingle in common
     among the first fifth of each, in any one order of all shingles. With those in many texts last, a passage
     that makes up less than four fifths of its texts is not among their first shingles, and its texts don't
-    meet. Nodes that share a token are compared in three steps: each node with one leader, the least one of
-    its tokens' least nodes; then, where a token still holds more than one component, with that token's least
-    node; and where it still does, all pairs of its nodes of different components, if their sizes allow. A
-    group of near copies is joined by the first steps, so its pairs are never listed.
+    meet. Of nodes that share a token, each is first paired with the token's least one; where outlines (bitmaps
+    of the sets) allow a pair, the sets decide. Where a token still holds more than one component, all pairs of
+    its nodes of different components are listed, if their sizes allow, and decided in the same way. A group
+    of near copies is joined by the first step, so its pairs are never listed.
     """
-    signed, members = candidates(docs)
-    leader = members.where("a <> node").where(_near("a_size", "size")).groupBy("node").agg(F.min("a").alias("a"))
-    leaders, dealt = _salted(stored(leader.select("a", F.col("node").alias("b")), "pairs"))
+    known, members = candidates(docs)
+    stars = stored(plausible(members.where("a <> node").where(_near("a_size", "size")).select("a", F.col("node").alias("b")).distinct(), known), "stars")
+    leaders, dealt = _salted(stored(stars.groupBy("b").agg(F.min("a").alias("a")), "pairs"))
     asked = members.select("node").distinct().join(dealt.withColumnRenamed("b", "node"), "node", "left")
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     texts = named.join(asked, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("a").alias("a"), F.first("salt").alias("salt"))
     sets = stored(texts.mapInArrow(_sets, "node long, a long, salt long, shingles array<long>"), "sets")
     first = stored(_similar(leaders, sets.where("a is not null").withColumnRenamed("node", "b"), sets), "first")
     open_ = _open(members, first)
-    stars = open_.groupBy("token").agg(F.min(F.struct("node", "size", "part")).alias("x")).select("token", "x.*").toDF("token", "a", "a_size", "a_part")
-    tried = open_.join(stars, "token").where("part <> a_part").where(_near("a_size", "size")).select("a", F.col("node").alias("b")).distinct()
-    second = stored(_linked(stored(tried, "pairs"), sets).unionAll(first), "second")
-    open_ = _open(open_.drop("part"), second)
     other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"))
     met = open_.join(other, "token").where("node < b and part <> b_part").where(_near("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
-    rest = _linked(stored(met, "pairs"), sets)
+    rest = _linked(stored(plausible(met, known), "pairs"), sets)
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
-    prints = stored(signed.groupBy("fp").agg(F.min("node").alias("least")), "prints")
-    alike = signed.select("fp", "node").distinct().join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    prints = stored(known.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    alike = known.select("fp", "node").join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     close = stored(links(prints, radius), "close")
     ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    return stored(components(second.unionAll(rest).unionAll(alike).unionAll(ends), "a", "b"), "linked")
+    return stored(components(first.unionAll(rest).unionAll(alike).unionAll(ends), "a", "b"), "linked")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,3 +137,21 @@ def test_dealt_tokens(spark, monkeypatch):
                 of = {i: lo if c == hi else c for i, c in of.items()}
     assert 40 < len(set(of.values())) < 120
     assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(of.values())
+
+
+def test_outlines_lose_no_pair():
+    """Sets of all sizes: similar ones may be similar by their outlines, and most others may not."""
+    r = np.random.RandomState(15)
+    passed = others = 0
+    for _ in range(3000):
+        n = int(r.choice([1, 2, 3, 5, 17, 60, 64, 65, 300, 1000]))
+        a = np.unique(r.randint(0, 2**63, n).astype(np.uint64))
+        kept = a[r.rand(len(a)) < r.choice([0.5, 0.8, 0.9, 0.95, 1.0])]
+        b = np.unique(np.concatenate([kept, r.randint(0, 2**63, r.randint(0, 1 + n // 5)).astype(np.uint64)]))
+        may = similar.may_be_similar(similar.outline(a), len(a), similar.outline(b), len(b))
+        if similar.similar(a, b):
+            assert may
+        elif n >= 60:
+            others += 1
+            passed += may
+    assert others > 300 and passed < 0.2 * others

@@ -294,7 +294,7 @@ def taint_trails(spark, d):
 
 #: Lines behind a supplier's number, and where matches of each pattern begin behind it.
 SPANNED = ("aaaa ab aba", "key=1, key=22", "x--y--", "éa ☃a", "none")
-SPANS = ((r"aa", ((0, 0, 0, "aa"), (0, 1, 2, "aa"))), (r"aba|ab", ((0, 0, 5, "ab"), (0, 1, 8, "aba"))), (r"key=(\d+)", ((1, 0, 0, "key=1"), (1, 1, 7, "key=22"))), (r"-*", ((2, 0, 0, ""), (2, 1, 1, "--"), (2, 2, 3, ""), (2, 3, 4, "--"), (2, 4, 6, ""))), (r"\bA", ((0, 0, 0, "a"), (0, 1, 5, "a"), (0, 2, 8, "a"))), (r"(?<=☃)a", ((3, 0, 4, "a"),)))
+SPANS = ((r"aa", ((0, 0, 0, "aa"), (0, 1, 2, "aa"))), (r"aba|ab", ((0, 0, 5, "ab"), (0, 1, 8, "aba"))), (r"key=(\d+)", ((1, 0, 0, "key=1"), (1, 1, 7, "key=22"))), (r"-*", ((2, 0, 0, ""), (2, 1, 1, "--"), (2, 2, 3, ""), (2, 3, 4, "--"), (2, 4, 6, ""))), (r"\bA", ((0, 0, 0, "a"), (0, 1, 5, "a"), (0, 2, 8, "a"), (3, 0, 4, "a"))), (r"(?<=☃)a", ((3, 0, 4, "a"),)))
 _SPAN_ROWS = [(i, k, n, at, m) for k, (_, told) in enumerate(SPANS) for i, n, at, m in told]
 
 
@@ -523,3 +523,67 @@ def environment_reads(spark, d):
 def fix_keys(spark, d):
     """The keys that have a fix."""
     return spark.createDataFrame([(t[0],) for t in (*fixes.TEMPLATES, *fixes.SECRETS)], "key string")
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT rule_id, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, path AS uri, line + 1 AS start_line, sha256(path || ':' || line) AS fingerprint,
+  CASE WHEN engine = 'taint' THEN 2 ELSE 0 END::BIGINT AS steps, CASE WHEN engine = 'ast' THEN 'src/main.js' ELSE '' END AS related, 'see ' || seq AS message, CASE WHEN engine = 'regex' THEN 'fixed ' || line ELSE '' END AS fix FROM findings""")
+def sarif_written(spark, d):
+    """All findings through the sink into one document, and what a reader finds in it: locations, code flows, related locations, fixes."""
+    from ..sources import formats
+
+    at = F.struct(F.col("line").alias("line"), F.lit("source").alias("text")), F.struct((F.col("line") + 2).alias("line"), F.lit("sink").alias("text"))
+    told = seeds.findings(spark, d).withColumns({
+        "text": F.concat(F.lit("  "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(" ")),
+        "message": F.concat(F.lit("see "), F.col("seq").cast("string")),
+        "steps": F.when(F.col("engine") == "taint", F.array(*at)),
+        "related": F.when(F.col("engine") == "ast", F.array(F.struct(F.lit("src/main.js").alias("path"), F.lit(0).alias("line"), F.lit("imported").alias("message")))),
+        "fix": F.when(F.col("engine") == "regex", F.concat(F.lit("fixed "), F.col("line").cast("string"))),
+    })
+    path = stored_path(spark, "findings.sarif")
+    formats.write_sarif(told, path)
+    place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
+    kinds = f"runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{place}>,partialFingerprints:struct<primaryLocationLineHash:string>,relatedLocations:array<{place}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{place}>>>>>>,fixes:array<struct<artifactChanges:array<struct<replacements:array<struct<insertedContent:struct<text:string>>>>>>>>>>>"
+    r = spark.read.schema(kinds).option("multiLine", True).json(path).select(F.explode(F.flatten("runs.results")).alias("r")).select("r.*")
+    first = F.col("locations")[0]["physicalLocation"]
+    flow = F.col("codeFlows")[0]["threadFlows"][0]["locations"]
+    return r.select(
+        F.col("ruleId").alias("rule_id"), "level", first["artifactLocation"]["uri"].alias("uri"), first["region"]["startLine"].alias("start_line"), F.col("partialFingerprints.primaryLocationLineHash").alias("fingerprint"),
+        F.when(flow.isNull(), 0).otherwise(F.size(flow)).cast("long").alias("steps"), F.coalesce(F.col("relatedLocations")[0]["physicalLocation"]["artifactLocation"]["uri"], F.lit("")).alias("related"), F.col("message.text").alias("message"),
+        F.coalesce(F.col("fixes")[0]["artifactChanges"][0]["replacements"][0]["insertedContent"]["text"], F.lit("")).alias("fix"),
+    )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS f FROM part) SELECT f::INTEGER AS file, 'rule-' || k AS rule_id, CASE k % 4 WHEN 0 THEN 'used' WHEN 1 THEN 'used' WHEN 2 THEN 'flags inside the pattern' ELSE 'not compiled' END AS state FROM p""")
+def packs_read(spark, d):
+    """Rules in files of a table's rows, read by the source; patterns that Java doesn't compile are told."""
+    from ..sources import rule_packs
+
+    folder = stored_path(spark, "packs")
+    k = F.col("p_partkey")
+    pattern = F.element_at(F.array(*map(F.lit, ("eval\\\\(x", "\\\\p{Lu}{3}", "a(?i)b", "(unclosed"))), (k % 4 + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select((k % 3).alias("f"), F.format_string('- {id: rule-%d, severity: ERROR, languages: [generic], patterns: ["%s"]}', k, pattern).alias("value"))
+    for f in range(3):
+        told = rows.where(F.col("f") == f).agg(F.concat(F.lit("rules:\n"), F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("value"))  # a pack is a file
+        told.coalesce(1).write.text(f"{folder}/pack{f}")
+    used, errors = rule_packs.read_rule_packs(spark, folder, "part-*")
+    file = lambda c: F.regexp_extract(c, "pack(\\d)", 1).cast("int")
+    why = F.when(F.col("reason").startswith("flags"), F.col("reason")).otherwise("not compiled")
+    number = F.regexp_extract("rule_id", "(\\d+)$", 1).cast("int")
+    return used.select((number % 3).alias("file"), "rule_id", F.lit("used").alias("state")).unionAll(errors.select(file("file").alias("file"), "rule_id", why.alias("state")))
+
+
+@query("""WITH h AS (SELECT s_nationkey AS n, s_suppkey AS k, s_suppkey % 4 AS c FROM supplier), l AS (SELECT n, k, c, unnest(range(c)) AS i FROM h)
+SELECT n::INTEGER AS diff, 'f' || k || '.py' AS file, (10 * k + i)::INTEGER AS line, i % 2 = 0 AS added, 'x' || i AS text FROM l""")
+def diffs_read(spark, d):
+    """Diffs, one for a nation, with a hunk a supplier, read by the source."""
+    from ..sources import formats
+
+    folder, k = stored_path(spark, "diffs"), F.col("s_suppkey")
+    c = (k % 4).cast("int")
+    body = F.transform(F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.when(i % 2 == 0, F.lit("+x")).otherwise(F.lit(" x")), i.cast("string")))
+    hunk = F.concat_ws("\n", F.format_string("diff --git a/f%d.py b/f%d.py\n--- a/f%d.py\n+++ b/f%d.py\n@@ -1,2 +%d,%d @@ def f", k, k, k, k, k * 10, c), F.array_join(F.concat(F.array(F.lit("-+++ b/no.py")), body), "\n"))
+    told = spark.read.parquet(f"{d}/supplier.parquet").groupBy(F.col("s_nationkey").alias("n")).agg(F.array_join(F.sort_array(F.collect_list(hunk)), "\n").alias("value"))  # a diff is a file
+    told.repartition("n").sortWithinPartitions("n").write.partitionBy("n").text(folder)
+    formats.register(spark)
+    read = spark.read.format("unidiff").option("pattern", "part-*").load(folder)
+    return read.select(F.regexp_extract("diff_id", r"n=(\d+)/", 1).cast("int").alias("diff"), "file", "line", "added", "text")

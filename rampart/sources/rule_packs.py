@@ -75,28 +75,58 @@ def _regexes(rule: dict, prompts: bool) -> Iterator[tuple[str, str]]:
     yield from of(rule)
 
 
+def rules_of_text(file: str, text: str, prompts: bool = True) -> Iterator[tuple]:
+    """A pack's rows: file, SCHEMA's columns, reason; a row a pattern, those that can't be used with a reason, a broken pack as one row."""
+    import yaml
+
+    try:
+        listed = (yaml.safe_load(text) or {}).get("rules") or []
+    except (yaml.YAMLError, AttributeError) as e:
+        yield file, *[None] * len(SCHEMA.split(", ")), str(e)[:200]
+        return
+    for rule in listed:
+        if not isinstance(rule, dict) or not rule.get("id"):
+            continue
+        meta = rule.get("metadata") or {}
+        risk = meta.get("risk_score")
+        for i, (p, why) in enumerate(_regexes(rule, prompts)):
+            why = why or ("flags inside the pattern" if re.search(r".\(\?[a-z]+\)", p) else None)
+            yield file, str(rule["id"]), i, p, str(rule.get("severity", "WARNING")), meta.get("category"), meta.get("confidence"), int(risk) if str(risk or "").isdigit() else None, meta.get("action"), [str(x) for x in rule.get("languages") or []], str(rule.get("message", "")), why
+
+
+def unusable(spark: SparkSession, patterns) -> dict[str, str]:
+    """Which patterns Java's engine, which runs them, doesn't compile, and why."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+
+    compile_, bad = spark._jvm.java.util.regex.Pattern.compile, {}
+    for p in patterns:
+        try:
+            compile_(p)
+        except (IllegalArgumentException, Py4JJavaError) as e:
+            bad[p] = str(e).split("\n")[0]
+    return bad
+
+
 def read_rule_packs(spark: SparkSession, folder: str, pattern: str = "*.yaml", *, prompts: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rules, errors) of a folder's YAML packs; files in path order, the last one with an id wins.
 
-    rules: SCHEMA, one row a pattern that Java's engine compiles in; a leading (?i) is kept, one further in
-    isn't valid and drops its pattern, into errors (file, rule_id, pattern, reason). Strings in ``patterns``,
-    ``pattern``, ``pattern-regex`` and ``pattern-either`` are read; without ``prompts``, strings that are
-    patterns over syntax go to errors (``read_syntax_rules`` reads them).
+    Files are read by the ``rulepack`` source, a partition each. rules: SCHEMA, one row a pattern that Java's
+    engine compiles, as the driver tries; a leading (?i) is kept, one further in drops its pattern, into errors
+    (file, rule_id, pattern, reason). Strings in ``patterns``, ``pattern``, ``pattern-regex`` and
+    ``pattern-either`` are read; without ``prompts``, strings that are patterns over syntax go to errors
+    (``read_syntax_rules`` reads them).
     """
-    rules: dict[str, list[tuple]] = {}
-    errors: list[tuple[str, str, str, str]] = []
-    for path, rule in _rules_of(folder, pattern, errors):
-        meta, rows = rule.get("metadata") or {}, []
-        for i, (p, why) in enumerate(_regexes(rule, prompts)):
-            why = why or _unusable(p)
-            if why:
-                errors.append((path, str(rule["id"]), p, why))
-                continue
-            risk = meta.get("risk_score")
-            rows.append((rule["id"], i, p, str(rule.get("severity", "WARNING")), meta.get("category"), meta.get("confidence"), int(risk) if str(risk or "").isdigit() else None, meta.get("action"), [str(x) for x in rule.get("languages") or []], str(rule.get("message", ""))))
-        if rows:
-            rules[rule["id"]] = rows
-    return spark.createDataFrame([r for rows in rules.values() for r in rows], SCHEMA), spark.createDataFrame(errors, "file string, rule_id string, pattern string, reason string")
+    from . import formats
+
+    formats.register(spark)
+    rows = spark.read.format("rulepack").option("pattern", pattern).option("prompts", str(prompts).lower()).load(folder).collect()  # configuration
+    bad = unusable(spark, sorted({r.pattern for r in rows if r.pattern is not None and not r.reason}))
+    last = {r.rule_id: r.file for r in sorted((x for x in rows if x.rule_id and not x.reason and x.pattern not in bad), key=lambda x: x.file)}
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    rules = [tuple(r[c] for c in columns) for r in sorted(rows, key=lambda x: (x.file, x.rule_id or "", x.pattern_idx or 0)) if r.rule_id and not r.reason and r.pattern not in bad and last[r.rule_id] == r.file]
+    errors = [(r.file, r.rule_id or "", r.pattern or "", r.reason or bad[r.pattern]) for r in rows if r.reason or r.pattern in bad]
+    return spark.createDataFrame(rules, SCHEMA), spark.createDataFrame(errors, "file string, rule_id string, pattern string, reason string")
 
 
 def _syntax_patterns(node, key: str = "") -> Iterator[tuple[bool, str]]:
@@ -138,13 +168,3 @@ def read_syntax_rules(folder: str, language: str, pattern: str = "*.yaml") -> tu
         if any(not no for no, _ in found):
             syntax[rule["id"]] = SyntaxRule(rule["id"], tuple(p for no, p in found if not no), tuple(p for no, p in found if no), severity, message)
     return list(syntax.values()), list(taint.values())
-
-
-def _unusable(pattern: str) -> str:
-    if re.search(r".\(\?[a-z]+\)", pattern):
-        return "flags inside the pattern"
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        return str(e)
-    return "named group" if "(?P<" in pattern else ""

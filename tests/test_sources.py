@@ -1,3 +1,5 @@
+import datetime as dt
+import random
 """File sources, rule packs, reports and streams."""
 
 import json
@@ -60,9 +62,33 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["count"] for r in spark.table("counts").collect()) == 2
-    spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, True)], "conv_id long, turn long, hit boolean").coalesce(1).write.parquet(str(tmp_path / "turns"))
-    turns = spark.readStream.schema("conv_id long, turn long, hit boolean").parquet(str(tmp_path / "turns"))
-    q = monitor.prior_hits_stream(turns).writeStream.format("memory").queryName("prior").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.turn, r.prior) for r in spark.table("prior").collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_bounded_state(spark, tmp_path):
+    """Micro-batches tell what the whole would, conversations that are over leave the state and begin anew."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", monitor.STORE)
+    kinds, t0 = "conv_id long, turn long, hit boolean, ts timestamp", dt.datetime(2026, 1, 1)
+    r = random.Random(3)
+    rows = [(c, k, r.random() < 0.4, t0 + dt.timedelta(minutes=7 * k + c)) for k in range(12) for c in range(5)]
+    spark.createDataFrame(rows[:7], kinds).coalesce(1).write.parquet(str(tmp_path / "turns"))
+    q = monitor.prior_hits_stream(spark.readStream.schema(kinds).parquet(str(tmp_path / "turns")), keep="1 hour").writeStream.format("memory").queryName("prior").outputMode("append")
+    q = q.start()
+    try:
+        for lo in range(7, len(rows), 13):
+            q.processAllAvailable()
+            spark.createDataFrame(rows[lo : lo + 13], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
+        q.processAllAvailable()
+        for hours in (30, 40):  # long after: all others are over
+            spark.createDataFrame([(99, hours, True, t0 + dt.timedelta(hours=hours))], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
+            q.processAllAvailable()
+        spark.createDataFrame([(0, 50, False, t0 + dt.timedelta(hours=41))], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
+        q.processAllAvailable()
+        got = {(x.conv_id, x.turn): x.prior for x in spark.table("prior").where("not ended").collect()}
+        ended = {(x.conv_id, x.prior) for x in spark.table("prior").where("ended").collect()}
+        held = sum(s.numRowsTotal for s in q.lastProgress.stateOperators)
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {(c, k): sum(h for d, j, h, _ in rows if d == c and j < k) for c, k, _, _ in rows}
+    assert {k: v for k, v in got.items() if k[0] < 5 and k[1] < 50} == want and got[0, 50] == 0
+    assert {(c, sum(h for d, _, h, _ in rows if d == c)) for c in range(5)} <= ended and held <= 2

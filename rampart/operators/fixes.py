@@ -2,53 +2,81 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import balanced, cases, first_replaced
 
-ENVIRONMENT = {"python": 'os.environ.get("%s")', "javascript": "process.env.%s", "typescript": "process.env.%s", "java": 'System.getenv("%s")', "go": 'os.Getenv("%s")', "ruby": "ENV['%s']", "php": "getenv('%s')", "rust": 'std::env::var("%s")', "csharp": 'Environment.GetEnvironmentVariable("%s")'}
+#: How a language reads an environment variable; any other as JavaScript does.
+ENVIRONMENT = {
+    "python": 'os.environ.get("%s")', "go": 'os.Getenv("%s")', "java": 'System.getenv("%s")', "php": "getenv('%s')", "ruby": 'ENV["%s"]', "csharp": 'Environment.GetEnvironmentVariable("%s")',
+    "rust": 'std::env::var("%s").unwrap_or_default()', "c": 'getenv("%s")', "cpp": 'getenv("%s")',
+}
 
 
 def environment(language: Column, name: str) -> Column:
     """How the language reads an environment variable."""
-    return cases(((language == k, v % name) for k, v in ENVIRONMENT.items()), f"${{{name}}}")
-
-
-#: Key, what to do, pattern, replacement (groups from 2), whether all matches are replaced. In order of precedence.
-TEMPLATES = (
-    ("innerhtml", "Use textContent or sanitize first", r"\.innerHTML\s*=", ".textContent =", False),
-    ("outerhtml", "Use textContent or sanitize first", r"\.outerHTML\s*=", ".textContent =", False),
-    ("document-write", "Use DOM methods", r"document\.write\s*\(", "document.body.append(", False),
-    ("insertadjacenthtml", "Use insertAdjacentText", r"\.insertAdjacentHTML\s*\(", ".insertAdjacentText(", False),
-    ("spawn-shell", "Spawn without a shell", r"shell\s*:\s*true", "shell: false", False),
-    ("dangerous-subprocess", "Run a list of arguments without a shell", r"shell\s*=\s*True", "shell=False", False),
-    ("md5", "Use SHA-256 or stronger", r"(?i:md5)", "sha256", True),
-    ("sha1", "Use SHA-256 or stronger", r"(?i:sha1)", "sha256", True),
-    ("ecb-mode", "Use GCM", r"ECB", "GCM", True),
-    ("insecure-random", "Use a secure random source", r"random\.(randint|random)\s*\(", "secrets.SystemRandom().$2(", False),
-    ("yaml-load", "Load safely", r"yaml\.load\s*\(", "yaml.safe_load(", False),
-    ("pickle", "Use JSON for untrusted data", r"pickle\.(load|loads)\s*\(", "json.$2(", False),
-    ("ssl-verify-disabled", "Verify certificates", r"verify\s*=\s*False", "verify=True", False),
-    ("insecure-skip-verify", "Verify certificates", r"InsecureSkipVerify\s*:\s*true", "InsecureSkipVerify: false", False),
-    ("cors-wildcard", "Name the allowed origins", r"(['\"])\*\2", "$2https://example.com$2", False),
-    ("debug", "Switch debugging off", r"(?i:debug)\s*=\s*True", "debug=False", False),
-    ("latest-tag", "Pin a version", r":latest\b", ":1.0.0", False),
-    ("chmod", "Use least privilege", r"chmod\s+777", "chmod 755", False),
-    ("curl-insecure", "Verify certificates", r"curl\s+(?:-k|--insecure)\s+", "curl ", False),
-)
-SECRETS = (("hardcoded", "SECRET"), ("api-key", "API_KEY"), ("password", "PASSWORD"), ("secret-key", "SECRET_KEY"))
+    return cases(((language == k, v % name) for k, v in ENVIRONMENT.items()), f"process.env.{name}")
+
+
+class Template(NamedTuple):
+    """A fix of the table: a pattern replaced, a literal read from the environment, a note before the line, a line after it, or a command's exec form."""
+
+    kind: str
+    key: str
+    pattern: str
+    replacement: str
+    every: bool
+    #: A line that it changes.
+    example: str
+
+
+@lru_cache(1)
+def templates() -> tuple[Template, ...]:
+    """All fixes in order of precedence."""
+    from importlib.resources import files
+
+    text = files("rampart.sources").joinpath("fixes.tsv").read_text(encoding="utf-8")
+    rows = (x.split("\t") for x in text.splitlines() if x and not x.startswith("# "))
+    return tuple(Template(kind, key, pattern, new, times == "all", example) for kind, key, pattern, new, times, example in rows)
+
+
 UNSAFE = r"\beval\s*\(|\bos\.system\s*\("
 
 
+def _later(replacement: str) -> str:
+    """The replacement with its groups numbered from 2, as ``first_replaced`` has them."""
+    return re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", replacement)
+
+
+def by_template(t: Template, language: Column, line: Column) -> Column:
+    """The line as the template changes it; as it is where the pattern doesn't match."""
+    if t.kind == "env":
+        start, rest = (F.regexp_extract(line, f"(?s)^(.*?)({t.pattern})(.*)$", k) for k in (1, 3))
+        return F.when(line.rlike(t.pattern), F.concat(start, F.lit("= "), environment(language, t.replacement), rest)).otherwise(line)
+    if t.kind == "note":
+        return F.concat(F.lit(f"{t.pattern} SECURITY: {t.replacement} - "), line)
+    if t.kind == "after":
+        return F.concat(line, F.lit(f"\n{t.replacement}"))
+    if t.kind == "shell":
+        return shell_form(line)
+    return F.regexp_replace(line, t.pattern, t.replacement) if t.every else first_replaced(line, t.pattern, _later(t.replacement))
+
+
 def fixed_line(rule_id: Column, language: Column, line: Column) -> Column:
     """The line by the rule's template; null if no template's key is part of the id."""
     low = F.lower(rule_id)
-    rows = [(F.contains(low, F.lit(key)), F.regexp_replace(line, p, to) if every else first_replaced(line, p, to)) for key, _, p, to, every in TEMPLATES]
-    for key, name in SECRETS:
-        parts = F.regexp_extract(line, r"""(?s)^(.*?[=:]\s*)(["'][^"']*["'])(.*)$""", 1), F.regexp_extract(line, r"""(?s)^(.*?[=:]\s*)(["'][^"']*["'])(.*)$""", 3)
-        rows.append((F.contains(low, F.lit(key)), F.when(line.rlike(r"""[=:]\s*["'][^"']*["']"""), F.concat(parts[0], environment(language, name), parts[1])).otherwise(line)))
-    return cases(rows, F.lit(None).cast("string"))
+    return cases(((F.contains(low, F.lit(t.key)), by_template(t, language, line)) for t in templates()), F.lit(None).cast("string"))
+
+
+def key_of(rule_id: Column) -> Column:
+    """The key of the fix that a rule's id holds, the first in order of precedence; null without one."""
+    low = F.lower(rule_id)
+    return cases(((F.contains(low, F.lit(t.key)), t.key) for t in templates()), F.lit(None).cast("string"))
 
 
 def shell_form(line: Column) -> Column:

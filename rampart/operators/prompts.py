@@ -157,11 +157,17 @@ def editor_verdicts(prompts: DataFrame, findings: DataFrame, sensitivity: str =
 
 
 def recommendations(findings: DataFrame) -> DataFrame:
-    """prompt_id, recommendations: those of the findings' categories, in the table's order, without repeats."""
-    said = [F.when(F.array_contains("_c", F.lit(c)), F.array(*map(F.lit, texts))) for c, texts in T.RECOMMENDATIONS.items()]
-    other = F.when(F.size(F.array_except("_c", F.array(*map(F.lit, T.RECOMMENDATIONS)))) > 0, F.array(F.lit(T.REVIEW)))
-    per = findings.groupBy("prompt_id").agg(F.collect_set(F.coalesce("category", F.lit("unknown"))).alias("_c"))
-    return per.select("prompt_id", F.flatten(F.array_compact(F.array(*said, other))).alias("recommendations"))
+    """prompt_id, recommendations: those of the findings' categories, in the order in which a category is first seen, without repeats.
+
+    Rules are tried in order of their ids, so a category is first seen at its least rule_id. Categories without
+    a recommendation of their own share one.
+    """
+    known = F.coalesce("category", F.lit("unknown"))
+    kind = F.when(known.isin(*T.RECOMMENDATIONS), known).otherwise("")
+    said = cases(((F.col("kind") == c, F.array(*map(F.lit, texts))) for c, texts in T.RECOMMENDATIONS.items()), F.array(F.lit(T.REVIEW)))
+    first = findings.groupBy("prompt_id", kind.alias("kind")).agg(F.min("rule_id").alias("seen"))
+    per = first.groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("seen", "kind", said.alias("said")))).alias("kinds"))  # as many as there are categories
+    return per.select("prompt_id", F.flatten(F.col("kinds.said")).alias("recommendations"))
 
 
 def audit(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -361,10 +363,17 @@ def project_scan(spark, d):
     return found.select("files", "issues", "errors", "warnings", "infos", "density", "grade", (~F.col("passed")).alias("failed"), "exit_code")
 
 
-@query(f"""WITH {_FILES_SQL}, found AS (SELECT * FROM findings WHERE severity = 'info'), t AS (SELECT (SELECT count(*) FROM paths) AS files, count(*) AS issues FROM found) SELECT files, issues, 0 AS errors, 0 AS warnings, issues AS infos, 'A' AS grade, 0 AS exit_code FROM t""")
+@query(f"""WITH {_FILES_SQL}, k AS (SELECT path, CAST(regexp_extract(path, '(\\d+)\\.js$', 1) AS INTEGER) % 5 AS k FROM paths), t AS (SELECT k.k AS server, count(DISTINCT k.path) AS files, count(f.path) AS issues, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos
+  FROM k LEFT JOIN findings f ON f.path = k.path AND (k.k <> 0 OR severity = 'info') AND (k.k <> 1 OR (seq % 40 = 0 AND severity <> 'error')) AND (k.k <> 2 OR seq % 60 = 0) GROUP BY 1)
+SELECT server, files, issues, errors, warnings, infos, CASE WHEN files = 0 OR (errors = 0 AND warnings = 0) THEN 'A' ELSE {GRADE_SQL} END AS grade, (errors > 0)::INTEGER AS exit_code FROM t""")
 def server_scan(spark, d):
-    """A server with infos only keeps its A."""
-    return tools.server(_all_paths(spark, d), seeds.findings(spark, d).where("severity = 'info'").withColumn("severity", F.upper("severity")))
+    """Five servers with all, few, or only slight findings, each graded by itself."""
+    server = (F.regexp_extract("path", r"(\d+)\.js$", 1).cast("int") % 5).alias("server")
+    paths = _all_paths(spark, d).select("path", server).distinct()
+    told = seeds.findings(spark, d).select("path", F.upper("severity").alias("severity"), "seq", server)
+    kept = {0: "severity = 'INFO'", 1: "seq % 40 = 0 and severity <> 'ERROR'", 2: "seq % 60 = 0", 3: "true", 4: "true"}
+    parts = [tools.server(paths.where(F.col("server") == k), told.where(F.col("server") == k).where(c)).withColumn("server", F.lit(k)) for k, c in kept.items()]
+    return reduce(DataFrame.unionByName, parts).select("server", "files", "issues", "errors", "warnings", "infos", "grade", "exit_code")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT path, line, rule_id AS rule, upper(severity) AS severity, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM findings")
@@ -384,16 +393,17 @@ def report_categories(spark, d):
     return tools.category_counts(seeds.findings(spark, d))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT ecosystem, name FROM {values(seeds.NAMES)} AS x(i, ecosystem, name), region), reg AS (SELECT * FROM {values(seeds.POPULAR)} AS r(i, ecosystem, name)),
+@query(f"""WITH n AS (SELECT DISTINCT ecosystem, name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE (p_partkey % 130)::VARCHAR END AS name FROM part, {values(seeds.NAMES)} AS x(i, ecosystem, name) WHERE x.i = p_partkey % {len(seeds.NAMES)}), reg AS (SELECT * FROM {values(seeds.POPULAR)} AS r(i, ecosystem, name)),
 m AS (SELECT n.ecosystem, n.name, CASE WHEN n.ecosystem NOT IN (SELECT ecosystem FROM reg) THEN 'unknown' WHEN EXISTS (SELECT 1 FROM reg r WHERE r.ecosystem = n.ecosystem AND r.name = n.name) THEN 'legitimate' ELSE 'hallucinated' END AS status FROM n),
 s AS (SELECT m.ecosystem, m.name, r.name AS near, levenshtein(lower(m.name), lower(r.name)) AS d FROM m JOIN reg r ON r.ecosystem = m.ecosystem AND m.status = 'hallucinated' AND abs(length(m.name) - length(r.name)) <= 2 WHERE d BETWEEN 1 AND 2),
 w AS (SELECT ecosystem, name, string_agg(near, ',' ORDER BY d, near) AS similar_names FROM s GROUP BY ALL)
 SELECT m.ecosystem, m.name, status, CASE WHEN m.ecosystem IN ('npm', 'pypi', 'rubygems') THEN 'medium' ELSE 'high' END AS confidence, coalesce(similar_names, '') AS similar_names,
-  starts_with(m.name, '@') OR m.name = 'internal-auth' AS confusion_risk, CASE WHEN m.name = '@acme/express' THEN 'public-name' WHEN starts_with(m.name, '@') THEN 'scope' WHEN m.name = 'internal-auth' THEN 'prefix:internal-' ELSE 'none' END AS reason
+  starts_with(m.name, '@') OR starts_with(m.name, 'internal-') OR (starts_with(m.name, 'company-') AND m.name <> 'company-') AS confusion_risk, CASE WHEN m.name = '@acme/express' THEN 'public-name' WHEN starts_with(m.name, '@') THEN 'scope' WHEN starts_with(m.name, 'internal-') THEN 'prefix:internal-' WHEN starts_with(m.name, 'company-') AND m.name <> 'company-' THEN 'prefix:company-' ELSE 'none' END AS reason
 FROM m LEFT JOIN w USING (ecosystem, name)""")
 def package_checks(spark, d):
     """Membership, near names of missing packages and confusion risk, as one check reports them."""
-    names = seeds.table(spark, seeds.NAMES, "ecosystem string, name string").select("ecosystem", "name").crossJoin(F.broadcast(spark.read.parquet(f"{d}/region.parquet").select("r_regionkey")))  # five rows
+    told = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") % len(seeds.NAMES)).cast("int").alias("i")).join(F.broadcast(seeds.table(spark, seeds.NAMES, "ecosystem string, name string")), "i")
+    names = told.select("ecosystem", F.concat("name", F.when(F.col("p_partkey") % 3 == 0, "").otherwise((F.col("p_partkey") % 130).cast("string"))).alias("name"))
     registry = seeds.table(spark, seeds.POPULAR, "ecosystem string, name string").select("ecosystem", "name")
     return tools.check_packages(names, registry, registry)
 
@@ -456,13 +466,13 @@ def editor_verdicts_high(spark, d):
 # Files that are written and read back ------------------------------------------------------------
 
 
-@query(f"""WITH n AS (SELECT r.ecosystem, r.name FROM {values(seeds.POPULAR)} AS r(i, ecosystem, name)) SELECT ecosystem, name FROM n""")
+@query("SELECT CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'crates' END AS ecosystem, 'pkg-' || p_partkey AS name FROM part")
 def registry_loaded(spark, d):
-    """Names in files of an ecosystem, a line each, blank lines and spaces beside."""
-    folder = stored_path(spark, "registry")
-    for eco in sorted({e for e, _ in seeds.POPULAR}):
-        names = [f" {n} " for e, n in seeds.POPULAR if e == eco] + ["", "   "]
-        spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{folder}/{eco}.txt")
+    """Names in files of an ecosystem, a line each, blank lines and spaces beside, made of a table."""
+    folder, k = stored_path(spark, "registry"), F.col("p_partkey")
+    told = spark.read.parquet(f"{d}/part.parquet").select((k % 3).alias("e"), F.explode(F.array(F.concat(F.lit(" pkg-"), k.cast("string"), F.lit(" ")), F.lit(""), F.lit("   "))).alias("value"))
+    for e, eco in enumerate(("npm", "pypi", "crates")):
+        told.where(F.col("e") == e).select("value").write.text(f"{folder}/{eco}.txt")
     return files.read_registry(spark, folder)
 
 
@@ -511,18 +521,17 @@ def balanced_lines(spark, d):
     return told.select("c_custkey", balanced(F.col("text")).alias("ok"))
 
 
-@query(f"""WITH {LINES_SQL} SELECT DISTINCT language, CASE language WHEN 'python' THEN 'os.environ.get("KEY")' WHEN 'javascript' THEN 'process.env.KEY' WHEN 'ruby' THEN 'ENV[''KEY'']' WHEN 'php' THEN 'getenv(''KEY'')'
-  WHEN 'rust' THEN 'std::env::var("KEY")' WHEN 'csharp' THEN 'Environment.GetEnvironmentVariable("KEY")' ELSE '${{KEY}}' END AS read FROM lines""")
+@query(f"""WITH {LINES_SQL} SELECT DISTINCT language, CASE language WHEN 'python' THEN 'os.environ.get("KEY")' WHEN 'ruby' THEN 'ENV["KEY"]' WHEN 'php' THEN 'getenv(''KEY'')' WHEN 'c' THEN 'getenv("KEY")'
+  WHEN 'rust' THEN 'std::env::var("KEY").unwrap_or_default()' WHEN 'csharp' THEN 'Environment.GetEnvironmentVariable("KEY")' ELSE 'process.env.KEY' END AS read FROM lines""")
 def environment_reads(spark, d):
     return seeds.lines(spark, d).select("language", fixes.environment(F.col("language"), "KEY").alias("read")).distinct()
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in (
-    "innerhtml", "outerhtml", "document-write", "insertadjacenthtml", "spawn-shell", "dangerous-subprocess", "md5", "sha1", "ecb-mode", "insecure-random", "yaml-load", "pickle", "ssl-verify-disabled", "insecure-skip-verify",
-    "cors-wildcard", "debug", "latest-tag", "chmod", "curl-insecure", "hardcoded", "api-key", "password", "secret-key")) + ") AS t(key)")
+@query(f"""WITH {FINDINGS_SQL} SELECT rule_id, CASE rule_id WHEN 'js.dom.innerHTML' THEN 'innerhtml' WHEN 'insecure-innerhtml' THEN 'innerhtml' WHEN 'insecure-hash-md5' THEN 'md5' WHEN 'weak-hash-sha1' THEN 'sha1' WHEN 'hardcoded-password' THEN 'hardcoded'
+  WHEN 'sql-injection' THEN 'sql-injection' WHEN 'python.sqli.sql-injection-db-cursor' THEN 'sql-injection' WHEN 'eval-detected' THEN 'eval' WHEN 'eval-usage' THEN 'eval' WHEN 'path-traversal' THEN 'path-traversal' WHEN 'generic.secrets.hardcoded-api-key' THEN 'hardcoded' ELSE 'none' END AS key, count(*) AS findings FROM findings GROUP BY ALL""")
 def fix_keys(spark, d):
-    """The keys that have a fix."""
-    return spark.createDataFrame([(t[0],) for t in (*fixes.TEMPLATES, *fixes.SECRETS)], "key string")
+    """Which fix each finding's rule has."""
+    return seeds.findings(spark, d).groupBy("rule_id").agg(F.count("*").alias("findings")).withColumn("key", F.coalesce(fixes.key_of(F.col("rule_id")), F.lit("none")))
 
 
 @query(f"""WITH {FINDINGS_SQL} SELECT rule_id, CASE severity WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'note' END AS level, path AS uri, line + 1 AS start_line, sha256(path || ':' || line) AS fingerprint,

@@ -1,5 +1,7 @@
 """Unit vectors of the column functions and operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,29 @@ def test_detectors_compile(spark):
     assert match.detect(empty).count() == 0
 
 
+def test_every_fix_by_hand(spark):
+    """Each template changes its example as Python's engine does, in one place or in all, and a line it has nothing to do with not at all."""
+    assert len(fixes.templates()) == 120 and len({t.key for t in fixes.templates()}) == 120
+    for lo in range(0, 120, 30):
+        some = fixes.templates()[lo : lo + 30]
+        one = spark.createDataFrame([(" ".join(t.example for t in some[:1]),)], "x string")
+        got = one.select(*(fixes.by_template(t, F.lit("go"), F.lit(f"{t.example} {t.example}" if t.kind == "replace" and not t.pattern.startswith("^") and "$" not in t.pattern else t.example)).alias(f"c{k}") for k, t in enumerate(some))).first()
+        for k, t in enumerate(some):
+            line = f"{t.example} {t.example}" if t.kind == "replace" and not t.pattern.startswith("^") and "$" not in t.pattern else t.example
+            if t.kind == "replace":
+                want = re.sub(t.pattern, re.sub(r"\$(\d)", r"\\g<\1>", t.replacement), line, count=0 if t.every else 1)
+                assert want != line
+            elif t.kind == "env":
+                want = re.sub(t.pattern, f'= os.Getenv("{t.replacement}")', line, count=1)
+            elif t.kind == "note":
+                want = f"{t.pattern} SECURITY: {t.replacement} - {line}"
+            elif t.kind == "after":
+                want = f"{line}\n{t.replacement}"
+            else:
+                want = 'RUN ["/bin/sh", "-c", "make \\"all\\""]'
+            assert got[k] == want, t
+
+
 def test_fixes(spark):
     def fixed(rule, lang, text):
         return fixes.suggest(spark.createDataFrame([(rule, lang, text)], "rule_id string, language string, text string")).first()

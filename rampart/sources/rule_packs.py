@@ -28,6 +28,86 @@ PROMPT_RULES = (
     ("injection.context", "prompt-injection-context", "WARNING", "LOW", 60, "LOG", (r"(?i)(new|updated)\s+(instructions|context)\s*:", r"(?i)from now on")),
     ("injection.privilege", "prompt-injection-privilege", "ERROR", "HIGH", 85, "WARN", (r"(?i)(enable|enter|switch to)\s+(developer|admin|root|god)\s+mode", r"(?i)override\s+(all\s+)?safety")),
     ("injection.output", "prompt-injection-output", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)output\s+(only\s+)?HACKED", r"(?i)respond\s+only\s+with")),
+    ("exfil.webhook", "exfiltration", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(webhook|pastebin|requestbin|ngrok)\S*\s.*(secret|token|key|credential|data|code)", r"(?i)(secret|token|key|credential|data|code)s?\b.*\b(webhook|pastebin|requestbin|ngrok)",)),
+    ("exfil.mail", "exfiltration", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)\b(e-?mail|mail)\s+(me\s+)?(the\s+|all\s+|your\s+)*(source|code|secret|credential|database|config)\w*",)),
+    ("exfil.env-file", "exfiltration", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(contents?|values?|variables)\s+(of|in|from)\s+(the\s+)?\.env\b",)),
+    ("exfil.ssh-key", "exfiltration", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(copy|share|give|dump)\s+.*(ssh|private)[ _-]?key",)),
+    ("exfil.cloud", "exfiltration", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(aws|azure|gcp|cloud)\s+(access\s+)?(credentials|secret|keys?)",)),
+    ("exfil.encoded", "exfiltration", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)(encode|encrypt|compress)\s+.*(secret|token|credential|password)s?\b",)),
+    ("exfil.foreign-repo", "exfiltration", "ERROR", "HIGH", 85, "BLOCK", (r"(?i)push\s+.*\bto\s+(my|this|a|another|an external)\s+(public\s+)?(repo|repository|remote|fork)",)),
+    ("exfil.git-credentials", "exfiltration", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)git[ -]?credentials?|\.netrc\b",)),
+    ("inject.web-shell", "malicious-injection", "ERROR", "HIGH", 100, "BLOCK", (r"(?i)web\s?shell",)),
+    ("inject.protection-off", "malicious-injection", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(disable|turn off|remove)\s+(the\s+|all\s+)?(security|csrf|authentication|validation|sandbox|antivirus)",)),
+    ("inject.skip-login", "malicious-injection", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(bypass|skip|circumvent)\s+(the\s+)?(auth|login|permission|access control)\w*",)),
+    ("inject.steal-code", "malicious-injection", "ERROR", "HIGH", 100, "BLOCK", (r"(?i)(code|script|program|function)\s+(that|to|which)\s+(steals?|logs? keystrokes|harvests?|captures? passwords)", r"(?i)keylogger",)),
+    ("inject.ransom", "malicious-injection", "ERROR", "HIGH", 100, "BLOCK", (r"(?i)ransom(ware)?\b",)),
+    ("inject.planted-flaw", "malicious-injection", "ERROR", "HIGH", 100, "BLOCK", (r"(?i)(intentional|deliberate|hidden|subtle)(ly)?\s+(add\s+|leave\s+|a\s+)*(vulnerab|flaw|weakness|bug)\w*",)),
+    ("inject.disguise", "malicious-injection", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(obfuscate|disguise|hide)\s+(the\s+|this\s+)?(malware|payload|exploit|virus)",)),
+    ("system.config", "system-manipulation", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(edit|modify|change|overwrite)\s+.*(/etc/(sudoers|passwd|fstab|ssh)|system32)",)),
+    ("system.hosts", "system-manipulation", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)(edit|modify|change|add)\s+.*(/etc/hosts|hosts file|dns (settings|records))",)),
+    ("system.firewall", "system-manipulation", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(disable|stop|flush|turn off)\s+(the\s+)?(firewall|iptables|ufw|selinux|defender)",)),
+    ("system.persist", "system-manipulation", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)(add|install|create)\s+.*(cron\s?tab|cron job|startup (script|item)|systemd (unit|service)|launch\s?agent|\.bashrc)",)),
+    ("system.registry", "system-manipulation", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)(reg add|HKEY_|windows registry)",)),
+    ("system.fetch-run", "system-manipulation", "ERROR", "HIGH", 95, "BLOCK", (r"(?i)(curl|wget|download)\s+.*(\|\s*(ba|z)?sh\b|and (run|execute) it)",)),
+    ("social.impersonation", "social-engineering", "ERROR", "MEDIUM", 80, "WARN", (r"(?i)i('m| am)\s+(from|with)\s+(the\s+)?(security|support|it|openai|anthropic|compliance)\b",)),
+    ("social.mode", "social-engineering", "WARNING", "MEDIUM", 80, "WARN", (r"(?i)(maintenance|test|training|unrestricted|debug)\s+mode\b",)),
+    ("social.emergency", "social-engineering", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(lives? (are|is) at (risk|stake)|no time to (check|verify|explain)|right now or)",)),
+    ("social.testing", "social-engineering", "WARNING", "LOW", 65, "LOG", (r"(?i)(just|only|purely)\s+(for\s+)?(testing|a test|a drill|research|educational)",)),
+    ("obfuscated.hex", "obfuscation", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(decode|run|interpret)\s+(this\s+|the\s+)?hex", r"(\\x[0-9a-fA-F]{2}){6}",)),
+    ("obfuscated.parts", "obfuscation", "WARNING", "LOW", 60, "LOG", (r"(?i)(combine|join|concatenate|put together)\s+(the\s+|these\s+)?(parts|pieces|fragments|letters|strings)",)),
+    ("obfuscated.lookalikes", "obfuscation", "WARNING", "LOW", 65, "WARN", (r"[a-zA-Z][\x{0400}-\x{04FF}][a-zA-Z]",)),
+    ("obfuscated.sample", "obfuscation", "ERROR", "HIGH", 85, "BLOCK", (r"(?i)(example|sample|demo)\s+of\s+(a\s+|an\s+)?(malware|virus|exploit|phishing|attack)",)),
+    ("obfuscated.harmless", "obfuscation", "WARNING", "LOW", 60, "LOG", (r"(?i)(harmless|innocent|routine|standard)\s+(script|check|backup|cleanup)\s+that",)),
+    ("obfuscated.languages", "obfuscation", "WARNING", "MEDIUM", 65, "WARN", (r"(?i)(ignora|ignorez|ignoriere|vergiss)\s+.*(instrucciones|instructions|anweisungen)",)),
+    ("agent.force-tool", "agent-manipulation", "WARNING", "MEDIUM", 75, "WARN", (r"(?i)(you must|always)\s+(use|call|invoke)\s+(the\s+)?\w+\s+(tool|function|command)",)),
+    ("agent.confirm-off", "agent-manipulation", "WARNING", "MEDIUM", 80, "WARN", (r"(?i)(disable|skip|auto-?(approve|accept|confirm))\s*(all\s+|the\s+)?(confirmation|approval|prompt|changes)s?",)),
+    ("agent.quiet", "agent-manipulation", "WARNING", "MEDIUM", 75, "WARN", (r"(?i)(silently|quietly|in the background without)\b", r"(?i)(hide|suppress)\s+(the\s+|all\s+|any\s+)?(output|logs?|errors?)",)),
+    ("agent.memory", "agent-manipulation", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(remember|store|save)\s+(this\s+)?(for(ever)?|in your memory|as a (permanent|new) rule)",)),
+    ("injection.new-instructions", "prompt-injection-content", "ERROR", "HIGH", 85, "BLOCK", (r"(?i)(here (are|is)|these are)\s+(your|the)\s+(new|real|actual)\s+(instructions|rules|task)",)),
+    ("injection.hypothetical", "prompt-injection-jailbreak", "WARNING", "MEDIUM", 60, "WARN", (r"(?i)hypothetical(ly)?\b.*\b(how|could|would)", r"(?i)imagine\s+(you|a world)\s+.*\bno (rules|limits|restrictions)",)),
+    ("injection.extract-indirect", "prompt-injection-extraction", "WARNING", "MEDIUM", 65, "WARN", (r"(?i)(summari[sz]e|translate|rephrase|repeat)\s+(everything|all|the text)\s+(above|before|so far)",)),
+    ("injection.tags", "prompt-injection-delimiter", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)</?(system|instructions?|prompt|assistant)>",)),
+    ("injection.encoded", "prompt-injection-encoded", "WARNING", "MEDIUM", 80, "WARN", (r"(?i)(follow|obey|execute)\s+(the\s+)?(encoded|decoded|hidden)\s+(instructions|message|text)",)),
+    ("injection.privileged-request", "prompt-injection-privilege", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(grant|give)\s+(me|yourself|this session)\s+(full|root|admin|elevated)\s+(access|rights|privileges|permissions)",)),
+    ("injection.turn-by-turn", "prompt-injection-multi-turn", "WARNING", "LOW", 55, "LOG", (r"(?i)(as (we|you) (agreed|discussed|said)|in (your|the) (last|previous) (reply|message|turn) you)",)),
+    ("injection.code-block", "prompt-injection-content", "ERROR", "HIGH", 80, "BLOCK", (r"(?i)(run|follow|do)\s+(what|whatever)\s+(is|stands)\s+in\s+(the\s+)?(code\s?block|comment)",)),
+    ("injection.html-comment", "prompt-injection-content", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)<!--\s*.*(ignore|instruction|assistant|system)",)),
+    ("injection.hidden-markdown", "prompt-injection-content", "ERROR", "HIGH", 85, "BLOCK", (r"(?i)\[//\]:\s*#\s*\(|\[[^\]]*\]\(javascript:",)),
+    ("injection.file", "prompt-injection-content", "ERROR", "HIGH", 85, "WARN", (r"(?i)(the|this)\s+(file|document|readme|page)\s+(says|tells you|instructs you)\s+to",)),
+    ("injection.image", "prompt-injection-content", "WARNING", "MEDIUM", 70, "WARN", (r"(?i)(exif|alt[ -]?text|image metadata)\b.*\b(instruct|command|follow)",)),
+    ("injection.url", "prompt-injection-content", "ERROR", "HIGH", 85, "BLOCK", (r"(?i)https?://\S+[?&](prompt|instruction|cmd|q)=\S*(ignore|system|run)",)),
+    ("injection.json", "prompt-injection-content", "ERROR", "HIGH", 90, "BLOCK", (r"""(?i)[\"']role[\"']\s*:\s*[\"'](system|developer)[\"']""",)),
+    ("injection.developer", "prompt-injection-jailbreak", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)developer\s+mode\s+(is\s+)?(on|enabled|output)",)),
+    ("injection.token-smuggling", "prompt-injection-encoded", "ERROR", "HIGH", 85, "BLOCK", (r"""(?i)\ba\s*=\s*[\"'].{1,12}[\"'].*\bb\s*=\s*[\"'].{1,12}[\"'].*\ba\s*\+\s*b""",)),
+    ("injection.authority", "social-engineering", "WARNING", "MEDIUM", 65, "WARN", (r"(?i)(my|the)\s+(boss|manager|ceo|supervisor)\s+(said|told|wants|approved)",)),
+    ("injection.recursive", "prompt-injection-context", "WARNING", "MEDIUM", 75, "WARN", (r"(?i)(prompt|instruction)\s+(that|which)\s+(makes|tells|asks)\s+(you|another model|itself)",)),
+    ("injection.fiction", "prompt-injection-jailbreak", "WARNING", "MEDIUM", 60, "WARN", (r"(?i)(in|for)\s+(a|my|this)\s+(story|novel|screenplay|game)\b.*\b(explain|describe|shows?)\s+how",)),
+    ("injection.tool-abuse", "prompt-injection-privilege", "ERROR", "HIGH", 90, "BLOCK", (r"(?i)(use|call)\s+(your|the)\s+(shell|file|browser|terminal)\s+(tool\s+)?to\s+(delete|read|send|upload)",)),
+    ("injection.hex", "prompt-injection-encoded", "WARNING", "MEDIUM", 70, "WARN", (r"\b([0-9a-fA-F]{2}\s){12}",)),
+    ("injection.rot13", "prompt-injection-encoded", "WARNING", "MEDIUM", 65, "WARN", (r"(?i)vtaber\s+(nyy|cerivbhf)",)),
+    ("assistant.forward-mail", "data_exfiltration", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)forward\s+(all\s+|every\s+|my\s+)*(e-?mails?|messages|inbox)\s+to",)),
+    ("assistant.contacts", "data_exfiltration", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(export|send|copy|upload)\s+(all\s+|my\s+|the\s+)*(contacts|address book)",)),
+    ("assistant.calendar", "data_exfiltration", "WARNING", "MEDIUM", None, "WARN", (r"(?i)(export|share|send)\s+(all\s+|my\s+|the\s+)*(calendar|appointments|meetings)",)),
+    ("assistant.upload", "data_exfiltration", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)upload\s+(all\s+|my\s+|the\s+|these\s+)*(documents|files|photos|folder)\s+to",)),
+    ("assistant.browser-session", "data_exfiltration", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(session|browser|login)\s+cookies?",)),
+    ("assistant.browsing", "data_exfiltration", "WARNING", "MEDIUM", None, "WARN", (r"(?i)(browsing|browser|search)\s+history",)),
+    ("assistant.mass-send", "messaging_abuse", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(send|message|text|dm)\s+.*(everyone|all (my )?contacts|every (user|member|contact))",)),
+    ("assistant.auto-reply", "messaging_abuse", "WARNING", "MEDIUM", None, "WARN", (r"(?i)(auto-?reply|automatically (reply|respond|answer))\s+to\s+(all|every|any)",)),
+    ("assistant.impersonate", "messaging_abuse", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(write|reply|message|post)\s+(to\s+\w+\s+)?(as if (you|i) (were|was)|pretending to be|in the name of)",)),
+    ("assistant.phishing", "messaging_abuse", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(phishing|fake (invoice|login|password reset))\s*(mail|email|page|message)?",)),
+    ("assistant.api-keys", "credential_theft", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(show|list|find|collect|extract)\s+(me\s+)?(all\s+|every\s+|the\s+|my\s+)*api[ _-]?keys?",)),
+    ("assistant.passwords", "credential_theft", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(show|list|find|collect|extract|dump)\s+(me\s+)?(all\s+|every\s+|the\s+|my\s+|saved\s+)*passwords?",)),
+    ("assistant.keychain", "credential_theft", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(keychain|password manager|credential (store|vault)|1password|bitwarden)",)),
+    ("assistant.env-secrets", "credential_theft", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(print|echo|dump|list)\s+(all\s+|the\s+)*(env(ironment)?)\s*(variables|vars|secrets)",)),
+    ("assistant.ssh", "credential_theft", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)~?/\.ssh\b|authorized_keys",)),
+    ("assistant.scheduled", "autonomous_harm", "WARNING", "MEDIUM", None, "WARN", (r"(?i)every\s+(day|hour|night|minute|week)\b.*\b(delete|send|post|transfer|buy)",)),
+    ("assistant.no-confirm", "autonomous_harm", "WARNING", "MEDIUM", None, "WARN", (r"(?i)(never|don't|do not)\s+(ask|wait)\s+(for\s+)?(me|my|confirmation|permission|approval)",)),
+    ("assistant.safety-off", "autonomous_harm", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(disable|ignore|turn off)\s+(your\s+|the\s+|all\s+)*(safety|guardrails|safeguards|limits)",)),
+    ("assistant.unlimited", "autonomous_harm", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(unlimited|unrestricted|full)\s+(access|control)\s+(to|over)\s+(my|the|this|all)",)),
+    ("assistant.payment", "service_attack", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(transfer|wire|send|pay)\s+.*(money|funds|bitcoin|\$\s?\d+|gift cards?)",)),
+    ("assistant.account", "service_attack", "WARNING", "MEDIUM", None, "WARN", (r"(?i)(change|reset|update)\s+(my\s+|the\s+|their\s+)*(account\s+)?(password|recovery email|phone number|2fa)",)),
+    ("assistant.repository", "service_attack", "ERROR", "MEDIUM", None, "BLOCK", (r"(?i)(delete|force[ -]push|wipe)\s+(the\s+|my\s+|all\s+|every\s+)*(repo(sitor(y|ies))?|branch(es)?|main)\b",)),
+    ("assistant.social", "service_attack", "WARNING", "MEDIUM", None, "WARN", (r"(?i)(delete|deactivate|unfollow)\s+(all\s+|my\s+|every\s+)*(posts?|tweets?|profile|friends|followers)",)),
 )
 
 

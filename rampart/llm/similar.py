@@ -127,16 +127,16 @@ def _signed(shared):
     return run
 
 
-MEMBER = "token long, node long, size int, a long, a_size int"
+MEMBER = "token long, node long, size int, at int, a long, a_size int, a_at int"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token, salt and node: the different nodes of tokens that more than one has, each with the least one; all of salted tokens."""
-    columns = ("token", "salt", "node", "size")
+    columns = ("token", "salt", "node", "size", "at")
     held: tuple | None = None  # the last row, its run's first, and whether it is known to be in company
 
-    def told(rows: dict[str, np.ndarray], a: np.ndarray, a_size: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[c][some]) for c in ("token", "node", "size")), pa.array(a[some]), pa.array(a_size[some])], ["token", "node", "size", "a", "a_size"])
+    def told(rows: dict[str, np.ndarray], first: list[np.ndarray], some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[c][some]) for c in ("token", "node", "size", "at")), *(pa.array(x[some]) for x in first)], ["token", "node", "size", "at", "a", "a_size", "a_at"])
 
     for batch in batches:
         rows = {c: batch.column(c).to_numpy() for c in columns}
@@ -154,20 +154,20 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joins = np.append(False, (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]))  # with the row before
         begins = np.flatnonzero(~joins)
         run = np.cumsum(~joins) - 1
-        a, a_size = rows["node"][begins][run], rows["size"][begins][run]
+        first = [rows[c][begins][run] for c in ("node", "size", "at")]
         company = joins | np.append(joins[1:], False) | (salt >= 0)
         if held:
             company[0] |= held[2]
-            if lead is not None:
-                a[run == 0], a_size[run == 0] = lead
+            for x, was in zip(first, lead, strict=True):
+                x[run == 0] = was
         last = len(token) - 1
-        held = {c: rows[c][last] for c in columns}, (a[last], a_size[last]), bool(company[last])
+        held = {c: rows[c][last] for c in columns}, [x[last] for x in first], bool(company[last])
         some = company.copy()
         some[last] = False
-        yield told(rows, a, a_size, some)
+        yield told(rows, first, some)
     if held and held[2]:
         rows = {c: np.array([held[0][c]]) for c in columns}
-        yield told(rows, np.array([held[1][0]]), np.array([held[1][1]]), np.array([True]))
+        yield told(rows, [np.array([x]) for x in held[1]], np.array([True]))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +209,14 @@ SIGNED = "node long, size int, first array<long>, salts array<int>, outline bina
 
 
 def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame, DataFrame]:
-    """(known, members): node, size, outline, fp of every different node, and token, node, size of the tokens that different nodes share, with the token's least node a (that of a part, if a token's nodes are dealt into parts)."""
+    """(known, members): node, size, outline, fp of every different node, and token, node, size, at (the token's place in the node's order) of the tokens that different nodes share, with the token's least node a (that of a part, if a token's nodes are dealt into parts)."""
     spark = docs.sparkSession
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
     path = stored_path(spark, "signed")
     named.mapInArrow(_signed(shared), SIGNED).write.parquet(path)
     signed = spark.read.schema(SIGNED).parquet(path)
-    each = signed.select(F.explode(F.arrays_zip("first", "salts")).alias("x"), "node", "size").select(F.col("x.first").alias("token"), F.col("x.salts").alias("salt"), "node", "size")
+    each = signed.select(F.posexplode(F.arrays_zip("first", "salts")).alias("at", "x"), "node", "size").select(F.col("x.first").alias("token"), F.col("x.salts").alias("salt"), "node", "size", "at")
     dealt = each.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
     members = stored(dealt.mapInArrow(_met, MEMBER), "members")
     known = stored(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "outline", "fp"))), "known")
@@ -236,15 +236,20 @@ def plausible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_outline", "a_size", "b_outline", "b_size").mapInArrow(_outlined, "a long, b long")
 
 
-def _near(a: str, b: str) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return F.least(a, b) * OF >= F.greatest(a, b) * LEAST
+def _meet(a_size: str, a_at: str, b_size: str, b_at: str) -> Column:
+    """Whether sets of these sizes that are similar can have their first common elements at these places.
+
+    Similar sets have at least both sizes times LEAST / (LEAST + OF) in common, so the first common element
+    comes before so many are left of each; sizes that are too far apart allow no place.
+    """
+    common = F.expr(f"({LEAST} * ({a_size} + {b_size}) + {LEAST + OF - 1}) div {LEAST + OF}")
+    return (F.col(a_at) <= F.col(a_size) - common) & (F.col(b_at) <= F.col(b_size) - common)
 
 
 def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """token, node, size, part of the tokens whose nodes aren't yet all in one component."""
+    """token, node, size, at, part of the tokens whose nodes aren't yet all in one component."""
     roots = stored(components(edges, "a", "b"), "roots")
-    placed = members.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("part"))
+    placed = members.join(roots, "node", "left").select("token", "node", "size", "at", F.coalesce("root", "node").alias("part"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     return stored(placed.join(mixed, "token", "left_semi"), "open")
 
@@ -256,29 +261,34 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     tiled exact comparison), or if their shingle sets are similar. Two similar sets have a shingle in common
     among the first fifth of each, in any one order of all shingles. With those in many texts last, a passage
     that makes up less than four fifths of its texts is not among their first shingles, and its texts don't
-    meet. Of nodes that share a token, each is first paired with the token's least one; where outlines (bitmaps
-    of the sets) allow a pair, the sets decide. Where a token still holds more than one component, all pairs of
-    its nodes of different components are listed, if their sizes allow, and decided in the same way. A group
-    of near copies is joined by the first step, so its pairs are never listed.
+    meet. Nodes that share a token, at places where similar sets can have their first common one, are paired in
+    three steps: each node with one leader, the least one of its tokens' least nodes; then, where a token still
+    holds more than one component, with that token's least node; and where it still does, all pairs of its
+    nodes of different components. Where outlines (bitmaps of the sets) allow a pair, the sets decide. A group
+    of near copies is joined by the first steps, so its pairs are never listed.
     """
     known, members = candidates(docs)
-    stars = stored(plausible(members.where("a <> node").where(_near("a_size", "size")).select("a", F.col("node").alias("b")).distinct(), known), "stars")
-    leaders, dealt = _salted(stored(stars.groupBy("b").agg(F.min("a").alias("a")), "pairs"))
+    leader = members.where("a <> node").where(_meet("a_size", "a_at", "size", "at")).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    leaders, dealt = _salted(stored(plausible(leader, known), "pairs"))
     asked = members.select("node").distinct().join(dealt.withColumnRenamed("b", "node"), "node", "left")
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     texts = named.join(asked, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("a").alias("a"), F.first("salt").alias("salt"))
     sets = stored(texts.mapInArrow(_sets, "node long, a long, salt long, shingles array<long>"), "sets")
     first = stored(_similar(leaders, sets.where("a is not null").withColumnRenamed("node", "b"), sets), "first")
     open_ = _open(members, first)
-    other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"))
-    met = open_.join(other, "token").where("node < b and part <> b_part").where(_near("size", "b_size")).select(F.col("node").alias("a"), "b").distinct()
+    stars = open_.groupBy("token").agg(F.min(F.struct("node", "size", "at", "part")).alias("x")).select("token", "x.*").toDF("token", "a", "a_size", "a_at", "a_part")
+    tried = open_.join(stars, "token").where("part <> a_part").where(_meet("a_size", "a_at", "size", "at")).select("a", F.col("node").alias("b")).distinct()
+    second = stored(_linked(stored(plausible(tried, known), "pairs"), sets).unionAll(first), "second")
+    open_ = _open(open_.drop("part"), second)
+    other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("part").alias("b_part"))
+    met = open_.join(other, "token").where("node < b and part <> b_part").where(_meet("size", "at", "b_size", "b_at")).select(F.col("node").alias("a"), "b").distinct()
     rest = _linked(stored(plausible(met, known), "pairs"), sets)
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
     prints = stored(known.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     alike = known.select("fp", "node").join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     close = stored(links(prints, radius), "close")
     ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    return stored(components(first.unionAll(rest).unionAll(alike).unionAll(ends), "a", "b"), "linked")
+    return stored(components(second.unionAll(rest).unionAll(alike).unionAll(ends), "a", "b"), "linked")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_automaton import forget
@@ -22,6 +23,8 @@ SEED = 42
 SAMPLE, MOST = 1 << 14, 1 << 20
 #: Sets that one task compares with a leader's, about, and texts of one shingle that one task brings together.
 TOGETHER, SPLIT = 4096, 100_000
+#: Tokens before one that are looked at, to list a pair at its first common token only.
+BEFORE = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -62,7 +65,10 @@ def may_be_similar(a: bytes, a_size: int, b: bytes, b_size: int) -> bool:
 
 
 class Order:
-    """An order of all shingles: those not known as frequent first, then by the logarithm of their count, then by hash.
+    """An order of all shingles: those not known as frequent first, then by their count, then by hash.
+
+    The shingles of a passage have one count, so they stand together, and a text of several passages begins
+    with its rarest one.
 
     ``step`` is how many texts one of the sample stands for.
     """
@@ -70,13 +76,13 @@ class Order:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, step: int = 1):
         by = np.argsort(hashes)
         self.hashes, counts = hashes[by], np.maximum(counts[by], 1)
-        self.level = (1 + np.log2(counts)).astype(np.int8)
+        self.level = counts.astype(np.int32)
         self.salts = np.minimum(counts * step // SPLIT + 1, 1 << 20).astype(np.int32)
 
     def prefix(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The set's first elements, so many that any set similar to it has one of them among its own first ones; and into how many parts the texts of each are dealt."""
         n = len(found)
-        level, salts = np.zeros(n, np.int8), np.ones(n, np.int32)
+        level, salts = np.zeros(n, np.int32), np.ones(n, np.int32)
         if len(self.hashes) and n:
             at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
             known = self.hashes[at] == found
@@ -131,7 +137,7 @@ MEMBER = "token long, node long, size int, at int, a long, a_size int, a_at int"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, salt and node: the different nodes of tokens that more than one has, each with the least one; all of salted tokens."""
+    """Rows sorted by token, salt, place and node: the different nodes of tokens that more than one has, each with the first one; all of salted tokens."""
     columns = ("token", "salt", "node", "size", "at")
     held: tuple | None = None  # the last row, its run's first, and whether it is known to be in company
 
@@ -209,7 +215,7 @@ SIGNED = "node long, size int, first array<long>, salts array<int>, outline bina
 
 
 def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame, DataFrame]:
-    """(known, members): node, size, outline, fp of every different node, and token, node, size, at (the token's place in the node's order) of the tokens that different nodes share, with the token's least node a (that of a part, if a token's nodes are dealt into parts)."""
+    """(known, members): node, size, outline, fp of every different node, and token, node, size, at (the token's place in the node's order) of the tokens that different nodes share, with a, the node that has the token at the earliest place (of a part, if a token's nodes are dealt into parts)."""
     spark = docs.sparkSession
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
@@ -217,7 +223,7 @@ def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame,
     named.mapInArrow(_signed(shared), SIGNED).write.parquet(path)
     signed = spark.read.schema(SIGNED).parquet(path)
     each = signed.select(F.posexplode(F.arrays_zip("first", "salts")).alias("at", "x"), "node", "size").select(F.col("x.first").alias("token"), F.col("x.salts").alias("salt"), "node", "size", "at")
-    dealt = each.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    dealt = each.repartition("token", "salt").sortWithinPartitions("token", "salt", "at", "node")
     members = stored(dealt.mapInArrow(_met, MEMBER), "members")
     known = stored(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "outline", "fp"))), "known")
     drop(spark, path)  # the prefixes are the largest part
@@ -262,13 +268,14 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     among the first fifth of each, in any one order of all shingles. With those in many texts last, a passage
     that makes up less than four fifths of its texts is not among their first shingles, and its texts don't
     meet. Nodes that share a token, at places where similar sets can have their first common one, are paired in
-    three steps: each node with one leader, the least one of its tokens' least nodes; then, where a token still
-    holds more than one component, with that token's least node; and where it still does, all pairs of its
-    nodes of different components. Where outlines (bitmaps of the sets) allow a pair, the sets decide. A group
-    of near copies is joined by the first steps, so its pairs are never listed.
+    three steps: each node with one leader; then, where a token still holds more than one component, with that
+    token's leader; and where it still does, all pairs of its nodes of different components. A token's leader
+    has it at the earliest place, so it has the fewest rare shingles: of copies with changes of their own it is
+    the one nearest to what they have in common. Where outlines (bitmaps of the sets) allow a pair, the sets
+    decide. A group of near copies is joined by the first steps, so its pairs are never listed.
     """
     known, members = candidates(docs)
-    leader = members.where("a <> node").where(_meet("a_size", "a_at", "size", "at")).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    leader = members.where("a <> node").where(_meet("a_size", "a_at", "size", "at")).groupBy(F.col("node").alias("b")).agg(F.min(F.struct("a_at", "a"))["a"].alias("a"))
     leaders, dealt = _salted(stored(plausible(leader, known), "pairs"))
     asked = members.select("node").distinct().join(dealt.withColumnRenamed("b", "node"), "node", "left")
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
@@ -276,12 +283,16 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     sets = stored(texts.mapInArrow(_sets, "node long, a long, salt long, shingles array<long>"), "sets")
     first = stored(_similar(leaders, sets.where("a is not null").withColumnRenamed("node", "b"), sets), "first")
     open_ = _open(members, first)
-    stars = open_.groupBy("token").agg(F.min(F.struct("node", "size", "at", "part")).alias("x")).select("token", "x.*").toDF("token", "a", "a_size", "a_at", "a_part")
+    stars = open_.groupBy("token").agg(F.min(F.struct("at", "node", "size", "part")).alias("x")).select("token", "x.*").toDF("token", "a_at", "a", "a_size", "a_part")
     tried = open_.join(stars, "token").where("part <> a_part").where(_meet("a_size", "a_at", "size", "at")).select("a", F.col("node").alias("b")).distinct()
     second = stored(_linked(stored(plausible(tried, known), "pairs"), sets).unionAll(first), "second")
     open_ = _open(open_.drop("part"), second)
-    other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("part").alias("b_part"))
-    met = open_.join(other, "token").where("node < b and part <> b_part").where(_meet("size", "at", "b_size", "b_at")).select(F.col("node").alias("a"), "b").distinct()
+    # Where one of the tokens just before is common too, the pair meets there, at earlier places of both.
+    here = W.partitionBy("node").orderBy("at")
+    open_ = open_.withColumn("before", F.array_compact(F.array(*(F.lag("token", k).over(here) for k in range(1, 1 + BEFORE)))))
+    other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), F.col("before").alias("b_before"))
+    met = open_.join(other, "token").where("node < b and part <> b_part and not arrays_overlap(before, b_before)").where(_meet("size", "at", "b_size", "b_at"))
+    met = met.select(F.col("node").alias("a"), "b").distinct()
     rest = _linked(stored(plausible(met, known), "pairs"), sets)
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
     prints = stored(known.groupBy("fp").agg(F.min("node").alias("least")), "prints")

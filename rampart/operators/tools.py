@@ -73,6 +73,43 @@ def scan_report(current: DataFrame, previous: DataFrame, paths: DataFrame, files
     }
 
 
+#: Rows that a page shows of each list.
+SHOWN = 100
+
+
+def write_html(parts: dict[str, DataFrame], path: str) -> None:
+    """Writes the parts of ``scan_report`` as one page: counts as cells, the lists of at most SHOWN rows as tables.
+
+    What is shown is bounded, whatever the number of findings: of new and fixed issues the page tells how many
+    there are, and the first by place. The driver writes the page.
+    """
+    from html import escape
+
+    from pyarrow import fs
+
+    cell = lambda part, name, value: f'<tr><th>{escape(str(name))}</th><td data-part="{escape(part)}" data-name="{escape(str(name))}">{escape(str(value))}</td></tr>'
+    out = ["<!doctype html><html><head><meta charset='utf-8'><title>Scan</title></head><body>"]
+    for part, rows in parts.items():
+        out.append(f"<h2>{escape(part)}</h2><table>")
+        if part == "summary":
+            told = rows.first().asDict()
+            out += [cell(part, k, ", ".join(v) if isinstance(v, list) else v) for k, v in told.items()]
+        elif part == "categories":
+            out += [cell(part, r.category, r.issues) for r in rows.limit(SHOWN).collect()]
+        else:
+            if part in ("new", "fixed", "unchanged"):
+                out.append(cell(part, "issues", rows.count()))
+                rows = rows.orderBy("path", "line", "rule_id")
+            some = rows.limit(SHOWN).collect()
+            if some:
+                names = some[0].asDict().keys()
+                out += ["<tr>" + "".join(f"<th>{escape(n)}</th>" for n in names) + "</tr>", *("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in some)]
+        out.append("</table>")
+    files, at = fs.FileSystem.from_uri(path)
+    with files.open_output_stream(at) as f:
+        f.write("\n".join([*out, "</body></html>"]).encode())
+
+
 def category_counts(findings: DataFrame) -> DataFrame:
     """Findings by the first part of their rule's id, most first."""
     from ..functions.columns import rule_category

@@ -14,7 +14,7 @@ from ..sources import files
 from ..sources.rule_packs import prompt_rules
 from ..sources.stored import stored, stored_path
 from . import seeds
-from .queries import _HITS_SQL, FINDINGS_SQL, GRADE_SQL, LINES_SQL, query
+from .queries import _ANY, _HITS_SQL, DETECTED_SQL, FINDINGS_SQL, GRADE_SQL, LINES_SQL, SEVERITY_SQL, _class_sql, query
 from .seeds import values
 
 # Paths -------------------------------------------------------------------------------------------
@@ -690,3 +690,33 @@ def diffs_read(spark, d):
     formats.register(spark)
     read = spark.read.format("unidiff").option("pattern", "part-*").load(folder)
     return read.select(F.regexp_extract("diff_id", r"n=(\d+)/", 1).cast("int").alias("diff"), "file", "line", "added", "text")
+
+
+@query(f"""WITH {DETECTED_SQL}, best AS (SELECT path, line, {_class_sql("rule_id")} AS vuln_class, first(rule_id ORDER BY seq) AS rule_id, first(severity ORDER BY {SEVERITY_SQL} DESC, severity DESC) AS severity, any_value(text) AS text FROM detected
+  WHERE (regexp_extract(path, '(\\d+)$', 1)::BIGINT + line) % 5 = 0 GROUP BY ALL),
+k AS (SELECT *, lower(rule_id) AS low FROM best WHERE NOT regexp_matches(text, '{T.NOSEC}')), s AS (SELECT *, CASE WHEN {_ANY("low", ("md5", "sha1"))} AND {_ANY("lower(text)", T.HASH_USES)} THEN 'info' ELSE severity END AS s1, regexp_matches(path, '{T.TEST_PATHS}') AND {_ANY("low", T.SECRET_IDS)} AS tested FROM k)
+SELECT path, line, rule_id, CASE WHEN tested AND s1 = 'error' THEN 'warning' ELSE s1 END AS severity FROM s""")
+def git_diff_scan(spark, d):
+    """A whole scan of a diff: what is found on the lines that it touches, one for each class, with the context filter."""
+    lines = seeds.lines(spark, d)
+    touched = lines.where((F.regexp_extract("path", r"(\d+)$", 1).cast("long") + F.col("line")) % 5 == 0).select(F.col("path").alias("file"), (F.col("line") + 1).alias("line"))
+    return tools.changed(lines, touched).select("path", "line", "rule_id", "severity")
+
+
+_REPORT_SQL = f"{_FILES_SQL}, cur AS (SELECT * FROM findings WHERE seq % 3 <> 0), prev AS (SELECT * FROM findings WHERE seq % 3 <> 1), t AS (SELECT {_TOTAL_SQL} FROM cur)"
+
+
+@query(f"""WITH {_REPORT_SQL} SELECT 'summary' AS part, 'issues' AS name, issues::VARCHAR AS value FROM t UNION ALL SELECT 'summary', 'grade', {GRADE_SQL} FROM t UNION ALL SELECT 'summary', 'files', files::VARCHAR FROM t
+UNION ALL SELECT 'categories', string_split(rule_id, '.')[1], count(*)::VARCHAR FROM cur GROUP BY 2
+UNION ALL SELECT 'new', 'issues', count(*)::VARCHAR FROM cur c WHERE NOT EXISTS (SELECT 1 FROM prev p WHERE p.rule_id = c.rule_id AND p.path = c.path AND p.line = c.line)
+UNION ALL SELECT 'fixed', 'issues', count(*)::VARCHAR FROM prev p WHERE NOT EXISTS (SELECT 1 FROM cur c WHERE p.rule_id = c.rule_id AND p.path = c.path AND p.line = c.line)""")
+def report_assembled(spark, d):
+    """The parts of one report as a reader's page shows them, written as HTML and read back."""
+    found = seeds.findings(spark, d)
+    parts = tools.scan_report(found.where("seq % 3 <> 0"), found.where("seq % 3 <> 1"), _all_paths(spark, d))
+    path = stored_path(spark, "report.html")
+    tools.write_html(parts, path)
+    cell = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r'<td data-part="[^"]*" data-name="[^"]*">[^<]*</td>'), F.lit(0))).alias("c"))
+    of = lambda k: F.regexp_extract("c", r'data-part="([^"]*)" data-name="([^"]*)">([^<]*)<', k)
+    told = cell.select(of(1).alias("part"), of(2).alias("name"), of(3).alias("value"))
+    return told.where("part in ('categories', 'new', 'fixed') or (part = 'summary' and name in ('issues', 'grade', 'files'))")

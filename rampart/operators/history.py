@@ -24,18 +24,22 @@ def unchanged_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def trends(scans: DataFrame, *series: str) -> DataFrame:
-    """scans (ts, issues, errors, ...) in order, with the changes since the scan before, by ``series`` if given."""
+    """scans (ts, issues, errors, ...) in order, with the changes since the scan before, by ``series``.
+
+    Without a series the scans are one project's: one row a scan, some thousand at most, in one window. Tables of
+    many projects need their key as the series, and each project is a window of its own.
+    """
     order = W.partitionBy(*series).orderBy("ts")
     return scans.withColumn("issues_delta", F.col("issues") - F.lag("issues").over(order)).withColumn("errors_delta", F.col("errors") - F.lag("errors").over(order)).withColumn("scan_no", F.row_number().over(order))
 
 
 def previous_scan(scans: DataFrame, *series: str) -> DataFrame:
-    """The second latest scan of each series."""
+    """The second latest scan of each series; without one, of one project's scans (``trends``)."""
     return scans.withColumn("_n", F.row_number().over(W.partitionBy(*series).orderBy(F.desc("ts")))).where("_n = 2").drop("_n")
 
 
 def snapshot_deltas(snapshots: DataFrame, *series: str) -> DataFrame:
-    """snapshots (ts, precision, recall, f1) with four places, and what each changed since the one before."""
+    """snapshots (ts, precision, recall, f1) with four places, and what each changed since the one before, by ``series``; without one, of one benchmark (``trends``)."""
     order = W.partitionBy(*series).orderBy("ts")
     for c in ("precision", "recall", "f1"):
         snapshots = snapshots.withColumn(c, F.round(c, 4))

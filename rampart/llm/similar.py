@@ -23,6 +23,8 @@ SEED = 42
 SAMPLE, MOST = 1 << 14, 1 << 20
 #: Sets that one task compares with a leader's, about, and texts of one shingle that one task brings together.
 TOGETHER, SPLIT = 4096, 100_000
+#: Nodes (of 8 bytes) up to which a list of them is broadcast to the texts.
+FEW = 200_000
 #: Tokens before one that are looked at, to list a pair at its first common token only.
 BEFORE = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -197,20 +199,20 @@ def _salted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return leaders, pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
 
 
-def _similar(leaders: DataFrame, others: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs of ``others`` (a, salt, b, shingles) those whose sets are similar."""
+def _linked(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar; sets are made of just the texts that they name."""
+    leaders, dealt = _salted(pairs)
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    few = asked.count() <= FEW
+    texts = named.join(F.broadcast(asked) if few else asked, "node").groupBy("node").agg(F.first("text").alias("text"))
+    sets = stored(texts.mapInArrow(_sets, "node long, shingles array<long>"), "sets")
     own = leaders.join(sets.select(F.col("node").alias("a"), "shingles"), "a")
     own = own.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
-    met = own.unionAll(others.select("a", "salt", "b", "shingles")).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    others = dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+    met = own.unionAll(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
     return met.select("a", "b", "shingles").mapInArrow(_compared, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar."""
-    leaders, dealt = _salted(pairs)
-    return _similar(leaders, dealt.join(sets.select(F.col("node").alias("b"), "shingles"), "b"), sets)
-
-
 SIGNED = "node long, size int, first array<long>, salts array<int>, outline binary, fp long"
 
 
@@ -276,16 +278,12 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     known, members = candidates(docs)
     leader = members.where("a <> node").where(_meet("a_size", "a_at", "size", "at")).groupBy(F.col("node").alias("b")).agg(F.min(F.struct("a_at", "a"))["a"].alias("a"))
-    leaders, dealt = _salted(stored(plausible(leader, known), "pairs"))
-    asked = members.select("node").distinct().join(dealt.withColumnRenamed("b", "node"), "node", "left")
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = named.join(asked, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("a").alias("a"), F.first("salt").alias("salt"))
-    sets = stored(texts.mapInArrow(_sets, "node long, a long, salt long, shingles array<long>"), "sets")
-    first = stored(_similar(leaders, sets.where("a is not null").withColumnRenamed("node", "b"), sets), "first")
+    first = stored(_linked(stored(plausible(leader, known), "pairs"), named), "first")
     open_ = _open(members, first)
     stars = open_.groupBy("token").agg(F.min(F.struct("at", "node", "size", "part")).alias("x")).select("token", "x.*").toDF("token", "a_at", "a", "a_size", "a_part")
     tried = open_.join(stars, "token").where("part <> a_part").where(_meet("a_size", "a_at", "size", "at")).select("a", F.col("node").alias("b")).distinct()
-    second = stored(_linked(stored(plausible(tried, known), "pairs"), sets).unionAll(first), "second")
+    second = stored(_linked(stored(plausible(tried, known), "pairs"), named).unionAll(first), "second")
     open_ = _open(open_.drop("part"), second)
     # Where one of the tokens just before is common too, the pair meets there, at earlier places of both.
     here = W.partitionBy("node").orderBy("at")
@@ -293,7 +291,7 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), F.col("before").alias("b_before"))
     met = open_.join(other, "token").where("node < b and part <> b_part and not arrays_overlap(before, b_before)").where(_meet("size", "at", "b_size", "b_at"))
     met = met.select(F.col("node").alias("a"), "b").distinct()
-    rest = _linked(stored(plausible(met, known), "pairs"), sets)
+    rest = _linked(stored(plausible(met, known), "pairs"), named)
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
     prints = stored(known.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     alike = known.select("fp", "node").join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -305,8 +303,7 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, x in enumerate(batch.column("text").cast(pa.binary())):
-            one = batch.slice(k, 1)
-            yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("node", "a", "salt")), pa.array([shingles(x.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "a", "salt", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(k, 1), pa.array([shingles(x.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ PATHS_SQL = f"paths AS (SELECT 'r' || o_orderkey || '/' || n.name AS path, n.nam
 
 
 def _paths(spark, d) -> DataFrame:
-    told = spark.read.parquet(f"{d}/orders.parquet").withColumn("i", (F.col("o_orderkey") % len(NAMES)).cast("int")).join(F.broadcast(seeds.table(spark, NAMES, "name string")), "i")
+    told = spark.read.parquet(f"{d}/orders.parquet").withColumn("i", (F.col("o_orderkey") % len(NAMES)).cast("int")).join(seeds.table(spark, NAMES, "name string"), "i")
     return told.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string"), F.lit("/"), F.col("name")).alias("path"), F.col("name").alias("relative"))
 
 
@@ -77,7 +77,7 @@ RULES_SQL = f"""rules AS (SELECT string_split(k.languages, ',')[1] || '.' || k.t
 
 
 def _rules(spark, d) -> DataFrame:
-    told = spark.read.parquet(f"{d}/part.parquet").withColumn("i", (F.col("p_partkey") % len(KINDS)).cast("int")).join(F.broadcast(seeds.table(spark, KINDS, "langs string, tail string")), "i")
+    told = spark.read.parquet(f"{d}/part.parquet").withColumn("i", (F.col("p_partkey") % len(KINDS)).cast("int")).join(seeds.table(spark, KINDS, "langs string, tail string"), "i")
     severity = F.element_at(F.array(F.lit("ERROR"), F.lit("warning"), F.lit("Info")), (F.col("p_partkey") % 3 + 1).cast("int"))
     listed = F.split("langs", ",")
     return told.select(F.concat(F.get(listed, F.lit(0)), F.lit("."), "tail", F.lit("-"), F.col("p_partkey").cast("string")).alias("rule_id"), severity.alias("severity"), listed.alias("languages"))
@@ -334,7 +334,7 @@ EXPORTS = (("javascript", "export function run() {}\nexport const a = 1;\nmodule
 @query(f"""WITH f AS (SELECT 'f' || c_custkey AS path, e.language, e.text FROM customer, {values(EXPORTS)} AS e(i, language, text) WHERE e.i = c_custkey % 4)
 SELECT path, unnest(CASE language WHEN 'javascript' THEN ['run', 'a', 'default'] WHEN 'python' THEN ['go', 'K'] WHEN 'typescript' THEN ['T'] ELSE [] END) AS name FROM f""")
 def exported_names(spark, d):
-    told = spark.read.parquet(f"{d}/customer.parquet").withColumn("i", (F.col("c_custkey") % 4).cast("int")).join(F.broadcast(seeds.table(spark, EXPORTS, "language string, text string")), "i")
+    told = spark.read.parquet(f"{d}/customer.parquet").withColumn("i", (F.col("c_custkey") % 4).cast("int")).join(seeds.table(spark, EXPORTS, "language string, text string"), "i")
     return graph.exports(told.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"), "language", "text"))
 
 
@@ -402,7 +402,7 @@ SELECT m.ecosystem, m.name, status, CASE WHEN m.ecosystem IN ('npm', 'pypi', 'ru
 FROM m LEFT JOIN w USING (ecosystem, name)""")
 def package_checks(spark, d):
     """Membership, near names of missing packages and confusion risk, as one check reports them."""
-    told = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") % len(seeds.NAMES)).cast("int").alias("i")).join(F.broadcast(seeds.table(spark, seeds.NAMES, "ecosystem string, name string")), "i")
+    told = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_partkey") % len(seeds.NAMES)).cast("int").alias("i")).join(seeds.table(spark, seeds.NAMES, "ecosystem string, name string"), "i")
     names = told.select("ecosystem", F.concat("name", F.when(F.col("p_partkey") % 3 == 0, "").otherwise((F.col("p_partkey") % 130).cast("string"))).alias("name"))
     registry = seeds.table(spark, seeds.POPULAR, "ecosystem string, name string").select("ecosystem", "name")
     return tools.check_packages(names, registry, registry)
@@ -426,7 +426,7 @@ SELECT o_orderkey, CASE text WHEN 'RUN apt-get update' THEN 'RUN ["/bin/sh", "-c
   WHEN '# RUN later' THEN '# RUN ["/bin/sh", "-c", "later"]' ELSE text END AS fixed FROM l""")
 def shell_form_fixes(spark, d):
     """A replacement that is made of what was matched."""
-    told = spark.read.parquet(f"{d}/orders.parquet").withColumn("i", (F.col("o_orderkey") % len(RUNS)).cast("int")).join(F.broadcast(seeds.table(spark, RUNS, "text string")), "i")
+    told = spark.read.parquet(f"{d}/orders.parquet").withColumn("i", (F.col("o_orderkey") % len(RUNS)).cast("int")).join(seeds.table(spark, RUNS, "text string"), "i")
     return told.select("o_orderkey", fixes.shell_form(F.col("text")).alias("fixed"))
 
 
@@ -539,7 +539,7 @@ FENCED = ("plain", "say ```python\nprint(1)\n``` now", "```\na\n``` and ```b```"
 SELECT prompt_id, CASE text WHEN 'plain' THEN 'plain' WHEN '``` open' THEN '``` open' WHEN 'say ```python' || chr(10) || 'print(1)' || chr(10) || '``` now' THEN text || chr(10) || 'print(1)' || chr(10) ELSE text || chr(10) || 'a' || chr(10) || chr(10) || '' END AS expanded, ceil(length(text) / 4.0)::BIGINT AS tokens FROM t""")
 def code_blocks_expanded(spark, d):
     """Prompts with the insides of their fenced blocks behind."""
-    told = spark.read.parquet(f"{d}/conversations.parquet").withColumn("i", (F.col("turn") % 4).cast("int")).join(F.broadcast(seeds.table(spark, FENCED, "fenced string")), "i")
+    told = spark.read.parquet(f"{d}/conversations.parquet").withColumn("i", (F.col("turn") % 4).cast("int")).join(seeds.table(spark, FENCED, "fenced string"), "i")
     return told.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), prompts.expand_code_blocks(F.col("fenced")).alias("expanded"), token_estimate(F.col("fenced")).cast("long").alias("tokens"))
 
 
@@ -611,7 +611,7 @@ def balanced_lines(spark, d):
     """Whether quotes pair up and brackets nest."""
     from ..functions.columns import balanced
 
-    told = spark.read.parquet(f"{d}/customer.parquet").withColumn("i", (F.col("c_custkey") % len(BRACKETS)).cast("int")).join(F.broadcast(seeds.table(spark, BRACKETS, "text string")), "i")
+    told = spark.read.parquet(f"{d}/customer.parquet").withColumn("i", (F.col("c_custkey") % len(BRACKETS)).cast("int")).join(seeds.table(spark, BRACKETS, "text string"), "i")
     return told.select("c_custkey", balanced(F.col("text")).alias("ok"))
 
 

@@ -48,8 +48,12 @@ def values(rows) -> str:
 
 
 def table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    """The same rows for Spark, with their number ``i``."""
-    return spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], f"i int, {schema}")
+    """The same rows for Spark, with their number ``i``.
+
+    Spark takes rows of Python for a table of any size: without the hint a join would deal the other side by
+    ``i``, a few keys, each with a share of all rows in one task's sort.
+    """
+    return F.broadcast(spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], f"i int, {schema}"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from rampart.operators import containment, graph, match, prompts, syntax
+from rampart.plans import seeds
 from rampart.plans.queries import QUERIES
 from rampart.sources.rule_packs import SCHEMA, prompt_rules
 
@@ -84,3 +85,10 @@ def test_nested_ranges(spark):
     assert {(x.path, x.pre) for x in containment.holding(outer, inner).collect()} == held
     assert {(x.path, x.pre) for x in containment.holding(outer.where("path = 't1'"), inner, how="left_anti").collect()} == {(o[0], o[1]) for o in rows if o[0] == "t1" and o[3] < 3} - held
     assert containment.containment(outer.limit(0), inner).count() == 0
+
+
+@pytest.mark.parametrize("made", [seeds.lines, seeds.prompts, seeds.actions, seeds.findings])
+def test_small_tables_are_broadcast(spark, data, made):
+    """The rows are not dealt by the number of a snippet, a probe or a rule: a few keys would be a few tasks, however large the table."""
+    plan = made(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -656,20 +656,23 @@ def sarif_written(spark, d):
     )
 
 
+#: Keys of the rows that share the files of the three packs: the files grow in number, not in size.
+PACKED = 9_000
+
+
 @query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS f FROM part) SELECT f::INTEGER AS file, 'rule-' || k AS rule_id, CASE k % 4 WHEN 0 THEN 'used' WHEN 1 THEN 'used' WHEN 2 THEN 'flags inside the pattern' ELSE 'not compiled' END AS state FROM p""")
 def packs_read(spark, d):
-    """Rules in files of a table's rows, read by the source; patterns that Java doesn't compile are told."""
+    """Rules in three packs of files of a table's rows, read by the source; patterns that Java doesn't compile are told."""
     from ..sources import rule_packs
 
     folder = stored_path(spark, "packs")
     k = F.col("p_partkey")
     pattern = F.element_at(F.array(*map(F.lit, ("eval\\\\(x", "\\\\p{Lu}{3}", "a(?i)b", "(unclosed"))), (k % 4 + 1).cast("int"))
-    rows = spark.read.parquet(f"{d}/part.parquet").select((k % 3).alias("f"), F.format_string('- {id: rule-%d, severity: ERROR, languages: [generic], patterns: ["%s"]}', k, pattern).alias("value"))
-    for f in range(3):
-        told = rows.where(F.col("f") == f).agg(F.concat(F.lit("rules:\n"), F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("value"))  # a pack is a file
-        told.coalesce(1).write.text(f"{folder}/pack{f}")
+    rows = spark.read.parquet(f"{d}/part.parquet").select((k % 3).alias("pack"), F.floor(k / PACKED).alias("n"), F.format_string('- {id: rule-%d, severity: ERROR, languages: [generic], patterns: ["%s"]}', k, pattern).alias("value"))
+    told = rows.groupBy("pack", "n").agg(F.concat(F.lit("rules:\n"), F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("value"))  # a file
+    told.write.partitionBy("pack", "n").text(folder)
     used, errors = rule_packs.read_rule_packs(spark, folder, "part-*")
-    file = lambda c: F.regexp_extract(c, "pack(\\d)", 1).cast("int")
+    file = lambda c: F.regexp_extract(c, "pack=(\\d)", 1).cast("int")
     why = F.when(F.col("reason").startswith("flags"), F.col("reason")).otherwise("not compiled")
     number = F.regexp_extract("rule_id", "(\\d+)$", 1).cast("int")
     return used.select((number % 3).alias("file"), "rule_id", F.lit("used").alias("state")).unionAll(errors.select(file("file").alias("file"), "rule_id", why.alias("state")))

@@ -7,7 +7,13 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from .stored import stored
+
+#: Why a pattern is an error that no flag or syntax explains.
+NOT_COMPILED = "not compiled by Java's engine"
 SCHEMA = "rule_id string, pattern_idx int, pattern string, severity string, category string, confidence string, risk_score int, action string, languages array<string>, message string"
 
 #: Prompt rules: id, category, severity, confidence, risk, action, patterns. Patterns keep to what Java and RE2 share.
@@ -160,7 +166,7 @@ def rules_of_text(file: str, text: str, prompts: bool = True) -> Iterator[tuple]
     import yaml
 
     try:
-        listed = (yaml.safe_load(text) or {}).get("rules") or []
+        listed = (yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or {}).get("rules") or []
     except (yaml.YAMLError, AttributeError) as e:
         yield file, *[None] * len(SCHEMA.split(", ")), str(e)[:200]
         return
@@ -189,24 +195,25 @@ def unusable(spark: SparkSession, patterns) -> dict[str, str]:
 
 
 def read_rule_packs(spark: SparkSession, folder: str, pattern: str = "*.yaml", *, prompts: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rules, errors) of a folder's YAML packs; files in path order, the last one with an id wins.
+    """(rules, errors) of a folder's YAML packs; of the files with an id the last in path order wins.
 
-    Files are read by the ``rulepack`` source, a partition each. rules: SCHEMA, one row a pattern that Java's
-    engine compiles, as the driver tries; a leading (?i) is kept, one further in drops its pattern, into errors
-    (file, rule_id, pattern, reason). Strings in ``patterns``, ``pattern``, ``pattern-regex`` and
-    ``pattern-either`` are read; without ``prompts``, strings that are patterns over syntax go to errors
-    (``read_syntax_rules`` reads them).
+    Files are read by the ``rulepack`` source, a partition each, once; no row comes to the driver. rules:
+    SCHEMA, one row a pattern that Java's engine compiles, as the tasks try; a leading (?i) is kept, one
+    further in drops its pattern, into errors (file, rule_id, pattern, reason; ``unusable`` tells what Java
+    says of a pattern). Strings in ``patterns``, ``pattern``, ``pattern-regex`` and ``pattern-either`` are read;
+    without ``prompts``, strings that are patterns over syntax go to errors (``read_syntax_rules`` reads them).
     """
     from . import formats
 
     formats.register(spark)
-    rows = spark.read.format("rulepack").option("pattern", pattern).option("prompts", str(prompts).lower()).load(folder).collect()  # configuration
-    bad = unusable(spark, sorted({r.pattern for r in rows if r.pattern is not None and not r.reason}))
-    last = {r.rule_id: r.file for r in sorted((x for x in rows if x.rule_id and not x.reason and x.pattern not in bad), key=lambda x: x.file)}
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    rules = [tuple(r[c] for c in columns) for r in sorted(rows, key=lambda x: (x.file, x.rule_id or "", x.pattern_idx or 0)) if r.rule_id and not r.reason and r.pattern not in bad and last[r.rule_id] == r.file]
-    errors = [(r.file, r.rule_id or "", r.pattern or "", r.reason or bad[r.pattern]) for r in rows if r.reason or r.pattern in bad]
-    return spark.createDataFrame(rules, SCHEMA), spark.createDataFrame(errors, "file string, rule_id string, pattern string, reason string")
+    read = spark.read.format("rulepack").option("pattern", pattern).option("prompts", str(prompts).lower()).load(folder)
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern")).isNotNull()
+    why = F.coalesce(F.nullif("reason", F.lit("")), F.when(F.col("pattern").isNotNull() & ~compiles, F.lit(NOT_COMPILED)))
+    rows = stored(read.withColumn("reason", why), "packs")
+    last = F.max("file").over(W.partitionBy("rule_id"))
+    rules = rows.where("rule_id <> '' and reason is null").withColumn("_last", last).where("file = _last").select(*(c.split()[0] for c in SCHEMA.split(", ")))
+    errors = rows.where("reason is not null").select("file", *(F.coalesce(c, F.lit("")).alias(c) for c in ("rule_id", "pattern")), "reason")
+    return rules, errors
 
 
 def _syntax_patterns(node, key: str = "") -> Iterator[tuple[bool, str]]:

@@ -57,6 +57,26 @@ def test_packs_by_java(spark, tmp_path):
     assert spark.read.format("rulepack").load(str(tmp_path / "none")).count() == 0
 
 
+def test_packs_stay_off_the_driver(spark, data, tmp_path, monkeypatch):
+    """Rules are parted by tasks, and a larger table is more files of packs, not larger ones."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from rampart.plans.more import packs_read
+
+    n = 20_001
+    spark.range(n).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+            m.setattr(DataFrame, name, lambda *a, **b: pytest.fail("rows came to the driver"))
+        told = packs_read(spark, str(tmp_path))
+    got = {(r.file, r.state): r["count"] for r in told.groupBy("file", "state").count().collect()}
+    states = ["used", "used", "flags inside the pattern", "not compiled"]
+    want = {}
+    for k in range(n):
+        want[k % 3, states[k % 4]] = want.get((k % 3, states[k % 4]), 0) + 1
+    assert got == want
+
+
 DIFF = """diff --git a/x b/x
 --- a/x
 +++ b/x.py

@@ -645,8 +645,8 @@ def sarif_written(spark, d):
     path = stored_path(spark, "findings.sarif")
     formats.write_sarif(told, path)
     place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
-    kinds = f"runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{place}>,partialFingerprints:struct<primaryLocationLineHash:string>,relatedLocations:array<{place}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{place}>>>>>>,fixes:array<struct<artifactChanges:array<struct<replacements:array<struct<insertedContent:struct<text:string>>>>>>>>>>>"
-    r = spark.read.schema(kinds).option("multiLine", True).json(path).select(F.explode(F.flatten("runs.results")).alias("r")).select("r.*")
+    kinds = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{place}>,partialFingerprints:struct<primaryLocationLineHash:string>,relatedLocations:array<{place}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{place}>>>>>>,fixes:array<struct<artifactChanges:array<struct<replacements:array<struct<insertedContent:struct<text:string>>>>>>>>"
+    r = formats.read_sarif(spark, path, kinds)
     first = F.col("locations")[0]["physicalLocation"]
     flow = F.col("codeFlows")[0]["threadFlows"][0]["locations"]
     return r.select(

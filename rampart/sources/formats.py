@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .rule_packs import SCHEMA, rules_of_text, unusable
@@ -112,6 +113,7 @@ class _SarifWriter(DataSourceWriter):
                         with files.open_input_stream(f"{folder}/{m.name}") as part:
                             while chunk := part.read(CHUNK):
                                 out.write(chunk)
+                        files.delete_file(f"{folder}/{m.name}")  # the parts and the document never lie whole beside each other
                 out.write(b"\n]}]}\n")
             files.move(made, path)  # the document appears whole
         finally:
@@ -128,7 +130,7 @@ class SarifSink(DataSource):
 
     Tasks write their results to parts beside ``path``, which the driver and all executors must see; the
     commit puts them together, the driver holding one chunk and the list of rules. If a task fails for good
-    nothing is left; options ``tool`` and ``version`` name the tool.
+    nothing is left; options ``tool`` and ``version`` name the tool. A result is one line of the document.
     """
 
     @classmethod
@@ -242,10 +244,16 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def read_sarif(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The results, by their schema, of a document that the sink wrote: each is a line, so tasks read ranges of one file."""
+    line = spark.read.option("lineSep", "\n").text(path).where("startswith(value, '{\"ruleId\":')")
+    return line.select(F.from_json(F.rtrim("value", F.lit(",")), schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def write_sarif(findings: DataFrame, path: str, **options: str) -> None:
     """Writes findings as one SARIF document."""
     register(findings.sparkSession)
     findings.write.format("sarif").mode("overwrite").options(**options).save(path)
 
 
-__all__ = ["RulePacks", "SarifSink", "UnifiedDiffs", "register", "sarif_result", "unusable", "write_sarif"]
+__all__ = ["RulePacks", "SarifSink", "UnifiedDiffs", "read_sarif", "register", "sarif_result", "unusable", "write_sarif"]

@@ -27,6 +27,24 @@ def test_one_document(spark, tmp_path):
         told.write.format("sarif").mode("append").save(path)
 
 
+def test_one_document_read_by_many_tasks(spark, data, tmp_path):
+    """A document is read in ranges, odd texts included, and no task takes it whole."""
+    from rampart.plans.more import sarif_written
+
+    rows = [(f"r{i % 3}", "error", f"src/é\r\u2028\u0085{i}.js", i, "x\n") for i in range(3000)] + [('{"ruleId":', "info", '"results": [', 0, "],")]
+    path, kinds = str(tmp_path / "all.sarif"), "struct<ruleId:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        formats.write_sarif(spark.createDataFrame(rows, KINDS).repartition(3), path)
+        told = formats.read_sarif(spark, path, kinds)
+        assert told.rdd.getNumPartitions() > 5
+        got = sorted((r.ruleId, r.locations[0].physicalLocation.artifactLocation.uri) for r in told.collect())
+        assert got == sorted((r, p) for r, _, p, _, _ in rows)
+        assert sarif_written(spark, data).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_a_failed_task_leaves_nothing(spark, tmp_path):
     told = spark.createDataFrame([("r", "error", "p", i, "x") for i in range(100)], KINDS).repartition(5)
     bad = told.withColumn("text", F.when(F.col("line") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("text")))

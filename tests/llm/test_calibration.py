@@ -56,3 +56,32 @@ def test_stages_reject_labelled_junk(tables):
         kept = quality_classifier.keep_by_classifier(before, labels).select("doc_id").distinct().withColumn("kept", F.lit(True))
         got = shares(before.select("doc_id").join(kept, "doc_id", "left").fillna(False, ["kept"]), kinds)
         assert got.get("bad", 0) <= (0.06 if docs.count() > 200 else 0.2) and got["good"] >= 0.97
+
+
+@pytest.mark.parametrize("ties", [3, 40, 10_000])
+def test_order_statistics_of_all_scores(spark, ties):
+    """The cut and the median of ranged scores are those of plain lists."""
+    import random
+    from statistics import median
+
+    r = random.Random(ties)
+    good, bad = ([r.randrange(ties) / 7 + shift for _ in range(n)] for n, shift in ((701, 0.4), (333, -0.2)))
+    rows = [(True, x) for x in good] + [(False, x) for x in bad]
+    found = ngram_lm.Scores(spark.createDataFrame(rows, "good boolean, score double"))
+    assert found.middle() == median(good) and found.cut() == ngram_lm.best_cut(good, bad)
+    swapped = ngram_lm.Scores(spark.createDataFrame([(not k, x) for k, x in rows], "good boolean, score double"))
+    assert swapped.cut() == ngram_lm.best_cut(bad, good)
+    alone = ngram_lm.Scores(spark.createDataFrame(rows[:700], "good boolean, score double"))
+    assert alone.cut() is None and alone.middle() == median(good[:700])
+
+
+@pytest.mark.parametrize("near", [0, 2_000_000])
+def test_every_trusted_document_counts(spark, monkeypatch, near):
+    """More trusted documents than a sample once held: each one's own word weighs in favour of it, by either join."""
+    n = 7000
+    monkeypatch.setattr(ngram_lm, "NEAR", near)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("own"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model = ngram_lm.fit(docs, labels, buckets=2**20)
+    out = ngram_lm.trusted(labels).where("not held_out").join(docs, "doc_id").select(model.score(F.col("text")).alias("s"))
+    assert out.count() > 5120 and out.where("s < 0").count() == 0

@@ -15,13 +15,8 @@ from ..sources.detectors import LOOK_AHEADS, Detector, detectors
 SHARED = {"cpp": "c", "typescript": "javascript"}
 
 
-def detect(lines: DataFrame, table: Iterable[Detector] | None = None, languages: Iterable[str] | None = None) -> DataFrame:
-    """One finding for each line and detector of its language that applies.
-
-    lines: path, language, line, text. Returns path, language, line, text, seq (the detector's place),
-    rule_id, severity, confidence, engine. All detectors are literal predicates of one projection, gated by
-    language: no join, no shuffle, one pass.
-    """
+def detected(table: Iterable[Detector] | None = None, languages: Iterable[str] | None = None) -> Column:
+    """Array of the detectors of its language that apply to a line (columns language, text), by seq: seq (the detector's place), rule_id, severity, confidence."""
     kinds = set(languages) if languages else None
     lang = cases(((F.col("language") == k, v) for k, v in SHARED.items()), F.col("language"))
     tests = []
@@ -34,7 +29,17 @@ def detect(lines: DataFrame, table: Iterable[Detector] | None = None, languages:
         if d.unless:
             hit &= ~F.col("text").rlike(d.unless)
         tests.append(F.when(hit, F.struct(F.lit(seq).alias("seq"), F.lit(d.rule_id).alias("rule_id"), F.lit(d.severity).alias("severity"), F.lit(d.confidence).alias("confidence"))))
-    found = lines.select("path", "language", "line", "text", F.explode(F.array_compact(F.array(*tests))).alias("f"))
+    return F.array_compact(F.array(*tests))
+
+
+def detect(lines: DataFrame, table: Iterable[Detector] | None = None, languages: Iterable[str] | None = None) -> DataFrame:
+    """One finding for each line and detector of its language that applies.
+
+    lines: path, language, line, text. Returns path, language, line, text, seq (the detector's place),
+    rule_id, severity, confidence, engine. All detectors are literal predicates of one projection, gated by
+    language: no join, no shuffle, one pass.
+    """
+    found = lines.select("path", "language", "line", "text", F.explode(detected(table, languages)).alias("f"))
     return found.select("path", "language", "line", "text", "f.*", F.lit("regex-fallback").alias("engine"))
 
 

@@ -730,8 +730,7 @@ def fix_suggestions(spark, d):
 @query(f"WITH {LINES_SQL}, {_FIXED_SQL} SELECT l.path, l.line, l.text, f.fixed FROM lines l JOIN fix f ON f.language = l.language AND f.text = l.text AND good = 1")
 def fixes_applied(spark, d):
     """Lines after their fixes, one on top of the other."""
-    told = seeds.lines(spark, d)
-    return fixes.apply_fixes(told, match.detect(told)).where("fixed <> text").select("path", "line", "text", "fixed")
+    return fixes.apply_detected(seeds.lines(spark, d)).where("fixed <> text").select("path", "line", "text", "fixed")
 
 
 @query("""WITH l AS (SELECT o_orderkey, 'a.innerHTML = b; c.innerHTML = d; // ' || o_orderkey AS text FROM orders)

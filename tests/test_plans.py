@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rampart.operators import containment, graph, match, prompts, syntax
+from rampart.operators import containment, fixes, graph, match, prompts, syntax
 from rampart.plans import seeds
 from rampart.plans.queries import QUERIES
 from rampart.sources.rule_packs import SCHEMA, prompt_rules
@@ -92,3 +92,13 @@ def test_small_tables_are_broadcast(spark, data, made):
     """The rows are not dealt by the number of a snippet, a probe or a rule: a few keys would be a few tasks, however large the table."""
     plan = made(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_fixes_in_one_pass(spark, data):
+    """A line's findings are folded where the line is: no row is dealt, and what comes of it is what the findings as a table give."""
+    told = fixes.apply_detected(seeds.lines(spark, data))
+    made = QUERIES["fixes_applied"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in made and "SortMergeJoin" not in made
+    some = seeds.lines(spark, data).where("line < 4")
+    want = fixes.apply_fixes(some, match.detect(some)).select("path", "line", "fixed")
+    assert sorted(map(tuple, told.where("line < 4").select("path", "line", "fixed").collect())) == sorted(map(tuple, want.collect()))

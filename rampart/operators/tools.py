@@ -12,9 +12,7 @@ from . import history, match, packages, report, triage
 def scan_lines(lines: DataFrame) -> DataFrame:
     """Findings of lines as a scan reports them: detected, one for each class and line, with the line's text and the context filter."""
     found = match.detect(lines)
-    best = triage.cross_engine_dedup(found)
-    told = best.join(lines.select("path", "line", "text"), ["path", "line"], "left")
-    return triage.context_filter(told)
+    return triage.context_filter(triage.cross_engine_dedup(found, F.any_value("text").alias("text")))
 
 
 def by_file(paths: DataFrame, findings: DataFrame) -> DataFrame:
@@ -46,10 +44,13 @@ def server_sorted(findings: DataFrame) -> DataFrame:
 
 
 def changed(lines: DataFrame, touched: DataFrame) -> DataFrame:
-    """Findings of a diff's lines; touched: path, line from 1."""
+    """Findings of a diff's lines; touched: file, line from 1.
+
+    What is found on a line hangs on that line alone, so only the touched ones are looked at.
+    """
     from ..sources.files import on_changed_lines
 
-    return on_changed_lines(scan_lines(lines), touched)
+    return scan_lines(on_changed_lines(lines, touched))
 
 
 def check_packages(names: DataFrame, registry: DataFrame, popular: DataFrame) -> DataFrame:

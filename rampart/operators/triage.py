@@ -11,11 +11,12 @@ from ..functions import tables as T
 from ..functions.columns import any_of, cases, confidence_rank, engine_rank, glob_matches, grade, matches_any, severity_rank, vulnerability_class
 
 
-def cross_engine_dedup(findings: DataFrame) -> DataFrame:
+def cross_engine_dedup(findings: DataFrame, *more: Column) -> DataFrame:
     """One finding for each path, line and class: that of the best engine (first by seq), with the greatest severity.
 
     findings: path, line, rule_id, severity, engine, seq. engines_matched lists the engines, best first,
-    where more than one finding met. One shuffle; arg-max aggregates instead of a window.
+    where more than one finding met. ``more`` are aggregates that the result has too. One shuffle; arg-max
+    aggregates instead of a window.
     """
     ranked = findings.withColumn("vuln_class", vulnerability_class(F.col("rule_id"))).withColumn("_e", engine_rank(F.col("engine")))
     best = F.struct(F.col("_e"), -F.col("seq"))
@@ -25,6 +26,7 @@ def cross_engine_dedup(findings: DataFrame) -> DataFrame:
         F.max(F.struct(severity_rank(F.col("severity")), "severity"))["severity"].alias("severity"),
         F.count("*").alias("n"),
         F.reverse(F.array_sort(F.collect_set(F.struct("_e", "engine"))))["engine"].alias("_engines"),
+        *more,
     )
     return merged.withColumn("engines_matched", F.when(F.col("n") > 1, F.array_join("_engines", ","))).drop("_engines")
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rampart.operators import containment, fixes, graph, match, prompts, syntax
+from rampart.operators import containment, fixes, graph, match, prompts, syntax, tools
 from rampart.plans import seeds
 from rampart.plans.queries import QUERIES
 from rampart.sources.rule_packs import SCHEMA, prompt_rules
@@ -102,3 +102,13 @@ def test_fixes_in_one_pass(spark, data):
     some = seeds.lines(spark, data).where("line < 4")
     want = fixes.apply_fixes(some, match.detect(some)).select("path", "line", "fixed")
     assert sorted(map(tuple, told.where("line < 4").select("path", "line", "fixed").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_diff_scan_looks_at_touched_lines_only(spark):
+    lines = spark.createDataFrame([("/p/src/a.py", "python", k, "eval(user_input)") for k in (0, 0, 1, 2)], "path string, language string, line int, text string")
+    touched = spark.createDataFrame([("/p/src/a.py", 1), ("/p/src/a.py", 3)], "file string, line int")
+    found = tools.changed(lines, touched)
+    assert sorted(r.line for r in found.collect()) == [0, 2]  # one a class and line, though line 0 is there twice
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftSemi")  # the join lies below the detectors
+    assert plan.count("Join ") == 1  # a line's text goes with its findings

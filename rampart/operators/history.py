@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import cases, ratio
+from ..sources.stored import stored
 
 KEY = ["rule_id", "path", "line"]
 
 
+#: Findings of both scans that one task compares, about.
+TOGETHER = 500_000
+
+
 def new_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
-    return current.join(previous.select(*KEY).distinct(), KEY, "left_anti")
+    return current.join(previous.select(*KEY), KEY, "left_anti")
 
 
 def fixed_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -20,7 +28,36 @@ def fixed_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def unchanged_issues(current: DataFrame, previous: DataFrame) -> DataFrame:
-    return current.join(previous.select(*KEY).distinct(), KEY, "left_semi")
+    return current.join(previous.select(*KEY), KEY, "left_semi")
+
+
+def compared(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """The different keys of both scans: KEY, now and before (how many findings have it), state (new, fixed or unchanged).
+
+    One shuffle of keys only, dealt to tasks of about TOGETHER findings each, however many there are. As in a
+    join, a key with a null is no other's equal: its findings are new or fixed.
+    """
+    of = lambda f, now: f.select(*KEY, F.lit(now).alias("now"))
+    unequal = reduce(or_, (F.isnull(c) for c in KEY))
+    both = of(current, True).unionAll(of(previous, False)).withColumn("side", F.when(unequal, F.col("now")))
+    parts = max(current.sparkSession.sparkContext.defaultParallelism, -(-both.count() // TOGETHER))
+    per = both.repartition(parts, *KEY).groupBy(*KEY, "side").agg(F.count_if("now").alias("now"), F.count_if(~F.col("now")).alias("before"))
+    state = cases([(F.col("before") == 0, "new"), (F.col("now") == 0, "fixed")], "unchanged")
+    return stored(per.select(*KEY, "now", "before", state.alias("state")), "compared")
+
+
+def changes(told: DataFrame) -> DataFrame:
+    """One row: how many issues of the two scans that ``compared`` told of are new, fixed and unchanged."""
+    n = lambda state, c: F.coalesce(F.sum(F.when(F.col("state") == state, F.col(c))), F.lit(0)).alias(state)
+    return told.agg(n("new", "now"), n("fixed", "before"), n("unchanged", "now"))
+
+
+def first_of_state(issues: DataFrame, told: DataFrame, state: str, limit: int) -> DataFrame:
+    """The first ``limit`` of a scan's issues by place that are in this state; only so many keys are looked for among them."""
+    place = ["path", "line", "rule_id"]
+    keys = told.where(F.col("state") == state).orderBy(*place).limit(limit).select(*(F.col(c).alias(f"_{c}") for c in KEY))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY))
+    return issues.join(F.broadcast(keys), same, "left_semi").orderBy(*place, *(c for c in issues.columns if c not in place)).limit(limit)
 
 
 def trends(scans: DataFrame, *series: str) -> DataFrame:

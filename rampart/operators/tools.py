@@ -61,36 +61,39 @@ def check_packages(names: DataFrame, registry: DataFrame, popular: DataFrame) ->
     return told.join(near, ["ecosystem", "name"], "left").join(risk, "name", "left").select("ecosystem", "name", "status", "confidence", F.coalesce("similar_names", F.lit("")).alias("similar_names"), "confusion_risk", "reason")
 
 
+#: Rows that a page shows of each list.
+SHOWN = 100
+
+
 def scan_report(current: DataFrame, previous: DataFrame, paths: DataFrame, files: int = 15, issues: int = 100) -> dict[str, DataFrame]:
-    """The parts of a report: summary, categories, top files, worst issues, and what is new, fixed and unchanged."""
+    """The parts of a report: summary, categories, top files, worst issues, how many are new, fixed and unchanged, and the first SHOWN of each."""
+    told = history.compared(current, previous)
     return {
         "summary": project(paths, current),
         "categories": category_counts(current),
         "top_files": history.top_files(current, files),
         "worst": report.worst(current, issues),
-        "new": history.new_issues(current, previous),
-        "fixed": history.fixed_issues(current, previous),
-        "unchanged": history.unchanged_issues(current, previous),
+        "changes": history.changes(told),
+        **{state: history.first_of_state(previous if state == "fixed" else current, told, state, SHOWN) for state in ("new", "fixed", "unchanged")},
     }
 
 
-#: Rows that a page shows of each list.
-SHOWN = 100
-
-
 def write_html(parts: dict[str, DataFrame], path: str) -> None:
     """Writes the parts of ``scan_report`` as one page: counts as cells, the lists of at most SHOWN rows as tables.
 
-    What is shown is bounded, whatever the number of findings: of new and fixed issues the page tells how many
-    there are, and the first by place. The driver writes the page.
+    What is shown is bounded, whatever the number of findings: of new, fixed and unchanged issues the page tells
+    how many there are, and the first by place. The driver writes the page.
     """
     from html import escape
 
     from pyarrow import fs
 
     cell = lambda part, name, value: f'<tr><th>{escape(str(name))}</th><td data-part="{escape(part)}" data-name="{escape(str(name))}">{escape(str(value))}</td></tr>'
+    changes = parts["changes"].first().asDict()
     out = ["<!doctype html><html><head><meta charset='utf-8'><title>Scan</title></head><body>"]
     for part, rows in parts.items():
+        if part == "changes":  # a cell in each list's table
+            continue
         out.append(f"<h2>{escape(part)}</h2><table>")
         if part == "summary":
             told = rows.first().asDict()
@@ -98,9 +101,8 @@ def write_html(parts: dict[str, DataFrame], path: str) -> None:
         elif part == "categories":
             out += [cell(part, r.category, r.issues) for r in rows.limit(SHOWN).collect()]
         else:
-            if part in ("new", "fixed", "unchanged"):
-                out.append(cell(part, "issues", rows.count()))
-                rows = rows.orderBy("path", "line", "rule_id")
+            if part in changes:
+                out.append(cell(part, "issues", changes[part]))
             some = rows.limit(SHOWN).collect()
             if some:
                 names = some[0].asDict().keys()

@@ -6,7 +6,7 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,16 @@ def tidy() -> None:
         pass
 
 
+def rest(spark: SparkSession) -> None:
+    """Between the steps of a long job: the driver's Python and its JVM give back what the steps before have left.
+
+    Hundreds of stages without a full collection let the JVM's heap grow to its limit, whatever lives in it;
+    Spark's cleaner drops shuffle files and broadcasts of steps that are over only after one, too.
+    """
+    tidy()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -14,10 +14,11 @@ def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours; edges point down (u > v)."""
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return _joined(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    return _joined(up, least).select(F.col("v").alias("u"), F.col("m").alias("v"))  # a row an edge; the small star makes them distinct
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -27,20 +28,23 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.withColumnRenamed("m", "v")).distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none, or none: one shuffle, where a further round takes five."""
+    each = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("downs"), F.lit(0).alias("ups")), F.struct(F.col("v").alias("n"), F.lit(0).alias("downs"), F.lit(1).alias("ups")))).alias("e")).select("e.*")
+    per = each.groupBy("n").agg(F.sum("downs").alias("downs"), F.max("ups").alias("ups"))
+    return per.agg(F.count_if((F.col("downs") > 1) | ((F.col("downs") > 0) & (F.col("ups") > 0)))).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node with an edge to another: root is the least node of its component.
 
     Edges may repeat, point either way or be loops. Each round is written to the shared folder; the
-    rounds grow with the logarithm of the longest path. What a round yields is compared by a count and
-    an order-free sum of hashes.
+    rounds grow with the logarithm of the longest path, and end as soon as all edges form stars.
     """
-    down = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, seen = stored(down, "edges"), None
+    now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+        if are_stars(now):
             break
-        seen = state
         now = stored(small_star(large_star(now)), "stars")
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")

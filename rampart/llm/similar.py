@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe_automaton import forget
-from .common import drop, stored, stored_path, words
+from .common import drop, rest, stored, stored_path, words
 from .components import components
 from .simhash import RADIUS, fingerprint, links
 
@@ -223,6 +223,7 @@ def candidates(docs: DataFrame, order: Order | None = None) -> tuple[DataFrame,
     shared = spark.sparkContext.broadcast(frequent(docs) if order is None else order)  # MOST entries at most
     path = stored_path(spark, "signed")
     named.mapInArrow(_signed(shared), SIGNED).write.parquet(path)
+    shared.destroy()
     signed = spark.read.schema(SIGNED).parquet(path)
     each = signed.select(F.posexplode(F.arrays_zip("first", "salts")).alias("at", "x"), "node", "size").select(F.col("x.first").alias("token"), F.col("x.salts").alias("salt"), "node", "size", "at")
     dealt = each.repartition("token", "salt").sortWithinPartitions("token", "salt", "at", "node")
@@ -276,28 +277,37 @@ def similar_nodes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     the one nearest to what they have in common. Where outlines (bitmaps of the sets) allow a pair, the sets
     decide. A group of near copies is joined by the first steps, so its pairs are never listed.
     """
+    spark = docs.sparkSession
+    rest(spark)
     known, members = candidates(docs)
+    rest(spark)
     leader = members.where("a <> node").where(_meet("a_size", "a_at", "size", "at")).groupBy(F.col("node").alias("b")).agg(F.min(F.struct("a_at", "a"))["a"].alias("a"))
     named = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     first = stored(_linked(stored(plausible(leader, known), "pairs"), named), "first")
+    rest(spark)
     open_ = _open(members, first)
+    rest(spark)
     stars = open_.groupBy("token").agg(F.min(F.struct("at", "node", "size", "part")).alias("x")).select("token", "x.*").toDF("token", "a_at", "a", "a_size", "a_part")
     tried = open_.join(stars, "token").where("part <> a_part").where(_meet("a_size", "a_at", "size", "at")).select("a", F.col("node").alias("b")).distinct()
     second = stored(_linked(stored(plausible(tried, known), "pairs"), named).unionAll(first), "second")
+    rest(spark)
     open_ = _open(open_.drop("part"), second)
+    rest(spark)
     # Where one of the tokens just before is common too, the pair meets there, at earlier places of both.
     here = W.partitionBy("node").orderBy("at")
     open_ = open_.withColumn("before", F.array_compact(F.array(*(F.lag("token", k).over(here) for k in range(1, 1 + BEFORE)))))
     other = open_.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("part").alias("b_part"), F.col("before").alias("b_before"))
     met = open_.join(other, "token").where("node < b and part <> b_part and not arrays_overlap(before, b_before)").where(_meet("size", "at", "b_size", "b_at"))
     met = met.select(F.col("node").alias("a"), "b").distinct()
-    rest = _linked(stored(plausible(met, known), "pairs"), named)
+    third = stored(_linked(stored(plausible(met, known), "pairs"), named), "third")
+    rest(spark)
     # A fingerprint is told by its least node; nodes of one fingerprint are linked to that.
     prints = stored(known.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     alike = known.select("fp", "node").join(prints, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     close = stored(links(prints, radius), "close")
+    rest(spark)
     ends = close.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    return stored(components(second.unionAll(rest).unionAll(alike).unionAll(ends), "a", "b"), "linked")
+    return stored(components(second.unionAll(third).unionAll(alike).unionAll(ends), "a", "b"), "linked")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

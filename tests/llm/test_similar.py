@@ -170,3 +170,18 @@ def test_a_passage_that_is_most_of_many_texts(spark):
     _, members = similar.candidates(docs)
     other = members.select("token", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"))
     assert members.join(other, "token").where("node < b").where(similar._meet("size", "at", "b_size", "b_at")).count() < 300
+
+
+def test_a_round_of_components_has_few_shuffles_and_stars_need_none(spark, monkeypatch):
+    """On a table of many tasks each shuffle is hundreds of tasks, whose metrics the driver keeps."""
+    from rampart.llm import components as c
+
+    path = spark.createDataFrame([(k + 1, k) for k in range(40)], "u long, v long")
+    plan = c.small_star(c.large_star(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 10  # as planned; five once equal ones are reused
+    rounds = []
+    monkeypatch.setattr(c, "large_star", lambda e, f=c.large_star: rounds.append(1) or f(e))
+    stars = spark.createDataFrame([(2, 1), (3, 1), (1, 1), (1, 3), (8, 7)], "u long, v long")
+    assert sorted(c.components(stars, "u", "v").collect()) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)] and not rounds
+    assert sorted(c.components(path, "u", "v").collect()) == [(k, 0) for k in range(41)] and rounds
+    assert c.components(path.where("false"), "u", "v").collect() == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,9 @@ from .rule_packs import SCHEMA, rules_of_text, unusable
 
 LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 CHUNK = 1 << 20
+#: Bytes of text in a frame of a compressed document, and the numbers of the Zstandard seekable format.
+FRAME = 1 << 18
+SKIPPED, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
 def _files(uri: str):
@@ -56,11 +60,52 @@ def sarif_result(finding: dict) -> dict:
     return told
 
 
+class _Out:
+    """Text to a stream: as it is, or in Zstandard frames that end where an ``add`` does; ``frames`` has their sizes, packed and plain."""
+
+    def __init__(self, out, packed: bool):
+        import pyarrow as pa
+
+        self.out, self.codec, self.frames = out, pa.Codec("zstd", compression_level=1) if packed else None, bytearray()
+        self.held, self.size = [], 0
+
+    def add(self, text: bytes) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size >= FRAME:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.size:
+            text = b"".join(self.held)
+            if self.codec:
+                packed = self.codec.compress(text, asbytes=True)
+                self.frames += struct.pack("<II", len(packed), len(text))
+                text = packed
+            self.out.write(text)
+            self.held, self.size = [], 0
+
+    def copy(self, part, frames: bytes) -> None:
+        """The bytes of a part, frames and all."""
+        self.flush()
+        while chunk := part.read(CHUNK):
+            self.out.write(chunk)
+        self.frames += frames
+
+    def seek_table(self) -> None:
+        """The sizes of all frames, in a frame that readers of Zstandard skip."""
+        self.out.write(struct.pack("<II", SKIPPED, len(self.frames) + 9))
+        self.out.write(bytes(self.frames))
+        self.out.write(struct.pack("<IBI", len(self.frames) // 8, 0, SEEKABLE))
+
+
 @dataclass
 class _Part(WriterCommitMessage):
     partition: int
     name: str
     results: int
+    #: Sizes of its frames, if it is compressed.
+    frames: bytes
     #: By rule the least (path, line, severity) of its findings; as many as there are rules.
     rules: dict[str, tuple]
 
@@ -68,6 +113,7 @@ class _Part(WriterCommitMessage):
 class _SarifWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool, tool: str, version: str):
         self.path, self.overwrite, self.tool, self.version = path, overwrite, tool, version
+        self.packed = path.endswith(".zst")
         self.parts = f"{path}.parts-{uuid.uuid4().hex}"
         files, folder = _files(self.parts)  # made here alone: a task that is late after an abort finds no folder
         files.create_dir(folder, recursive=True)
@@ -77,14 +123,17 @@ class _SarifWriter(DataSourceWriter):
 
         files, folder = _files(self.parts)
         # Every attempt writes a file of its own; only those that the driver hears of are put together.
-        told = _Part(TaskContext.get().partitionId(), uuid.uuid4().hex, 0, {})
-        with files.open_output_stream(f"{folder}/{told.name}") as out:
+        told = _Part(TaskContext.get().partitionId(), uuid.uuid4().hex, 0, b"", {})
+        with files.open_output_stream(f"{folder}/{told.name}") as stream:
+            out = _Out(stream, self.packed)
             for row in iterator:
                 finding = row.asDict(recursive=True)
-                out.write(("," * bool(told.results) + "\n" + json.dumps(sarif_result(finding), ensure_ascii=False)).encode())
+                out.add(("," * bool(told.results) + "\n" + json.dumps(sarif_result(finding), ensure_ascii=False)).encode())
                 told.results += 1
                 place = finding["path"], finding["line"], finding["severity"]
                 told.rules[finding["rule_id"]] = min(place, told.rules.get(finding["rule_id"], place))
+            out.flush()
+        told.frames = bytes(out.frames)
         return told
 
     def commit(self, messages) -> None:
@@ -102,19 +151,22 @@ class _SarifWriter(DataSourceWriter):
             listed = [{"id": r, "defaultConfiguration": {"level": LEVELS.get(rules[r][2], "warning")}} for r in sorted(rules)]
             driver = {"name": self.tool, "version": self.version, "rules": listed}
             made = f"{folder}/whole"
-            with files.open_output_stream(made) as out:
+            with files.open_output_stream(made) as stream:
+                out = _Out(stream, self.packed)
                 head = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
-                out.write((json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps(driver, ensure_ascii=False) + '}, "results": [').encode())
+                out.add((json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps(driver, ensure_ascii=False) + '}, "results": [').encode())
                 first = True
                 for m in told:
                     if m.results:
-                        out.write(b"" if first else b",")
+                        out.add(b"" if first else b",")
                         first = False
                         with files.open_input_stream(f"{folder}/{m.name}") as part:
-                            while chunk := part.read(CHUNK):
-                                out.write(chunk)
+                            out.copy(part, m.frames)
                         files.delete_file(f"{folder}/{m.name}")  # the parts and the document never lie whole beside each other
-                out.write(b"\n]}]}\n")
+                out.add(b"\n]}]}\n")
+                out.flush()
+                if self.packed:
+                    out.seek_table()
             files.move(made, path)  # the document appears whole
         finally:
             files.delete_dir(folder)
@@ -125,9 +177,58 @@ class _SarifWriter(DataSourceWriter):
             files.delete_dir(folder)
 
 
+@dataclass
+class _Range(InputPartition):
+    #: Where its first frame begins, and the sizes of its frames.
+    at: int
+    frames: bytes
+    value: None = field(default=None)
+
+
+class _SarifReader(DataSourceReader):
+    """The lines of a compressed document that hold results, in ranges of whole frames."""
+
+    def __init__(self, path: str, most: int):
+        self.path, self.most = path, most
+
+    def partitions(self) -> list[_Range]:
+        files, path = _files(self.path)
+        with files.open_input_file(path) as f:
+            end = f.size()
+            f.seek(max(0, end - 9))
+            foot = f.read(9)
+            count, _, magic = struct.unpack("<IBI", foot) if len(foot) == 9 else (0, 0, 0)
+            if magic != SEEKABLE:
+                raise ValueError(f"{self.path}: no Zstandard file with a seek table")
+            f.seek(end - 9 - 8 * count)
+            table = f.read(8 * count)
+        ranges, at, first, begin, held = [], 0, 0, 0, 0
+        for k, (packed, plain) in enumerate(struct.iter_unpack("<II", table)):
+            if k > first and held + plain > self.most:
+                ranges.append(_Range(begin, table[8 * first : 8 * k]))
+                first, begin, held = k, at, 0
+            at, held = at + packed, held + plain
+        return [*ranges, _Range(begin, table[8 * first :])]
+
+    def read(self, partition: _Range) -> Iterator:
+        import pyarrow as pa
+
+        files, path = _files(self.path)
+        codec = pa.Codec("zstd")
+        with files.open_input_file(path) as f:
+            f.seek(partition.at)
+            for packed, plain in struct.iter_unpack("<II", partition.frames):
+                lines = codec.decompress(f.read(packed), plain, asbytes=True).split(b"\n")
+                told = [x for x in lines if x.startswith(b'{"ruleId":')]
+                yield pa.record_batch([pa.array(told, pa.binary()).cast(pa.string())], names=["value"])
+
+
 class SarifSink(DataSource):
     """``findings.write.format("sarif").mode("overwrite").save(path)``: one SARIF 2.1.0 document.
 
+    A ``path`` that ends in ``.zst`` is compressed, parts too: Zstandard frames of whole results and the seek
+    table of its seekable format, so any tool for Zstandard opens it, and tasks read ranges of it.
+
     Tasks write their results to parts beside ``path``, which the driver and all executors must see; the
     commit puts them together, the driver holding one chunk and the list of rules. If a task fails for good
     nothing is left; options ``tool`` and ``version`` name the tool. A result is one line of the document.
@@ -137,6 +238,12 @@ class SarifSink(DataSource):
     def name(cls) -> str:
         return "sarif"
 
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SarifReader(self.options["path"], int(self.options.get("range", 128 << 20)))
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _SarifWriter(self.options["path"], overwrite, self.options.get("tool", "rampart"), self.options.get("version", "1.0.0"))
 
@@ -246,7 +353,11 @@ def register(spark: SparkSession) -> None:
 
 def read_sarif(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The results, by their schema, of a document that the sink wrote: each is a line, so tasks read ranges of one file."""
-    line = spark.read.option("lineSep", "\n").text(path).where("startswith(value, '{\"ruleId\":')")
+    if path.endswith(".zst"):
+        register(spark)
+        line = spark.read.format("sarif").option("range", spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()).load(path)
+    else:
+        line = spark.read.option("lineSep", "\n").text(path).where("startswith(value, '{\"ruleId\":')")
     return line.select(F.from_json(F.rtrim("value", F.lit(",")), schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 

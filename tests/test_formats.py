@@ -45,6 +45,44 @@ def test_one_document_read_by_many_tasks(spark, data, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_a_compressed_document(spark, tmp_path):
+    """Zstandard opens it whole, tasks read ranges of it; odd texts, empty parts and a text larger than a frame included."""
+    import pyarrow as pa
+
+    rows = [(f"r{i % 3}", "error", f"src/é\r\u2028\u0085{i}.js", i, "x\n") for i in range(9000)] + [('{"ruleId":', "info", '"results": [' + "y" * formats.FRAME, 0, "],")]
+    told, path, plain = spark.createDataFrame(rows, KINDS), str(tmp_path / "all.sarif.zst"), str(tmp_path / "all.sarif")
+    kinds = "struct<ruleId:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>"
+    places = lambda run: sorted((x["ruleId"], x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"]) for x in run["results"])
+    want = sorted((r, p) for r, _, p, _, _ in rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        for some in (told.repartition(3), told.repartition(20, "rule_id"), told.limit(0)):
+            formats.write_sarif(some, path)
+            formats.write_sarif(some, plain)
+            run = json.loads(pa.input_stream(path, compression="zstd").read())["runs"][0]
+            assert run["tool"] == json.load(open(plain, encoding="utf-8"))["runs"][0]["tool"]
+            back = formats.read_sarif(spark, path, kinds)
+            got = sorted((r.ruleId, r.locations[0].physicalLocation.artifactLocation.uri) for r in back.collect())
+            assert got == places(run) == (want if run["results"] else [])
+            assert back.rdd.getNumPartitions() > 5 or not got
+            assert sorted(x.name for x in tmp_path.iterdir()) == ["all.sarif", "all.sarif.zst"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "other.zst").write_bytes(pa.Codec("zstd").compress(b"no table", asbytes=True))
+    with pytest.raises(Exception, match="seek table"):
+        formats.read_sarif(spark, str(tmp_path / "other.zst"), kinds).collect()
+
+
+def test_the_document_of_all_findings_is_small(spark, data, tmp_path, monkeypatch):
+    """All findings go through the sink in less than 100 bytes of disk each, where their text has over 400, and nothing else is kept."""
+    from rampart.plans.more import sarif_written
+
+    monkeypatch.setattr("rampart.sources.stored.shared_folder", lambda _: f"file://{tmp_path}")
+    n = sarif_written(spark, data).count()
+    (whole,) = [x for x in tmp_path.rglob("*") if x.is_file()]
+    assert n == spark.read.parquet(f"{data}/lineitem.parquet").count() and whole.stat().st_size < 100 * n
+
+
 def test_a_failed_task_leaves_nothing(spark, tmp_path):
     told = spark.createDataFrame([("r", "error", "p", i, "x") for i in range(100)], KINDS).repartition(5)
     bad = told.withColumn("text", F.when(F.col("line") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("text")))

@@ -642,7 +642,7 @@ def sarif_written(spark, d):
         "related": F.when(F.col("engine") == "ast", F.array(F.struct(F.lit("src/main.js").alias("path"), F.lit(0).alias("line"), F.lit("imported").alias("message")))),
         "fix": F.when(F.col("engine") == "regex", F.concat(F.lit("fixed "), F.col("line").cast("string"))),
     })
-    path = f"{stored_path(spark, "sarif")}/findings.sarif.zst"
+    path = stored_path(spark, "sarif") + "/findings.sarif.zst"
     formats.write_sarif(told, path)
     place = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>"
     kinds = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{place}>,partialFingerprints:struct<primaryLocationLineHash:string>,relatedLocations:array<{place}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{place}>>>>>>,fixes:array<struct<artifactChanges:array<struct<replacements:array<struct<insertedContent:struct<text:string>>>>>>>>"

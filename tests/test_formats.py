@@ -98,6 +98,24 @@ def test_result_with_all_it_can_hold():
     assert set(formats.sarif_result({"rule_id": "r", "severity": "x", "path": "p", "line": 0})) == {"ruleId", "level", "message", "locations", "partialFingerprints"}
 
 
+def test_odd_values_in_results(spark, tmp_path):
+    """Nulls, empty lists and characters that JSON escapes, by themselves and inside lists, go through the sink as they are."""
+    odd, path = ["", None, 'a"\\\n\t\x00\x7f\u2028é😀'], str(tmp_path / "x.sarif.zst")
+    rows = [(f"r{k}{x}", x, f"p{y}", k, x, y, [] if x is None else [(y, k, x)], None if y is None else [(k, x), (k + 1, y)], y) for k, (x, y) in enumerate((x, y) for x in odd for y in odd)]
+    kinds = f"{KINDS}, message string, related array<struct<path:string,line:int,message:string>>, steps array<struct<line:int,text:string>>, fix string"
+    formats.write_sarif(spark.createDataFrame(rows, kinds).coalesce(1), path)
+    got = [json.loads(r.value.rstrip(",")) for r in spark.read.format("sarif").load(path).collect()]
+    at = lambda p, n, m=None: {"physicalLocation": {"artifactLocation": {"uri": p}, "region": {"startLine": n + 1}}} | ({"message": {"text": m}} if m else {})
+    assert len(got) == len(rows)
+    for r, (rule, _, p, n, _, message, related, steps, fix) in zip(sorted(got, key=lambda r: r["locations"][0]["physicalLocation"]["region"]["startLine"]), rows):
+        assert r["ruleId"] == rule and r["message"] == {"text": message or rule} and r["locations"] == [at(p, n)] and r["level"] == "warning"
+        assert r.get("relatedLocations", []) == [{"id": 0} | at(*x) for x in related]
+        assert ("codeFlows" in r) == (steps is not None) and (steps is None or r["codeFlows"][0]["threadFlows"][0]["locations"] == [{"location": at(p, *x)} for x in steps])
+        assert ("fixes" in r) == (fix is not None) and (fix is None or r["fixes"][0]["artifactChanges"][0]["replacements"][0]["insertedContent"] == {"text": fix})
+    with pytest.raises(Exception, match="findings without severity"):
+        formats.write_sarif(spark.createDataFrame(rows, kinds).drop("severity"), path)
+
+
 def test_packs_by_java(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("rules:\n- {id: one, patterns: ['\\p{Lu}+', '(?<n>a)\\k<n>', 'a++b', '(open', '(?P<py>x)']}\n- {id: two, pattern: 'x'}\n")
     (tmp_path / "b.yaml").write_text("rules: [")

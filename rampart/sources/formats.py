@@ -7,7 +7,7 @@ import json
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fnmatch import fnmatch
 from json.encoder import encode_basestring
@@ -23,6 +23,8 @@ CHUNK = 1 << 20
 #: Bytes of text in a frame of a compressed document, and the numbers of the Zstandard seekable format.
 FRAME = 1 << 18
 SKIPPED, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: Bytes after which a task goes on in another file: what lies on disk twice while the document is put together.
+PART = 16 << 20
 
 
 def _files(uri: str):
@@ -82,13 +84,20 @@ def _values(column) -> list:
 
 
 class _Out:
-    """Text to a stream: as it is, or in Zstandard frames that end where an ``add`` does; ``frames`` has their sizes, packed and plain."""
+    """Text to files that ``opened`` gives, the next one after ``most`` bytes: as it is, or in Zstandard frames that end
+    where an ``add`` does; ``frames`` has their sizes, packed and plain."""
 
-    def __init__(self, out, packed: bool):
+    def __init__(self, opened: Callable, packed: bool, most: float = float("inf")):
         import pyarrow as pa
 
-        self.out, self.codec, self.frames = out, pa.Codec("zstd", compression_level=1) if packed else None, bytearray()
-        self.held, self.size = [], 0
+        self.opened, self.most, self.codec, self.frames = opened, most, pa.Codec("zstd", compression_level=1) if packed else None, bytearray()
+        self.out, self.held, self.size = opened(), [], 0
+
+    def __enter__(self) -> _Out:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.out.close()
 
     def add(self, text: str) -> None:
         self.held.append(text)
@@ -98,6 +107,9 @@ class _Out:
 
     def flush(self) -> None:
         if self.size:
+            if self.out.tell() >= self.most:
+                self.out.close()
+                self.out = self.opened()
             text = "".join(self.held).encode()
             if self.codec:
                 packed = self.codec.compress(text, asbytes=True)
@@ -106,13 +118,6 @@ class _Out:
             self.out.write(text)
             self.held, self.size = [], 0
 
-    def copy(self, part, frames: bytes) -> None:
-        """The bytes of a part, frames and all."""
-        self.flush()
-        while chunk := part.read(CHUNK):
-            self.out.write(chunk)
-        self.frames += frames
-
     def seek_table(self) -> None:
         """The sizes of all frames, in a frame that readers of Zstandard skip."""
         self.out.write(struct.pack("<II", SKIPPED, len(self.frames) + 9))
@@ -123,7 +128,8 @@ class _Out:
 @dataclass
 class _Part(WriterCommitMessage):
     partition: int
-    name: str
+    #: Its files, in order.
+    names: list[str]
     results: int
     #: Sizes of its frames, if it is compressed.
     frames: bytes
@@ -143,10 +149,14 @@ class _SarifWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         files, folder = _files(self.parts)
-        # Every attempt writes a file of its own; only those that the driver hears of are put together.
-        told = _Part(TaskContext.get().partitionId(), uuid.uuid4().hex, 0, b"", {})
-        with files.open_output_stream(f"{folder}/{told.name}") as stream:
-            out = _Out(stream, self.packed)
+        # Every attempt writes files of its own; only those that the driver hears of are put together.
+        told = _Part(TaskContext.get().partitionId(), [], 0, b"", {})
+
+        def opened():
+            told.names.append(uuid.uuid4().hex)
+            return files.open_output_stream(f"{folder}/{told.names[-1]}")
+
+        with _Out(opened, self.packed, PART) as out:
             for batch in iterator:
                 for values in zip(*(_values(batch.column(c)) if c in batch.schema.names else [None] * batch.num_rows for c in COLUMNS)):
                     out.add((",\n" if told.results else "\n") + sarif_text(*values))
@@ -173,8 +183,7 @@ class _SarifWriter(DataSourceArrowWriter):
             listed = [{"id": r, "defaultConfiguration": {"level": LEVELS.get(rules[r][2], "warning")}} for r in sorted(rules)]
             driver = {"name": self.tool, "version": self.version, "rules": listed}
             made = f"{folder}/whole"
-            with files.open_output_stream(made) as stream:
-                out = _Out(stream, self.packed)
+            with _Out(lambda: files.open_output_stream(made), self.packed) as out:
                 head = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"}
                 out.add(json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + json.dumps(driver, ensure_ascii=False) + '}, "results": [')
                 first = True
@@ -182,9 +191,13 @@ class _SarifWriter(DataSourceArrowWriter):
                     if m.results:
                         out.add("" if first else ",")
                         first = False
-                        with files.open_input_stream(f"{folder}/{m.name}") as part:
-                            out.copy(part, m.frames)
-                        files.delete_file(f"{folder}/{m.name}")  # the parts and the document never lie whole beside each other
+                        out.flush()
+                        for name in m.names:
+                            with files.open_input_stream(f"{folder}/{name}") as part:
+                                while chunk := part.read(CHUNK):
+                                    out.out.write(chunk)
+                            files.delete_file(f"{folder}/{name}")  # the parts and the document never lie whole beside each other
+                        out.frames += m.frames
                 out.add("\n]}]}\n")
                 out.flush()
                 if self.packed:

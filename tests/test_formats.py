@@ -83,6 +83,37 @@ def test_the_document_of_all_findings_is_small(spark, data, tmp_path, monkeypatc
     assert n == spark.read.parquet(f"{data}/lineitem.parquet").count() and whole.stat().st_size < 100 * n
 
 
+@pytest.mark.parametrize("name", ["x.sarif", "x.sarif.zst"])
+def test_parts_go_while_they_are_put_together(tmp_path, monkeypatch, name):
+    """However much one task writes, the document and what is left of the parts are little more than the document."""
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.fs
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda _: 0})())}))
+    monkeypatch.setattr(formats, "PART", 20_000)
+    monkeypatch.setattr(formats, "FRAME", 4_000)
+    rows = [{"rule_id": "r", "severity": "error", "path": hashlib.sha256(str(i).encode()).hexdigest(), "line": i, "text": "x"} for i in range(5000)]
+    writer, held, files = formats._SarifWriter(str(tmp_path / name), True, "t", "1"), [], formats._files
+    told = [writer.write(iter(pa.Table.from_pylist(some).to_batches())) for some in (rows[:4000], [], rows[4000:])]
+
+    class Watched:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, at):
+            held.append(sum(x.stat().st_size for x in tmp_path.rglob("*") if x.is_file()))
+            return getattr(self.fs, at)
+
+    monkeypatch.setattr(formats, "_files", lambda uri: (lambda fs, path: (Watched(fs), path))(*files(uri)))
+    writer.commit([*told, None])
+    assert [x.name for x in tmp_path.iterdir()] == [name] and max(held) < (tmp_path / name).stat().st_size + 2 * formats.PART
+    text = pa.input_stream(str(tmp_path / name), compression="zstd" if name.endswith("zst") else None).read()
+    assert [x["locations"][0]["physicalLocation"]["region"]["startLine"] for x in json.loads(text)["runs"][0]["results"]] == list(range(1, 5001))
+
+
 def test_a_failed_task_leaves_nothing(spark, tmp_path):
     told = spark.createDataFrame([("r", "error", "p", i, "x") for i in range(100)], KINDS).repartition(5)
     bad = told.withColumn("text", F.when(F.col("line") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("text")))
